@@ -44,15 +44,19 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_TABLE = _mixed(np.arange(1 << 16))
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Where the chunks of one document's ids end; the last end is len(ids)."""
     n = len(ids)
     if n <= LEAST:
         return [n]
-    mixed = _mixed(ids)
-    rolling = np.zeros(n, np.uint64)  # sum of the last WINDOW values, each shifted once for each id since
-    for back in range(WINDOW):
-        rolling[back:] += mixed[: n - back] << np.uint64(back)
+    rolling = (_TABLE[ids] if len(_TABLE) > int(ids.max()) else _mixed(ids)).copy()  # sum of the last WINDOW values, each shifted once for each id since
+    back = 1
+    while back < WINDOW:
+        rolling[back:] += rolling[:-back] << np.uint64(back)
+        back *= 2
     places = np.flatnonzero((rolling >> np.uint64(WINDOW)) & np.uint64(MASK) == 0) + 1
     ends, at = [], 0
     for place in places.tolist():
