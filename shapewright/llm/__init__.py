@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op2_packing": "packing",
     "op7_token_store": "token_store",
+    "op8_topk": "topk",
+    "op9_media": "media",
 }
 
 
