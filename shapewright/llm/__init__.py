@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module of this subpackage whose ``query(spark, sf_dir)`` it is; a module may have ``ORACLE_SQL``.
 MODULES = {
     "op2_packing": "packing",
+    "op5_simhash": "simhash",
     "op7_token_store": "token_store",
     "op8_topk": "topk",
     "op9_media": "media",
