@@ -290,4 +290,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all ``documents`` in sequences of at most 2,048 tokens."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(pieces(docs, vocabulary_path()))
+    return pack(written(pieces(docs, vocabulary_path()), "pieces"))  # else sampling for ranges would encode all texts twice
