@@ -6,12 +6,14 @@ import importlib
 
 #: Query name -> module of this subpackage whose ``query(spark, sf_dir)`` it is; a module may have ``ORACLE_SQL``.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_packing": "packing",
     "op4_mixing": "mixing",
     "op5_simhash": "simhash",
     "op7_token_store": "token_store",
     "op8_topk": "topk",
     "op9_media": "media",
+    "op10_quality": "quality",
 }
 
 
