@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .labelled import TRAIN_ROWS, training
 
 DECAY, SPAN, LONGEST = 0.7, 5, 28
-LANDMARKS, ROUNDS, THRESHOLD, SEED = 160, 3, 0.3, 11
+LANDMARKS, ROUNDS, THRESHOLD, SEED = 240, 4, 0.3, 11
 CACHE_WORDS = 800_000
+#: Log-likelihood ratio from which a string tells toxic sentences.
+PROOF = 9.0
 
 _LETTERS = 64
 _DIGITS = str.maketrans("013457", "oieast")
@@ -49,11 +51,11 @@ def string_of(word: bytes) -> str:
 
 
 def _spelled(strings: list[str]) -> np.ndarray:
-    """Letters of strings as numbers from 1 to 63, 0 beyond the end."""
-    longest = max(map(len, strings), default=0)
-    text = "".join([s.ljust(longest + SPAN - 1, "\0") for s in strings])
+    """Letters of strings as numbers: 63 for the beginning, which counts as a letter, then 1 to 62, and 0 beyond the end."""
+    longest = max(map(len, strings), default=0) + 1
+    text = "".join([("\1" + s).ljust(longest + SPAN - 1, "\0") for s in strings])
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(strings), -1)
-    return np.where(points == 0, 0, np.where((points >= 97) & (points <= 122), points - 96, 27 + points * 7 % 37))
+    return np.where(points < 2, points * (_LETTERS - 1), np.where((points >= 97) & (points <= 122), points - 96, 27 + points * 7 % 36))
 
 
 def _triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +113,16 @@ class _Scores(dict):
 def _joined(words: list[bytes]) -> list[bytes]:
     """Strings that runs of single letters spell."""
     out, run = [], []
-    for w in [*words, b""]:
+    for w in [*words, b"-----"]:
+        if len(w) > 4:
+            if run:
+                if len(run) >= 3:
+                    out.append(b"".join(run))
+                run = []
+            continue
         core = w.strip(b".,;:!?*-_|")
-        if len(core) == 1 or (core and len(core) <= 4 and len(core.decode()) == 1):
+        n = len(core)
+        if n == 1 or (1 < n <= 4 and len(core.decode()) == 1):
             run.append(core)
             continue
         if len(run) >= 3:
@@ -147,14 +156,28 @@ class Model:
                 if strings:
                     own.append(sorted(strings))
             sentences.append(own)
-        within = [set().union(*own) if own else set() for own in sentences]
+        # counted by distinct sentences, so that copies of a document count once
         in_toxic, in_clean = Counter(), Counter()
-        for t, strings in zip(y, within, strict=True):
-            (in_toxic if t else in_clean).update(strings)
-        n1, n0 = int(y.sum()), int(len(y) - y.sum())
-        lift = {s: k / n1 / ((in_clean[s] + 0.5) / n0) for s, k in in_toxic.items()}
-        rank = sorted((s for s in in_toxic if in_toxic[s] >= 2), key=lambda s: (-(np.log(lift[s]) * in_toxic[s]), s))
-        telling = [s for s in rank if lift[s] > 4][: LANDMARKS // 2]
+        seen: set[tuple[str, ...]] = set()
+        for t, own in zip(y, sentences, strict=True):
+            for strings in own:
+                if (key := tuple(strings)) not in seen:
+                    seen.add(key)
+                    (in_toxic if t else in_clean).update(strings)
+        n1, n0 = max(1, sum(in_toxic.values())), max(1, sum(in_clean.values()))
+        part = n1 / (n1 + n0)
+
+        def evidence(s: str) -> float:
+            """Log-likelihood ratio of the string's own share of toxic sentences against the overall one; below 0 if it is less."""
+            k, n = in_toxic[s], in_toxic[s] + in_clean[s]
+            if k <= part * n:
+                return -1.0
+            return k * np.log(k / n / part) + ((n - k) * np.log((1 - k / n) / (1 - part)) if k < n else 0.0)
+
+        proof = {s: evidence(s) for s in in_toxic}
+        rank = sorted(in_toxic, key=lambda s: (-proof[s], s))
+        strong = {s for s in rank if proof[s] > PROOF and in_toxic[s] > 0.6 * (in_toxic[s] + in_clean[s])}
+        telling = [s for s in rank if s in strong][: LANDMARKS // 2]
         common = [s for s, _ in sorted(in_clean.items(), key=lambda kv: (-kv[1], kv[0]))[: LANDMARKS - len(telling)]]
         landmarks = [*dict.fromkeys(telling + common)]
         values, vectors = np.linalg.eigh(kernel(landmarks, landmarks) + 1e-3 * np.eye(len(landmarks)))
@@ -168,10 +191,9 @@ class Model:
             np.add.at(table, lc, lw * alpha[:, None])
             return _Scores(table, bias)
 
-        strong = {s for s in in_toxic if lift[s] > 8 and in_toxic[s] >= 2}
         everything = sorted(set(in_toxic) | set(in_clean))
         place = {s: i for i, s in enumerate(everything)}
-        prior = np.array([np.log(max(lift.get(s, 0), 1e-3)) if s in strong else -10.0 for s in everything])
+        prior = np.array([proof[s] if s in strong else -10.0 for s in everything])
         clean = np.array([place[s] for s in sorted(in_clean)])
         score = prior
         negatives = set(rng.choice(clean, min(3000, len(clean)), replace=False).tolist())
@@ -182,7 +204,7 @@ class Model:
                     continue
                 best = [max((place[s] for s in s_), key=lambda i: (score[i], -i)) for s_ in own]
                 chosen = [i for i in best if score[i] > 0] or ([max(best, key=lambda i: (score[i], -i))] if step else [])
-                witness.update(i for i in chosen if in_clean[everything[i]] <= 0.002 * n0 + in_toxic[everything[i]] / 4)
+                witness.update(i for i in chosen if in_clean[everything[i]] <= in_toxic[everything[i]] / 2)
             hard = clean[np.argsort(-score[clean], kind="stable")[:2000]] if step else clean[:0]
             negatives |= set(hard.tolist())
             negatives -= set(witness)
@@ -216,7 +238,7 @@ class Model:
             if b" " in text or n:
                 distinct.update(_joined(words)) if sum(len(w) < 3 for w in words) >= 3 else None
             lists.append((distinct, n))
-            missing |= distinct - known.keys()
+            missing.update(w for w in distinct if w not in known)
         if missing:
             if len(known) + len(missing) > CACHE_WORDS:
                 known.clear()
@@ -237,7 +259,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.logit[:-1] + self.logit[-1], -50, 50)))
 
 
-def _hinge(phi: np.ndarray, target: np.ndarray, weight: np.ndarray, c: float = 200.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def _hinge(phi: np.ndarray, target: np.ndarray, weight: np.ndarray, c: float = 1000.0, steps: int = 500) -> tuple[np.ndarray, float]:
     """Linear machine under a smoothed, weighted hinge loss, by accelerated gradient steps."""
     x = np.hstack([phi, np.ones((len(phi), 1))])
     w = np.zeros(x.shape[1])
