@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_toxicity": "toxicity",
     "op2_packing": "packing",
+    "op3_suffix_dedup": "suffix_dedup",
     "op4_mixing": "mixing",
     "op5_simhash": "simhash",
     "op7_token_store": "token_store",
