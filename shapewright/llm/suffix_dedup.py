@@ -92,24 +92,26 @@ def spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(block, kind, doc, nth of the doc_id, text or payload), rows sorted by block, kind and doc_id."""
+    """(block, kind, doc, nth of the doc_id, text or payload, other columns), rows sorted by block, kind and doc_id."""
     last, nth = None, 0
     for batch in batches:
-        for block, kind, doc, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for block, kind, doc, data, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             doc = -(1 << 63) if doc is None else doc
             nth = nth + 1 if (block, kind, doc) == last else 0
             last = (block, kind, doc)
-            yield block, kind, doc, nth, data or b""
+            yield block, kind, doc, nth, data or b"", rest
 
 
 def _blocks_of(docs: DataFrame, n: int) -> DataFrame:
-    """block, kind (1), doc_id, data: the documents, dealt by doc_id."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("data"))
+    """block, kind (1), doc_id, data, rest: the documents, dealt by doc_id; rest has what other columns they have."""
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.to_json(F.struct(*others)) if len(others) > 1 else F.lit(None).cast("string")
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("data"), rest.alias("rest"))
 
 
 def _with_replies(docs: DataFrame, replies: DataFrame, n: int) -> DataFrame:
     """Documents after what their block was told, in one order everywhere."""
-    told = replies.select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "data")
+    told = replies.select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "data", F.lit(None).cast("string").alias("rest"))
     both = told.unionByName(_blocks_of(docs, n))
     return both.repartition(n, "block").sortWithinPartitions("block", "kind", "doc_id", F.xxhash64("data"))
 
@@ -212,7 +214,7 @@ def _sent_spans(docs: DataFrame, n: int) -> DataFrame:
             out.clear()
             return made
 
-        for block, kind, doc, nth, data in _numbered(batches):
+        for block, kind, doc, nth, data, _ in _numbered(batches):
             if block != at:
                 at, told, shared = block, [], np.zeros(0, np.uint64)
                 seen.clear()
@@ -332,12 +334,11 @@ def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, and kept (the remaining bytes) or with ``digest`` kept_sha256; _nth tells equal doc_ids apart."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, or with ``digest`` their SHA-256), rest (other columns of docs as JSON)."""
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    docs = docs.select("doc_id", "text")
-    sent = written(_sent_spans(docs, n), "spans")
+    sent = written(_sent_spans(docs.select("doc_id", "text"), n), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
@@ -346,13 +347,13 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "_nth", "n_bytes", "n_removed", "n_spans", "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string())
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
             for c in columns:
                 c.clear()
             return made
 
-        for block, kind, doc, nth, data in _numbered(batches):
+        for block, kind, doc, nth, data, rest in _numbered(batches):
             if block != at:
                 at = block
                 removed.clear()
@@ -367,7 +368,7 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
                 last = b
             kept.append(data[last:])
             left = b"".join(kept)
-            for c, v in zip(columns, (None if doc == -(1 << 63) else doc, nth, len(data), len(data) - len(left), len(gone), sha256(left).hexdigest() if digest else left), strict=True):
+            for c, v in zip(columns, (None if doc == -(1 << 63) else doc, len(data), len(data) - len(left), len(gone), sha256(left).hexdigest() if digest else left, rest), strict=True):
                 c.append(v)
             held += 200 if digest else len(left) + 200
             if held > BLOCK_BYTES:
@@ -376,11 +377,30 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
         if columns[0]:
             yield flush()
 
-    schema = f"doc_id bigint, _nth int, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest else 'binary'}"
+    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest else 'binary'}, rest string"
     return _with_replies(docs, _removed(sent, n), n).mapInArrow(run, schema)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the remaining texts, all columns kept.
+
+    A character that lost some of its bytes loses the rest. Documents of which nothing remains go; those that were empty stay.
+    """
+    found = deduplicated(docs).filter("n_removed = 0 OR n_removed < n_bytes")
+    others = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode(errors="ignore") for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", "doc_id", "rest"])
+
+    texts = found.select("kept", "doc_id", "rest").mapInArrow(decoded, "text string, doc_id bigint, rest string")
+    if len(docs.columns) == 2:
+        return texts.select(*(F.col(c).cast(t) for c, t in docs.dtypes))
+    return texts.select("text", F.from_json("rest", others).alias("r")).select(*("text" if c == "text" else F.col(f"r.`{c}`") for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: what whole texts of ``documents`` keep."""
-    found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+    found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
