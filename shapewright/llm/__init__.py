@@ -11,6 +11,7 @@ MODULES = {
     "op3_suffix_dedup": "suffix_dedup",
     "op4_mixing": "mixing",
     "op5_simhash": "simhash",
+    "op6_pseudo_likelihood": "pseudo_likelihood",
     "op7_token_store": "token_store",
     "op8_topk": "topk",
     "op9_media": "media",
