@@ -1 +1,23 @@
-"""Schema conformance and training-data operators for Spark DataFrames."""
+"""Schema conformance for Spark DataFrames, by schemas in the language of RFC 8610."""
+
+from importlib import import_module
+
+#: Public names and their modules; they are loaded when they are first used, as executors need few of them.
+_PLACES = {
+    "Schema": "schema",
+    "SchemaError": "plans.analysis",
+    "SchemaSyntaxError": "plans.syntax",
+    "NotColumnar": "operators.columns",
+    "validate": "operators.conformance",
+    "error_rows": "operators.conformance",
+    "report": "operators.conformance",
+    "csv_rows": "operators.conformance",
+}
+
+__all__ = sorted(_PLACES)
+
+
+def __getattr__(name: str):
+    if name in _PLACES:
+        return getattr(import_module(f"{__name__}.{_PLACES[name]}"), name)
+    raise AttributeError(name)
