@@ -9,6 +9,7 @@ _PLACES = {
     "SchemaSyntaxError": "plans.syntax",
     "NotColumnar": "operators.columns",
     "validate": "operators.conformance",
+    "conforming": "operators.conformance",
     "error_rows": "operators.conformance",
     "report": "operators.conformance",
     "csv_rows": "operators.conformance",

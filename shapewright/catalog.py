@@ -46,11 +46,11 @@ CHECKS: dict[str, Check] = {
     "range_inclusive": Check("lineitem", LINE, "l_linenumber", "n = 2..5", "l_linenumber BETWEEN 2 AND 5"),
     "range_exclusive": Check("lineitem", LINE, "l_linenumber", "n = 2...5", "l_linenumber >= 2 AND l_linenumber < 5"),
     "range_float": Check("lineitem", LINE, "l_discount", "n = 0.02..0.05", "l_discount BETWEEN CAST(0.02 AS DOUBLE) AND CAST(0.05 AS DOUBLE)"),
-    "range_named": Check("lineitem", LINE, "l_linenumber", "n = low..high\nlow = 2\nhigh = 4", "l_linenumber BETWEEN 2 AND 4"),
+    "range_named": Check("lineitem", LINE, "l_linenumber", "n = low .. high\nlow = 2\nhigh = 4", "l_linenumber BETWEEN 2 AND 4"),
     "range_mixed_sign": Check("customer", ("c_custkey",), "cast(c_acctbal as bigint)", "n = -100..5000", "CAST(round(c_acctbal - 0.5 * sign(c_acctbal) + 0.0) AS BIGINT) BETWEEN -100 AND 5000"),
     "ctl_lt": Check("part", PART, "p_size", "n = uint .lt 25", "p_size < 25"),
     "ctl_le": Check("part", PART, "p_size", "n = int .le 25", "p_size <= 25"),
-    "ctl_gt": Check("part", PART, "p_retailprice", "n = float .gt 1200.5", "p_retailprice > 1200.5"),
+    "ctl_gt": Check("part", PART, "p_retailprice", "n = float .gt 950.5", "p_retailprice > 950.5"),
     "ctl_ge": Check("part", PART, "p_size", "n = int .ge 30", "p_size >= 30"),
     "ctl_eq": Check("orders", ORDER, "o_orderstatus", 'n = tstr .eq "F"', "o_orderstatus = 'F'"),
     "ctl_ne_text": Check("orders", ORDER, "o_orderstatus", 'n = tstr .ne "F"', "o_orderstatus <> 'F'"),

@@ -105,7 +105,10 @@ def _and(*parts: Column | None) -> Column:
 
 
 def _or(*parts: Column | None) -> Column:
-    some = [F.coalesce(p, F.lit(False)) for p in parts if p is not None]
+    some = [p for p in parts if p is not None]
+    if len(some) == 1:
+        return some[0]  # as it is, so that the scan can take it over
+    some = [F.coalesce(p, F.lit(False)) for p in some]
     out = some[0] if some else F.lit(False)
     for p in some[1:]:
         out = out | p
@@ -127,7 +130,8 @@ class Columns:
         self.recursive = symbols.recursive()
 
     def root(self, name: str | None, value: Value) -> Column:
-        return F.coalesce(self.type2(Name(name or self.symbols.root()), {}, value), F.lit(False))
+        """The check; null or false where the value doesn't conform."""
+        return self.type2(Name(name or self.symbols.root()), {}, value)
 
     def type(self, t: Type, env: dict, v: Value) -> Column:
         return _or(*(self.type1(c, env, v) for c in t.choices))

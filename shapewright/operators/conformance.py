@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, datetime
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
-from ..sources.values import DecodeError, csv_records, from_cbor, from_csv, from_json
+from ..sources.values import DecodeError, Map, csv_records, from_cbor, from_csv, from_json
 from .columns import Columns, NotColumnar, Value, Variant
 from .matcher import Compiler, run
 
@@ -26,7 +28,7 @@ def as_schema(schema: Schema | str) -> Schema:
 
 
 def valid_column(df: DataFrame, schema: Schema | str, on: str | list[str], format: str = "row", root: str | None = None, features: list[str] | None = None) -> Column:
-    """The check as a column; raises NotColumnar where the schema needs the matcher.
+    """The check as a column, null or false where a row doesn't conform; raises NotColumnar where the schema needs the matcher.
 
     format "row": ``on`` is a column, or a list of columns that make a map. format "json": a column of JSON text.
     """
@@ -36,7 +38,7 @@ def valid_column(df: DataFrame, schema: Schema | str, on: str | list[str], forma
         if not isinstance(df.schema[on].dataType, T.StringType):
             raise TypeError(f"{on} isn't text")
         parsed = F.try_parse_json(F.col(f"`{on}`"))
-        return F.coalesce(parsed.isNotNull() & compiler.root(root, Variant(parsed)), F.lit(False))
+        return parsed.isNotNull() & compiler.root(root, Variant(parsed))
     if format != "row":
         raise NotColumnar(f"{format} needs the matcher")
     if isinstance(on, list):
@@ -47,11 +49,28 @@ def valid_column(df: DataFrame, schema: Schema | str, on: str | list[str], forma
     return compiler.root(root, Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind))
 
 
+def from_row(value):
+    """A column's value as a document: fields that are null are absent, decimals without places are integers."""
+    if isinstance(value, dict):
+        return Map(tuple((k, from_row(v)) for k, v in value.items() if v is not None))
+    if isinstance(value, list):
+        if value and all(isinstance(v, tuple) and len(v) == 2 for v in value):  # Arrow gives a map as its pairs
+            return Map(tuple((k, from_row(v)) for k, v in value))
+        return [from_row(v) for v in value]
+    if isinstance(value, Decimal):
+        return int(value) if value.as_tuple().exponent >= 0 else float(value)
+    if isinstance(value, (datetime, date)):
+        return value.isoformat()
+    return value
+
+
 def _decoder(format: str, has_header: bool):
     if format == "json":
         return from_json
     if format == "cbor":
         return from_cbor
+    if format == "row":
+        return from_row
     if format == "csv":
         return lambda text: from_csv(text, has_header)
     raise ValueError(f"format is json, cbor, csv or row, not {format}")
@@ -67,15 +86,26 @@ def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: s
     schema = as_schema(schema)
     if tier not in ("auto", "columns", "matcher"):
         raise ValueError(f"no tier {tier}")
-    if not errors and tier != "matcher" or format == "row":
+    if not errors and tier != "matcher":
         try:
-            return df.withColumn("valid", valid_column(df, schema, on, format, root, features))
+            return df.withColumn("valid", F.coalesce(valid_column(df, schema, on, format, root, features), F.lit(False)))
         except NotColumnar:
-            if tier == "columns" or format == "row":
+            if tier == "columns":
                 raise
+    if isinstance(on, list):
+        made = df.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in on)))
+        return _matched(made, schema, "_row", format, root, features, errors, has_header).drop("_row")
     return _matched(df, schema, on, format, root, features, errors, has_header)
 
 
+def conforming(df: DataFrame, schema: Schema | str, on: str | list[str], format: str = "json", root: str | None = None, features: list[str] | None = None) -> DataFrame:
+    """The rows that conform. Comparisons of columns stay bare, so that they reach the scan."""
+    try:
+        return df.filter(valid_column(df, schema, on, format, root, features))
+    except NotColumnar:
+        return validate(df, schema, on, format, root, features).filter("valid").drop("valid")
+
+
 def _matched(df: DataFrame, schema: Schema, on: str, format: str, root: str | None, features: list[str] | None, errors: bool, has_header: bool) -> DataFrame:
     model = "cbor" if format == "cbor" else "json"
     Compiler(schema.symbols, model, features).root(root)  # a bad schema fails here, not on executors
