@@ -162,17 +162,19 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return _induce(text, left[np.argsort(rank, kind="stable")], alphabet)
 
 
-def equal_runs(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For suffixes in order: whether each shares its first ``depth`` letters with the one before."""
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
-    same = np.zeros(len(order), bool)
-    at = np.arange(1, len(order))
-    a, b = order[:-1], order[1:]
-    for k in range(depth):
-        keep = padded[a + k] == padded[b + k]
+def equal_runs(data: bytes, places: np.ndarray, depth: int) -> np.ndarray:
+    """For places in order: whether the ``depth`` bytes from each on are those from the one before on.
+
+    Bytes are compared eight at a time; a pair that differs is left.
+    """
+    same = np.zeros(len(places), bool)
+    if len(data) < 8 or len(places) < 2:
+        return same
+    words = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+    at, a, b = np.arange(1, len(places)), places[:-1], places[1:]
+    for k in [*range(0, depth - 8, 8), depth - 8]:
+        keep = words[a + k] == words[b + k]
         if not keep.all():
             at, a, b = at[keep], a[keep], b[keep]
-        if not len(at):
-            break
     same[at] = True
     return same
