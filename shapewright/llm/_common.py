@@ -81,6 +81,17 @@ def ship(spark: SparkSession) -> None:
     context._llm_shipped = True
 
 
+_caches: list[dict] = []
+
+
+def sole(*mine: dict) -> None:
+    """Empty the caches of other operators in this process: a worker that serves several of them holds one's cache at a time."""
+    for cache in _caches:
+        if not any(cache is m for m in mine):
+            cache.clear()
+    _caches[:] = mine
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about ``limit`` bytes of text each; a longer text is a slice by itself."""
     for batch in batches:

@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import blocks, raw, ship
+from ._common import blocks, raw, ship, sole
 from .labelled import TRAIN_ROWS, held_out, training
 
 FORMS, SHAPES, DIM, SHAPE_DIM, HIDDEN = 1 << 14, 1 << 9, 64, 32, 32
 THRESHOLD, SEED = 0.7, 7
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 _AROUND = 2
 _RUNS = ((re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"[a-z\x80-\xff]+"), b"x"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^Xx9])\1+"), rb"\1"))
 
@@ -59,6 +59,7 @@ def index_vectors(n: int, dim: int, seed: int, ones: int = 6) -> np.ndarray:
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all words, where each text begins, and four ratios of each text."""
+    sole(_words)
     parts, sizes, plain = [], [], []
     for text in texts:
         words = text.split()
@@ -163,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model, fitted on the driver on at most ``rows`` labelled documents."""
     model = Model()
     model.fit(*training(docs, labels, "quality", rows))
+    sole()
     return model
 
 

@@ -14,6 +14,8 @@ from sys import byteorder
 import regex
 from tokenizers import Tokenizer
 
+from ._common import sole
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker's cache holds before it starts anew.
 CACHE_WORDS = 1_000_000
@@ -106,4 +108,5 @@ def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    sole(_encoders[path], _encoders[path].pieces)
     return _encoders[path]

@@ -22,11 +22,12 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ._common import sole
 from .labelled import TRAIN_ROWS, training
 
 DECAY, SPAN, LONGEST = 0.7, 5, 28
 LANDMARKS, ROUNDS, THRESHOLD, SEED = 240, 4, 0.3, 11
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: Log-likelihood ratio from which a string tells toxic sentences.
 PROOF = 9.0
 
@@ -131,13 +132,22 @@ def _joined(words: list[bytes]) -> list[bytes]:
     return out
 
 
+_scored: dict[bytes, float] = {}
+_scored_by: list = []
+
+
+def _known(model: Model) -> dict[bytes, float]:
+    """This process's scores of words by the model that it used last."""
+    if not _scored_by or _scored_by[0] is not model:
+        _scored.clear()
+        _scored_by[:] = [model]
+    sole(_scored)
+    return _scored
+
+
 class Model:
     def __init__(self) -> None:
         self.base: float | None = 0.5
-        self.words: dict[bytes, float] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"words": {}}
 
     def fit(self, texts: list[bytes], labels: list[int]) -> None:
         y = np.array(labels)
@@ -229,7 +239,7 @@ class Model:
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """Best three strings' scores, how many are above the margin, and the number of words."""
-        known, scorer = self.words, self.scores_of
+        known, scorer = _known(self), self.scores_of
         lists, missing = [], set()
         for text in texts:
             words = text.split()
@@ -293,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model, fitted on the driver on at most ``rows`` labelled documents."""
     model = Model()
     model.fit(*training(docs, labels, "toxic", rows))
+    sole()
     return model
 
 
