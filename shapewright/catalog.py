@@ -102,6 +102,87 @@ CHECKS: dict[str, Check] = {
 }
 
 
+_REGION = ("r_regionkey",)
+_TIMES = "concat('[', concat_ws(',', array_repeat('1', int(event_id % 5))), ']')"
+
+
+def _region(text: str, other: str = "r_name") -> str:
+    """ASIA's row has this text."""
+    return f"CASE WHEN r_name = 'ASIA' THEN '{text}' ELSE {other} END"
+
+
+def _hex(*parts: str) -> str:
+    return f"unhex(concat({', '.join(parts)}))"
+
+
+_KEY4 = "'1A', lpad(hex(p_partkey), 8, '0')"
+
+#: The same for forms of documents that are put together in SQL.
+CHECKS |= {
+    # kinds and literals
+    "kind_bool": Check("events", EVENT, "CASE WHEN event_id % 3 = 0 THEN 'true' ELSE '1' END", "n = bool", "event_id % 3 = 0", "json"),
+    "kind_null": Check("events", EVENT, "CASE WHEN event_id % 3 = 0 THEN 'null' ELSE 'false' END", "n = nil", "event_id % 3 = 0", "json"),
+    "kind_nint": Check("events", EVENT, "cast(event_id % 5 - 2 as string)", "n = nint", "event_id % 5 < 2", "json"),
+    "kind_number": Check("events", EVENT, "CASE event_id % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '7' ELSE '\"7\"' END", "n = number", "event_id % 3 < 2", "json"),
+    "kind_any": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN props ELSE '{' END", "n = any", "event_id % 2 = 0", "json"),
+    "kind_b64url": Check("region", _REGION, _region("QVNJQQ", "'a+b'"), "n = b64url", "r_name = 'ASIA'"),
+    "kind_time": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN cast(event_id as string) ELSE '\"x\"' END", "n = time", "event_id % 2 = 0", "json"),
+    "literal_number": Check("lineitem", LINE, "l_discount", "n = 0.05 / 7", "abs(l_discount - CAST(0.05 AS DOUBLE)) < 2e-16"),
+    "literal_bytes": Check("region", _REGION, "cast(r_name as binary)", "n = h'41534941' / 'EUROPE'", "r_name IN ('ASIA', 'EUROPE')"),
+    "literal_radix": Check("lineitem", LINE, "l_linenumber", "n = 0x2 / 0b11", "l_linenumber IN (2, 3)"),
+    "decode_errors": Check("events", EVENT, "CASE WHEN event_id % 3 = 0 THEN substring(props, 2) ELSE props END", "n = { * tstr => any }", "event_id % 3 <> 0", "json"),
+    # occurrences
+    "occur_optional": Check("events", EVENT, _TIMES, "n = [? int]", "event_id % 5 <= 1", "json"),
+    "occur_plus": Check("events", EVENT, _TIMES, "n = [+ int]", "event_id % 5 >= 1", "json"),
+    "occur_at_least": Check("events", EVENT, _TIMES, "n = [2* int]", "event_id % 5 >= 2", "json"),
+    "occur_between": Check("events", EVENT, _TIMES, "n = [2*3 int]", "event_id % 5 BETWEEN 2 AND 3", "json"),
+    "occur_at_most": Check("events", EVENT, _TIMES, "n = [*3 int]", "event_id % 5 <= 3", "json"),
+    "occur_greedy": Check("events", EVENT, _TIMES, "n = [* int, int]", "false", "json"),
+    "array_group_choice": Check("events", EVENT, "concat('[', event_id % 3, CASE WHEN event_id % 2 = 0 THEN ',\"x\"' ELSE '' END, ']')", "n = [(0..1, tstr // int)]", "(event_id % 3 <= 1 AND event_id % 2 = 0) OR event_id % 2 = 1", "json"),
+    "array_unwrap": Check("events", EVENT, "concat('[', event_id % 3, ',', event_id % 5, ']')", "n = [~pair]\npair = [0..1, 0..2]", "event_id % 3 <= 1 AND event_id % 5 <= 2", "json"),
+    # maps
+    "map_empty": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN '{}' ELSE props END", "n = {}", "event_id % 2 = 0", "json"),
+    "map_group": Check("events", EVENT, "props", "n = { g }\ng = (k: 0..29)", f"{_K} BETWEEN 0 AND 29", "json"),
+    "map_group_augmented": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN '{\"z\":true}' ELSE props END", "n = { g }\ng = (k: 0..29)\ng //= (z: bool)", f"event_id % 2 = 0 OR {_K} BETWEEN 0 AND 29", "json"),
+    "map_socket": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN replace(props, '{', '{\"z\":true,') ELSE props END", "n = { k: int, * $$more }\n$$more //= (z: bool)", "true", "json"),
+    "map_table_first": Check("events", EVENT, "props", "n = { * tstr => 0..9, k: int }", f"NOT ({_K} BETWEEN 0 AND 9)", "json"),
+    "map_single_typed_keys": Check("events", EVENT, "concat('{\"a\":', event_id % 2, ',\"b\":\"x\"}')", "n = { tstr => tstr, tstr => 1 }", "event_id % 2 = 1", "json"),
+    "map_count": Check("events", EVENT, "CASE event_id % 3 WHEN 0 THEN '{}' WHEN 1 THEN props ELSE replace(props, '}', ',\"y\":1,\"z\":2}') END", "n = { 1*2 tstr => int }", "event_id % 3 = 1", "json"),
+    # controls
+    "ctl_hexlc": Check("region", _REGION, "CASE WHEN r_regionkey % 2 = 0 THEN lower(hex(r_name)) ELSE hex(r_name) END", "n = tstr .hexlc ('ASIA' / 'AFRICA' / 'EUROPE')", "r_regionkey % 2 = 0 AND r_name IN ('ASIA', 'AFRICA', 'EUROPE')"),
+    "ctl_b32": Check("region", _REGION, _region("IFJUSQI"), "n = tstr .b32 'ASIA'", "r_name = 'ASIA'"),
+    "ctl_h32": Check("region", _REGION, _region("859KIG8"), "n = tstr .h32 'ASIA'", "r_name = 'ASIA'"),
+    "ctl_b45": Check("region", _REGION, _region("SB8XB9"), "n = tstr .b45 'ASIA'", "r_name = 'ASIA'"),
+    "ctl_b64u_sloppy": Check("region", _REGION, "base64(cast(r_name as binary))", "n = tstr .b64u-sloppy 'ASIA'", "r_name = 'ASIA'"),
+    "ctl_b64c_sloppy": Check("region", _REGION, "rtrim('=', base64(cast(r_name as binary)))", "n = tstr .b64c-sloppy 'ASIA'", "r_name = 'ASIA'"),
+    "ctl_det": Check("region", _REGION, "r_name || '.'", 'n = "  ASIA" .det " ."', "r_name = 'ASIA'"),
+    "ctl_json_deep": Check("events", EVENT, "props", "n = tstr .json { k: 10..19 }", f"{_K} BETWEEN 10 AND 19"),
+    # CBOR
+    "cbor_uint": Check("part", PART, _hex(_KEY4), "n = uint .size 1", "p_partkey < 256", "cbor"),
+    "cbor_negative": Check("part", PART, _hex("hex(32 + p_size % 10)"), "n = #1.4", "p_size % 10 = 4", "cbor"),
+    "cbor_float": Check("part", PART, "CASE WHEN p_partkey % 2 = 0 THEN unhex('F93E00') ELSE unhex('02') END", "n = 1.0..2.0", "p_partkey % 2 = 0", "cbor"),
+    "cbor_text_major": Check("part", PART, _hex("hex(96 + length(p_brand))", "hex(p_brand)"), "n = #3.8", "length(p_brand) = 8", "cbor"),
+    "cbor_simple": Check("part", PART, "CASE p_partkey % 3 WHEN 0 THEN unhex('F6') WHEN 1 THEN unhex('F7') ELSE unhex('F4') END", "n = undefined / false", "p_partkey % 3 > 0", "cbor"),
+    "cbor_tag": Check("part", PART, _hex("CASE WHEN p_partkey % 2 = 0 THEN 'D820' ELSE 'D821' END", "hex(96 + length(p_brand))", "hex(p_brand)"), "n = #6.32(tstr)", "p_partkey % 2 = 0", "cbor"),
+    "cbor_tag_type": Check("part", PART, _hex("hex(192 + p_size % 10)", "'01'"), "n = #6.<2..4>(uint)", "p_size % 10 BETWEEN 2 AND 4", "cbor"),
+    "cbor_bignum": Check("part", PART, _hex("CASE WHEN p_partkey % 2 = 0 THEN 'C2' ELSE 'C3' END", "'44', lpad(hex(p_partkey), 8, '0')"), "n = biguint", "p_partkey % 2 = 0", "cbor"),
+    "cbor_unwrap": Check("part", PART, _hex("CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'C6' END", "'6161'"), "n = ~t\nt = #6.99(tstr)", "p_partkey % 2 = 0", "cbor"),
+    "cbor_embedded": Check("part", PART, _hex("'45'", _KEY4), "n = bstr .cbor (uint .lt 1000)", "p_partkey < 1000", "cbor"),
+    "cbor_sequence": Check("part", PART, _hex("'46'", _KEY4, "lpad(hex(p_size % 10), 2, '0')"), "n = bstr .cborseq [uint, 0..4]", "p_size % 10 <= 4", "cbor"),
+    "cbor_bits": Check("part", PART, _hex("'42', lpad(hex(p_partkey % 256), 2, '0'), lpad(hex(p_size % 8), 2, '0')"), "n = bstr .bits 9", "(p_size % 8) & 2 = 2", "cbor"),
+    "cbor_abnfb": Check("part", PART, _hex("hex(64 + length(p_brand))", "hex(p_brand)"), 'n = bstr .abnfb "b\\nb = %s\\"Brand#\\" 1*%x31-33"', "regexp_full_match(p_brand, 'Brand#[1-3]+')", "cbor"),
+    "cbor_range_of_bytes": Check("part", PART, _hex("hex(64 + length(p_brand))", "hex(p_brand)"), "n = bstr .size (8..9)", "length(p_brand) = 8", "cbor"),
+    "cbor_repeated_keys": Check("part", PART, _hex("'A201', lpad(hex(p_size % 10), 2, '0'), CASE WHEN p_partkey % 2 = 0 THEN '01' ELSE '02' END, '05'"), "n = { 1: uint, ? 2: uint }", "p_partkey % 2 = 1", "cbor"),
+    "cbor_key_domains": Check("part", PART, _hex("'A20161610261', CASE WHEN p_partkey % 2 = 0 THEN '62' ELSE 'FF' END"), "n = { * int => tstr }", "p_partkey % 2 = 0", "cbor"),
+    "cbor_composite_keys": Check("part", PART, _hex("'A182', lpad(hex(p_size % 10), 2, '0'), '02F5'"), "n = { [0..4, 2] => true }", "p_size % 10 <= 4", "cbor"),
+    "cbor_reassigned_pairs": Check("part", PART, _hex("'A2014178', CASE WHEN p_partkey % 2 = 0 THEN '026179' ELSE '024179' END"), "n = { int => tstr, int => bstr }", "p_partkey % 2 = 0", "cbor"),
+    "cbor_cut": Check("part", PART, _hex("'A1616B', lpad(hex(p_size % 10), 2, '0')"), 'n = { ? "k" ^ => 0..4, * tstr => uint }', "p_size % 10 <= 4", "cbor"),
+    "cbor_no_cut": Check("part", PART, _hex("'A1616B', lpad(hex(p_size % 10), 2, '0')"), 'n = { ? "k" => 0..4, * tstr => 7..9 }', "p_size % 10 <= 4 OR p_size % 10 >= 7", "cbor"),
+    "cbor_group_choice": Check("part", PART, _hex("'A2616101', CASE WHEN p_partkey % 2 = 0 THEN '6162' ELSE '6163' END, lpad(hex(p_size % 10), 2, '0')"), "n = { a: 1, b: 0..4 // a: 1, c: 5..9 }", "(p_partkey % 2 = 0 AND p_size % 10 <= 4) OR (p_partkey % 2 = 1 AND p_size % 10 >= 5)", "cbor"),
+    "cbor_trailing": Check("part", PART, _hex("'01', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '02' END"), "n = 1", "p_partkey % 2 = 0", "cbor"),
+}
+
+
 def _error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("props")
     return report(rows, "event = { k: int .lt 50 }", "props").select("rule", "n")
