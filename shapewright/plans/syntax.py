@@ -155,6 +155,7 @@ def _unescaped(text: str) -> str:
 class Parser:
     def __init__(self, text: str):
         self.text, self.at = text, 0
+        self.spots: list[tuple[int, int, Entry]] = []  # entries with keys, and where they begin and end
 
     def fail(self, short: str, at: int | None = None):
         raise SchemaSyntaxError(short, self.text, self.at if at is None else at)
@@ -381,6 +382,14 @@ class Parser:
             self.take(",")
 
     def entry(self) -> Entry:
+        self.space()
+        start = self.at
+        made = self._entry()
+        if made.key is not None:
+            self.spots.append((start, self.at, made))
+        return made
+
+    def _entry(self) -> Entry:
         low, high = self.occurrence()
         first = self.type1()
         self.space()
@@ -438,6 +447,24 @@ def parse(text: str) -> list[Rule]:
         raise SchemaSyntaxError("nested too deeply", text, parser.at) from None
 
 
+def comments(text: str) -> dict[Entry, str]:
+    """Comments of entries with keys: on an entry's last line after it, or else on the lines right above it."""
+    parser = Parser(text)
+    parser.rules()
+    lines = text.split("\n")
+    out: dict[Entry, str] = {}
+    for start, end, entry in parser.spots:
+        first, last = text.count("\n", 0, start), text.count("\n", 0, end)
+        tail = re.match(r"[\s,]*;(.*)", text[end:].split("\n", 1)[0])
+        found = [tail[1].strip()] if tail else []
+        while not tail and first and lines[first - 1].strip().startswith(";"):
+            first -= 1
+            found.insert(0, lines[first].strip().lstrip(";").strip())
+        if found and last >= first:
+            out.setdefault(entry, " ".join(found))
+    return out
+
+
 def text_of(node) -> str:
     """Schema text of a node; parsing it gives the node again."""
     if isinstance(node, Rule):

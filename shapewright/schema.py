@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .functions import fold
 from .operators.matcher import Compiler, run
 from .plans import analysis
-from .plans.syntax import ArrayOf, Enum, Group, Literal, Major, MapOf, Name, Paren, Tagged, Type, Type1, Unwrap, parse, text_of
+from .plans.syntax import ArrayOf, Enum, Group, Literal, Major, MapOf, Name, Paren, Tagged, Type, Type1, Unwrap, comments, parse, text_of
 from .sources.values import Map, Tag, from_json, to_json
 
 DEEPEST, NODES, REPEATS = 32, 5000, 64
@@ -109,6 +109,7 @@ class _Types:
         self.any, self.substitute = any_type, substitute
         self.names = Compiler(schema.symbols, "cbor")
         self.recursive = schema.symbols.recursive()
+        self.comments = comments(schema.text)
 
     def name(self, t: Name, env: dict, seen: frozenset) -> tuple[T.DataType, bool]:
         if t.name in self.substitute:
@@ -191,7 +192,8 @@ class _Types:
                 fields.append(T.StructField("extra", T.MapType(key, self.any, True), True))
                 continue
             kind, null = self.type(e.value, env, seen)
-            fields.append(T.StructField(str(keys[0]), kind, null or e.low == 0))
+            about = {"comment": self.comments[e]} if e in self.comments else None
+            fields.append(T.StructField(str(keys[0]), kind, null or e.low == 0, about))
         if len({f.name for f in fields}) < len(fields):
             return self.any
         return T.StructType(fields)

@@ -274,3 +274,31 @@ def test_command_line(tmp_path, capsys):
     assert main(["validate", "--schema", str(tmp_path / "s"), "--json", str(tmp_path / "good.json")]) == 0
     assert main(["validate", "--schema", str(tmp_path / "s"), "--json", str(tmp_path / "*.json")]) == 1
     assert "/k" in capsys.readouterr().out
+
+
+def test_visitor_and_parents():
+    from shapewright.plans.syntax import Literal, Name
+    from shapewright.plans.visitor import Parents, Visitor
+
+    rules = parse("a = { k: int, l: [* b] }\nb = 1 / 2")
+    found = []
+
+    class Names(Visitor):
+        def visit_name(self, node):
+            found.append(node.name)
+            self.walk(node)
+
+        def visit_literal(self, node):
+            found.append(node.value)
+
+    Names().visit_schema(rules)
+    assert found == ["k", "int", "l", "b", 1, 2]
+    parents = Parents(rules)
+    inner = rules[1].body.choices[1].target
+    assert inner == Literal(2) and parents.rule_of(inner) is rules[1] and parents.of(rules[0]) is None and not isinstance(parents.of(inner), Name)
+
+
+def test_comments_become_types_metadata():
+    schema = Schema.parse("; a person\nperson = {\n  name: tstr, ; full name\n  ; in years\n  ? age: uint\n}")
+    fields = {f.name: f.metadata for f in schema.to_struct_type().fields}
+    assert fields == {"name": {"comment": "full name"}, "age": {"comment": "in years"}}
