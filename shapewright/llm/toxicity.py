@@ -51,6 +51,19 @@ def string_of(word: bytes) -> str:
     return letters
 
 
+class _Strings(dict):
+    """word -> its string, the same object for equal strings."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.same: dict[str, str] = {}
+
+    def __missing__(self, word: bytes) -> str:
+        s = string_of(word)
+        self[word] = found = self.same.setdefault(s, s)
+        return found
+
+
 def _spelled(strings: list[str]) -> np.ndarray:
     """Letters of strings as numbers: 63 for the beginning, which counts as a letter, then 1 to 62, and 0 beyond the end."""
     longest = max(map(len, strings), default=0) + 1
@@ -158,14 +171,16 @@ class Model:
         rng = np.random.default_rng(SEED)
         # strings of each document's sentences
         sentences: list[list[list[str]]] = []
+        shared = _Strings()
         for text in texts:
             own = []
             for s in _SENTENCE.split(text.decode()):
                 words = s.encode().split()
-                strings = {x for x in map(string_of, words + _joined(words)) if 3 <= len(x) <= LONGEST}
+                strings = {x for x in map(shared.__getitem__, words + _joined(words)) if 3 <= len(x) <= LONGEST}
                 if strings:
                     own.append(sorted(strings))
             sentences.append(own)
+        del shared
         # counted by distinct sentences, so that copies of a document count once
         in_toxic, in_clean = Counter(), Counter()
         seen: set[tuple[str, ...]] = set()
