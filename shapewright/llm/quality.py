@@ -169,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score; docs may have any other columns."""
+    """docs with score; docs may have any other columns, and a score that they have is replaced."""
     spark = docs.sparkSession
+    docs = docs.drop("score")
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # tables of fixed size: about 4 MB
     columns = docs.columns

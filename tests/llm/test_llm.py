@@ -435,6 +435,8 @@ def test_classifiers_over_tables(spark, docs, odd, empty):
             for r in found:
                 assert 0 <= r.score <= 1 and r.predicted == int(r.score >= module.THRESHOLD)
                 assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if module is quality:
+            assert quality.scored(docs, model).columns == [c for c in docs.columns if c != "score"] + ["score"] and quality.scored(odd, model).count() == 6
         none = module.fit(docs, labels.limit(0))
         assert none.scores([b"x"]).tolist() == [0.5]
 
