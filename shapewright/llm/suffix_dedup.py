@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import BLOCK_BYTES, partitions, ship, written
-from .suffixes import equal_runs, suffix_order
+from .suffixes import suffix_order
 
 LENGTH, GRAM = 100, 40
 _WIDE = LENGTH - GRAM + 1
@@ -274,17 +274,17 @@ def repeated_starts(table: np.ndarray, texts: list[bytes]) -> list[tuple]:
     rank[order] = np.arange(len(table))
     chosen.sort(key=lambda i: rank[i])  # then a smaller place in the text is an earlier start
     sizes = np.array([len(texts[i]) + 1 for i in chosen], np.int64)
-    data = b"\0".join(texts[i] for i in chosen) + b"\0"
-    joined = np.frombuffer(data, np.uint8).astype(np.int16) + 2
+    joined = np.frombuffer(b"\0".join(texts[i] for i in chosen) + b"\0", np.uint8).astype(np.int16) + 2
     begins = np.cumsum(sizes) - sizes
     joined[np.append(begins[1:], len(joined)) - 1] = 1
     text = np.append(joined, np.int16(0))
-    suffixes = suffix_order(text, LENGTH)
+    suffixes, shared = suffix_order(text, LENGTH)
     owner = np.repeat(np.arange(len(chosen)), sizes)
     inside = np.zeros(len(text), bool)  # starts whose whole string is in their span
     inside[:-1] = np.arange(len(text) - 1) - begins[owner] + LENGTH < sizes[owner]
-    places = suffixes[inside[suffixes]]
-    group = np.cumsum(~equal_runs(data, places, LENGTH)) - 1
+    group = np.cumsum(shared < LENGTH) - 1
+    valid = inside[suffixes]
+    places, group = suffixes[valid], group[valid]
     earliest = np.full(int(group.max()) + 1 if len(group) else 0, len(text))
     np.minimum.at(earliest, group, places)
     later = np.sort(places[places != earliest[group]])

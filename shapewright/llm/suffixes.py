@@ -1,9 +1,11 @@
-"""Order of suffixes by induced sorting over disk-backed queues.
+"""Order of suffixes and their common prefixes by induced sorting over disk-backed queues.
 
 Suffixes are S or L by whether they are smaller or larger than the next one. The leftmost S suffixes (a third of all at most) are named by
 their substrings and ranked; from their order a pass upwards over the letters induces the L suffixes, and a pass downwards the S
-suffixes. What a pass induces waits in a queue for its letter: as inducing keeps order, first-in first-out queues are the priority
-queue. A queue keeps ``HELD`` bytes in memory, the rest in an unnamed file. Each step works on a whole queue with numpy.
+suffixes. What a pass induces waits in a queue for its letter as a tuple: a place and how many letters it shares with the one queued
+before it. As inducing keeps order, first-in first-out queues are the priority queue, and the shared length of two suffixes is one more than
+the least shared length among the inducers from one's to the other's. A queue keeps ``HELD`` bytes in memory, the rest in an unnamed
+file. Each step works on a whole queue with numpy.
 """
 
 from __future__ import annotations
@@ -48,64 +50,119 @@ class Queue:
         return out
 
 
-def _s_types(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the next; the last is."""
-    n = len(text)
-    step = np.sign(np.diff(text.astype(np.int64)))
-    place = np.where(step != 0, np.arange(n - 1), n)
-    nearest = np.minimum.accumulate(place[::-1])[::-1]  # next place where letters differ
-    out = np.ones(n, bool)
-    inside = nearest < n
-    out[:-1][inside] = step[nearest[inside]] > 0
-    return out
+#: Shared lengths are counted up to this; tuples are place * 256 + shared length.
+_MOST = 255
 
 
-def _deal(queues: dict[int, Queue], letters: np.ndarray, values: np.ndarray) -> None:
-    if not len(values):
-        return
-    order = np.argsort(letters, kind="stable")
-    letters, values = letters[order], values[order]
-    cuts = np.flatnonzero(np.append(True, letters[1:] != letters[:-1]))
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(letters)], strict=True):
-        queues[int(letters[lo])].push(values[lo:hi].copy())
+def _ends_of_runs(text: np.ndarray) -> np.ndarray:
+    """The last place of the run of equal letters that each place is in."""
+    n = len(text)
+    place = np.where(np.diff(text.astype(np.int64)) != 0, np.arange(n - 1), n - 1)
+    return np.append(np.minimum.accumulate(place[::-1])[::-1], n - 1)
 
 
-def _induce(text: np.ndarray, seeds: np.ndarray, alphabet: list[int]) -> np.ndarray:
-    """All suffixes in order, from the leftmost S suffixes in order (of their first letters at least)."""
-    small: dict[int, Queue] = {c: Queue() for c in alphabet}
-    _deal(small, text[seeds], seeds)
-    large: dict[int, Queue] = {c: Queue() for c in alphabet}
+def _s_types(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next; the last is."""
+    after = np.minimum(ends + 1, len(text) - 1)
+    return (text[after] > text) | (ends == len(text) - 1)
+
+
+class _Deal:
+    """Queues for letters, and for each the least shared length since it was given something."""
+
+    def __init__(self, alphabet: list[int]):
+        self.queues = {c: Queue() for c in alphabet}
+        self.least = dict.fromkeys(alphabet, -1)  # so that the first of a queue shares nothing
+
+    def give(self, text: np.ndarray, places: np.ndarray, shared: np.ndarray, wanted) -> None:
+        """Queue the suffixes one to the left of inducers, where ``wanted`` holds for their letters."""
+        some = np.flatnonzero(places > 0)
+        letters = text[places[some] - 1]
+        fit = wanted(letters)
+        some, letters = some[fit], letters[fit]
+        order = np.argsort(letters, kind="stable")
+        some, letters = some[order], letters[order]
+        cuts = np.flatnonzero(np.append(True, letters[1:] != letters[:-1])) if len(letters) else letters
+        lowest = int(shared.min()) if len(shared) else _MOST
+        given = set()
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(letters)], strict=False):
+            c, mine = int(letters[lo]), some[lo:hi]
+            inside = mine[-1] + 1 < len(shared)
+            least = np.minimum.reduceat(shared, np.append(0, mine + 1 if inside else mine[:-1] + 1))
+            own = least[: len(mine)].copy()
+            own[0] = min(own[0], self.least[c])
+            self.least[c] = int(least[-1]) if inside else _MOST
+            self.queues[c].push((places[mine] - 1) << 8 | np.minimum(own + 1, _MOST))
+            given.add(c)
+        for c, v in self.least.items():
+            if c not in given and v > lowest:
+                self.least[c] = lowest
+
+
+def _split(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuples >> 8, tuples & _MOST
+
+
+def _induce(text: np.ndarray, ends: np.ndarray, seeds: np.ndarray, shared: np.ndarray, alphabet: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order and what each shares with the one before, from the leftmost S suffixes in order and what these share.
+
+    If seeds are in the order of their first letters only, what comes out is in the order of their substrings.
+    """
+    first = np.searchsorted(text[seeds], alphabet)
+    last = np.append(first[1:], len(seeds))
+    run = lambda place: int(ends[place]) - int(place) + 1
+    large = _Deal(alphabet)
     up: dict[int, list[np.ndarray]] = {}
-    for c in alphabet:
+    for i, c in enumerate(alphabet):
         done: list[np.ndarray] = []
-        while parts := large[c].take():
-            for p in parts:
-                done.append(p)
-                q = p[p > 0] - 1
-                _deal(large, text[q[text[q] >= c]], q[text[q] >= c])
-        for p in small[c].take():
-            q = p[p > 0] - 1
-            q = q[text[q] > c]
-            _deal(large, text[q], q)
+        while parts := large.queues[c].take():
+            for part in parts:
+                done.append(part)
+                large.give(text, *_split(part), lambda x, c=c: x >= c)
+        if first[i] < last[i]:
+            own, with_last = seeds[first[i] : last[i]], shared[first[i] : last[i]].copy()
+            with_last[0] = min(run(done[-1][-1] >> 8), run(own[0]), _MOST) if done else 0
+            large.give(text, own, with_last, lambda x, c=c: x > c)
         up[c] = done
+    small = _Deal(alphabet)
+    small.queues[int(text[-1])].push(np.array([(len(text) - 1) << 8]))
     out: list[np.ndarray] = []
-    down: dict[int, Queue] = {c: Queue() for c in alphabet}
-    last = np.array([len(text) - 1])
-    down[int(text[-1])].push(last)
     for c in reversed(alphabet):
-        while parts := down[c].take():
-            for p in parts:
-                out.append(p)
-                q = p[p > 0] - 1
-                q = q[text[q] <= c]
-                _deal(down, text[q], q)
-        for p in reversed(up[c]):
-            p = p[::-1]
-            out.append(p)
-            q = p[p > 0] - 1
-            q = q[text[q] < c]
-            _deal(down, text[q], q)
-    return np.concatenate(out)[::-1]
+        before = None
+        while parts := small.queues[c].take():
+            for part in parts:
+                out.append(part)
+                before = int(part[-1] >> 8)
+                small.give(text, *_split(part), lambda x, c=c: x <= c)
+        if up[c]:
+            part = np.concatenate(up[c])[::-1]
+            places, own = _split(part)
+            own = np.append(0 if before is None else min(run(before), run(places[0]), _MOST), own[:-1])
+            out.append(places << 8 | own)
+            small.give(text, places, own, lambda x, c=c: x < c)
+    places, own = _split(np.concatenate(out))
+    return places[::-1], np.append(0, own[:0:-1])
+
+
+def _shared(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """How many letters each suffix in ``places`` shares with the one before, up to ``depth``; texts end in a letter that occurs once."""
+    out = np.zeros(len(places), np.int64)
+    padded = np.concatenate([text.astype(np.int16), -np.arange(1, 5, dtype=np.int16)])
+    words = np.ndarray((len(text) + 1,), np.uint64, padded.tobytes(), strides=(2,))
+    at, a, b = np.arange(1, len(places)), places[:-1], places[1:]
+    for k in range(0, depth, 4):
+        fit = np.maximum(a, b) + k < len(text)
+        same = np.zeros(len(at), bool)
+        same[fit] = words[a[fit] + k] == words[b[fit] + k]
+        for j in range(4):  # those that part here share some letters of the four
+            more = ~same & (out[at] == k + j) & (np.maximum(a, b) + k + j < len(text))
+            more[more] = text[a[more] + k + j] == text[b[more] + k + j]
+            out[at[more]] += 1
+        at, a, b = at[same], a[same], b[same]
+        out[at] = k + 4
+        if not len(at):
+            break
+    return np.minimum(out, depth)
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:
@@ -119,26 +176,27 @@ def _ranks(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of text's suffixes in the order of their first ``depth`` letters at least.
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of text's suffixes in the order of their first ``depth`` letters at least, and how many each shares with the one before.
 
-    text: whole numbers of at least 1, and at its end one 0.
+    text: whole numbers of at least 1, and at its end one 0. Shared lengths are right up to ``depth``, which is 250 at most.
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
-    s = _s_types(text)
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    ends = _ends_of_runs(text)
+    s = _s_types(text, ends)
     left = np.flatnonzero(s[1:] & ~s[:-1]) + 1  # leftmost S suffixes, the last suffix among them
     alphabet = np.unique(text).tolist()
     # their substrings in order: inducing from first letters alone sorts them
-    first = _induce(text, left[np.argsort(text[left], kind="stable")], alphabet)
+    first, _ = _induce(text, ends, left[np.argsort(text[left], kind="stable")], np.zeros(len(left), np.int64), alphabet)
     is_left = np.zeros(n, bool)
     is_left[left] = True
     ordered = first[is_left[first]]
     number = np.empty(n, np.int64)
     number[left] = np.arange(len(left))
-    ends = np.append(left[1:], n - 1)
-    size = (ends - left + 1)[number[ordered]]
+    stops = np.append(left[1:], n - 1)
+    size = (stops - left + 1)[number[ordered]]
     same = np.zeros(len(ordered), bool)
     candidates = np.flatnonzero(size[1:] == size[:-1]) + 1
     a, b, length = ordered[candidates - 1], ordered[candidates], size[candidates]
@@ -159,22 +217,5 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         after[:-step] = rank[step:] if step < len(rank) else after[:-step]
         rank = _ranks(rank, after)
         step *= 2
-    return _induce(text, left[np.argsort(rank, kind="stable")], alphabet)
-
-
-def equal_runs(data: bytes, places: np.ndarray, depth: int) -> np.ndarray:
-    """For places in order: whether the ``depth`` bytes from each on are those from the one before on.
-
-    Bytes are compared eight at a time; a pair that differs is left.
-    """
-    same = np.zeros(len(places), bool)
-    if len(data) < 8 or len(places) < 2:
-        return same
-    words = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
-    at, a, b = np.arange(1, len(places)), places[:-1], places[1:]
-    for k in [*range(0, depth - 8, 8), depth - 8]:
-        keep = words[a + k] == words[b + k]
-        if not keep.all():
-            at, a, b = at[keep], a[keep], b[keep]
-    same[at] = True
-    return same
+    seeds = left[np.argsort(rank, kind="stable")]
+    return _induce(text, ends, seeds, _shared(text, seeds, depth), alphabet)

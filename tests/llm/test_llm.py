@@ -160,11 +160,17 @@ def test_packing(spark, docs, rows, library, odd, empty):
     assert packing.pack(packing.pieces(empty, tokens.vocabulary_path())).count() == 0
 
 
-def test_suffix_order():
+def test_suffix_order_and_shared_lengths():
     rng = random.Random(5)
-    for _ in range(150):
-        text = [rng.randint(1, rng.choice([2, 3, 9])) for _ in range(rng.randint(1, 60))] + [0]
-        assert suffixes.suffix_order(np.array(text, np.int16), 100).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    for trial in range(200):
+        text = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(1, 60))]
+        text = [*((text[: rng.randint(1, 8)] * 40)[: len(text)] if trial % 3 == 0 else text), 0]
+        order, shared = suffixes.suffix_order(np.array(text, np.int16), 200)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        want = [0]
+        for a, b in zip(order[:-1], order[1:], strict=True):
+            want.append(next(k for k in range(len(text)) if max(a, b) + k == len(text) or text[a + k] != text[b + k]))
+        assert shared.tolist() == want
 
 
 def test_queues_spill(monkeypatch):
@@ -174,7 +180,7 @@ def test_queues_spill(monkeypatch):
         q.push(np.arange(i, i + 5))
     assert q.file is not None and np.concatenate(q.take()).tolist() == [x for i in range(10) for x in range(i, i + 5)] and q.take() == []
     text = np.array([random.Random(1).randint(1, 3) for _ in range(400)] + [0], np.int16)
-    assert suffixes.suffix_order(text, 500).tolist() == sorted(range(401), key=lambda i: text[i:].tolist())
+    assert suffixes.suffix_order(text, 250)[0].tolist() == sorted(range(401), key=lambda i: text[i:].tolist())
 
 
 def brute_removed(pairs):
