@@ -87,26 +87,32 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = end_id.to_bytes(encode.width, "little")
         sent: set[bytes] = set()
         for batch in blocks(batches):
-            counts, refs, fresh = [], [], []
+            counts, refs, until = [], [], [0]
+            keys: list[bytes] = []
+            sizes: list[int] = []
+            chunks: list[bytes] = []
+            width = encode.width
             for text in raw(batch.column(1)):
                 data = encode.ids(text) + end
-                ids = np.frombuffer(data, encode.dtype)
-                ref, new, at = [], [], 0
-                for to in cuts(ids):
-                    chunk = data[at * encode.width : to * encode.width]
+                ref, at = [], 0
+                for to in cuts(np.frombuffer(data, encode.dtype)):
+                    chunk = data[at * width : to * width]
                     key = digest(chunk)
                     ref.append(key)
                     if key not in sent:
                         sent.add(key)
-                        new.append({"digest": key, "n_ids": to - at, "data": chunk})
+                        keys.append(key)
+                        sizes.append(to - at)
+                        chunks.append(chunk)
                     at = to
                 if len(sent) > 1_000_000:
                     sent.clear()
-                counts.append(len(ids))
+                counts.append(at)
                 refs.append(b"".join(ref))
-                fresh.append(new)
-            schema = pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("data", pa.binary())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(refs, pa.binary()), pa.array(fresh, pa.list_(schema))], ["doc_id", "n_tokens", "refs", "fresh"])
+                until.append(len(keys))
+            fresh = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(chunks, pa.binary())], ["digest", "n_ids", "data"])
+            fresh = pa.ListArray.from_arrays(pa.array(until, pa.int32()), fresh)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(refs, pa.binary()), fresh], ["doc_id", "n_tokens", "refs", "fresh"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, refs binary, fresh array<struct<digest: binary, n_ids: int, data: binary>>")
 
