@@ -24,7 +24,7 @@ from .labelled import TRAIN_ROWS, held_out, training
 
 FORMS, SHAPES, DIM, SHAPE_DIM, HIDDEN = 1 << 14, 1 << 9, 64, 32, 32
 THRESHOLD, SEED = 0.7, 7
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _AROUND = 2
 _RUNS = ((re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"[a-z\x80-\xff]+"), b"x"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^Xx9])\1+"), rb"\1"))
 
@@ -86,7 +86,7 @@ class Model:
         around = np.zeros_like(own)
         form, shape = word_codes % FORMS, word_codes // FORMS
         text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        step = 1 << 18
+        step = 1 << 15
         for lo in range(0, len(form), step):
             hi = min(len(form), lo + step)
             for back in range(1, _AROUND + 1):
@@ -103,7 +103,7 @@ class Model:
         sums = np.zeros((len(texts), DIM + SHAPE_DIM), np.float32)
         some = np.flatnonzero(np.diff(starts))
         form, shape = c % FORMS, c // FORMS
-        step = 1 << 17
+        step = 1 << 15
         for lo in range(0, len(c), step):
             hi = min(len(c), lo + step)
             first = int(np.searchsorted(starts, lo, side="right")) - 1

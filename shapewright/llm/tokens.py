@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 from ._common import sole
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words that a worker's cache holds at most.
+CACHE_WORDS = 500_000
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0da-z0-9]+")
 _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -39,28 +39,48 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
+class _Recent(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and what is asked for again moves up."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = most // 2, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            super().clear()
+        self[key] = value
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
+
+class _Pieces(_Recent):
     """piece (lower case, byte-level letters) -> its ids."""
 
     def __init__(self, model, width: int):
-        super().__init__()
+        super().__init__(CACHE_WORDS // 2)
         self.model, self.code, self.width = model, {2: "H", 4: "I"}[width], width
 
     def __missing__(self, piece: str) -> bytes:
+        if (found := self.old.get(piece)) is not None:
+            self.keep(piece, found)
+            return found
         found = array(self.code, [t.id for t in self.model.tokenize(piece)])
         if byteorder == "big":
             found.byteswap()
-        if len(self) >= CACHE_WORDS // 2:
-            self.clear()
-        self[piece] = found = found.tobytes()
+        found = found.tobytes()
+        self.keep(piece, found)
         return found
 
 
-class WordEncoder(dict):
+class WordEncoder(_Recent):
     """word (bytes without ASCII white space) -> its ids as little-endian bytes of ``dtype``."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.dtype[-1])
@@ -71,6 +91,9 @@ class WordEncoder(dict):
         return b"".join(i.to_bytes(self.width, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
+        if (found := self.old.get(word)) is not None:
+            self.keep(word, found)
+            return found
         if word.isascii():
             text = word.decode().lower()
             letters = None
@@ -91,9 +114,7 @@ class WordEncoder(dict):
             pieces = [p.encode().decode("latin-1").translate(letters) for p in pieces]
         found = b"".join([self.pieces[p] for p in pieces])
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
+            self.keep(word, found)
         return found
 
     def ids(self, text: bytes) -> bytes:
