@@ -32,6 +32,8 @@ from .tokens import encoder, vocabulary_path
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 1024, (1 << 8) - 1
 DIGEST = 16
+#: Words that a worker of this operator keeps the ids of.
+CACHE_WORDS = 1_200_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +85,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, CACHE_WORDS)
         end = end_id.to_bytes(encode.width, "little")
         sent: set[bytes] = set()
         for batch in blocks(batches):

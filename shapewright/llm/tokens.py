@@ -125,9 +125,10 @@ class WordEncoder(_Recent):
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a vocabulary file."""
+def encoder(path: str, words: int = CACHE_WORDS) -> WordEncoder:
+    """This worker's encoder for a vocabulary file, with a cache of so many words."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].half, _encoders[path].pieces.half = words // 2, words // 4
     sole(_encoders[path], _encoders[path].pieces)
     return _encoders[path]
