@@ -480,6 +480,13 @@ def test_pseudo_likelihood_learns_both_sides():
     assert model.log_probability(windows, data[places]).mean() > before + 1.5
 
 
+def test_pseudo_likelihood_learns_from_every_word(spark):
+    cycle = " ".join(f"w{i}" for i in range(12))  # a stride of 12 or 24 words would see w0 alone as a target
+    docs = spark.createDataFrame([(i, cycle) for i in range(4000)], "doc_id bigint, text string").coalesce(1)
+    found = pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs)).first()
+    assert found.n_words == 12 and found.mean_score > np.log(1 / 12) + 0.5
+
+
 def test_probabilities_of_all_words_sum_to_one():
     model = pseudo_likelihood.Model(np.arange(pseudo_likelihood.BUCKETS) % 7)
     every = np.arange(pseudo_likelihood.BUCKETS)
