@@ -1,44 +1,65 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A window network predicts every word of a text from the ``SIDE`` words on both sides, the word itself left out: embeddings of the
-neighbours, a tanh layer, and a softmax over word classes. A word's probability is its class's times its share of the class, from
-counts of all words of all documents. A document's score is the sum of the conditional log-probabilities of its words.
+neighbours, a tanh layer, a softmax over word classes, and in a class a walk down a tree to the word. A document's score is the sum of the
+conditional log-probabilities of its words.
 
-Words are hashed to ``BUCKETS`` values, so counts, network and messages have a fixed size. Counts cover every word. The network is trained in
-rounds over all documents: each task takes gradient steps from the shared weights on every ``rounds``-th word of its documents, others in
-each round, so that each word of the corpus is a target once. Weights are averaged by the number of windows. What tasks send grows with
-their number.
+Words are counted exactly, in a table with a row for each distinct word. Classes come from the counts: the ``OWN`` most frequent words
+are classes by themselves, the others are cut by falling count into classes of about equal mass. A class's words hang in a binary tree by
+their hashes. Each branch's log-odds are those of the counts below it plus what the node's vector says about the context, so untrained a
+word has its exact share of the class, and all words' probabilities sum to one. Each word's class and branches join the texts, which are
+kept as blocks of word numbers, each block with the words that it has. Inputs are hashed to ``BUCKETS`` embeddings and nodes to ``NODES``
+vectors, so the network and the messages have a fixed size.
+
+The network is trained in rounds over all documents: each task takes gradient steps from the shared weights on every ``rounds``-th word of
+its documents, others in each round, so that each word of the corpus is a target once. Weights are averaged by the number of windows. What
+tasks send grows with their number. The driver holds a row for each different count and for each of ``1 << TOP`` parts of a class.
 
 Null and empty texts have no words: score 0, mean 0. Equal rows give equal rows. Other columns play no part. An empty table gives no
-rows.
+rows. Words that a model hasn't counted share a place with the count 1.
 """
 
 from __future__ import annotations
 
 import copy
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, partitions, raw, ship, sole
+from ._common import blocks, partitions, raw, ship, sole, written
 
 BUCKETS, OWN, CLASSES = 1 << 15, 96, 128
 SIDE, DIM, HIDDEN = 2, 12, 32
+NODES, WIDTH, TOP = 1 << 15, 16, 6
 ROUNDS, BATCH, RATE, SEED = 2, 256, 0.1, 5
 CACHE_WORDS = 600_000
+_UNSEEN = b""
+#: A branch on the way to a word: twice the node, plus 1 to the right; log-odds of the branch, rounded alike for both of a node.
+_BRANCH = np.dtype([("node", "<u2"), ("odds", "<f2")])
+#: Bytes of branches that a task packs at a time.
+PACKED_BYTES = 32 << 20
 _STRIPPED = b".,;:!?*&%$#|\"'()"
 
 
+def _core(word: bytes) -> bytes:
+    return word.lower().strip(_STRIPPED) or word
+
+
+def _bucket(core: bytes) -> int:
+    return 1 + zlib.crc32(core) % (BUCKETS - 1)
+
+
 class _Buckets(dict):
     """word -> bucket; 0 is the edge of a text."""
 
     def __missing__(self, word: bytes) -> int:
-        core = word.lower().strip(_STRIPPED)
-        found = 1 + zlib.crc32(core or word) % (BUCKETS - 1)
+        found = _bucket(_core(word))
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = found
@@ -53,34 +74,92 @@ def words_of(text: bytes) -> np.ndarray:
     return np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all texts: ``BUCKETS`` rows at most come to the driver."""
+class _Numbers(dict):
+    """word -> number of its core form in a block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            sole(_buckets)
-            total = np.zeros(BUCKETS, np.int64)
-            for text in raw(batch.column(0)):
-                total += np.bincount(words_of(text), minlength=BUCKETS)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+    def __init__(self) -> None:
+        self.cores: dict[bytes, int] = {}
 
-    table = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return out
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.cores.setdefault(_core(word), len(self.cores))
+        return found
+
+
+class Words:
+    """Classes of words and their branches, of word i n[i] ones from first[i] on."""
+
+    def __init__(self, group: np.ndarray, first: np.ndarray, n: np.ndarray, branches: np.ndarray):
+        self.group, self.first, self.n = group, first, n
+        self.node = (branches["node"] >> 1).astype(np.int32)
+        self.sign = (branches["node"] & 1).astype(np.float32) * 2 - 1
+        self.odds = branches["odds"].astype(np.float32)
+
+    def branches(self, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For every branch of words: which word, node, direction, log-odds by counts."""
+        first, n = self.first[words], self.n[words]
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(words)), n), self.node[at], self.sign[at], self.odds[at]
+
+
+def _tree(key: np.ndarray, n: np.ndarray, group: int, first: int, last: int) -> list[bytes]:
+    """Branches to each of different keys by their bits from ``first`` on, counted from the highest; nodes of one branch are left out."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    total = np.append(0.0, np.cumsum(n[order], dtype=np.float64))
+    lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(k))
+    words, made = [], []
+    for bit in range(first, last):
+        if (hi - lo == 1).all():
+            break
+        right = (k >> np.uint64(63 - bit) & np.uint64(1)).astype(np.int64)
+        ones = np.append(0, np.cumsum(right))
+        cut = hi - (ones[hi] - ones[lo])
+        at = np.flatnonzero((lo < cut) & (cut < hi))
+        prefix = k[at] >> np.uint64(64 - bit) if bit else np.zeros(len(at), np.uint64)
+        mixed = (prefix + np.uint64((group * 64 + bit) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+        branch = np.empty(len(at), _BRANCH)
+        branch["node"] = (mixed >> np.uint64(40)).astype(np.int64) % NODES * 2 + right[at]
+        odds = np.log(total[hi] - total[cut], where=hi > cut, out=np.zeros(len(k))) - np.log(total[cut] - total[lo], where=cut > lo, out=np.zeros(len(k)))
+        branch["odds"] = np.where(right == 1, odds, -odds)[at]
+        words.append(order[at])
+        made.append(branch)
+        lo, hi = np.where(right == 1, cut, lo), np.where(right == 1, hi, cut)
+    if not words:
+        return [b""] * len(key)
+    word = np.concatenate(words)
+    data = np.concatenate(made)[np.argsort(word, kind="stable")].tobytes()
+    ends = (np.cumsum(np.bincount(word, minlength=len(key))) * _BRANCH.itemsize).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _classes(n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Classes of counts: ``n`` falls, and ``words`` words have each count."""
+    mass = n * words
+    middle = np.cumsum(mass) - mass / 2
+    return OWN + np.minimum(CLASSES - OWN - 1, middle * (CLASSES - OWN) // max(1, mass.sum())).astype(np.int64)
 
 
 class Model:
-    """Weights, and each bucket's class and share of it."""
-
-    def __init__(self, n: np.ndarray):
-        order = np.lexsort((np.arange(BUCKETS), -n))
-        self.group = (OWN + np.arange(BUCKETS) % (CLASSES - OWN)).astype(np.int32)
-        self.group[order[:OWN]] = np.arange(OWN)
-        smooth = n + 0.5
-        mass = np.bincount(self.group, smooth, CLASSES)
-        self.share = np.log(smooth / mass[self.group]).astype(np.float32)
+    """Weights; and, of words 0, 1, ... that were counted n times, their classes and branches."""
+
+    def __init__(self, n: np.ndarray | None = None, mass: np.ndarray | None = None):
+        self.words = None
+        if n is not None:
+            order = np.lexsort((np.arange(len(n)), -n))
+            group = np.empty(len(n), np.int64)
+            group[order[:OWN]] = np.arange(len(order[:OWN]))
+            smooth = n + 0.5
+            values, back, several = np.unique(-smooth[order[OWN:]], return_inverse=True, return_counts=True)
+            group[order[OWN:]] = _classes(-values, several)[back]
+            mass = np.bincount(group, smooth, CLASSES)
+            key = (np.arange(len(n), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            paths = [b""] * len(n)
+            for c in range(OWN, CLASSES):
+                mine = np.flatnonzero(group == c)
+                for i, path in zip(mine.tolist(), _tree(key[mine], smooth[mine], c, 0, 64), strict=True):
+                    paths[i] = path
+            self.words = _words(group, paths)
+        mass = np.maximum(mass, 1e-3)
         rng = np.random.default_rng(SEED)
         self.weights = [
             rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32),
@@ -88,25 +167,39 @@ class Model:
             np.zeros(HIDDEN, np.float32),
             np.zeros((HIDDEN, CLASSES), np.float32),
             np.log(mass / mass.sum()).astype(np.float32),
+            np.zeros((NODES, WIDTH), np.float32),
         ]
 
     def _forward(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e, w1, b1, w2, b2 = self.weights
+        e, w1, b1, w2, b2, _ = self.weights
         x = e[windows].reshape(len(windows), -1)
         h = np.tanh(x @ w1 + b1)
         z = h @ w2 + b2
         z -= z.max(axis=1, keepdims=True)
         return x, h, z
 
-    def learn(self, windows: np.ndarray, targets: np.ndarray, rate: float = RATE) -> None:
+    def learn(self, windows: np.ndarray, targets: np.ndarray, rate: float = RATE, words: Words | None = None) -> None:
         """A gradient step."""
-        e, w1, b1, w2, b2 = self.weights
+        words = words or self.words
+        e, w1, b1, w2, b2, v = self.weights
         x, h, z = self._forward(windows)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), self.group[targets]] -= 1
-        p *= rate / len(p) * 8
-        back = (p @ w2.T) * (1 - h * h)
+        p[np.arange(len(p)), words.group[targets]] -= 1
+        rate = np.float32(rate / len(p) * 8)
+        p *= rate
+        back = p @ w2.T
+        word, node, sign, odds = words.branches(targets)
+        if len(word):
+            near, seen = v[node], h[word, :WIDTH]
+            g = -rate * sign / (1 + np.exp(np.minimum(60, odds + sign * np.einsum("ij,ij->i", near, seen))))
+            firsts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            back[word[firsts], :WIDTH] += np.add.reduceat(near * g[:, None], firsts)
+            order = np.argsort(node, kind="stable")
+            ordered = node[order]
+            firsts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            v[ordered[firsts]] -= np.add.reduceat((seen * g[:, None])[order], firsts)
+        back *= 1 - h * h
         w2 -= h.T @ p
         b2 -= p.sum(axis=0)
         ex = (back @ w1.T).reshape(-1, DIM)
@@ -115,49 +208,201 @@ class Model:
         at = windows.reshape(-1, 1) * DIM + np.arange(DIM)
         np.subtract.at(e.reshape(-1), at.reshape(-1), ex.reshape(-1))  # flat, as that is many times faster
 
-    def log_probability(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        _, _, z = self._forward(windows)
-        own = z[np.arange(len(z)), self.group[targets]]
-        return own - np.log(np.exp(z).sum(axis=1)) + self.share[targets]
+    def log_probability(self, windows: np.ndarray, targets: np.ndarray, words: Words | None = None) -> np.ndarray:
+        words = words or self.words
+        _, h, z = self._forward(windows)
+        own = z[np.arange(len(z)), words.group[targets]] - np.log(np.exp(z).sum(axis=1))
+        word, node, sign, odds = words.branches(targets)
+        logit = odds + sign * np.einsum("ij,ij->i", self.weights[-1][node], h[word, :WIDTH])
+        return own - np.bincount(word, np.logaddexp(0, -logit), len(targets))
+
+
+def _words(group: np.ndarray, paths: list[bytes]) -> Words:
+    sizes = np.fromiter(map(len, paths), np.int64, len(paths)) // _BRANCH.itemsize
+    return Words(group, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(paths), _BRANCH))
 
 
 _AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 
+def _places(n: np.ndarray) -> np.ndarray:
+    """The places of words of texts of n words each, with edges around every text."""
+    begins = SIDE + np.cumsum(n + SIDE) - (n + SIDE)
+    return np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all texts with edges between them, the places of their words, and how many words each has."""
     sole(_buckets)
-    edge = np.zeros(SIDE, np.int32)
-    parts, sizes = [edge], []
-    for text in texts:
-        w = words_of(text)
-        parts += [w, edge]
-        sizes.append(len(w))
-    n = np.array(sizes, np.int64)
-    begins = SIDE + np.cumsum(n + SIDE) - (n + SIDE)
-    places = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.concatenate(parts), places, n
+    parts = [words_of(text) for text in texts]
+    n = np.array([len(w) for w in parts], np.int64)
+    places = _places(n)
+    data = np.zeros(SIDE + int((n + SIDE).sum()), np.int32)
+    data[places] = np.concatenate([np.zeros(0, np.int32), *parts])
+    return data, places, n
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Blocks of documents, written: block, ids (doc_ids), sizes (numbers of words), words (each distinct word and its count), buckets, data (which word each is)."""
+    ship(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
+        for batch in blocks(batches):
+            numbers = _Numbers()
+            parts = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in (t.split() for t in raw(batch.column(1)))]
+            data = np.concatenate(parts)
+            cores = pa.array(list(numbers.cores), pa.binary())
+            words = pa.StructArray.from_arrays([cores, pa.array(np.bincount(data, minlength=len(cores)))], ["word", "n"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            sizes = np.array([len(w) for w in parts], np.int32)
+            columns = [pa.array([uuid.uuid4().hex]), one(batch.column(0)), pa.array([sizes.tobytes()]), one(words), pa.array([np.fromiter(map(_bucket, numbers.cores), np.int32, len(cores)).tobytes()]), pa.array([data.tobytes()])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "words", "buckets", "data"])
+
+    schema = f"block string, ids array<{kind}>, sizes binary, words array<struct<word: binary, n: bigint>>, buckets binary, data binary"
+    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "encoded")
+
+
+def vocabulary(blocks_of: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """word, group, path for each distinct word of encoded(), written; and the classes' masses."""
+    spark = blocks_of.sparkSession
+    each = blocks_of.select(F.explode("words").alias("w")).select("w.word", "w.n")
+    unseen = spark.createDataFrame([(bytearray(_UNSEEN), 1)], "word binary, n bigint")
+    counts = written(each.unionByName(unseen).groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    first = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = pa.array([bytes(r["word"]) for r in first], pa.binary())
+    table = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toArrow()
+    n, words = table.column("n").to_numpy(), table.column("words").to_numpy().copy()
+    for r in first:
+        words[np.searchsorted(-n, -r["n"])] -= 1
+    classes = _classes(n, words)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = classes[np.searchsorted(-n, -batch.column(1).to_numpy())]
+            mine = pc.index_in(batch.column(0), own).fill_null(-1).to_numpy()
+            group = np.where(mine < 0, group, mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(group.astype(np.int32))], ["word", "n", "key", "group"])
+
+    given = counts.select("word", "n", F.xxhash64("word").alias("key")).mapInArrow(classed, "word binary, n bigint, key bigint, group int")
+    given = written(given.withColumn("part", F.shiftrightunsigned("key", 64 - TOP).cast("int")), "classed")
+    mass = np.zeros(CLASSES)
+    parts: dict[int, list] = {}
+    for r in given.groupBy("group", "part").agg(F.sum("n").alias("n")).collect():
+        mass[r["group"]] += r["n"]
+        parts.setdefault(r["group"], []).append((r["part"], r["n"]))
+    above: dict[tuple[int, int], bytes] = {}
+    for group, rows in parts.items():
+        key = np.array([p for p, _ in rows], np.uint64) << np.uint64(64 - TOP)
+        for (part, _), path in zip(rows, _tree(key, np.array([n for _, n in rows]), group, 0, TOP), strict=True):
+            above[group, part] = path
+
+    def pathed(key: tuple, table: pa.Table) -> pa.Table:
+        group, part = (k.as_py() for k in key)
+        below = _tree(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), group, TOP, 64)
+        paths = pa.array([above[group, part] + b for b in below], pa.binary())
+        return pa.table({"word": table.column("word"), "group": table.column("group"), "path": paths})
+
+    return written(given.groupBy("group", "part").applyInArrow(pathed, "word binary, group int, path binary"), "words"), mass
+
+
+def _pack(at: np.ndarray, group: np.ndarray, paths: list[bytes]) -> bytes:
+    """Words' places in their block's list, classes and branches, compressed; neighbours in the tree stand together."""
+    order = sorted(range(len(paths)), key=paths.__getitem__)
+    data = len(paths).to_bytes(8, "little") + at[order].astype(np.int32).tobytes() + group[order].astype(np.uint8).tobytes()
+    data += bytes(len(paths[i]) // _BRANCH.itemsize for i in order) + b"".join(paths[i] for i in order)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(packs: list[bytes], n: int) -> Words:
+    group, first, sizes = (np.zeros(n, np.int64) for _ in range(3))
+    branches, there = [np.zeros(0, _BRANCH)], 0
+    for pack in packs:
+        data = pa.decompress(pack[8:], int.from_bytes(pack[:8], "little"), "zstd", asbytes=True)
+        k = int.from_bytes(data[:8], "little")
+        at = np.frombuffer(data, np.int32, k, 8)
+        size = np.frombuffer(data, np.uint8, k, 8 + 5 * k).astype(np.int64)
+        group[at], sizes[at] = np.frombuffer(data, np.uint8, k, 8 + 4 * k), size
+        first[at] = there + np.cumsum(size) - size
+        branches.append(np.frombuffer(data, _BRANCH, offset=8 + 6 * k))
+        there += len(branches[-1])
+    return Words(group, first, sizes, np.concatenate(branches))
+
+
+def looked_up(blocks_of: DataFrame, words: DataFrame) -> DataFrame:
+    """encoded() with each block's words as known (classes and branches, packed), written."""
+    unseen = words.filter(F.col("word") == F.lit(bytearray(_UNSEEN))).first()
+    each = blocks_of.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", "w.word").join(words, "word", "left")
+    each = each.select("block", "at", F.coalesce("group", F.lit(unseen["group"])).alias("group"), F.coalesce("path", F.lit(unseen["path"])).alias("path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            names = pc.dictionary_encode(table.column("block").combine_chunks())
+            which = names.indices.to_numpy()
+            order = np.argsort(which, kind="stable")
+            at, group = table.column("at").to_numpy()[order], table.column("group").to_numpy()[order]
+            paths = table.column("path").take(pa.array(order)).to_pylist()
+            cuts = np.append(0, np.cumsum(np.bincount(which, minlength=len(names.dictionary)))).tolist()
+            packs = [_pack(at[a:b], group[a:b], paths[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([names.dictionary, pa.array(packs, pa.binary())], ["block", "pack"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) > PACKED_BYTES:
+                yield flush()
+        if sum(b.num_rows for b in held):
+            yield flush()
+
+    packs = each.mapInArrow(run, "block string, pack binary")
+    lists = packs.groupBy("block").agg(F.collect_list("pack").alias("known"))
+    return written(blocks_of.drop("words").join(lists, "block", "left").drop("block"), "known")
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """For each block: doc_ids, buckets and words with edges between texts, the places of words, numbers of words, and Words."""
+    for i in range(batch.num_rows):
+        ids, sizes, buckets, data, known = (batch.column(c).slice(i, 1) for c in range(5))
+        own = np.append(np.frombuffer(buckets[0].as_py(), np.int32), np.int32(0))  # the last is the edge
+        words = _unpack(known[0].as_py() or [], len(own) - 1)
+        n = np.frombuffer(sizes[0].as_py(), np.int32).astype(np.int64)
+        places = _places(n)
+        laid = np.full(SIDE + int((n + SIDE).sum()), len(own) - 1, np.int32)
+        laid[places] = np.frombuffer(data[0].as_py(), np.int32)
+        yield ids.flatten(), own[laid], laid, places, n, words
 
 
 def trained(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model after ``rounds`` rounds over docs(text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    model = Model(counts(docs))
+    """The model after ``rounds`` rounds over docs(doc_id, text); it knows where its words are."""
+    there = encoded(docs)
+    words, mass = vocabulary(there)
+    model = learned(looked_up(there, words), mass, rounds)
+    model.table = words.inputFiles()
+    return model
+
+
+def learned(known: DataFrame, mass: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model after ``rounds`` rounds over looked_up()."""
+    spark = known.sparkSession
+    model = Model(mass=mass)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(model)  # about 2 MB, whatever the input
+        sent = spark.sparkContext.broadcast(model)  # about 4 MB, whatever the input
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             own = copy.copy(sent.value)  # other tasks of this worker begin with the shared weights, too
             own.weights = [w.copy() for w in own.weights]
             steps = 0
-            for batch in blocks(batches):
-                data, places, _ = _padded(raw(batch.column(0)))
-                some = places[turn::rounds]
-                for lo in range(0, len(some), BATCH):
-                    at = some[lo : lo + BATCH]
-                    own.learn(data[at[:, None] + _AROUND], data[at])
-                    steps += len(at)
+            for batch in batches:
+                for _, data, laid, places, _, words in _read(batch):
+                    some = places[turn::rounds]
+                    for lo in range(0, len(some), BATCH):
+                        at = some[lo : lo + BATCH]
+                        own.learn(data[at[:, None] + _AROUND], laid[at], words=words)
+                        steps += len(at)
             if steps:
                 flat = np.concatenate([w.reshape(-1) for w in own.weights])
                 size = 1 << 14
@@ -178,7 +423,7 @@ def trained(docs: DataFrame, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(values / n).astype(np.float32).tobytes()], pa.binary())], ["part", "n", "data"])
 
         schema = "part int, n bigint, data binary"
-        averaged = docs.select("text").mapInArrow(run, schema).repartition(partitions(spark), "part").mapInArrow(mean, schema)
+        averaged = known.mapInArrow(run, schema).repartition(partitions(spark), "part").mapInArrow(mean, schema)
         rows = sorted(averaged.collect())  # the weights, once
         if not rows:
             return model
@@ -191,25 +436,33 @@ def trained(docs: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, score (summed log-probabilities) and mean_score."""
-    spark = docs.sparkSession
-    ship(spark)
+    """doc_id, n_words, score (summed log-probabilities) and mean_score, by a trained() model."""
+    words = docs.sparkSession.read.schema("word binary, group int, path binary").parquet(*model.table)
+    return scores(looked_up(encoded(docs), words), model)
+
+
+def scores(known: DataFrame, model: Model) -> DataFrame:
+    """scored() of looked_up()."""
+    spark = known.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = known.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            data, places, n = _padded(raw(batch.column(1)))
-            values = np.concatenate([np.zeros(0)] + [sent.value.log_probability(data[at[:, None] + _AROUND], data[at]) for at in (places[lo : lo + 4096] for lo in range(0, len(places), 4096))])
-            sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-            ends = np.cumsum(n)
-            score = sums[ends] - sums[ends - n]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(score), pa.array(score / np.maximum(1, n))], ["doc_id", "n_words", "score", "mean_score"])
+        for batch in batches:
+            for ids, data, laid, places, n, words in _read(batch):
+                values = np.concatenate([np.zeros(0)] + [sent.value.log_probability(data[at[:, None] + _AROUND], laid[at], words) for at in (places[lo : lo + 4096] for lo in range(0, len(places), 4096))])
+                sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+                ends = np.cumsum(n)
+                score = sums[ends] - sums[ends - n]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(score), pa.array(score / np.maximum(1, n))], ["doc_id", "n_words", "score", "mean_score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, score double, mean_score double")
+    return known.mapInArrow(run, f"doc_id {kind}, n_words bigint, score double, mean_score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: pseudo-log-likelihood of all ``documents`` under a model of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scored(docs, trained(docs))
+    there = encoded(docs)
+    words, mass = vocabulary(there)
+    known = looked_up(there, words)
+    return scores(known, learned(known, mass))

@@ -487,6 +487,29 @@ def test_pseudo_likelihood_learns_from_every_word(spark):
     assert found.n_words == 12 and found.mean_score > np.log(1 / 12) + 0.5
 
 
+def test_pseudo_likelihood_counts_words_exactly_and_tells_class_mates_apart(spark):
+    docs = spark.createDataFrame([(0, " ".join(f"x{i}" for i in range(60_000))), (1, "x1 x1 X2."), (2, None)], "doc_id bigint, text string")
+    there = pseudo_likelihood.encoded(docs)
+    words, mass = pseudo_likelihood.vocabulary(there)
+    assert words.count() == 60_001 and mass.sum() == 60_004  # more words than hash buckets, and the place of unseen ones
+    known = pseudo_likelihood.looked_up(there, words).toArrow().to_batches()
+    model = pseudo_likelihood.Model(mass=mass)
+    total = 0.0
+    for batch in known:
+        for _, data, laid, places, n, table in pseudo_likelihood._read(batch):
+            if len(places) < 60_000:
+                continue
+            at = places[:60_000]
+            total += np.exp(model.log_probability(data[at[:, None] + pseudo_likelihood._AROUND], laid[at], table)).sum()
+    assert total == pytest.approx(60_003 / 60_004, abs=1e-3)
+    # words of equal counts, told apart by their neighbours only
+    rng = np.random.default_rng(0)
+    pairs = [f"a{i} b{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(pairs[j] for j in rng.permutation(400))) for i in range(300)], "doc_id bigint, text string").coalesce(1)
+    found = pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs, 1)).first()
+    assert found.mean_score > np.log(1 / 800) + 0.1
+
+
 def test_probabilities_of_all_words_sum_to_one():
     model = pseudo_likelihood.Model(np.arange(pseudo_likelihood.BUCKETS) % 7)
     every = np.arange(pseudo_likelihood.BUCKETS)
