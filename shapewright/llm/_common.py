@@ -58,6 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unwritten(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads again."""
+    for df in tables:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            _drop(df.sparkSession, path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

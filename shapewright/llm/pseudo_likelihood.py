@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, partitions, raw, ship, sole, written
+from ._common import blocks, partitions, raw, ship, sole, unwritten, written
 
 BUCKETS, OWN, CLASSES = 1 << 15, 96, 128
 SIDE, DIM, HIDDEN = 2, 12, 32
@@ -257,10 +257,10 @@ def encoded(docs: DataFrame) -> DataFrame:
             words = pa.StructArray.from_arrays([cores, pa.array(np.bincount(data, minlength=len(cores)))], ["word", "n"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             sizes = np.array([len(w) for w in parts], np.int32)
-            columns = [pa.array([uuid.uuid4().hex]), one(batch.column(0)), pa.array([sizes.tobytes()]), one(words), pa.array([np.fromiter(map(_bucket, numbers.cores), np.int32, len(cores)).tobytes()]), pa.array([data.tobytes()])]
+            columns = [pa.array([uuid.uuid4().int >> 65]), one(batch.column(0)), pa.array([sizes.tobytes()]), one(words), pa.array([np.fromiter(map(_bucket, numbers.cores), np.int32, len(cores)).tobytes()]), pa.array([data.tobytes()])]
             yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "words", "buckets", "data"])
 
-    schema = f"block string, ids array<{kind}>, sizes binary, words array<struct<word: binary, n: bigint>>, buckets binary, data binary"
+    schema = f"block bigint, ids array<{kind}>, sizes binary, words array<struct<word: binary, n: bigint>>, buckets binary, data binary"
     return written(docs.select("doc_id", "text").mapInArrow(run, schema), "encoded")
 
 
@@ -304,7 +304,9 @@ def vocabulary(blocks_of: DataFrame) -> tuple[DataFrame, np.ndarray]:
         paths = pa.array([above[group, part] + b for b in below], pa.binary())
         return pa.table({"word": table.column("word"), "group": table.column("group"), "path": paths})
 
-    return written(given.groupBy("group", "part").applyInArrow(pathed, "word binary, group int, path binary"), "words"), mass
+    words = written(given.groupBy("group", "part").applyInArrow(pathed, "word binary, group int, path binary"), "words")
+    unwritten(counts, given)
+    return words, mass
 
 
 def _pack(at: np.ndarray, group: np.ndarray, paths: list[bytes]) -> bytes:
@@ -358,7 +360,7 @@ def looked_up(blocks_of: DataFrame, words: DataFrame) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield flush()
 
-    packs = each.mapInArrow(run, "block string, pack binary")
+    packs = each.mapInArrow(run, "block bigint, pack binary")
     lists = packs.groupBy("block").agg(F.collect_list("pack").alias("known"))
     return written(blocks_of.drop("words").join(lists, "block", "left").drop("block"), "known")
 
@@ -465,4 +467,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = encoded(docs)
     words, mass = vocabulary(there)
     known = looked_up(there, words)
+    unwritten(there, words)
     return scores(known, learned(known, mass))
