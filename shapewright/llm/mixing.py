@@ -157,6 +157,11 @@ def _copies():
 def mixed(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, **how) -> DataFrame:
     """docs, each row as often as the mix takes it, with its shard and a random number to order it by there: _shard, _order."""
     _, rows = plan(docs, seed=seed, shards=shards, **how)
+    return dealt(docs, rows, seed)
+
+
+def dealt(docs: DataFrame, rows: list[tuple], seed: int = SEED) -> DataFrame:
+    """mixed() by the rows of a plan."""
     columns = docs.columns
     joined = docs.withColumn("_key", _key(seed)).join(_planned(docs.sparkSession, rows), F.col("source").eqNullSafe(F.col("_source")))
     each = joined.filter(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), _copies() - 1)))
@@ -178,7 +183,13 @@ def shard_of(rows: list[tuple], source: str | None, block: int) -> int:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: how much of each of ``documents`` the mix takes."""
-    sized, rows = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    joined = sized.withColumnRenamed("key", "_key").join(_planned(spark, rows), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * _copies()).alias("taken"))
+    """op4: how much of each of ``documents`` the mix takes, counted in the mix, which is built with its texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized, rows = plan(docs)
+    mix = written(shuffled(dealt(docs.select("doc_id", "source", "text"), rows)), "mix")
+    found = mix.groupBy("doc_id", "source").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), "_n")
+    # equal ids of a source are taken equally often
+    several = sized.groupBy("doc_id", "source").agg(F.count("*").alias("_several")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from")), "left")
+    copies = several.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.expr("coalesce(_n, 0) div _several").alias("_copies"))
+    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from"))).join(_planned(spark, rows), F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))

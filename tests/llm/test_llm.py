@@ -456,6 +456,21 @@ def test_training_leaves_held_out_rows_alone(spark, docs):
     assert 0 < len(training(docs, labels, "quality", rows=5)[0]) <= 5
 
 
+def test_mixing_query_counts_the_built_mix(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    whole = mixing.shuffled
+    monkeypatch.setattr(mixing, "shuffled", lambda mix: seen.append(mix.columns) or whole(mix))
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        found = mixing.query(spark, folder).collect()
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        sized, rows = mixing.plan(docs)
+        limit = {r[0]: (r[3], r[4]) for r in rows}
+        want = [(r.doc_id, r["size"], r["size"] * (limit[r.source][0] + (r.key < limit[r.source][1]))) for r in sized.collect()]
+        assert sorted(map(str, ((r.doc_id, r["size"], r.taken) for r in found))) == sorted(map(str, want))
+    assert len(seen) == 2 and all({"_shard", "_order"} <= set(c) for c in seen)
+
+
 def test_pseudo_likelihood(spark, docs, odd, empty):
     model = pseudo_likelihood.trained(docs)
     found = {r.doc_id: r for r in pseudo_likelihood.scored(docs, model).collect()}
