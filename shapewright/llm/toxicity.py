@@ -260,8 +260,8 @@ class Model:
             words = text.split()
             n = len(words)
             distinct = set(words)
-            if b" " in text or n:
-                distinct.update(_joined(words)) if sum(len(w) < 3 for w in words) >= 3 else None
+            if sum(len(w) <= 4 for w in words) >= 3:  # longer ones aren't letters for _joined()
+                distinct.update(_joined(words))
             lists.append((distinct, n))
             missing.update(w for w in distinct if w not in known)
         if missing:

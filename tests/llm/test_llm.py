@@ -471,6 +471,15 @@ def test_mixing_query_counts_the_built_mix(spark, odd, tmp_path, monkeypatch):
     assert len(seen) == 2 and all({"_shard", "_order"} <= set(c) for c in seen)
 
 
+def test_toxicity_scores_decorated_spelled_strings():
+    model = toxicity.Model()
+    model.scores_of = toxicity._Scores(np.zeros(toxicity._LETTERS**3), 0.0)
+    model.scores_of.of = lambda strings: np.array([float(s == toxicity.string_of(b"idiot")) for s in strings])
+    for text in (b"*i* *d* *i* *o* *t*", b"i d i o t", b"-i- d. *i* o! t"):
+        toxicity._scored_by.clear()
+        assert model.features([text])[0][0] == 1
+
+
 def test_pseudo_likelihood(spark, docs, odd, empty):
     model = pseudo_likelihood.trained(docs)
     found = {r.doc_id: r for r in pseudo_likelihood.scored(docs, model).collect()}
