@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a Python operator holds at a time.
 BLOCK_BYTES = 4 << 20
+#: Bytes of rows that Spark sends to Python at a time; its default is 64 MB.
+SENT_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +74,8 @@ def partitions(spark: SparkSession) -> int:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that their Python workers can import it anywhere."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SENT_BYTES)
     if getattr(context, "_llm_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -1,21 +1,23 @@
-"""Removal of repeated byte strings by induced sorting of suffixes, in shards.
+"""Removal of repeated byte strings by external induced sorting of suffixes, in shards.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document of a smaller doc_id, or before in the same
 one. Equal strings must meet in one shard, and no shard may hold the corpus. So each string is keyed by the least hash of its
 substrings of ``GRAM`` bytes: equal strings have equal keys, and strings that follow each other mostly share one, so a document falls
 into spans, runs of starts with one key. Four steps:
 
-1. Which keys do two spans have? Keys alone travel, once for each block of documents.
-2. Spans with such keys go to their key's shard. A block sends equal spans once, the earliest; the later ones are removed at once.
-3. A shard orders the suffixes of its spans by induced sorting (``suffixes``), and of starts whose first ``LENGTH`` letters agree all but
-   the earliest are removed.
+1. Which keys do two spans have? Keys alone travel, counted for each block of documents.
+2. Spans with such keys go to their key's shard. A key with more than ``FREQUENT_BYTES`` of spans is split: its spans are cut and keyed again by
+   substrings of ``FINE_GRAM`` bytes. A block sends equal spans once, the earliest; the later ones are removed at once.
+3. A shard gets its spans in the order of documents and orders their suffixes (``suffixes``): of starts whose first ``LENGTH`` letters agree
+   all but the earliest are removed. Equal spans are dropped before as far as ``REMEMBERED`` digests tell. A shard of more than
+   ``SHARD_HELD`` bytes is laid on disk, its text and spans, and sorted from there, whatever its size.
 4. Blocks of documents get their removed starts back and cut their texts.
 
-A document's block is a hash of its doc_id. A shard's and a block's rows stream through one task; memory grows with the shard's keys
-and distinct spans, and a passage that a third of the documents share is sent once for each block.
+A document's block is a hash of its doc_id. There are as many shards as the texts have ``SHARD_BYTES``. Shards, blocks and what they are told
+stream through tasks in sorted order, so that memory grows with a block's keys only.
 
-Null text is empty. Of documents with equal doc_ids those with the smaller hash of their text come first; a null doc_id comes before
-all others. Other columns play no part. An empty table gives no rows.
+Null text is empty. Of documents with equal doc_ids those with the smaller hash of their text come first, then those with the smaller
+hash of their other columns; a null doc_id comes before all others. Other columns play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import BLOCK_BYTES, partitions, ship, written
-from .suffixes import suffix_order
+from .suffixes import PART, Disk, Later, suffix_order
 
 LENGTH, GRAM = 100, 40
-_WIDE = LENGTH - GRAM + 1
+#: Substrings that key the spans of a frequent key again, and the bytes of a key's spans from which on it counts as frequent.
+FINE_GRAM, FREQUENT_BYTES = 90, 4 << 20
+#: Bytes of text for each shard; a shard of ordinary texts gets about as many bytes of spans.
+SHARD_BYTES = 8 << 20
 #: Keys or bytes of spans that a task holds before it passes them on.
-FLUSH_KEYS, FLUSH_BYTES = 500_000, 16 << 20
+FLUSH_KEYS, FLUSH_BYTES = 500_000, 4 << 20
+#: Bytes of a shard's spans that are held before they go to disk, and digests of spans that are remembered.
+SHARD_HELD, REMEMBERED = 12 << 20, 400_000
 
 _RANDOM = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +57,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(text: bytes, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key and first start of each span, and whether it may hold equal strings; the starts go to len(text) - LENGTH."""
     n = len(text)
     if n < LENGTH:
@@ -59,13 +66,13 @@ def spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _powers_to(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(x * up[:n], out=sums[1:])
-    grams = n - GRAM + 1
-    h = (sums[GRAM:] - sums[:-GRAM]) * down[:grams]
+    grams = n - gram + 1
+    h = (sums[gram:] - sums[:-gram]) * down[:grams]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     h &= ~np.uint64(1)
-    wide = _WIDE
+    wide = LENGTH - gram + 1
     whole = -(-grams // wide) * wide
     padded = np.full(whole, np.iinfo(np.uint64).max)
     padded[:grams] = h
@@ -91,33 +98,33 @@ def spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, first, double
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(block, kind, doc, nth of the doc_id, text or payload, other columns), rows sorted by block, kind and doc_id."""
-    last, nth = None, 0
-    for batch in batches:
-        for block, kind, doc, data, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            doc = -(1 << 63) if doc is None else doc
-            nth = nth + 1 if (block, kind, doc) == last else 0
-            last = (block, kind, doc)
-            yield block, kind, doc, nth, data or b"", rest
+def _order_of_text():
+    """What documents of one doc_id are ordered by."""
+    return F.xxhash64(F.coalesce(F.col("data"), F.lit(b"")))
 
 
-def _blocks_of(docs: DataFrame, n: int) -> DataFrame:
-    """block, kind (1), doc_id, data, rest: the documents, dealt by doc_id; rest has what other columns they have."""
-    others = [c for c in docs.columns if c != "text"]
-    rest = F.to_json(F.struct(*others)) if len(others) > 1 else F.lit(None).cast("string")
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("data"), rest.alias("rest"))
+def _documents(docs: DataFrame, n: int) -> DataFrame:
+    """block, doc_id, data, rest: the documents, dealt by doc_id; rest is a struct of what other columns they have."""
+    others = [c for c in docs.columns if c not in ("text", "doc_id")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("string")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    return docs.select(block.alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("data"), rest.alias("rest"))
 
 
-def _with_replies(docs: DataFrame, replies: DataFrame, n: int) -> DataFrame:
-    """Documents after what their block was told, in one order everywhere."""
-    told = replies.select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "data", F.lit(None).cast("string").alias("rest"))
-    both = told.unionByName(_blocks_of(docs, n))
-    return both.repartition(n, "block").sortWithinPartitions("block", "kind", "doc_id", F.xxhash64("data"))
+def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each run of equal values."""
+    if not len(values):
+        return []
+    at = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(at[:-1], at[1:], strict=True))
 
 
-def _shared_keys(docs: DataFrame, n: int) -> DataFrame:
-    """block, data: keys of the block's documents that may have equal strings, as unsigned 64-bit integers.
+#: A key in a block: the key (its last bit: frequent), the block, how many spans have it there.
+_KEY = np.dtype([("key", "<u8"), ("block", "<i4"), ("n", "<i4")])
+
+
+def _shared_keys(docs: DataFrame, n: int, shards: int, frequent_bytes: int) -> DataFrame:
+    """block, data: keys of the block's documents that may have equal strings, as unsigned 64-bit integers; the last bit: frequent.
 
     Those that occur in two spans or more, or in a span that may hold equal strings itself.
     """
@@ -127,195 +134,264 @@ def _shared_keys(docs: DataFrame, n: int) -> DataFrame:
         blocks: list[np.ndarray] = []
         held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             key, block = np.concatenate(keys), np.concatenate(blocks)
+            keys.clear(), blocks.clear()
             order = np.lexsort((block, key))
             key, block = key[order], block[order]
-            new = np.append(True, key[1:] != key[:-1])
-            count = np.diff(np.append(np.flatnonzero(new), len(key)))
-            several = np.repeat(count > 1, count)
-            keep = new | np.append(True, block[1:] != block[:-1])
-            key, block = key[keep] | several[keep].astype(np.uint64), block[keep]
-            shard = ((key >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            rows = np.empty(len(first), _KEY)
+            rows["key"], rows["block"], rows["n"] = key[first], block[first], np.diff(np.append(first, len(key)))
+            shard = _shard_of(rows["key"], shards)
             order = np.argsort(shard, kind="stable")
-            key, block, shard = key[order], block[order], shard[order]
-            cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            data = [key[a:b].tobytes() + block[a:b].astype(np.int32).tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
+            rows, shard = rows[order], shard[order]
+            cuts = _cuts(shard)
+            return pa.RecordBatch.from_arrays([pa.array(shard[[a for a, _ in cuts]].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in cuts], pa.binary())], ["shard", "data"])
 
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key, _, double = spans(text or b"")
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key, _, double = spans(text.as_py() or b"")
                 key = np.concatenate([key, key[double]])
                 keys.append(key)
                 blocks.append(np.full(len(key), block, np.int32))
                 held += len(key)
                 if held >= FLUSH_KEYS:
-                    yield from flush()
-                    keys.clear(), blocks.clear()
+                    yield flush()
                     held = 0
         if held:
-            yield from flush()
+            yield flush()
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [d for batch in batches for d in batch.column(1).to_pylist()]
-        if not parts:
-            return
-        key = np.concatenate([np.frombuffer(d, np.uint64, len(d) // 12) for d in parts])
-        block = np.concatenate([np.frombuffer(d, np.int32, offset=len(d) // 12 * 8) for d in parts])
-        parts.clear()
-        flag, key = key & np.uint64(1) > 0, key & ~np.uint64(1)
-        order = np.argsort(key, kind="stable")
-        key, block, flag = key[order], block[order], flag[order]
-        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(cuts, len(key)))
-        shared = np.repeat((count > 1) | np.logical_or.reduceat(flag, cuts), count)
-        key, block = key[shared], block[shared]
-        order = np.argsort(block, kind="stable")
-        key, block = key[order], block[order]
-        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-        data = [key[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)][: len(cuts)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(data, pa.binary())], ["block", "data"])
-
-    sent = _blocks_of(docs, n).select("block", "data").mapInArrow(send, "shard int, data binary")
-    return sent.repartition(n, "shard").mapInArrow(reply, "block int, data binary")
-
+        def told(parts: list[bytes]) -> pa.RecordBatch:
+            rows = np.frombuffer(b"".join(parts), _KEY)
+            rows = rows[np.argsort(rows["key"], kind="stable")]
+            key = rows["key"]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = np.diff(np.append(first, len(key)))
+            total = np.add.reduceat(rows["n"].astype(np.int64), first)
+            frequent = np.repeat(total * (2 * LENGTH - GRAM) > frequent_bytes, several)
+            shared = np.repeat(total > 1, several)
+            key, block = (key | frequent.astype(np.uint64))[shared], rows["block"][shared]
+            order = np.argsort(block, kind="stable")
+            key, block = key[order], block[order]
+            cuts = _cuts(block)
+            return pa.RecordBatch.from_arrays([pa.array([int(block[a]) for a, _ in cuts], pa.int32()), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary())], ["block", "data"])
 
-#: A span or a removed run as numbers: key (its last bit: may hold equal strings), block, doc_id, nth of the doc_id, first start, number of starts, bytes of text that follow.
-_SPAN = np.dtype([("key", "<u8"), ("block", "<i4"), ("doc", "<i8"), ("nth", "<i4"), ("start", "<i8"), ("n", "<i8")])
+        at, parts = None, []
+        for batch in batches:
+            for shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at and parts:
+                    yield told(parts)
+                    parts = []
+                at = shard
+                parts.append(data)
+        if parts:
+            yield told(parts)
 
+    sent = _documents(docs, n).select("block", "data").mapInArrow(send, "shard int, data binary")
+    return sent.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(reply, "block int, data binary")
 
-def _pack(rows: list[tuple], texts: list[bytes]) -> bytes:
-    table = np.array(rows, _SPAN)
-    return len(rows).to_bytes(8, "little") + table.tobytes() + b"".join(texts)
 
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
 
-def _unpack(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    n = int.from_bytes(data[:8], "little")
-    table = np.frombuffer(data, _SPAN, n, 8)
-    at = 8 + n * _SPAN.itemsize
-    if at == len(data):
-        return table, []
-    ends = at + np.cumsum(table["n"] + LENGTH - 1)
-    return table, [data[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+#: Spans for shards, and, without a piece, runs of starts that a block removes itself.
+_SPANS = "shard int, block int, doc bigint, nth int, start bigint, n bigint, key bigint, piece binary"
 
-def _sent_spans(docs: DataFrame, n: int) -> DataFrame:
-    """shard, data: spans with shared keys for shards; shard -1 - block: runs of starts that a block removes itself."""
 
+def _sent_spans(docs: DataFrame, n: int, shards: int, frequent_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shared, told = None, np.zeros(0, np.uint64), []
+        last, nth = None, 0
         seen: set[bytes] = set()
-        out: dict[int, tuple[list, list]] = {}
+        rows: list[tuple] = []
         held = 0
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([_pack(*v) for v in out.values()], pa.binary())], ["shard", "data"])
-            out.clear()
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _SPANS.split(", ")])
+            rows.clear()
             return made
 
-        for block, kind, doc, nth, data, _ in _numbered(batches):
-            if block != at:
-                at, told, shared = block, [], np.zeros(0, np.uint64)
-                seen.clear()
-            if kind == 0:
-                told.append(np.frombuffer(data, np.uint64))
-                continue
-            if told:
-                shared, told = np.unique(np.concatenate(told)), []
-            if not len(shared):
-                continue
-            key, first, double = spans(data)
-            if not len(key):
-                continue
-            place = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-            ends = np.append(first[1:], len(data) - LENGTH + 1)
-            for i in np.flatnonzero(shared[place] == key).tolist():
-                a, b = int(first[i]), int(ends[i])
-                piece = data[a : b + LENGTH - 1]
-                name = blake2b(piece, digest_size=16).digest()
-                row = (int(key[i]) | int(double[i]), block, doc, nth, a, b - a)
-                if name in seen:
-                    out.setdefault(-1 - block, ([], []))[0].append(row)
-                    held += 40
-                else:
-                    seen.add(name)
-                    rows, texts = out.setdefault((int(key[i]) >> 33) % n, ([], []))
-                    rows.append(row)
-                    texts.append(piece)
-                    held += len(piece) + 40
-            if held > FLUSH_BYTES:
-                yield flush()
-                held = 0
-        if out:
+        for batch in batches:
+            for block, kind, doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if block != at:
+                    at, told, shared, last = block, [], np.zeros(0, np.uint64), None
+                    seen.clear()
+                if kind == 0:
+                    told.append(np.frombuffer(value.as_py(), np.uint64))
+                    continue
+                nth = nth + 1 if last == (doc,) else 0
+                last = (doc,)
+                if told:
+                    shared, told = np.unique(np.concatenate(told)), []
+                    plain = shared & ~np.uint64(1)
+                if not len(shared):
+                    continue
+                data = value.as_py() or b""
+                key, first, double = spans(data)
+                if not len(key):
+                    continue
+                place = np.minimum(np.searchsorted(plain, key), len(plain) - 1)
+                ends = np.append(first[1:], len(data) - LENGTH + 1)
+                mine = np.flatnonzero(plain[place] == key)
+                some = [(key[mine], first[mine], ends[mine], double[mine])]
+                frequent = (shared[place[mine]] & np.uint64(1)) > 0
+                if frequent.any():
+                    some = [tuple(x[~frequent] for x in some[0])]
+                    for i in mine[frequent].tolist():
+                        a, b = int(first[i]), int(ends[i])
+                        k, f, d = spans(data[a : b + LENGTH - 1], FINE_GRAM)
+                        some.append((~k & ~np.uint64(1), a + f, np.append(a + f[1:], b), d))
+                for keys, firsts, until, doubles in some:
+                    shard = _shard_of(keys, shards).tolist()
+                    names = (keys | doubles.astype(np.uint64)).view(np.int64).tolist()
+                    for s, k, a, b in zip(shard, names, firsts.tolist(), until.tolist(), strict=True):
+                        piece = data[a : b + LENGTH - 1]
+                        name = blake2b(piece, digest_size=16).digest()
+                        if name in seen:
+                            rows.append((-1, block, doc, nth, a, b - a, k, None))
+                        else:
+                            seen.add(name)
+                            rows.append((s, block, doc, nth, a, b - a, k, piece))
+                            held += len(piece)
+                        held += 60
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                if held > FLUSH_BYTES:
+                    yield flush()
+                    held = 0
+        if rows:
             yield flush()
 
-    return _with_replies(docs, _shared_keys(docs, n), n).mapInArrow(run, "shard int, data binary")
-
-
-def repeated_starts(table: np.ndarray, texts: list[bytes]) -> list[tuple]:
-    """Of a shard's spans, runs of starts whose strings start earlier elsewhere: (block, doc, nth, start, number)."""
-    out = []
-    order = np.lexsort((table["start"], table["nth"], table["doc"]))  # earliest first
-    kept: dict[bytes, int] = {}
-    by_key: dict[int, list[int]] = {}
-    for i in order.tolist():
-        name = blake2b(texts[i], digest_size=16).digest()
-        if name in kept:
-            r = table[i]
-            out.append((int(r["block"]), int(r["doc"]), int(r["nth"]), int(r["start"]), int(r["n"])))
+    told = _shared_keys(docs, n, shards, frequent_bytes).select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "data")
+    both = told.unionByName(_documents(docs, n).select("block", F.lit(1).alias("kind"), "doc_id", "data"))
+    return both.repartition(n, "block").sortWithinPartitions("block", "kind", "doc_id", _order_of_text()).mapInArrow(run, _SPANS)
+
+
+#: Where a span of a shard is from.
+_FROM = np.dtype([("block", "<i4"), ("doc", "<i8"), ("null", "?"), ("nth", "<i4"), ("start", "<i8")])
+#: A run of removed starts.
+_RUNS = "block int, doc_id bigint, nth int, start bigint, n bigint"
+
+
+class Shard:
+    """A shard's distinct spans in the order of documents, in memory or on disk."""
+
+    def __init__(self) -> None:
+        self.names: set[bytes] = set()
+        self.rows: list[tuple] = []
+        self.pieces: list[bytes] = []
+        self.keys: list[int] = []
+        self.held = 0
+        self.text: Disk | None = None
+
+    def add(self, row: tuple, key: int, piece: bytes) -> bool:
+        """Whether the span, (block, doc_id, nth, start), is new as far as is remembered; others are repeated."""
+        name = blake2b(piece, digest_size=16).digest()
+        if name in self.names:
+            return False
+        if len(self.names) < REMEMBERED:
+            self.names.add(name)
+        self.rows.append(row)
+        self.pieces.append(piece)
+        self.keys.append(key)
+        self.held += len(piece)
+        if self.held > SHARD_HELD:
+            self._lay(range(len(self.rows)))
+        return True
+
+    def _lay(self, chosen) -> None:
+        """Append chosen spans to the files."""
+        if self.text is None:
+            self.text, self.rows_laid, self.begins = Disk("<u2"), Disk(_FROM), Disk()
+        pieces = [self.pieces[i] for i in chosen]
+        sizes = np.array([len(p) + 1 for p in pieces], np.int64)
+        text = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
+        ends = np.cumsum(sizes)
+        text[ends - 1] = 1
+        self.begins.append(self.text.n + ends - sizes)
+        self.text.append(text)
+        self.rows_laid.append(np.array([(b, doc or 0, doc is None, nth, start) for b, doc, nth, start in (self.rows[i] for i in chosen)], _FROM))
+        self.rows, self.pieces, self.keys, self.held = [], [], [], 0
+
+    def later_starts(self) -> Iterator[pa.RecordBatch]:
+        """Runs of starts whose strings start earlier in the shard, as _RUNS."""
+        if self.text is None:  # all are here: a span without another of its key has no equal string elsewhere
+            plain = np.array(self.keys, np.int64) & ~np.int64(1)
+            _, which, count = np.unique(plain, return_inverse=True, return_counts=True)
+            chosen = np.flatnonzero((count[which] > 1) | (np.array(self.keys, np.int64) & 1 > 0)).tolist() if self.keys else []
         else:
-            kept[name] = i
-            by_key.setdefault(int(table["key"][i]) >> 1, []).append(i)
-    chosen = [i for group in by_key.values() for i in group if len(group) > 1 or table["key"][i] & 1]
-    if not chosen:
-        return out
-    rank = np.empty(len(table), np.int64)
-    rank[order] = np.arange(len(table))
-    chosen.sort(key=lambda i: rank[i])  # then a smaller place in the text is an earlier start
-    sizes = np.array([len(texts[i]) + 1 for i in chosen], np.int64)
-    joined = np.frombuffer(b"\0".join(texts[i] for i in chosen) + b"\0", np.uint8).astype(np.int16) + 2
-    begins = np.cumsum(sizes) - sizes
-    joined[np.append(begins[1:], len(joined)) - 1] = 1
-    text = np.append(joined, np.int16(0))
-    suffixes, shared = suffix_order(text, LENGTH)
-    owner = np.repeat(np.arange(len(chosen)), sizes)
-    inside = np.zeros(len(text), bool)  # starts whose whole string is in their span
-    inside[:-1] = np.arange(len(text) - 1) - begins[owner] + LENGTH < sizes[owner]
-    group = np.cumsum(shared < LENGTH) - 1
-    valid = inside[suffixes]
-    places, group = suffixes[valid], group[valid]
-    earliest = np.full(int(group.max()) + 1 if len(group) else 0, len(text))
-    np.minimum.at(earliest, group, places)
-    later = np.sort(places[places != earliest[group]])
-    if len(later):
-        cuts = np.flatnonzero(np.append(True, (np.diff(later) != 1) | (np.diff(owner[later]) != 0)))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(later)], strict=True):
-            k = int(owner[later[a]])
-            r = table[chosen[k]]
-            out.append((int(r["block"]), int(r["doc"]), int(r["nth"]), int(r["start"] + later[a] - begins[k]), b - a))
-    return out
+            chosen = range(len(self.rows))
+        if chosen:
+            self._lay(chosen)
+        self.names.clear()
+        if self.text is None:
+            return
+        end = self.text.n
+        self.text.append(np.zeros(1, np.uint16))
+        self.begins.append(np.array([end]))
+        text, begins, rows = self.text.mapped(), self.begins.mapped(), self.rows_laid.mapped()
+        bits = PART.bit_length()
+        later = Later((end >> bits) + 1)
+        for places in _not_first(suffix_order(text, 258, LENGTH), begins):
+            order = np.argsort(places >> bits, kind="stable")
+            later.push((places >> bits)[order], places[order])
+        for r in range((end >> bits) + 1):
+            places = np.sort(later.all(r))
+            if not len(places):
+                continue
+            owner = np.searchsorted(begins, places, side="right") - 1
+            cut = np.flatnonzero(np.append(True, (np.diff(places) != 1) | (np.diff(owner) != 0)))
+            mine = rows[owner[cut]]
+            doc = pa.array(mine["doc"], mask=mine["null"])
+            start = mine["start"] + places[cut] - begins[owner[cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(mine["block"]), doc, pa.array(mine["nth"]), pa.array(start), pa.array(np.diff(np.append(cut, len(places))))], ["block", "doc_id", "nth", "start", "n"])
+
+
+def _not_first(ordered: Iterator[tuple[np.ndarray, np.ndarray]], begins: np.ndarray) -> Iterator[np.ndarray]:
+    """Of suffixes whose whole strings lie in their spans, all but the one of the smallest place among those that share ``LENGTH`` letters."""
+    least = -1  # the smallest place so far of the group that the last block ended in
+    for places, shared in ordered:
+        group = np.cumsum(shared < LENGTH)
+        ending = int(group[-1])
+        owner = np.minimum(np.searchsorted(begins, places, side="right"), len(begins) - 1)
+        inside = np.flatnonzero(places + LENGTH < begins[owner])
+        places, group = places[inside], group[inside]
+        if least >= 0:
+            places, group = np.append(least, places), np.append(0, group)
+        if ending or not len(places):
+            least = least if not ending else -1
+        if not len(places):
+            continue
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        smallest = np.minimum.reduceat(places, first)
+        if group[-1] == ending:
+            least = int(smallest[-1])
+        yield places[places != np.repeat(smallest, np.diff(np.append(first, len(group))))]
 
 
 def _removed(sent: DataFrame, n: int) -> DataFrame:
-    """block, data: runs of removed starts, packed."""
+    """Runs of removed starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        at, shard = None, Shard()
         for batch in batches:
-            for shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(shard, []).append(data)
-        for parts in held.values():
-            pairs = [_unpack(p) for p in parts]
-            found = repeated_starts(np.concatenate([p[0] for p in pairs]), [t for p in pairs for t in p[1]])
-            out: dict[int, list[tuple]] = {}
-            for block, doc, nth, start, count in found:
-                out.setdefault(block, []).append((0, block, doc, nth, start, count))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([_pack(rows, []) for rows in out.values()], pa.binary())], ["block", "data"])
-
-    far = sent.filter("shard >= 0").repartition(n, "shard").mapInArrow(run, "block int, data binary")
-    own = sent.filter("shard < 0").select((-1 - F.col("shard")).cast("int").alias("block"), "data")
+            again = []
+            for s, block, doc, nth, start, count, key, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != at:
+                    yield from shard.later_starts()
+                    at, shard = s, Shard()
+                if not shard.add((block, doc, nth, start), key, piece):
+                    again.append((block, doc, nth, start, count))
+            if again:
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*again, strict=True), kinds, strict=True)], ["block", "doc_id", "nth", "start", "n"])
+        yield from shard.later_starts()
+
+    far = sent.filter("piece IS NOT NULL").repartition(n, "shard").sortWithinPartitions("shard", "doc", "nth", "start").mapInArrow(run, _RUNS)
+    own = sent.filter("piece IS NULL").select("block", F.col("doc").alias("doc_id"), "nth", "start", "n")
     return far.unionByName(own)
 
 
@@ -331,52 +407,70 @@ def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, or with ``digest`` their SHA-256), rest (other columns of docs as JSON)."""
+#: What deduplicated() returns of the remaining bytes.
+_KEPT = {"bytes": lambda left: left, "text": lambda left: left.decode(errors="ignore"), "sha256": lambda left: sha256(left).hexdigest()}
+
+
+def deduplicated(docs: DataFrame, kept: str = "bytes", frequent_bytes: int = FREQUENT_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, their SHA-256, or as text), rest (a struct of the other columns of docs)."""
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    sent = written(_sent_spans(docs.select("doc_id", "text"), n), "spans")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(n, min(1 << 30, -(-total // SHARD_BYTES)))
+    sent = written(_sent_spans(docs.select("doc_id", "text"), n, shards, frequent_bytes), "spans")
+    documents = _documents(docs, n)
+    kind_of_kept, form = ("binary" if kept == "bytes" else "string"), _KEPT[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        removed: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        columns: list[list] = [[] for _ in range(6)]
-        held = 0
+        last, nth = None, -1
+        removed: dict[int, list[tuple[int, int]]] = {}
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if kept == "bytes" else pa.string())
 
-        def flush() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
-            for c in columns:
-                c.clear()
-            return made
-
-        for block, kind, doc, nth, data, rest in _numbered(batches):
-            if block != at:
-                at = block
-                removed.clear()
-            if kind == 0:
-                for r in _unpack(data)[0].tolist():
-                    removed.setdefault((r[2], r[3]), []).append((r[4], r[5]))
-                continue
-            gone = covered(removed.get((doc, nth), []))
-            kept, last = [], 0
-            for a, b in gone:
-                kept.append(data[last:a])
-                last = b
-            kept.append(data[last:])
-            left = b"".join(kept)
-            for c, v in zip(columns, (None if doc == -(1 << 63) else doc, len(data), len(data) - len(left), len(gone), sha256(left).hexdigest() if digest else left, rest), strict=True):
-                c.append(v)
-            held += 200 if digest else len(left) + 200
-            if held > BLOCK_BYTES:
+        for batch in batches:
+            rows: list[tuple] = []
+            places: list[int] = []
+            held = 0
+
+            def flush(batch=batch, rows=rows, places=places) -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                made = pa.RecordBatch.from_arrays([*columns, batch.column(6).take(pa.array(places))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
+                rows.clear(), places.clear()
+                return made
+
+            numbers = [batch.column(c).to_pylist() for c in range(5)]
+            for i, (doc, kind, of, start, count) in enumerate(zip(*numbers, strict=True)):
+                if last != (doc,):
+                    last, nth = (doc,), -1
+                    removed.clear()
+                if kind == 0:
+                    removed.setdefault(of, []).append((start, count))
+                    continue
+                nth += 1
+                data = batch.column(5)[i].as_py() or b""
+                gone = covered(removed.get(nth, []))
+                parts, to = [], 0
+                for a, b in gone:
+                    parts.append(data[to:a])
+                    to = b
+                parts.append(data[to:])
+                left = b"".join(parts)
+                rows.append((doc, len(data), len(data) - len(left), len(gone), form(left)))
+                places.append(i)
+                held += 200 if kept == "sha256" else len(left) + 200
+                if held > BLOCK_BYTES:
+                    yield flush()
+                    held = 0
+            if rows:
                 yield flush()
-                held = 0
-        if columns[0]:
-            yield flush()
 
-    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest else 'binary'}, rest string"
-    return _with_replies(docs, _removed(sent, n), n).mapInArrow(run, schema)
+    rest = dict(documents.dtypes)["rest"]
+    hashes = [_order_of_text()] + ([F.xxhash64(F.to_json("rest"))] if rest != "string" else [])
+    told = _removed(sent, n).select("block", "doc_id", F.lit(0).alias("kind"), "nth", "start", "n", F.lit(None).cast("binary").alias("data"), F.lit(None).cast(rest).alias("rest"))
+    both = told.unionByName(documents.select("block", "doc_id", F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("n"), "data", "rest"))
+    ordered = both.repartition(n, "block").sortWithinPartitions("block", "doc_id", "kind", *hashes)
+    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kind_of_kept}, rest {rest}"
+    return ordered.select("doc_id", "kind", "nth", "start", "n", "data", "rest").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -384,21 +478,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that lost some of its bytes loses the rest. Documents of which nothing remains go; those that were empty stay.
     """
-    found = deduplicated(docs).filter("n_removed = 0 OR n_removed < n_bytes")
-    others = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode(errors="ignore") for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", "doc_id", "rest"])
-
-    texts = found.select("kept", "doc_id", "rest").mapInArrow(decoded, "text string, doc_id bigint, rest string")
-    if len(docs.columns) == 2:
-        return texts.select(*(F.col(c).cast(t) for c, t in docs.dtypes))
-    return texts.select("text", F.from_json("rest", others).alias("r")).select(*("text" if c == "text" else F.col(f"r.`{c}`") for c in docs.columns))
+    found = deduplicated(docs, kept="text").filter("n_removed = 0 OR n_removed < n_bytes")
+    of = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    of |= {c: F.col(f"rest.`{c}`") for c in docs.columns if c not in of}
+    return found.select(*(of[c].cast(t).alias(c) for c, t in docs.dtypes))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: what whole texts of ``documents`` keep."""
-    found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True)
+    found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), kept="sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))

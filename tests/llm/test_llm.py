@@ -1,9 +1,13 @@
 """The pipeline's operators against brute force, and their rules for nulls, empty and very long texts, ties, repeats and empty tables."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from datetime import datetime
 from hashlib import sha256
 
 import numpy as np
@@ -160,27 +164,64 @@ def test_packing(spark, docs, rows, library, odd, empty):
     assert packing.pack(packing.pieces(empty, tokens.vocabulary_path())).count() == 0
 
 
-def test_suffix_order_and_shared_lengths():
-    rng = random.Random(5)
-    for trial in range(200):
-        text = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(1, 60))]
-        text = [*((text[: rng.randint(1, 8)] * 40)[: len(text)] if trial % 3 == 0 else text), 0]
-        order, shared = suffixes.suffix_order(np.array(text, np.int16), 200)
-        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-        want = [0]
-        for a, b in zip(order[:-1], order[1:], strict=True):
-            want.append(next(k for k in range(len(text)) if max(a, b) + k == len(text) or text[a + k] != text[b + k]))
-        assert shared.tolist() == want
+def ordered(text, depth):
+    blocks = list(suffixes.suffix_order(np.array(text, np.uint16), max(text) + 1, depth))
+    return np.concatenate([p for p, _ in blocks]).tolist(), np.concatenate([n for _, n in blocks]).tolist()
+
+
+@pytest.mark.parametrize(("part", "held", "base"), [(1 << 17, 24 << 20, 1 << 19), (4, 64, 2), (16, 1024, 8), (64, 4096, 2)])
+def test_suffix_order_and_shared_lengths(monkeypatch, part, held, base):
+    """With small parts queues spill, and reduced texts are ordered in several levels."""
+    monkeypatch.setattr(suffixes, "PART", part)
+    monkeypatch.setattr(suffixes, "HELD", held)
+    monkeypatch.setattr(suffixes, "BASE", base)
+    rng = random.Random(part)
+    for trial in range(60):
+        text = [rng.randint(1, rng.choice([1, 2, 3, 9, 60])) for _ in range(rng.randint(1, 200))]
+        text = (text[: rng.randint(1, 8)] * 40)[: len(text)] if trial % 3 == 0 else text
+        text = [*text, *[1] * 600, *text] if trial == 7 else text
+        depth = rng.choice([5, 100, 250])
+        text = [*text, 0]
+        order, shared = ordered(text, depth)
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert [text[i : i + depth] for i in order] == [text[i : i + depth] for i in want] and sorted(order) == sorted(want)
+        least = [0]
+        for a, b in zip(want[:-1], want[1:], strict=True):
+            least.append(min(depth, next(k for k in range(len(text)) if max(a, b) + k == len(text) or text[a + k] != text[b + k])))
+        assert np.minimum(shared, depth).tolist() == least
 
 
 def test_queues_spill(monkeypatch):
     monkeypatch.setattr(suffixes, "HELD", 64)
-    q = suffixes.Queue()
+    monkeypatch.setattr(suffixes, "PART", 4)
+    q = suffixes.Later(2)
     for i in range(10):
-        q.push(np.arange(i, i + 5))
-    assert q.file is not None and np.concatenate(q.take()).tolist() == [x for i in range(10) for x in range(i, i + 5)] and q.take() == []
-    text = np.array([random.Random(1).randint(1, 3) for _ in range(400)] + [0], np.int16)
-    assert suffixes.suffix_order(text, 250)[0].tolist() == sorted(range(401), key=lambda i: text[i:].tolist())
+        q.push(np.array([0, 0, 1, 1, 1]), np.arange(i, i + 5))
+    assert q.file is not None and q.all(0).tolist() == [x for i in range(10) for x in (i, i + 1)] and q.all(0).tolist() == []
+    assert max(len(p) for p in q.take(1)) <= 4
+
+
+def test_suffix_memory_does_not_grow_with_the_text():
+    """Peak memory of ordering a mapped text, in processes of their own: four times the text takes hardly more."""
+    code = """
+import resource, sys
+import numpy as np
+from shapewright.llm import suffixes
+suffixes.PART, suffixes.HELD, suffixes.BASE = 1 << 15, 1 << 20, 1 << 15
+text = suffixes.Disk("<u2")
+rng = np.random.default_rng(1)
+words = [np.append(rng.integers(1, 20, rng.integers(2, 9)), 30) for _ in range(500)]
+for _ in range(int(sys.argv[1])):
+    text.append(np.concatenate([words[i] for i in rng.integers(0, 500, 20000)]).astype(np.uint16))
+text.append(np.zeros(1, np.uint16))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in suffixes.suffix_order(text.mapped(), 31, 100):
+    pass
+# mapped pages count as memory while there is room: they are at most the texts and a byte for each place
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 - 5 * text.n)
+"""
+    grown = [int(subprocess.run([sys.executable, "-c", code, n], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout) for n in ("2", "8")]
+    assert grown[1] < grown[0] + (20 << 20)
 
 
 def brute_removed(pairs):
@@ -199,10 +240,10 @@ def brute_removed(pairs):
 
 
 def test_suffix_dedup(spark, docs, rows, odd, empty):
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.deduplicated(docs.select("doc_id", "text"), digest=True).collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.deduplicated(docs.select("doc_id", "text"), kept="sha256").collect()}
     assert found == brute_removed([(r[0], r[1]) for r in rows])
     assert sum(v[1] for v in found.values()) > 500
-    more = suffix_dedup.deduplicated(odd.select("doc_id", "text"), digest=True).collect()
+    more = suffix_dedup.deduplicated(odd.select("doc_id", "text"), kept="sha256").collect()
     assert len(more) == 6 and sorted((r.n_bytes, r.n_removed) for r in more if r.n_bytes > 5) == [(229, 0), (229, 229), (229, 229)]
     assert suffix_dedup.deduplicated(empty.select("doc_id", "text")).count() == 0
 
@@ -212,10 +253,53 @@ def test_suffix_dedup_periods_and_passages(spark):
     base = "".join(rng.choice("abcdefgh ") for _ in range(260))
     texts = [base[:99], base[:100], base[5:105], "x" * 300, "xy" * 180, base[:40] + "?" + base[41:], "pq" + base[60:230] + "r", base, ("z" * 61 + "k") * 5, "abcdefg " * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.deduplicated(df, digest=True).collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.deduplicated(df, kept="sha256").collect()}
     assert found == brute_removed(list(enumerate(texts)))
 
 
+def test_suffix_dedup_of_frequent_keys(spark, docs, rows):
+    """Keys count as frequent from the second span on: their spans are keyed again."""
+    line = "All rights reserved; this line is in many documents, elsewhere each time."
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) + line + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    more = [*enumerate(texts), *((100 + r[0], r[1]) for r in rows), (300, texts[3] + texts[4]), (301, texts[5][3:] + "?")]
+    found = suffix_dedup.deduplicated(spark.createDataFrame(more, "doc_id bigint, text string"), kept="sha256", frequent_bytes=1)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in found.collect()} == brute_removed(more)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 500])
+def test_shard_on_disk(monkeypatch, held):
+    """A shard that goes to disk piece by piece finds the same starts as one in memory, each in the order of documents."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_HELD", held)
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", 5)
+    rng = random.Random(held)
+    base = "".join(rng.choice("abcd") for _ in range(400)).encode()
+    pieces = [base[a : a + 130] for a in (0, 50, 0, 60, 200, 210, 120, 0, 50)] + [bytes([97 + i]) * 120 for i in range(3)]
+    shard, again = suffix_dedup.Shard(), []
+    for i, p in enumerate(pieces):
+        if not shard.add((0, None if i == 0 else i, 0, 1000), 2, p):
+            again.append(i)
+    got = {(d, s + k - 1000) for b in shard.later_starts() for d, s, n in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True) for k in range(n)}
+    seen, want = set(), set()
+    for i, p in enumerate(pieces):
+        for a in range(len(p) - 99):
+            if p[a : a + 100] in seen:
+                want.add((i, a))
+            seen.add(p[a : a + 100])
+    assert got | {(i, a) for i in again for a in range(len(pieces[i]) - 99)} == want and (shard.text is not None)
+
+
+def test_suffix_dedup_of_extreme_ids_and_ties(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdef ") for _ in range(150))
+    when = datetime(2024, 1, 2, 3, 4, 5, 123456)
+    df = spark.createDataFrame([(-(1 << 63), text, when, "a"), (None, text, when, "b"), (7, text, when, "d"), (7, text, when, "c"), (8, "short", when, "e")], "doc_id bigint, text string, at timestamp, block string")
+    found = suffix_dedup.deduplicated(df).select("doc_id", "n_removed", "rest.block").collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in found)) == sorted([(True, 0, 0), (False, -(1 << 63), 150), (False, 7, 150), (False, 7, 150), (False, 8, 0)])
+    kept = suffix_dedup.without_repeats(df)
+    assert kept.dtypes == df.dtypes and sorted((r.block, r.at) for r in kept.collect()) == [("b", when), ("e", when)]
+
+
 def test_without_repeats_keeps_columns(spark, docs):
     kept = suffix_dedup.without_repeats(docs)
     assert kept.dtypes == docs.dtypes
