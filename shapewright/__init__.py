@@ -13,6 +13,9 @@ _PLACES = {
     "error_rows": "operators.conformance",
     "report": "operators.conformance",
     "csv_rows": "operators.conformance",
+    "error_function": "operators.conformance",
+    "ValueModel": "operators.matcher",
+    "DecodeError": "sources.values",
 }
 
 __all__ = sorted(_PLACES)

@@ -7,14 +7,14 @@ row stands for an absent member; a variant's null is a null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fold
 from ..plans.analysis import SchemaError, Symbols
 from ..plans.syntax import ArrayOf, Enum, Group, Literal, MapOf, Name, Paren, Type, Type1, text_of
-from .matcher import Compiler
+from .matcher import Compiler, at_the_end
 
 
 class NotColumnar(SchemaError):
@@ -27,8 +27,26 @@ _LONG_MOST = (1 << 63) - 1
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z"
 _URI = r"^[A-Za-z][A-Za-z0-9+.-]*:([A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]|%[0-9A-Fa-f]{2})*\z"
 _B64URL = r"^(?:[A-Za-z0-9_-]{4})*(?:[A-Za-z0-9_-][AQgw]|[A-Za-z0-9_-]{2}[AEIMQUYcgkosw048])?\z"
+#: What stands behind a JSON text while it is parsed.
+_END = "\\u0001 end of the document \\u0001"
 
 
+def parsed_json(text: Column) -> Column:
+    """The variant of a text that is one JSON document and nothing else; null for other texts. Of a repeated key the last value counts.
+
+    Parsing stops after a document, whatever follows. So the text is parsed as the first of two items of an array, the other of which must be
+    there in the end. Texts that hold that other item are parsed as an array's only item and as an object's only value: no
+    text but one document fits into both.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    two = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    end = F.lit(_END.replace("\\u0001", "\u0001"))
+    whole = ~text.contains(_END) & (F.try_variant_get(two, "$[1]", "string") == end)
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}")))
+    odd = text.contains(_END) & alone.isNotNull() & named.isNotNull()
+    return F.when(whole, F.try_variant_get(two, "$[0]", "variant")).when(odd, F.try_variant_get(alone, "$[0]", "variant"))
+
 
 class Value:
     """A typed column: predicates and parts of it."""
@@ -309,7 +327,7 @@ class Columns:
             if len(parts) == 2 and parts[1][0] and len(parts[1][0]) == 1 and parts[0][1] in ("tstr", "text"):
                 return _and(target, s.endswith(parts[1][0][0]))
         if op == ".json":
-            inner = Variant(F.try_parse_json(s))
+            inner = Variant(parsed_json(s))
             return _and(target, inner.col.isNotNull(), self.type2(c, env, inner))
         raise NotColumnar(f"{op} needs the matcher")
 
@@ -323,7 +341,8 @@ class Columns:
         if op == ".regexp" and re.search(r"\(\?<?[=!]", text):
             raise SchemaError("this kind of expression has no look-around")
         text = re.sub(r"\(\?P?<([A-Za-z_][\w-]*)>", lambda m: "(?<" + re.sub(r"[-_]", "", m[1]) + ">", text)
-        return "(?U)" + (text if op == ".regexp" else rf"^(?:{text})\z")
+        text = at_the_end(text, r"\z")
+        return "(?Ud)" + (text if op == ".regexp" else rf"^(?:{text})\z")
 
     def size(self, c, env: dict, v: Value) -> Column:
         values = self.names.folded(c, env)
@@ -398,7 +417,6 @@ class Columns:
         return F.lit(False)
 
     def variant_map(self, members: list, table: tuple | None, v: Variant) -> Column:
-        pairs = F.expr("cast(NULL as map<string,variant>)")
         pairs = F.try_variant_get(v.col, "$", "map<string,variant>")
         return self.map_column(members, table, pairs, T.VariantType())
 

@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 
 from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
-from ..sources.values import DecodeError, Map, csv_records, from_cbor, from_csv, from_json
-from .columns import Columns, NotColumnar, Value, Variant
-from .matcher import Compiler, run
+from ..sources.values import DecodeError, Map, coerced, csv_records, from_cbor, from_csv, from_json
+from .columns import Columns, NotColumnar, Value, Variant, parsed_json
+from .matcher import Compiler, ValueModel, run
+from .shipping import ship
 
-ERRORS = T.ArrayType(
-    T.StructType([T.StructField(n, T.StringType()) for n in ("reason", "location", "rule")] + [T.StructField(n, T.BooleanType()) for n in ("multi_type_choice", "multi_group_choice", "group_enum")] + [T.StructField("entry_name", T.StringType())])
-)
-_ARROW_ERRORS = pa.list_(pa.struct([("reason", pa.string()), ("location", pa.string()), ("rule", pa.string()), ("multi_type_choice", pa.bool_()), ("multi_group_choice", pa.bool_()), ("group_enum", pa.bool_()), ("entry_name", pa.string())]))
+#: Of documents that can't be decoded: decode_error is the kind, offset the byte or letter where it is known.
+_ERROR = T.StructType([T.StructField(n, T.StringType()) for n in ("reason", "location", "rule")] + [T.StructField(n, T.BooleanType()) for n in ("multi_type_choice", "multi_group_choice", "group_enum")] + [T.StructField("entry_name", T.StringType()), T.StructField("decode_error", T.StringType()), T.StructField("offset", T.LongType())])
+ERRORS = T.ArrayType(_ERROR)
+_FIELDS = _ERROR.names
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+_ARROW_ERRORS = pa.list_(pa.struct([(f.name, _ARROW[f.dataType.simpleString()]) for f in _ERROR]))
 
 
 def as_schema(schema: Schema | str) -> Schema:
@@ -37,10 +40,10 @@ def valid_column(df: DataFrame, schema: Schema | str, on: str | list[str], forma
     if format == "json":
         if not isinstance(df.schema[on].dataType, T.StringType):
             raise TypeError(f"{on} isn't text")
-        parsed = F.try_parse_json(F.col(f"`{on}`"))
+        parsed = parsed_json(F.col(f"`{on}`"))
         return parsed.isNotNull() & compiler.root(root, Variant(parsed))
     if format != "row":
-        raise NotColumnar(f"{format} needs the matcher")
+        raise NotColumnar("this format needs the matcher")
     if isinstance(on, list):
         kind = T.StructType([df.schema[c] for c in on])
         return compiler.root(root, Value(F.struct(*(F.col(f"`{c}`") for c in on)), kind))
@@ -64,7 +67,9 @@ def from_row(value):
     return value
 
 
-def _decoder(format: str, has_header: bool):
+def _decoder(format: str | ValueModel, has_header: bool):
+    if isinstance(format, ValueModel):
+        return format.decode
     if format == "json":
         return from_json
     if format == "cbor":
@@ -76,26 +81,29 @@ def _decoder(format: str, has_header: bool):
     raise ValueError(f"format is json, cbor, csv or row, not {format}")
 
 
-def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: str = "json", root: str | None = None, features: list[str] | None = None, errors: bool = False, tier: str = "auto", has_header: bool = False) -> DataFrame:
+def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: str | ValueModel = "json", root: str | None = None, features: list[str] | None = None, errors: bool = False, tier: str = "auto", has_header: bool = False) -> DataFrame:
     """df with ``valid`` (never null), and with ``errors`` their list.
 
-    tier: "columns" for column expressions, "matcher" for the matcher over Arrow batches, "auto" for columns where the schema allows them.
-    Errors come from the matcher. A null document is not valid. JSON documents with repeated keys need the matcher: in columns they are
-    not valid. In rows, a null field is an absent member.
+    tier: "columns" for column expressions, "matcher" for the matcher over Arrow arrays, "auto" for columns where the schema allows them.
+    Errors come from the matcher, which gets the documents that the columns find not valid. A null document is not valid. Of repeated
+    keys of a JSON object the last counts. In rows, a null field is an absent member. ``format`` may be a ValueModel of your own.
     """
     schema = as_schema(schema)
     if tier not in ("auto", "columns", "matcher"):
         raise ValueError(f"no tier {tier}")
-    if not errors and tier != "matcher":
+    good = None
+    if tier != "matcher":
         try:
-            return df.withColumn("valid", F.coalesce(valid_column(df, schema, on, format, root, features), F.lit(False)))
+            good = F.coalesce(valid_column(df, schema, on, format, root, features), F.lit(False))
         except NotColumnar:
             if tier == "columns":
                 raise
+    if good is not None and not errors:
+        return df.withColumn("valid", good)
     if isinstance(on, list):
         made = df.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in on)))
-        return _matched(made, schema, "_row", format, root, features, errors, has_header).drop("_row")
-    return _matched(df, schema, on, format, root, features, errors, has_header)
+        return _matched(made, schema, "_row", format, root, features, errors, has_header, good).drop("_row")
+    return _matched(df, schema, on, format, root, features, errors, has_header, good)
 
 
 def conforming(df: DataFrame, schema: Schema | str, on: str | list[str], format: str = "json", root: str | None = None, features: list[str] | None = None) -> DataFrame:
@@ -106,29 +114,46 @@ def conforming(df: DataFrame, schema: Schema | str, on: str | list[str], format:
         return validate(df, schema, on, format, root, features).filter("valid").drop("valid")
 
 
-def _matched(df: DataFrame, schema: Schema, on: str, format: str, root: str | None, features: list[str] | None, errors: bool, has_header: bool) -> DataFrame:
-    model = "cbor" if format == "cbor" else "json"
+def _failure(reason: str, kind: str | None = None, offset: int | None = None) -> dict:
+    return dict(zip(_FIELDS, (reason, "", "", False, False, False, "", kind, offset), strict=True))
+
+
+def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, root: str | None, features: list[str] | None, errors: bool, has_header: bool, good: Column | None = None) -> DataFrame:
+    """valid and errors by the matcher, which is sent the documents alone; with ``good`` only those for which it doesn't hold."""
+    model = format if isinstance(format, ValueModel) else "cbor" if format == "cbor" else "json"
     Compiler(schema.symbols, model, features).root(root)  # a bad schema fails here, not on executors
+    ship(df.sparkSession)
     decode = _decoder(format, has_header)
-    at, columns = df.columns.index(on), df.columns
+    fields = [T.StructField("valid", T.BooleanType())] + [T.StructField("errors", ERRORS)] * errors
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         check = Compiler(schema.symbols, model, features).root(root)
-        for batch in parts:
+        for docs in parts:
             valid, found = [], []
-            for doc in batch.column(at).to_pylist():
-                try:
-                    ok, why = (False, [("no document", "", "", False, False, False, "")]) if doc is None else run(check, decode(doc))
-                except DecodeError as e:
-                    ok, why = False, [(f"decode: {e}", "", "", False, False, False, "")]
+            for doc in docs.to_pylist():
+                why: list = []
+                if doc is None:
+                    ok, why = False, [_failure("no document")]
+                else:
+                    try:
+                        ok, texts = run(check, decode(doc))
+                        why = [dict(zip(_FIELDS, (*e, None, None), strict=True)) for e in texts] if errors else why
+                    except DecodeError as e:
+                        ok, why = False, [_failure(f"decode: {e}", e.kind, e.offset)]
                 valid.append(ok)
-                if errors:
-                    found.append([dict(zip(("reason", "location", "rule", "multi_type_choice", "multi_group_choice", "group_enum", "entry_name"), e, strict=True)) for e in why])
-            more = [pa.array(valid, pa.bool_())] + ([pa.array(found, _ARROW_ERRORS)] if errors else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, "valid"] + ["errors"] * errors)
+                found.append(why)
+            columns = [pa.array(valid, pa.bool_())] + ([pa.array(found, _ARROW_ERRORS)] if errors else [])
+            yield pa.StructArray.from_arrays(columns, ["valid", "errors"][: 1 + errors])
 
-    out = T.StructType([*df.schema.fields, T.StructField("valid", T.BooleanType(), False)] + [T.StructField("errors", ERRORS)] * errors)
-    return df.mapInArrow(batches, out)
+    judge = F.arrow_udf(judged, T.StructType(fields))
+    if not errors:
+        return df.withColumn("valid", judge(F.col(f"`{on}`"))["valid"])
+    judge = judge.asNondeterministic()  # both fields come from one call
+    if good is None:
+        made = df.withColumn("_judged", judge(F.col(f"`{on}`")))
+        return made.select(*(F.col(f"`{c}`") for c in df.columns), F.col("_judged.valid").alias("valid"), F.col("_judged.errors").alias("errors"))
+    made = df.withColumn("valid", good).withColumn("_judged", judge(F.when(~F.col("valid"), F.col(f"`{on}`"))))
+    return made.select(*(F.col(f"`{c}`") for c in df.columns), "valid", F.when(F.col("valid"), F.lit([]).cast(ERRORS)).otherwise(F.col("_judged.errors")).alias("errors"))
 
 
 def error_rows(df: DataFrame, schema: Schema | str, on: str, **how) -> DataFrame:
@@ -159,23 +184,49 @@ def csv_rows(df: DataFrame, schema: Schema | str, on: str, has_header: bool = Fa
     entries = target.group.choices[0]
     if any(isinstance(e.value, Group) for e in entries) or any(e.low != e.high for e in entries[:-1]):
         raise NotColumnar("only the last record may repeat")
-    kept, at = df.columns, df.columns.index(on)
+    ship(df.sparkSession)
+    record = T.StructType([T.StructField("row", T.LongType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("valid", T.BooleanType())])
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Compiler(schema.symbols, "json")
         checks = [own.type(e.value, env) for e in entries for _ in range(e.low if e.low == e.high else 1)]
         fixed = len(checks) - (bool(entries) and entries[-1].low != entries[-1].high)
-        for batch in parts:
-            which, number, fields, valid = [], [], [], []
-            for i, text in enumerate(batch.column(at).to_pylist()):
+        for texts in parts:
+            fields, number, valid, until = [], [], [], [0]
+            for text in texts.to_pylist():
                 records = csv_records(text or "")
-                for k, (record, value) in enumerate(zip(records, from_csv(text or "", has_header), strict=True)):
+                for k, r in enumerate(records):
                     check = checks[k] if k < fixed else checks[-1] if fixed < len(checks) else None
-                    which.append(i)
                     number.append(k)
-                    fields.append(record)
-                    valid.append(check is not None and run(check, value)[0])
-            where = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(where) for c in batch.columns), pa.array(number, pa.int64()), pa.array(fields, pa.list_(pa.string())), pa.array(valid, pa.bool_())], [*kept, "row", "fields", "valid"])
+                    valid.append(check is not None and run(check, list(r) if has_header and k == 0 else [coerced(f) for f in r])[0])
+                fields += records
+                until.append(len(fields))
+            rows = pa.StructArray.from_arrays([pa.array(number, pa.int64()), pa.array(fields, pa.list_(pa.string())), pa.array(valid, pa.bool_())], record.names)
+            yield pa.ListArray.from_arrays(pa.array(until, pa.int32()), rows)
+
+    found = df.withColumn("_record", F.explode(F.arrow_udf(judged, T.ArrayType(record))(F.col(f"`{on}`"))))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), "_record.*")
+
+
+def error_function(schema: Schema | str, format: str | ValueModel = "json", root: str | None = None, features: list[str] | None = None, has_header: bool = False):
+    """A table function of one document: a row for each error. ``spark.udtf.register(name, error_function(schema))`` makes it one of SQL."""
+    schema = as_schema(schema)
+    model = format if isinstance(format, ValueModel) else "cbor" if format == "cbor" else "json"
+    Compiler(schema.symbols, model, features).root(root)
+    decode = _decoder(format, has_header)
 
-    return df.mapInArrow(batches, T.StructType([*df.schema.fields, T.StructField("row", T.LongType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("valid", T.BooleanType())]))
+    class Errors:
+        def __init__(self) -> None:
+            self.check = Compiler(schema.symbols, model, features).root(root)
+
+        def eval(self, document):
+            if document is None:
+                yield tuple(_failure("no document").values())
+                return
+            try:
+                found = [(*e, None, None) for e in run(self.check, decode(document))[1]]
+            except DecodeError as e:
+                found = [tuple(_failure(f"decode: {e}", e.kind, e.offset).values())]
+            yield from found
+
+    return F.udtf(Errors, returnType=_ERROR)

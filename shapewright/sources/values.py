@@ -5,6 +5,8 @@ Integers are int, other numbers float, text str, byte strings bytes; maps are ``
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import math
 import re
@@ -13,7 +15,11 @@ from dataclasses import dataclass
 
 
 class DecodeError(ValueError):
-    """A document that isn't well formed."""
+    """A document that isn't well formed: its kind is "end", "syntax", "content" or "depth", and where it was seen, if known."""
+
+    def __init__(self, text: str, kind: str = "syntax", offset: int | None = None):
+        super().__init__(text)
+        self.kind, self.offset = kind, offset
 
 
 @dataclass(frozen=True)
@@ -60,7 +66,7 @@ def from_json(text: str):
     try:
         return json.loads(text, object_pairs_hook=pairs, parse_int=_integer, parse_constant=_constant)
     except (ValueError, RecursionError) as e:
-        raise DecodeError(str(e)) from None
+        raise DecodeError(str(e), "depth" if isinstance(e, RecursionError) else "syntax", getattr(e, "pos", None)) from None
 
 
 class _Reader:
@@ -70,20 +76,20 @@ class _Reader:
     def take(self, n: int) -> bytes:
         part = self.data[self.at : self.at + n]
         if len(part) < n:
-            raise DecodeError(f"the document ends inside an item, at byte {len(self.data)}")
+            raise DecodeError(f"the document ends inside an item, at byte {len(self.data)}", "end", len(self.data))
         self.at += n
         return part
 
     def item(self, depth: int = 0, stop: bool = False):
         if depth > 400:
-            raise DecodeError("nested too deeply")
+            raise DecodeError("nested too deeply", "depth", self.at)
         at = self.at
         first = self.take(1)[0]
         major, info = first >> 5, first & 31
         if first == 0xFF:
             if stop:
                 return _BREAK
-            raise DecodeError(f"a break at byte {at}")
+            raise DecodeError(f"a break at byte {at}", "syntax", at)
         if info < 24:
             n = info
         elif info < 28:
@@ -91,7 +97,7 @@ class _Reader:
         elif info == 31 and major in (2, 3, 4, 5):
             n = None
         else:
-            raise DecodeError(f"a reserved head at byte {at}")
+            raise DecodeError(f"a reserved head at byte {at}", "syntax", at)
         if major == 0:
             return n
         if major == 1:
@@ -101,7 +107,7 @@ class _Reader:
                 parts = []
                 while (part := self.item(depth + 1, True)) is not _BREAK:
                     if type(part) is not (bytes if major == 2 else str):
-                        raise DecodeError(f"a chunk of another kind before byte {self.at}")
+                        raise DecodeError(f"a chunk of another kind before byte {self.at}", "content", self.at)
                     parts.append(part)
                 return (b"" if major == 2 else "").join(parts)
             part = self.take(n)
@@ -110,7 +116,7 @@ class _Reader:
             try:
                 return part.decode()
             except UnicodeDecodeError:
-                raise DecodeError(f"text that isn't UTF-8 at byte {at}") from None
+                raise DecodeError(f"text that isn't UTF-8 at byte {at}", "content", at) from None
         if major == 4:
             out = []
             while n is None or len(out) < n:
@@ -136,7 +142,7 @@ class _Reader:
         if info == 27:
             return struct.unpack(">d", n.to_bytes(8, "big"))[0]
         if info == 24 and n < 32:
-            raise DecodeError(f"a simple value of two bytes at byte {at}")
+            raise DecodeError(f"a simple value of two bytes at byte {at}", "content", at)
         return {20: False, 21: True, 22: None, 23: UNDEFINED}.get(n, Simple(n))
 
 
@@ -148,7 +154,7 @@ def from_cbor(data: bytes, allow_trailing: bool = False):
     reader = _Reader(bytes(data))
     value = reader.item()
     if reader.at != len(data) and not allow_trailing:
-        raise DecodeError(f"bytes follow the item, from byte {reader.at} on")
+        raise DecodeError(f"bytes follow the item, from byte {reader.at} on", "syntax", reader.at)
     return value
 
 
@@ -219,42 +225,13 @@ def cbor_from_text(text: str) -> bytes:
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except ValueError:
-        raise DecodeError("neither hex digits nor base 64") from None
+        raise DecodeError("neither hex digits nor base 64", "content") from None
 
 
 def csv_records(text: str) -> list[list[str]]:
     """Records of CSV text; they may differ in length. Empty lines are no records."""
-    out, record, field, quoted, at, n = [], [], [], False, 0, len(text)
-    begun = False
-    while at < n:
-        c = text[at]
-        if quoted:
-            if c == '"':
-                if text[at + 1 : at + 2] == '"':
-                    field.append('"')
-                    at += 1
-                else:
-                    quoted = False
-            else:
-                field.append(c)
-        elif c == '"' and not field:
-            quoted = begun = True
-        elif c == ",":
-            record.append("".join(field))
-            field, begun = [], True
-        elif c in "\r\n":
-            if begun or field or record:
-                record.append("".join(field))
-                out.append(record)
-            record, field, begun = [], [], False
-        else:
-            field.append(c)
-            begun = True
-        at += 1
-    if begun or field or record:
-        record.append("".join(field))
-        out.append(record)
-    return out
+    csv.field_size_limit(1 << 30)
+    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
 
 
 _UINT, _SINT = re.compile(r"\+?[0-9]+"), re.compile(r"[+-]?[0-9]+")
