@@ -4,12 +4,16 @@ Files, all Parquet, below one folder:
 
 ``chunks``    digest, n_ids, data: each distinct run of ids once; data are little-endian ids, 2 bytes each where the vocabulary
               has at most 65,536 ids, else 4.
-``recipes``   shard, row, doc_id, first, n_tokens, refs: shards hold ascending ranges of doc_id and rows ascend in each; refs is the
-              document's chunk digests (16 bytes each) in order; first counts the ids that precede it in its shard.
-``manifest``  shard, n_docs, n_tokens, first, root: the Merkle root over the shard's recipes and the number of ids before it.
+``recipes``   shard, row, doc_id, first, n_tokens, refs, sizes: shards hold ascending ranges of doc_id and rows ascend in each; refs is the
+              document's chunk digests (16 bytes each) in order, sizes their numbers of ids (2 bytes each); first counts the ids that
+              precede it in its shard. Row -1 of a shard is its footer: first is its number of documents, n_tokens that of ids, refs the
+              Merkle root over its recipes.
+``manifest``  shard, n_docs, n_tokens, first, root: the shards' footers, and the number of ids before each. Shard -1 has the sums and the
+              Merkle root over the other rows.
 
 A rolling hash over the last 16 ids cuts a document's ids where its low bits are zero, so that equal passages give equal chunks
-whatever precedes them. Reading verifies each chunk against its digest and each shard against its root.
+whatever precedes them. Reading verifies the manifest, footers, recipes and chunks, and that each recipe finds its chunks; what doesn't
+fit raises an error.
 
 Null text is an empty text. Rows with a null doc_id come first, equal doc_ids keep each its own recipe. Other columns play no part.
 An empty table gives an empty store.
@@ -81,7 +85,7 @@ def digest(data: bytes) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, refs, fresh: the chunks that this task has not sent before."""
+    """doc_id, n_tokens, refs, sizes, and fresh: the chunks that this task has not sent before."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +93,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = end_id.to_bytes(encode.width, "little")
         sent: set[bytes] = set()
         for batch in blocks(batches):
-            counts, refs, until = [], [], [0]
+            counts, refs, lengths, until = [], [], [], [0]
             keys: list[bytes] = []
             sizes: list[int] = []
             chunks: list[bytes] = []
@@ -97,7 +101,9 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for text in raw(batch.column(1)):
                 data = encode.ids(text) + end
                 ref, at = [], 0
-                for to in cuts(np.frombuffer(data, encode.dtype)):
+                ends = cuts(np.frombuffer(data, encode.dtype))
+                lengths.append(np.diff(ends, prepend=0).astype("<u2").tobytes())
+                for to in ends:
                     chunk = data[at * width : to * width]
                     key = digest(chunk)
                     ref.append(key)
@@ -114,9 +120,9 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 until.append(len(keys))
             fresh = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(chunks, pa.binary())], ["digest", "n_ids", "data"])
             fresh = pa.ListArray.from_arrays(pa.array(until, pa.int32()), fresh)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(refs, pa.binary()), fresh], ["doc_id", "n_tokens", "refs", "fresh"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(refs, pa.binary()), pa.array(lengths, pa.binary()), fresh], ["doc_id", "n_tokens", "refs", "sizes", "fresh"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, refs binary, fresh array<struct<digest: binary, n_ids: int, data: binary>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, refs binary, sizes binary, fresh array<struct<digest: binary, n_ids: int, data: binary>>")
 
 
 def _merkle(leaves: list[bytes]) -> bytes:
@@ -147,8 +153,9 @@ class _Tree:
         return carry[0] if carry else digest(b"")
 
 
-def _leaf(doc_id, n_tokens: int, refs: bytes) -> bytes:
-    return digest(repr((doc_id, n_tokens)).encode() + refs)
+def _leaf(*values) -> bytes:
+    """The digest of a row's values."""
+    return digest(repr(values).encode())
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2) -> str:
@@ -166,55 +173,46 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, row, first = TaskContext.get().partitionId(), 0, 0
+        shard, row, first, tree = TaskContext.get().partitionId(), 0, 0, _Tree()
+        names = ["shard", "row", "doc_id", "first", "n_tokens", "refs", "sizes"]
+        last = None
         for batch in batches:
             counts = batch.column(1).to_numpy()
             n = len(counts)
             before = first + np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0), pa.array(before), *batch.columns[1:]], ["shard", "row", "doc_id", "first", "n_tokens", "refs"])
-            row, first = row + n, first + int(counts.sum())
-
-    ordered = made.select("doc_id", "n_tokens", "refs").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(in_order, f"shard int, row bigint, doc_id {kind}, first bigint, n_tokens bigint, refs binary").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    roots = sorted(shard_roots(spark, folder).collect())  # a row for each shard
+            for leaf in zip(batch.column(0).to_pylist(), before.tolist(), counts.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                tree.add(_leaf(*leaf))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0), pa.array(before), *batch.columns[1:]], names)
+            row, first, last = row + n, first + int(counts.sum()), batch
+        if row:
+            nothing = pa.nulls(1, last.column(0).type)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1]), nothing, pa.array([row]), pa.array([first]), pa.array([tree.root()], pa.binary()), pa.array([b""], pa.binary())], names)
+
+    ordered = made.select("doc_id", "n_tokens", "refs", "sizes").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(in_order, f"shard int, row bigint, doc_id {kind}, first bigint, n_tokens bigint, refs binary, sizes binary").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     first, rows = 0, []
-    for r in roots:
-        rows.append((r.shard, r.n_docs, r.n_tokens, first, bytes(r.root)))
-        first += r.n_tokens
+    for shard, n_docs, n_tokens, root in _footers(spark, folder):
+        rows.append((shard, n_docs, n_tokens, first, root))
+        first += n_tokens
+    rows.append((-1, sum(r[1] for r in rows), first, 0, _merkle([_leaf(*r) for r in rows])))
     spark.createDataFrame(rows, "shard int, n_docs bigint, n_tokens bigint, first bigint, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
     return folder
 
 
-def shard_roots(spark: SparkSession, folder: str) -> DataFrame:
-    """shard, n_docs, n_tokens, root: computed from the recipe files, each of which holds rows of one shard in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree, docs, tokens = None, _Tree(), 0, 0
-
-        def out():
-            return pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": docs, "n_tokens": tokens, "root": tree.root()}], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
+def _footers(spark: SparkSession, folder: str) -> list[tuple]:
+    """(shard, n_docs, n_tokens, root) of each shard, as many as the store was written with partitions."""
+    rows = spark.read.parquet(f"{folder}/recipes").filter("row = -1").select("shard", "first", "n_tokens", "refs").collect()
+    return sorted((r.shard, r.first, r.n_tokens, bytes(r.refs)) for r in rows)
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["shard"] != shard:
-                    if shard is not None:
-                        yield out()
-                    shard, tree, docs, tokens = r["shard"], _Tree(), 0, 0
-                tree.add(_leaf(r["doc_id"], r["n_tokens"], r["refs"]))
-                docs, tokens = docs + 1, tokens + r["n_tokens"]
-        if shard is not None:
-            yield out()
 
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    # the rows of a shard may come from several splits of its file: one task gets them all, in order
-    narrow = recipes.select("shard", "row", "doc_id", "n_tokens", "refs").repartition(partitions(spark), "shard").sortWithinPartitions("shard", "row")
-    return narrow.mapInArrow(run, "shard int, n_docs bigint, n_tokens bigint, root binary")
-
-
-def verify(spark: SparkSession, folder: str) -> DataFrame:
-    """shard, intact: whether the recipes still give the manifest's root."""
-    manifest = spark.read.parquet(f"{folder}/manifest").select("shard", F.col("root").alias("was"))
-    return manifest.join(shard_roots(spark, folder), "shard", "left").select("shard", F.coalesce(F.col("root") == F.col("was"), F.lit(False)).alias("intact"))
+def verified_manifest(spark: SparkSession, folder: str) -> dict[int, int]:
+    """The number of ids before each shard. A manifest that doesn't fit its root or the shards' footers raises."""
+    rows = sorted((r.shard, r.n_docs, r.n_tokens, r.first, bytes(r.root)) for r in spark.read.parquet(f"{folder}/manifest").collect())
+    if not rows or rows[0][0] != -1 or rows[0][1:] != (sum(r[1] for r in rows[1:]), sum(r[2] for r in rows[1:]), 0, _merkle([_leaf(*r) for r in rows[1:]])):
+        raise ValueError("the manifest doesn't match its root")
+    if [(s, d, t, root) for s, d, t, _, root in rows[1:]] != _footers(spark, folder):
+        raise ValueError("shards' footers don't match the manifest")
+    return {r[0]: r[3] for r in rows[1:]}
 
 
 def _shift_tables() -> np.ndarray:
@@ -253,6 +251,19 @@ def crc_before(crc: np.ndarray, zeros: np.ndarray, tables: np.ndarray) -> np.nda
     return crc
 
 
+def _verified_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """chunks as they are; one that fails its digest raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if digest(data) != key:
+                    raise ValueError(f"chunk {key.hex()} doesn't match its digest")
+            yield batch
+
+    return spark.read.parquet(f"{folder}/chunks").select("digest", "n_ids", "data").mapInArrow(run, "digest binary, n_ids int, data binary")
+
+
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """digest, n_ids, crc of the ids as little-endian unsigned 32-bit integers; a chunk that fails its digest raises."""
 
@@ -269,25 +280,69 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _exploded(spark: SparkSession, folder: str) -> DataFrame:
-    """shard, row, doc_id, first, place, digest: a row for each chunk of each recipe."""
+    """shard, row, doc_id, start, n_tokens, digest, n_ids, place, after: a row for each chunk of each verified recipe; after counts the ids behind it."""
+    before = verified_manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     kind = dict(recipes.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            refs = raw(batch.column(4))
-            n = np.array([len(r) // DIGEST for r in refs], np.int64)
-            which = pa.array(np.repeat(np.arange(len(n)), n))
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys = pa.Array.from_buffers(pa.binary(DIGEST), len(place), [None, pa.py_buffer(b"".join(refs))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(which) for i in range(4)), pa.array(place), keys], ["shard", "row", "doc_id", "first", "place", "digest"])
+        shard, tree, docs, tokens, footer = None, _Tree(), 0, 0, None
 
-    return recipes.select("shard", "row", "doc_id", "first", "refs").mapInArrow(run, f"shard int, row bigint, doc_id {kind}, first bigint, place bigint, digest binary")
+        def close() -> None:
+            if shard is not None and footer != (docs, tokens, tree.root()):
+                raise ValueError(f"the recipes of shard {shard} don't match its root")
+
+        for batch in batches:
+            table = [c.to_pylist() for c in batch.columns]
+            rows = []
+            for i, (s, row, doc, first, n, refs, sizes) in enumerate(zip(*table, strict=True)):
+                if s != shard:
+                    close()
+                    shard, tree, docs, tokens, footer = s, _Tree(), 0, 0, None
+                if row == -1:
+                    footer = (first, n, refs)
+                    continue
+                if first != tokens or row != docs:
+                    raise ValueError(f"row {row} of shard {s} isn't where it was")
+                tree.add(_leaf(doc, first, n, refs, sizes))
+                docs, tokens = docs + 1, tokens + n
+                rows.append(i)
+            if not rows:
+                continue
+            ids = [np.frombuffer(table[6][i], "<u2").astype(np.int64) for i in rows]
+            n = np.array([len(x) for x in ids], np.int64)
+            n_ids = np.concatenate(ids)
+            ends = np.cumsum(n)
+            total = np.add.reduceat(n_ids, ends - n)
+            n_tokens = batch.column(4).to_numpy()[rows]
+            if (total != n_tokens).any() or sum(len(table[5][i]) for i in rows) != DIGEST * ends[-1]:
+                raise ValueError(f"a recipe of shard {shard} has not the ids that it says")
+            which = np.repeat(np.arange(len(rows)), n)
+            sums = np.cumsum(n_ids)
+            after = sums[ends - 1][which] - sums
+            keys = pa.Array.from_buffers(pa.binary(DIGEST), len(which), [None, pa.py_buffer(b"".join(table[5][i] for i in rows))]).cast(pa.binary())
+            start = batch.column(3).to_numpy()[rows] + np.array([before[table[0][i]] for i in rows])
+            at = np.array(rows)[which]
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(start[which]), pa.array(n_tokens[which]), keys, pa.array(n_ids.astype(np.int32)), pa.array(np.arange(len(which)) - (ends - n)[which]), pa.array(after)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "doc_id", "start", "n_tokens", "digest", "n_ids", "place", "after"])
+        close()
+
+    # the rows of a shard may come from several splits of its file: one task gets them all, in order, the footer first
+    narrow = recipes.select("shard", "row", "doc_id", "first", "n_tokens", "refs", "sizes").repartition(partitions(spark), "shard").sortWithinPartitions("shard", "row")
+    return narrow.mapInArrow(run, f"shard int, row bigint, doc_id {kind}, start bigint, n_tokens bigint, digest binary, n_ids int, place bigint, after bigint")
+
+
+def _found(parts: DataFrame, chunks: DataFrame, value: str) -> DataFrame:
+    """parts with their chunks' ``value``; a chunk that is missing or has another number of ids raises."""
+    joined = parts.join(chunks.withColumnRenamed("n_ids", "_has"), "digest", "left")
+    wrong = F.col("_has").isNull() | (F.col("_has") != F.col("n_ids"))
+    return joined.withColumn(value, F.when(wrong, F.raise_error(F.concat(F.lit("no such chunk: "), F.hex("digest")))).otherwise(F.col(value)))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids: the documents' ids, put together from the store."""
-    parts = _exploded(spark, folder).join(spark.read.parquet(f"{folder}/chunks"), "digest")
+    ship(spark)
+    parts = _found(_exploded(spark, folder), _verified_chunks(spark, folder), "data")
     whole = parts.groupBy("shard", "row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "n_ids", "data"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,29 +360,17 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     carried over the bytes that follow it. So no ids travel, and a chunk that a third of the documents share costs a row each.
     """
     ship(spark)
-    manifest = spark.read.parquet(f"{folder}/manifest").select("shard", F.col("first").alias("before"), "root")
-    if not verify(spark, folder).filter(~F.col("intact")).isEmpty():
-        raise ValueError("a recipe shard doesn't match the manifest")
-    parts = _exploded(spark, folder).join(read_chunks(spark, folder), "digest").select("shard", "row", "doc_id", "first", "place", "n_ids", "crc")
-    whole = parts.groupBy("shard", "row", "doc_id", "first").agg(F.array_sort(F.collect_list(F.struct("place", "n_ids", "crc"))).alias("parts"), F.sum("n_ids").alias("n_tokens"))
-    kind = dict(whole.dtypes)["doc_id"]
+    parts = _found(_exploded(spark, folder), read_chunks(spark, folder), "crc").select("shard", "row", "doc_id", "start", "n_tokens", "crc", "after")
+    kind = dict(parts.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _shift_tables()
         for batch in batches:
-            lists = batch.column(4)
-            flat = lists.flatten()
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            n = flat.field("n_ids").to_numpy().astype(np.int64) * 4
-            sums = np.concatenate([[0], np.cumsum(n)])
-            after = np.repeat(sums[starts[1:]], np.diff(starts)) - sums[1:]
-            shares = crc_before(flat.field("crc").to_numpy(), after, tables)
-            crc = np.bitwise_xor.reduceat(shares, starts[:-1]) if len(starts) > 1 else shares
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(crc.astype(np.int64))], ["shard", "row", "doc_id", "first", "n_tokens", "ids_crc32"])
-
-    read = whole.mapInArrow(run, f"shard int, row bigint, doc_id {kind}, first bigint, n_tokens bigint, ids_crc32 bigint")
-    # the manifest has a row for each shard, as many as the job has shuffle partitions
-    return read.join(F.broadcast(manifest), "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+            share = crc_before(batch.column(5).to_numpy(), batch.column(6).to_numpy() * 4, tables)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(share.astype(np.int64))], ["shard", "row", "doc_id", "start", "n_tokens", "share"])
+
+    shares = parts.mapInArrow(carried, f"shard int, row bigint, doc_id {kind}, start bigint, n_tokens bigint, share bigint")
+    return shares.groupBy("shard", "row", "doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,11 +46,9 @@ class _Recent(dict):
         super().__init__()
         self.half, self.old = most // 2, {}
 
-    def keep(self, key, value) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            super().clear()
-        self[key] = value
+    def turn(self) -> None:
+        self.old = dict(self)
+        super().clear()
 
     def clear(self) -> None:
         super().clear()
@@ -58,21 +56,22 @@ class _Recent(dict):
 
 
 class _Pieces(_Recent):
-    """piece (lower case, byte-level letters) -> its ids."""
+    """piece (lower case) -> its ids."""
 
     def __init__(self, model, width: int):
         super().__init__(CACHE_WORDS // 2)
-        self.model, self.code, self.width = model, {2: "H", 4: "I"}[width], width
+        self.model, self.code, self.letters = model, {2: "H", 4: "I"}[width], _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        if (found := self.old.get(piece)) is not None:
-            self.keep(piece, found)
-            return found
-        found = array(self.code, [t.id for t in self.model.tokenize(piece)])
-        if byteorder == "big":
-            found.byteswap()
-        found = found.tobytes()
-        self.keep(piece, found)
+        if (found := self.old.get(piece)) is None:
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = array(self.code, [t.id for t in self.model.tokenize(spelled)])
+            if byteorder == "big":
+                found.byteswap()
+            found = found.tobytes()
+        if len(self) >= self.half:
+            self.turn()
+        self[piece] = found
         return found
 
 
@@ -84,37 +83,27 @@ class WordEncoder(_Recent):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.dtype[-1])
-        self.letters = _byte_letters()
         self.pieces = _Pieces(self.tokenizer.model, self.width)
 
     def _by_library(self, text: str) -> bytes:
         return b"".join(i.to_bytes(self.width, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        if (found := self.old.get(word)) is not None:
-            self.keep(word, found)
-            return found
-        if word.isascii():
-            text = word.decode().lower()
-            letters = None
-        else:
+        if (found := self.old.get(word)) is None:
             text = word.decode()
-            letters = self.letters
-            if not _PLAIN.fullmatch(text):
+            low = text.lower()
+            core = low.rstrip(_TAIL)
+            if core.isalpha() and (low.isascii() or max(text) <= "ɏ" and "İ" not in text and "ı" not in text):
+                found = self.pieces[core] if len(core) == len(low) else self.pieces[core] + self.pieces[low[len(core) :]]
+            elif b"<|" in word or not _PLAIN.fullmatch(text):
                 return self._by_library(text)
-            text = text.lower()
-        core = text.rstrip(_TAIL)
-        if core.isalpha():
-            pieces = (core, text[len(core) :]) if len(core) < len(text) else (core,)
-        elif b"<|" in word or not _PLAIN.fullmatch(text):
-            return self._by_library(word.decode())
-        else:
-            pieces = (_ASCII if letters is None else _LATIN).findall(text)
-        if letters:
-            pieces = [p.encode().decode("latin-1").translate(letters) for p in pieces]
-        found = b"".join([self.pieces[p] for p in pieces])
-        if len(word) <= 64:
-            self.keep(word, found)
+            else:
+                found = b"".join([self.pieces[p] for p in (_ASCII if low.isascii() else _LATIN).findall(low)])
+            if len(word) > 64:
+                return found
+        if len(self) >= self.half:
+            self.turn()
+        self[word] = found
         return found
 
     def ids(self, text: bytes) -> bytes:

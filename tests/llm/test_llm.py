@@ -91,11 +91,33 @@ def test_token_store(spark, docs, rows, library, odd, empty, tmp_path):
 
 
 def test_token_store_notices_damage(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
     folder = token_store.write_store(docs, str(tmp_path / "s"))
-    bad = spark.read.parquet(folder + "/recipes").selectExpr("shard", "row", "doc_id", "first", "n_tokens + int(row = 0) AS n_tokens", "refs")
-    bad.write.parquet(str(tmp_path / "t/recipes"))
-    spark.read.parquet(folder + "/manifest").write.parquet(str(tmp_path / "t/manifest"))
-    assert not token_store.verify(spark, str(tmp_path / "t")).filter("NOT intact").isEmpty()
+    of = {t: spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "recipes", "manifest")}
+    some = of["chunks"].filter("n_ids > 3").orderBy("digest").first().digest
+    chunk = F.col("digest") == F.lit(some)
+    of["recipes"].createOrReplaceTempView("recipes")
+    shard, row = (spark.sql("SELECT max(shard) FROM recipes WHERE row = 1").first()[0], 1)
+    mine = (F.col("shard") == shard) & (F.col("row") == row)
+    damage = {
+        "chunk": ("chunks", lambda t: t.filter(~chunk)),
+        "byte": ("chunks", lambda t: t.withColumn("data", F.when(chunk, F.concat(F.expr("substring(data, 3)"), F.unhex(F.lit("0102")))).otherwise(F.col("data")))),
+        "number": ("chunks", lambda t: t.withColumn("n_ids", F.when(chunk, F.col("n_ids") - 1).otherwise(F.col("n_ids")))),
+        "first": ("recipes", lambda t: t.withColumn("first", F.when(mine, F.col("first") + 1).otherwise(F.col("first")))),
+        "n_tokens": ("recipes", lambda t: t.withColumn("n_tokens", F.when(mine, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))),
+        "recipe": ("recipes", lambda t: t.filter(~mine)),
+        "doc_id": ("recipes", lambda t: t.withColumn("doc_id", F.when(mine, F.lit(5)).otherwise(F.col("doc_id")))),
+        "shard": ("recipes", lambda t: t.filter(F.col("shard") != shard)),
+        "manifest": ("manifest", lambda t: t.filter(F.col("shard") != shard)),
+        "before": ("manifest", lambda t: t.withColumn("first", F.when(F.col("shard") == shard, F.col("first") + 1).otherwise(F.col("first")))),
+    }
+    for name, (table, how) in damage.items():
+        bad = str(tmp_path / name)
+        for t, df in of.items():
+            (how(df) if t == table else df).write.parquet(f"{bad}/{t}")
+        with pytest.raises(Exception, match=r"(?i)chunk|shard|manifest"):
+            token_store.read_digests(spark, bad).collect()
 
 
 def test_crc_parts_add_up():
