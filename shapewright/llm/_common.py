@@ -52,11 +52,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, and lost executors don't matter."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

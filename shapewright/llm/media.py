@@ -1,8 +1,8 @@
 """Media columns: baseline JPEG, written and read here.
 
 ``encode`` stores bytes losslessly as quantised coefficients, the unit of a baseline scan: byte k of a 64-byte unit is coefficient k (in
-zigzag order) of one block, as 256 + byte, and each block is a restart interval. A comment holds the number of units. ``decode``
-reads any baseline stream: it parses the markers, undoes byte stuffing, and decodes all restart intervals of a batch side by
+zigzag order) of one block. Byte 0 is coefficient 0; bytes that texts often have are the small ones, so that they take few bits. Each block
+is a restart interval. A comment holds the number of units. ``decode`` reads any baseline stream: it parses the markers, undoes byte stuffing, and decodes all restart intervals of a batch side by
 side, one Huffman symbol of each at a time. DC coefficients alone give a luminance thumbnail of one pixel a block.
 
 Null text is empty; an empty text is one unit of zeros. Equal texts give equal media. Other columns play no part, equal rows give
@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import blocks, raw, ship
+from ._common import blocks, raw, ship, written
 
 UNIT = 64
 WIDEST = 8191  # blocks; 65,535 pixels at most
 _NOTE = b"units="
+#: Blocks that are encoded at a time.
+_AT_A_TIME = 2048
 
 
 def padded(data: bytes) -> bytes:
@@ -36,41 +38,144 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def encode(payload: bytes) -> bytes:
-    """A grey baseline JPEG whose coefficients are the bytes of payload, a positive multiple of 64."""
-    units = len(payload) // UNIT
-    wide = min(WIDEST, math.isqrt(units - 1) + 1)
+#: Bytes by how common they are in texts; the others follow in their order.
+_COMMON = b" eanisrtodlucmp\xc3hgbvf.,qzykjxw"
+_RANKED = [*_COMMON, *(b for b in range(1, 256) if b not in _COMMON)]
+#: Code lengths of sizes 0 to 8: of DC differences, and of AC coefficients without zeros before them (0: the rest is zeros).
+_DC_LENGTHS = (8, 2, 2, 2, 3, 5, 6, 7, 8)
+_AC_LENGTHS = (5, 2, 2, 2, 3, 5, 6, 7, 8)
+#: Code length of AC coefficients after zeros, and of 16 zeros.
+_RARE_LENGTH = 12
+
+
+def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+    """The coefficient of each byte, and the byte of each coefficient + 128: the more common, the smaller."""
+    of = np.zeros(256, np.int64)
+    for j, byte in enumerate(_RANKED):
+        of[byte] = (j // 2 + 1) * (1 if j % 2 == 0 else -1)
+    back = np.zeros(257, np.uint8)
+    back[of + 128] = np.arange(256)
+    return of, back
+
+
+def _codes(lengths: dict[int, int]) -> tuple[bytes, bytes, dict[int, int]]:
+    """A Huffman table as a segment has it: counts of code lengths and symbols; and each symbol's code."""
+    symbols = sorted(lengths, key=lambda s: (lengths[s], s))
+    counts = bytes(sum(n == size for n in lengths.values()) for size in range(1, 17))
+    codes, code, size = {}, 0, 0
+    for s in symbols:
+        code <<= lengths[s] - size
+        size = lengths[s]
+        codes[s] = code
+        code += 1
+    return counts, bytes(symbols), codes
+
+
+_OF_BYTE, _BYTE_OF = _coefficients()
+_DC_OF = dict(enumerate(_DC_LENGTHS))
+_AC_OF = {s: n for s, n in enumerate(_AC_LENGTHS)} | {run << 4 | s: _RARE_LENGTH for run in range(1, 16) for s in range(1, 9)} | {0xF0: _RARE_LENGTH}
+_DC_COUNTS, _DC_SYMBOLS, _DC_CODES = _codes(_DC_OF)
+_AC_COUNTS, _AC_SYMBOLS, _AC_CODES = _codes(_AC_OF)
+#: The table of streams without zeros before other coefficients: the codes are the same.
+_SHORT_COUNTS, _SHORT_SYMBOLS, _ = _codes({s: n for s, n in _AC_OF.items() if n < _RARE_LENGTH})
+
+
+def _table(of: dict[int, int]) -> np.ndarray:
+    out = np.zeros(256, np.int64)
+    out[list(of)] = list(of.values())
+    return out
+
+
+_DC_CODE, _DC_SIZE, _AC_CODE, _AC_SIZE = _table(_DC_CODES), _table(_DC_OF), _table(_AC_CODES), _table(_AC_OF)
+
+
+def _scans(coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entropy-coded blocks (rows of 64 coefficients), a marker behind each; where each ends, and whether it has zeros before others."""
+    total = len(coefficients)
+    size = np.frexp(np.abs(coefficients))[1].astype(np.int64)
+    extra = np.where(coefficients < 0, coefficients + (1 << size) - 1, coefficients)
+    value, length = np.zeros((total, UNIT + 1), np.int64), np.zeros((total, UNIT + 1), np.int64)
+    there = size > 0
+    there[:, 0] = True  # zeros are counted from behind the DC coefficient
+    last = UNIT - 1 - np.argmax(there[:, ::-1], axis=1)
+    zeros = (~there & (np.arange(UNIT) < last[:, None])).any(axis=1)
+    value[:, 1:UNIT] = _AC_CODE[size[:, 1:]] << size[:, 1:] | extra[:, 1:]
+    length[:, 1:UNIT] = np.where(there[:, 1:], _AC_SIZE[size[:, 1:]] + size[:, 1:], 0)
+    value[:, 0], length[:, 0] = _DC_CODE[size[:, 0]] << size[:, 0] | extra[:, 0], _DC_SIZE[size[:, 0]] + size[:, 0]
+    for u in np.flatnonzero(zeros).tolist():
+        ac = np.flatnonzero(there[u, 1:]) + 1
+        run = np.diff(ac, prepend=0) - 1
+        for k, r in zip(ac[run > 0].tolist(), run[run > 0].tolist(), strict=True):
+            n = int(size[u, k])
+            symbol = (r & 15) << 4 | n
+            value[u, k], length[u, k] = int(_AC_CODE[symbol]) << n | int(extra[u, k]), int(_AC_SIZE[symbol]) + n
+            for _ in range(r >> 4):  # 16 zeros each
+                value[u, k] |= _AC_CODES[0xF0] << int(length[u, k])
+                length[u, k] += _RARE_LENGTH
+    ends = last < UNIT - 1
+    value[:, UNIT], length[:, UNIT] = _AC_CODES[0], np.where(ends, _AC_OF[0], 0)
+
+    n_bytes = -(-length.sum(axis=1) // 8)
+    after = np.cumsum(n_bytes)
+    first = after - n_bytes
+    until = (np.cumsum(length, axis=1) + first[:, None] * 8).reshape(-1)
+    value, length = value.reshape(-1), length.reshape(-1)
+    bits = np.ones(int(after[-1]) * 8 + 1, np.uint8)  # one more, for what isn't there
+    short = np.minimum(length, 6)
+    for k in range(6):  # the k-th bit of each code from behind
+        bits[np.where(short > k, until - 1 - k, -1)] = value >> k & 1
+    long = np.flatnonzero(length > 6)
+    value, length, until = value[long] >> 6, length[long] - 6, until[long] - 6
+    while len(value):
+        bits[until - 1] = value & 1
+        more = length > 1
+        value, length, until = value[more] >> 1, length[more] - 1, until[more] - 1
+    data = np.packbits(bits[:-1])
+    stuffed = data == 0xFF
+    place = np.arange(len(data)) + np.cumsum(stuffed) - stuffed + 2 * np.repeat(np.arange(total), n_bytes)
+    out = np.zeros(len(data) + int(stuffed.sum()) + 2 * total, np.uint8)
+    out[place] = data
+    behind = place[after - 1] + 1 + stuffed[after - 1]
+    out[behind] = 0xFF
+    return out, behind, zeros
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """For each payload, a positive multiple of 64 bytes, a grey baseline JPEG whose coefficients are its bytes."""
+    units = np.array([len(p) // UNIT for p in payloads])
+    wide = np.array([min(WIDEST, math.isqrt(n - 1) + 1) for n in units.tolist()])
     high = -(-units // wide)
-    if high > WIDEST:
+    if (high > WIDEST).any():
         raise ValueError("payload is larger than an image can be")
-    total = wide * high
-    values = np.zeros((total, UNIT), np.uint8)
-    values.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    bits = np.empty((total, UNIT, 10), np.uint8)  # code 0, then the 9 bits of 256 + byte
-    bits[:, :, 0] = 0
-    bits[:, :, 1] = 1
-    bits[:, :, 2:] = np.unpackbits(values.reshape(-1, 1), axis=1).reshape(total, UNIT, 8)
-    packed = np.packbits(bits.reshape(total, -1), axis=1)
-    if (packed == 0xFF).any():
-        parts = []
-        for k, row in enumerate(packed):
-            parts.append(row.tobytes().replace(b"\xff", b"\xff\0") + (bytes((0xFF, 0xD0 + k % 8)) if k + 1 < total else b""))
-        scan = b"".join(parts)
-    else:
-        scan = np.hstack([packed, np.full((total, 1), 0xFF, np.uint8), (0xD0 + np.arange(total) % 8).astype(np.uint8)[:, None]]).tobytes()[:-2]
-    one_code = bytes([1] + [0] * 15)
-    return b"".join([
-        b"\xff\xd8",
-        _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0"),
-        _segment(0xFE, _NOTE + str(units).encode()),
-        _segment(0xDB, b"\0" + b"\x01" * 64),
-        _segment(0xC0, struct.pack(">BHHB", 8, high * 8, wide * 8, 1) + b"\x01\x11\0"),
-        _segment(0xC4, b"\0" + one_code + b"\x09" + b"\x10" + one_code + b"\x09"),
-        _segment(0xDD, struct.pack(">H", 1)),
-        _segment(0xDA, b"\x01\x01\0\0\x3f\0"),
-        scan,
-        b"\xff\xd9",
-    ])
+    until = np.cumsum(wide * high)
+    data = np.frombuffer(b"".join(p + bytes(UNIT * (n - len(p) // UNIT)) for p, n in zip(payloads, (wide * high).tolist(), strict=True)), np.uint8).reshape(-1, UNIT)
+    parts, zeros = [], []
+    for a in range(0, len(data), _AT_A_TIME):
+        out, behind, some = _scans(_OF_BYTE[data[a : a + _AT_A_TIME]])
+        nth = np.arange(a, a + len(behind))
+        out[behind + 1] = 0xD0 + (nth - np.repeat(until - wide * high, wide * high)[nth]) % 8
+        parts.append((out, behind + 2))
+        zeros.append(some)
+    scans = b"".join(out.tobytes() for out, _ in parts)
+    starts = np.cumsum([0, *(len(out) for out, _ in parts)])
+    ends = np.concatenate([b + s for (_, b), s in zip(parts, starts.tolist(), strict=False)])[until - 1].tolist()
+    full = np.logical_or.reduceat(np.concatenate(zeros), until - wide * high).tolist()
+    made = []
+    for n, w, h, a, b, rare in zip(units.tolist(), wide.tolist(), high.tolist(), [0, *ends[:-1]], ends, full, strict=True):
+        ac = _AC_COUNTS + _AC_SYMBOLS if rare else _SHORT_COUNTS + _SHORT_SYMBOLS
+        made.append(b"".join([
+            b"\xff\xd8",
+            _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0"),
+            _segment(0xFE, _NOTE + str(n).encode()),
+            _segment(0xDB, b"\0" + b"\x01" * 64),
+            _segment(0xC0, struct.pack(">BHHB", 8, h * 8, w * 8, 1) + b"\x01\x11\0"),
+            _segment(0xC4, b"\0" + _DC_COUNTS + _DC_SYMBOLS + b"\x10" + ac),
+            _segment(0xDD, struct.pack(">H", 1)),
+            _segment(0xDA, b"\x01\x01\0\0\x3f\0"),
+            scans[a : b - 2],
+            b"\xff\xd9",
+        ]))
+    return made
 
 
 class Image:
@@ -265,7 +370,7 @@ def fingerprint(pixels: np.ndarray) -> str:
 
 def payload(image: Image, coefficients: np.ndarray) -> bytes:
     """The bytes that encode() stored."""
-    return (coefficients[: image.note] - 256).astype(np.uint8).tobytes()
+    return _BYTE_OF[coefficients[: image.note] + 128].tobytes()
 
 
 def read(media: list[bytes]) -> list[tuple[Image, np.ndarray]]:
@@ -289,7 +394,7 @@ def with_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, limit=1 << 20):
             texts = raw(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode([padded(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
@@ -317,5 +422,5 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: every document of ``documents`` as a JPEG stream, read back."""
-    return features(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """op9: every document of ``documents`` as a JPEG stream, stored in a table and read back from it."""
+    return features(written(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "none"))  # the streams are compressed themselves

@@ -474,10 +474,15 @@ def test_media(spark, docs, rows, odd, empty):
 
 def test_jpeg_bytes_round_trip():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 64, 65, 640, 5000):
-        data = media.padded(rng.integers(0, 256, n, dtype=np.uint8).tobytes())
-        image, coefficients = media.read([media.encode(data)])[0]
-        assert media.payload(image, coefficients) == data
+    data = []
+    for n in (0, 1, 64, 65, 640, 5000, 200_000):
+        for zeros in (0, 0.9, 0.99):
+            some = rng.integers(0, 256, n, dtype=np.uint8)
+            some[rng.random(n) < zeros] = 0
+            data.append(media.padded(some.tobytes()))
+    streams = media.encode(data)
+    assert streams[4] == media.encode(data[4:5])[0]
+    assert [media.payload(i, c) for i, c in media.read(streams)] == data
 
 
 def test_jpeg_decodes_runs_and_differences():
