@@ -1,49 +1,47 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A window network predicts every word of a text from the ``SIDE`` words on both sides, the word itself left out: embeddings of the
-neighbours, a tanh layer, a softmax over word classes, and in a class a walk down a tree to the word. A document's score is the sum of the
-conditional log-probabilities of its words.
+neighbours, a tanh layer, a softmax over the ``HEAD`` most frequent slots and ``CLASSES`` classes of the others, and one over the ``EACH`` slots of the
+word's class. A document's score is the sum of the conditional log-probabilities of its words.
 
-Words are counted exactly, in a table with a row for each distinct word. Classes come from the counts: the ``OWN`` most frequent words
-are classes by themselves, the others are cut by falling count into classes of about equal mass. A class's words hang in a binary tree by
-their hashes. Each branch's log-odds are those of the counts below it plus what the node's vector says about the context, so untrained a
-word has its exact share of the class, and all words' probabilities sum to one. Each word's class and branches join the texts, which are
-kept as blocks of word numbers, each block with the words that it has. Inputs are hashed to ``BUCKETS`` embeddings and nodes to ``NODES``
-vectors, so the network and the messages have a fixed size.
+Words are counted exactly, in numbers that grow with the input: a row for each distinct word (its 64-bit hash). The ``OWN`` most frequent words have
+slots of their own; the others share the rest of the slots by hash, and a word's share of its slot is that of its count, so that all
+words' probabilities sum to one. Classes are built by the slots' frequency. Inputs are slots, too. So the network has a fixed size.
 
-The network is trained in rounds over all documents: each task takes gradient steps from the shared weights on every ``rounds``-th word of
-its documents, others in each round, so that each word of the corpus is a target once. Weights are averaged by the number of windows. What
-tasks send grows with their number. The driver holds a row for each different count and for each of ``1 << TOP`` parts of a class.
+Texts are encoded once, as blocks of word numbers with the block's distinct words. Blocks ask for their words' counts in packs by hash, and
+get numbers back. The network is trained in rounds over all blocks: each task takes gradient steps (Adagrad, a rate for each embedding and
+class) from the shared weights on every ``rounds``-th word, others in each round, so that each word of the corpus is a target once. Weights
+are averaged by numbers of words, in a tree over tasks and in a fixed order. The driver holds a row for each own word and slot.
 
 Null and empty texts have no words: score 0, mean 0. Equal rows give equal rows. Other columns play no part. An empty table gives no
-rows. Words that a model hasn't counted share a place with the count 1.
+rows. Words that a model hasn't counted count half a time.
 """
 
 from __future__ import annotations
 
 import copy
-import uuid
-import zlib
+import ctypes
+import glob
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import blocks, partitions, raw, ship, sole, unwritten, written
 
-BUCKETS, OWN, CLASSES = 1 << 15, 96, 128
-SIDE, DIM, HIDDEN = 2, 12, 32
-NODES, WIDTH, TOP = 1 << 15, 16, 6
-ROUNDS, BATCH, RATE, SEED = 2, 256, 0.1, 5
-CACHE_WORDS = 600_000
-_UNSEEN = b""
-#: A branch on the way to a word: twice the node, plus 1 to the right; log-odds of the branch, rounded alike for both of a node.
-_BRANCH = np.dtype([("node", "<u2"), ("odds", "<f2")])
-#: Bytes of branches that a task packs at a time.
-PACKED_BYTES = 32 << 20
+HEAD, CLASSES, EACH, OWN = 128, 64, 256, 8192
+SLOTS = HEAD + CLASSES * EACH
+SIDE, DIM, HIDDEN = 2, 16, 16
+ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.08, 5
+#: Bytes of text in a block, and of keys for each shard of counts.
+TEXT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+#: Tasks whose weights are summed together, and numbers in a message.
+GROUP, PART = 64, 1 << 16
 _STRIPPED = b".,;:!?*&%$#|\"'()"
 
 
@@ -51,29 +49,6 @@ def _core(word: bytes) -> bytes:
     return word.lower().strip(_STRIPPED) or word
 
 
-def _bucket(core: bytes) -> int:
-    return 1 + zlib.crc32(core) % (BUCKETS - 1)
-
-
-class _Buckets(dict):
-    """word -> bucket; 0 is the edge of a text."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = _bucket(_core(word))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_buckets = _Buckets()
-
-
-def words_of(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
-
-
 class _Numbers(dict):
     """word -> number of its core form in a block."""
 
@@ -85,141 +60,155 @@ class _Numbers(dict):
         return found
 
 
-class Words:
-    """Classes of words and their branches, of word i n[i] ones from first[i] on."""
-
-    def __init__(self, group: np.ndarray, first: np.ndarray, n: np.ndarray, branches: np.ndarray):
-        self.group, self.first, self.n = group, first, n
-        self.node = (branches["node"] >> 1).astype(np.int32)
-        self.sign = (branches["node"] & 1).astype(np.float32) * 2 - 1
-        self.odds = branches["odds"].astype(np.float32)
-
-    def branches(self, words: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For every branch of words: which word, node, direction, log-odds by counts."""
-        first, n = self.first[words], self.n[words]
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(words)), n), self.node[at], self.sign[at], self.odds[at]
-
-
-def _tree(key: np.ndarray, n: np.ndarray, group: int, first: int, last: int) -> list[bytes]:
-    """Branches to each of different keys by their bits from ``first`` on, counted from the highest; nodes of one branch are left out."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    total = np.append(0.0, np.cumsum(n[order], dtype=np.float64))
-    lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(k))
-    words, made = [], []
-    for bit in range(first, last):
-        if (hi - lo == 1).all():
-            break
-        right = (k >> np.uint64(63 - bit) & np.uint64(1)).astype(np.int64)
-        ones = np.append(0, np.cumsum(right))
-        cut = hi - (ones[hi] - ones[lo])
-        at = np.flatnonzero((lo < cut) & (cut < hi))
-        prefix = k[at] >> np.uint64(64 - bit) if bit else np.zeros(len(at), np.uint64)
-        mixed = (prefix + np.uint64((group * 64 + bit) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-        branch = np.empty(len(at), _BRANCH)
-        branch["node"] = (mixed >> np.uint64(40)).astype(np.int64) % NODES * 2 + right[at]
-        odds = np.log(total[hi] - total[cut], where=hi > cut, out=np.zeros(len(k))) - np.log(total[cut] - total[lo], where=cut > lo, out=np.zeros(len(k)))
-        branch["odds"] = np.where(right == 1, odds, -odds)[at]
-        words.append(order[at])
-        made.append(branch)
-        lo, hi = np.where(right == 1, cut, lo), np.where(right == 1, hi, cut)
-    if not words:
-        return [b""] * len(key)
-    word = np.concatenate(words)
-    data = np.concatenate(made)[np.argsort(word, kind="stable")].tobytes()
-    ends = (np.cumsum(np.bincount(word, minlength=len(key))) * _BRANCH.itemsize).tolist()
-    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _classes(n: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Classes of counts: ``n`` falls, and ``words`` words have each count."""
-    mass = n * words
-    middle = np.cumsum(mass) - mass / 2
-    return OWN + np.minimum(CLASSES - OWN - 1, middle * (CLASSES - OWN) // max(1, mass.sum())).astype(np.int64)
+def slots_of(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Slots before they are sorted into classes: ``own`` are the keys, rising, that have the first ones."""
+    out = len(own) + (keys % np.uint64(SLOTS - len(own))).astype(np.int64)
+    if len(own):
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        mine = own[at] == keys
+        out[mine] = at[mine]
+    return out
 
 
 class Model:
-    """Weights; and, of words 0, 1, ... that were counted n times, their classes and branches."""
-
-    def __init__(self, n: np.ndarray | None = None, mass: np.ndarray | None = None):
-        self.words = None
-        if n is not None:
-            order = np.lexsort((np.arange(len(n)), -n))
-            group = np.empty(len(n), np.int64)
-            group[order[:OWN]] = np.arange(len(order[:OWN]))
-            smooth = n + 0.5
-            values, back, several = np.unique(-smooth[order[OWN:]], return_inverse=True, return_counts=True)
-            group[order[OWN:]] = _classes(-values, several)[back]
-            mass = np.bincount(group, smooth, CLASSES)
-            key = (np.arange(len(n), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            paths = [b""] * len(n)
-            for c in range(OWN, CLASSES):
-                mine = np.flatnonzero(group == c)
-                for i, path in zip(mine.tolist(), _tree(key[mine], smooth[mine], c, 0, 64), strict=True):
-                    paths[i] = path
-            self.words = _words(group, paths)
-        mass = np.maximum(mass, 1e-3)
+    """Weights, the own words' keys, and each slot's place in the classes and its count."""
+
+    def __init__(self, own: np.ndarray, mass: np.ndarray):
+        mass = mass + 0.5  # the share of words that weren't counted
+        self.own, self.mass = own, mass
+        #: slot -> place by falling count: the first HEAD by themselves, then EACH a class
+        self.place = np.empty(SLOTS, np.int64)
+        order = np.lexsort((np.arange(SLOTS), -mass))
+        self.place[order] = np.arange(SLOTS)
+        ranked = mass[order][HEAD:].reshape(CLASSES, EACH)
+        of_class = ranked.sum(axis=1)
+        top = np.append(mass[order][:HEAD], of_class)
         rng = np.random.default_rng(SEED)
         self.weights = [
-            rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32),
+            rng.normal(0, 0.3, (SLOTS + 1, DIM)).astype(np.float32),  # by place; the last is the edge of a text
             rng.normal(0, (2 * SIDE * DIM) ** -0.5, (2 * SIDE * DIM, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
-            np.zeros((HIDDEN, CLASSES), np.float32),
-            np.log(mass / mass.sum()).astype(np.float32),
-            np.zeros((NODES, WIDTH), np.float32),
+            np.zeros((HIDDEN, HEAD + CLASSES), np.float32),
+            np.log(top / top.sum()).astype(np.float32),
+            np.zeros((CLASSES, HIDDEN, EACH), np.float32),
+            np.log(ranked / of_class[:, None]).astype(np.float32),
+            np.zeros(SLOTS + 1, np.float32),  # sums of squares: of embeddings,
+            np.zeros((CLASSES, 2), np.float32),  # of classes' softmax,
+            np.zeros(4, np.float32),  # and of the other weights
         ]
 
-    def _forward(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e, w1, b1, w2, b2, _ = self.weights
+    def _hidden(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e, w1, b1 = self.weights[:3]
         x = e[windows].reshape(len(windows), -1)
-        h = np.tanh(x @ w1 + b1)
-        z = h @ w2 + b2
-        z -= z.max(axis=1, keepdims=True)
-        return x, h, z
-
-    def learn(self, windows: np.ndarray, targets: np.ndarray, rate: float = RATE, words: Words | None = None) -> None:
-        """A gradient step."""
-        words = words or self.words
-        e, w1, b1, w2, b2, v = self.weights
-        x, h, z = self._forward(windows)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), words.group[targets]] -= 1
-        rate = np.float32(rate / len(p) * 8)
-        p *= rate
-        back = p @ w2.T
-        word, node, sign, odds = words.branches(targets)
-        if len(word):
-            near, seen = v[node], h[word, :WIDTH]
-            g = -rate * sign / (1 + np.exp(np.minimum(60, odds + sign * np.einsum("ij,ij->i", near, seen))))
-            firsts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            back[word[firsts], :WIDTH] += np.add.reduceat(near * g[:, None], firsts)
-            order = np.argsort(node, kind="stable")
-            ordered = node[order]
-            firsts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            v[ordered[firsts]] -= np.add.reduceat((seen * g[:, None])[order], firsts)
+        return x, np.tanh(x @ w1 + b1)
+
+    @staticmethod
+    def _by_class(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order by what the first softmax is over, that in this order, and (class, first, end) in it."""
+        of = np.where(places < HEAD, places, HEAD + (places - HEAD) // EACH)
+        order = np.argsort(of.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(of, minlength=HEAD + CLASSES))[HEAD - 1 :].tolist()
+        return order, of[order], [(c, a, b) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+
+    def learn(self, windows: np.ndarray, places: np.ndarray) -> None:
+        """A gradient step towards the words at ``places``."""
+        order, of, groups = self._by_class(places)
+        windows, places = windows[order], places[order]
+        e, w1, b1, wc, bc, ws, bs, seen_e, seen_s, seen = self.weights
+        x, h = self._hidden(windows)
+        p = h @ wc
+        p += bc
+        _softmax(p)
+        p[np.arange(len(p)), of] -= 1
+        back = p @ wc.T
+        inside = (places - HEAD) % EACH
+        for c, a, b in groups:
+            hc = h[a:b]
+            q = np.matmul(hc, ws[c], out=_room(b - a, EACH))
+            q += bs[c]
+            _softmax(q)
+            q[np.arange(b - a), inside[a:b]] -= 1
+            back[a:b] += q @ ws[c].T
+            for k, (w, g) in enumerate(((ws[c], hc.T @ q), (bs[c], q.sum(axis=0)))):
+                seen_s[c, k] += np.vdot(g, g) / g.size
+                g *= RATE / np.sqrt(seen_s[c, k] + 1e-12)
+                w -= g
         back *= 1 - h * h
-        w2 -= h.T @ p
-        b2 -= p.sum(axis=0)
-        ex = (back @ w1.T).reshape(-1, DIM)
-        w1 -= x.T @ back
-        b1 -= back.sum(axis=0)
-        at = windows.reshape(-1, 1) * DIM + np.arange(DIM)
-        np.subtract.at(e.reshape(-1), at.reshape(-1), ex.reshape(-1))  # flat, as that is many times faster
-
-    def log_probability(self, windows: np.ndarray, targets: np.ndarray, words: Words | None = None) -> np.ndarray:
-        words = words or self.words
-        _, h, z = self._forward(windows)
-        own = z[np.arange(len(z)), words.group[targets]] - np.log(np.exp(z).sum(axis=1))
-        word, node, sign, odds = words.branches(targets)
-        logit = odds + sign * np.einsum("ij,ij->i", self.weights[-1][node], h[word, :WIDTH])
-        return own - np.bincount(word, np.logaddexp(0, -logit), len(targets))
-
-
-def _words(group: np.ndarray, paths: list[bytes]) -> Words:
-    sizes = np.fromiter(map(len, paths), np.int64, len(paths)) // _BRANCH.itemsize
-    return Words(group, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(paths), _BRANCH))
+        gx = (back @ w1.T).reshape(-1, DIM)
+        for k, (w, g) in enumerate(((w1, x.T @ back), (b1, back.sum(axis=0)), (wc, h.T @ p), (bc, p.sum(axis=0)))):
+            seen[k] += np.vdot(g, g) / g.size
+            w -= g * np.float32(RATE / np.sqrt(seen[k] + 1e-12))
+        flat = windows.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        rows = flat[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows = rows[first]
+        g = np.add.reduceat(gx[order], first, axis=0)
+        seen_e[rows] += np.einsum("ij,ij->i", g, g) / DIM
+        e[rows] -= g * (RATE / np.sqrt(seen_e[rows] + 1e-12))[:, None]
+
+    def log_probability(self, windows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of slots at ``places`` between the slots in ``windows``."""
+        order, of, groups = self._by_class(places)
+        _, h = self._hidden(windows[order])
+        _, _, _, wc, bc, ws, bs = self.weights[:7]
+        z = h @ wc
+        z += bc
+        inside = (places[order] - HEAD) % EACH
+        own = z[np.arange(len(z)), of]
+        own -= _log_sum(z)
+        for c, a, b in groups:
+            q = np.matmul(h[a:b], ws[c], out=_room(b - a, EACH))
+            q += bs[c]
+            own[a:b] += q[np.arange(b - a), inside[a:b]]
+            own[a:b] -= _log_sum(q)
+        out = np.empty(len(own), np.float64)
+        out[order] = own
+        return out
+
+    def share(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log-probabilities of words in their slots: all the counted ones' and the others' half sum to one."""
+        return np.log(np.maximum(counts, 0.5) / self.mass[slots])
+
+
+_rooms: dict[int, np.ndarray] = {}
+
+
+def _room(rows: int, wide: int) -> np.ndarray:
+    """An array that is used again and again: new large ones cost more than what is done in them."""
+    if wide not in _rooms or len(_rooms[wide]) < rows:
+        _rooms[wide] = np.empty((max(rows, BATCH), wide), np.float32)
+    return _rooms[wide][:rows]
+
+
+def _softmax(z: np.ndarray) -> None:
+    """In place. Numbers are clipped far from where they would overflow: their sum is then still about right."""
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exp(z); z is lost."""
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    return np.log(z @ np.ones(z.shape[1], np.float32))
+
+
+def _settled() -> None:
+    """Let numpy's matrix products use this task's core alone, and keep freed memory for the next step, where the libraries can be told.
+
+    Results don't change; a step takes half the time, as getting the same megabytes anew costs more than what is done in them.
+    """
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 64 << 20)  # from which size on memory is mapped
+        libc.mallopt(-1, 64 << 20)  # how much free memory is kept
 
 
 _AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
@@ -231,216 +220,260 @@ def _places(n: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all texts with edges between them, the places of their words, and how many words each has."""
-    sole(_buckets)
-    parts = [words_of(text) for text in texts]
-    n = np.array([len(w) for w in parts], np.int64)
-    places = _places(n)
-    data = np.zeros(SIDE + int((n + SIDE).sum()), np.int32)
-    data[places] = np.concatenate([np.zeros(0, np.int32), *parts])
-    return data, places, n
-
-
 def encoded(docs: DataFrame) -> DataFrame:
-    """Blocks of documents, written: block, ids (doc_ids), sizes (numbers of words), words (each distinct word and its count), buckets, data (which word each is)."""
+    """Blocks of documents, written: block, ids (doc_ids), sizes (numbers of words), keys and counts of distinct words, data (which word each is)."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole()
-        for batch in blocks(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in blocks(batches, limit=TEXT_BYTES):
             numbers = _Numbers()
-            parts = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in (t.split() for t in raw(batch.column(1)))]
-            data = np.concatenate(parts)
-            cores = pa.array(list(numbers.cores), pa.binary())
-            words = pa.StructArray.from_arrays([cores, pa.array(np.bincount(data, minlength=len(cores)))], ["word", "n"])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            parts = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in map(bytes.split, raw(batch.column(1)))]
             sizes = np.array([len(w) for w in parts], np.int32)
-            columns = [pa.array([uuid.uuid4().int >> 65]), one(batch.column(0)), pa.array([sizes.tobytes()]), one(words), pa.array([np.fromiter(map(_bucket, numbers.cores), np.int32, len(cores)).tobytes()]), pa.array([data.tobytes()])]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "words", "buckets", "data"])
-
-    schema = f"block bigint, ids array<{kind}>, sizes binary, words array<struct<word: binary, n: bigint>>, buckets binary, data binary"
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "encoded")
-
-
-def vocabulary(blocks_of: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """word, group, path for each distinct word of encoded(), written; and the classes' masses."""
-    spark = blocks_of.sparkSession
-    each = blocks_of.select(F.explode("words").alias("w")).select("w.word", "w.n")
-    unseen = spark.createDataFrame([(bytearray(_UNSEEN), 1)], "word binary, n bigint")
-    counts = written(each.unionByName(unseen).groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    first = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
-    own = pa.array([bytes(r["word"]) for r in first], pa.binary())
-    table = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toArrow()
-    n, words = table.column("n").to_numpy(), table.column("words").to_numpy().copy()
-    for r in first:
-        words[np.searchsorted(-n, -r["n"])] -= 1
-    classes = _classes(n, words)
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            data = np.concatenate(parts)
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers.cores), np.uint64, len(numbers.cores))
+            n = np.bincount(data, minlength=len(keys))
+            order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order))
+            data = number[data].astype("<u2" if len(keys) <= 1 << 16 else "<u4")
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            columns = [pa.array([block]), ids, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, keys[order], n[order].astype("<u4"), data))]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "keys", "counts", "data"])
+            block += 1
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"block bigint, ids array<{kind}>, sizes binary, keys binary, counts binary, data binary"), "encoded")
+
+
+def counted(blocks_of: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """Counts of all words of encoded() blocks, written: kind 0: a shard's counts for a block's keys, in the block's order; kind 1: keys and counts.
+
+    With ``other``, counts are those of an earlier counted(), and the blocks only ask.
+    """
+    n, told = partitions(blocks_of.sparkSession), other is not None
+    shards = _shards(blocks_of)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group = classes[np.searchsorted(-n, -batch.column(1).to_numpy())]
-            mine = pc.index_in(batch.column(0), own).fill_null(-1).to_numpy()
-            group = np.where(mine < 0, group, mine)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(group.astype(np.int32))], ["word", "n", "key", "group"])
-
-    given = counts.select("word", "n", F.xxhash64("word").alias("key")).mapInArrow(classed, "word binary, n bigint, key bigint, group int")
-    given = written(given.withColumn("part", F.shiftrightunsigned("key", 64 - TOP).cast("int")), "classed")
-    mass = np.zeros(CLASSES)
-    parts: dict[int, list] = {}
-    for r in given.groupBy("group", "part").agg(F.sum("n").alias("n")).collect():
-        mass[r["group"]] += r["n"]
-        parts.setdefault(r["group"], []).append((r["part"], r["n"]))
-    above: dict[tuple[int, int], bytes] = {}
-    for group, rows in parts.items():
-        key = np.array([p for p, _ in rows], np.uint64) << np.uint64(64 - TOP)
-        for (part, _), path in zip(rows, _tree(key, np.array([n for _, n in rows]), group, 0, TOP), strict=True):
-            above[group, part] = path
-
-    def pathed(key: tuple, table: pa.Table) -> pa.Table:
-        group, part = (k.as_py() for k in key)
-        below = _tree(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), group, TOP, 64)
-        paths = pa.array([above[group, part] + b for b in below], pa.binary())
-        return pa.table({"word": table.column("word"), "group": table.column("group"), "path": paths})
-
-    words = written(given.groupBy("group", "part").applyInArrow(pathed, "word binary, group int, path binary"), "words")
-    unwritten(counts, given)
-    return words, mass
-
-
-def _pack(at: np.ndarray, group: np.ndarray, paths: list[bytes]) -> bytes:
-    """Words' places in their block's list, classes and branches, compressed; neighbours in the tree stand together."""
-    order = sorted(range(len(paths)), key=paths.__getitem__)
-    data = len(paths).to_bytes(8, "little") + at[order].astype(np.int32).tobytes() + group[order].astype(np.uint8).tobytes()
-    data += bytes(len(paths[i]) // _BRANCH.itemsize for i in order) + b"".join(paths[i] for i in order)
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
-
-
-def _unpack(packs: list[bytes], n: int) -> Words:
-    group, first, sizes = (np.zeros(n, np.int64) for _ in range(3))
-    branches, there = [np.zeros(0, _BRANCH)], 0
-    for pack in packs:
-        data = pa.decompress(pack[8:], int.from_bytes(pack[:8], "little"), "zstd", asbytes=True)
-        k = int.from_bytes(data[:8], "little")
-        at = np.frombuffer(data, np.int32, k, 8)
-        size = np.frombuffer(data, np.uint8, k, 8 + 5 * k).astype(np.int64)
-        group[at], sizes[at] = np.frombuffer(data, np.uint8, k, 8 + 4 * k), size
-        first[at] = there + np.cumsum(size) - size
-        branches.append(np.frombuffer(data, _BRANCH, offset=8 + 6 * k))
-        there += len(branches[-1])
-    return Words(group, first, sizes, np.concatenate(branches))
-
-
-def looked_up(blocks_of: DataFrame, words: DataFrame) -> DataFrame:
-    """encoded() with each block's words as known (classes and branches, packed), written."""
-    unseen = words.filter(F.col("word") == F.lit(bytearray(_UNSEEN))).first()
-    each = blocks_of.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", "w.word").join(words, "word", "left")
-    each = each.select("block", "at", F.coalesce("group", F.lit(unseen["group"])).alias("group"), F.coalesce("path", F.lit(unseen["path"])).alias("path"))
+            for block, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4")
+                for shard, at in _dealt(keys, shards):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block]), pa.array([keys[at].tobytes()], pa.binary()), pa.array([counts[at].astype("<i8").tobytes()], pa.binary())], ["shard", "block", "keys", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            names = pc.dictionary_encode(table.column("block").combine_chunks())
-            which = names.indices.to_numpy()
-            order = np.argsort(which, kind="stable")
-            at, group = table.column("at").to_numpy()[order], table.column("group").to_numpy()[order]
-            paths = table.column("path").take(pa.array(order)).to_pylist()
-            cuts = np.append(0, np.cumsum(np.bincount(which, minlength=len(names.dictionary)))).tolist()
-            packs = [_pack(at[a:b], group[a:b], paths[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([names.dictionary, pa.array(packs, pa.binary())], ["block", "pack"])
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")
+                for shard, at in _dealt(keys, shards):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1]), pa.array([keys[at].tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], ["shard", "block", "keys", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            keys = [np.frombuffer(k, np.uint64) for _, k, _ in held]
+            counts = [np.frombuffer(c, "<i8") for _, _, c in held]
+            of = np.repeat([b for b, _, _ in held], [len(k) for k in keys])
+            every, which = np.unique(np.concatenate(keys), return_inverse=True)
+            counting = of < 0 if told else np.ones(len(of), bool)
+            total = np.bincount(which[counting], np.concatenate(counts)[counting], len(every))
+            ends = np.cumsum([len(k) for k in keys]).tolist()
+            for (b, k, _), end in zip(held, ends, strict=True):
+                if b >= 0:
+                    yield row(0, b, at, b"", total[which[end - len(k) // 8 : end]])
+            if not told:
+                yield row(1, -1, at, every.tobytes(), total)
+
+        def row(kind: int, block: int, shard: int, keys: bytes, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block]), pa.array([shard], pa.int32()), pa.array([keys], pa.binary()), pa.array([total.astype("<i8" if kind else "<f4").tobytes()], pa.binary())], ["kind", "block", "shard", "keys", "counts"])
+
+        for batch in batches:
+            for shard, block, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    yield from close()
+                    at, held = shard, []
+                held.append((block, keys, counts))
+        yield from close()
+
+    schema = "shard int, block bigint, keys binary, counts binary"
+    asked = blocks_of.select("block", "keys", "counts").mapInArrow(sent, schema)
+    if other is not None:
+        asked = asked.unionByName(other.filter("kind = 1").select("keys", "counts").mapInArrow(packs, schema))
+    return written(asked.repartition(n, "shard").sortWithinPartitions("shard", "block").mapInArrow(summed, "kind int, block bigint, shard int, keys binary, counts binary"), "counts")
+
+
+def _shards(blocks_of: DataFrame) -> int:
+    """Shards of counts: by the bytes of what blocks ask."""
+    total = blocks_of.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    return max(partitions(blocks_of.sparkSession), -(-total * 3 // 2 // SHARD_BYTES))
 
+
+def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards of keys, rising, and which keys each has."""
+    shard = ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    ends = np.flatnonzero(np.append(np.diff(shard[order]) != 0, True)) + 1 if len(keys) else []
+    a = 0
+    for b in ends:
+        yield int(shard[order[a]]), order[a:b]
+        a = b
+
+
+def blank(counts: DataFrame) -> Model:
+    """The model of counted(), before it has learnt."""
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) > PACKED_BYTES:
-                yield flush()
-        if sum(b.num_rows for b in held):
-            yield flush()
+            for keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, "<i8")
+                some = np.lexsort((keys.view(np.uint64), -n))[:OWN]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some])], ["key", "n"])
 
-    packs = each.mapInArrow(run, "block bigint, pack binary")
-    lists = packs.groupBy("block").agg(F.collect_list("pack").alias("known"))
-    return written(blocks_of.drop("words").join(lists, "block", "left").drop("block"), "known")
+    words = counts.filter("kind = 1").select("keys", "counts")
+    first = words.mapInArrow(most, "key bigint, n bigint").orderBy(F.desc("n"), "key").limit(OWN).collect()
+    own = np.sort(np.array([r["key"] for r in first], np.int64).view(np.uint64))
 
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total += np.bincount(slots_of(np.frombuffer(keys, np.uint64), own), np.frombuffer(n, "<i8"), SLOTS).astype(np.int64)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["slot", "n"])
+
+    mass = np.zeros(SLOTS)
+    for r in words.mapInArrow(masses, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        mass[r["slot"]] = r["n"]
+    return Model(own, mass)
+
+
+def looked_up(blocks_of: DataFrame, counts: DataFrame) -> DataFrame:
+    """encoded() with the counts of each block's words in ``counts`` (4 bytes each), written."""
+    n = partitions(blocks_of.sparkSession)
+    ids = dict(blocks_of.dtypes)["ids"]
+    nothing = F.lit(None)
+    mine = blocks_of.select("block", F.lit(1).alias("kind"), F.lit(0).alias("shard"), "ids", "sizes", "keys", nothing.cast("binary").alias("counts"), "data")
+    told = counts.filter("kind = 0").select("block", F.lit(0).alias("kind"), "shard", nothing.cast(ids).alias("ids"), nothing.cast("binary").alias("sizes"), nothing.cast("binary").alias("keys"), "counts", nothing.cast("binary").alias("data"))
+    shards = _shards(blocks_of)
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """For each block: doc_ids, buckets and words with edges between texts, the places of words, numbers of words, and Words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for i, (block, kind, shard, counts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 6)), strict=True)):
+                if block != at:
+                    at, parts = block, []
+                if kind == 0:
+                    parts.append((shard, np.frombuffer(counts, "<f4")))
+                    continue
+                keys = np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
+                order = np.argsort(((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64), kind="stable")
+                found = np.zeros(len(keys), "<f4")
+                found[order] = np.concatenate([np.zeros(0, "<f4"), *(p for _, p in parts)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in (3, 4, 5)), pa.array([found.tobytes()], pa.binary()), batch.column(7).slice(i, 1)], ["ids", "sizes", "keys", "counts", "data"])
+
+    both = told.unionByName(mine).repartition(n, "block").sortWithinPartitions("block", "kind", "shard")
+    return written(both.mapInArrow(run, f"ids {ids}, sizes binary, keys binary, counts binary, data binary"), "known")
+
+
+def _read(batch: pa.RecordBatch, model: Model) -> Iterator[tuple]:
+    """For each block: doc_ids, places of slots with edges between texts, where words are, numbers of words, which word each is, words' shares."""
     for i in range(batch.num_rows):
-        ids, sizes, buckets, data, known = (batch.column(c).slice(i, 1) for c in range(5))
-        own = np.append(np.frombuffer(buckets[0].as_py(), np.int32), np.int32(0))  # the last is the edge
-        words = _unpack(known[0].as_py() or [], len(own) - 1)
-        n = np.frombuffer(sizes[0].as_py(), np.int32).astype(np.int64)
-        places = _places(n)
-        laid = np.full(SIDE + int((n + SIDE).sum()), len(own) - 1, np.int32)
-        laid[places] = np.frombuffer(data[0].as_py(), np.int32)
-        yield ids.flatten(), own[laid], laid, places, n, words
+        ids = batch.column(0).slice(i, 1).flatten()
+        sizes, keys, counts, data = (batch.column(c)[i].as_py() for c in range(1, 5))
+        keys = np.frombuffer(keys, np.uint64)
+        slots = slots_of(keys, model.own)
+        n = np.frombuffer(sizes, np.int32).astype(np.int64)
+        which = np.frombuffer(data, "<u2" if len(keys) <= 1 << 16 else "<u4")
+        at = _places(n)
+        laid = np.full(SIDE + int((n + SIDE).sum()), SLOTS, np.int32)
+        laid[at] = model.place[slots].astype(np.int32)[which]
+        yield ids, laid, at, n, which, model.share(slots, np.frombuffer(counts, "<f4"))
 
 
 def trained(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model after ``rounds`` rounds over docs(doc_id, text); it knows where its words are."""
+    """The model after ``rounds`` rounds over docs(doc_id, text); it knows where its words' counts are."""
     there = encoded(docs)
-    words, mass = vocabulary(there)
-    model = learned(looked_up(there, words), mass, rounds)
-    model.table = words.inputFiles()
+    counts = counted(there)
+    model = learned(looked_up(there, counts), blank(counts), rounds)
+    model.table = counts.inputFiles()
     return model
 
 
-def learned(known: DataFrame, mass: np.ndarray, rounds: int = ROUNDS) -> Model:
+def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """The model after ``rounds`` rounds over looked_up()."""
     spark = known.sparkSession
-    model = Model(mass=mass)
+    schema = "part int, task bigint, n bigint, data binary"
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(model)  # about 4 MB, whatever the input
+        sent = spark.sparkContext.broadcast(model)  # about 7 MB, whatever the input
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            _settled()
             own = copy.copy(sent.value)  # other tasks of this worker begin with the shared weights, too
             own.weights = [w.copy() for w in own.weights]
             steps = 0
             for batch in batches:
-                for _, data, laid, places, _, words in _read(batch):
-                    some = places[turn::rounds]
+                for _, laid, at, *_ in _read(batch, own):
+                    some = at[turn::rounds]
                     for lo in range(0, len(some), BATCH):
-                        at = some[lo : lo + BATCH]
-                        own.learn(data[at[:, None] + _AROUND], laid[at], words=words)
-                        steps += len(at)
+                        mine = some[lo : lo + BATCH]
+                        own.learn(laid[mine[:, None] + _AROUND], laid[mine])
+                        steps += len(mine)
             if steps:
-                flat = np.concatenate([w.reshape(-1) for w in own.weights])
-                size = 1 << 14
-                parts = [flat[a : a + size].astype(np.float32).tobytes() for a in range(0, len(flat), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), steps)), pa.array(parts, pa.binary())], ["part", "n", "data"])
-
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for batch in batches:
-                for part, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    values = np.frombuffer(data, np.float32).astype(np.float64) * n
-                    if part in sums:
-                        sums[part][0] += n
-                        sums[part][1] += values
-                    else:
-                        sums[part] = [n, values]
-            for part, (n, values) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(values / n).astype(np.float32).tobytes()], pa.binary())], ["part", "n", "data"])
-
-        schema = "part int, n bigint, data binary"
-        averaged = known.mapInArrow(run, schema).repartition(partitions(spark), "part").mapInArrow(mean, schema)
-        rows = sorted(averaged.collect())  # the weights, once
+                moved = np.concatenate([(w - s).reshape(-1) for w, s in zip(own.weights, sent.value.weights, strict=True)])
+                moved = np.clip(moved, -6e4, 6e4).astype(np.float16)  # half a number's bytes are enough for what changed
+                parts = [moved[a : a + PART].tobytes() for a in range(0, len(moved), PART)]
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), task)), pa.array(np.full(len(parts), steps)), pa.array(parts, pa.binary())], ["part", "task", "n", "data"])
+
+        def added(form: str, divide: bool):
+            """Sums of messages that stand together, times their numbers of words; or their mean."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                key, n, values = None, 0, None
+
+                def out() -> pa.RecordBatch:
+                    data = (values / n).astype(np.float32) if divide else values
+                    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([n]), pa.array([data.tobytes()], pa.binary())], ["part", "task", "n", "data"])
+
+                for batch in batches:
+                    for part, task, some, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        new = (part, -1 if divide else task // GROUP)
+                        if new != key:
+                            if key is not None:
+                                yield out()
+                            key, n, values = new, 0, 0.0
+                        values = values + np.frombuffer(data, form).astype(np.float64) * (1 if divide else some)
+                        n += some
+                if key is not None:
+                    yield out()
+
+            return run
+
+        n = partitions(spark)
+        near = known.mapInArrow(run, schema).repartition(n, "part", F.expr(f"task div {GROUP}")).sortWithinPartitions("part", "task").mapInArrow(added("<f2", False), schema)
+        whole = near.repartition(n, "part").sortWithinPartitions("part", "task").mapInArrow(added("<f8", True), schema)
+        rows = sorted((r["part"], bytes(r["data"])) for r in whole.collect())  # the weights, once
         if not rows:
             return model
-        flat = np.concatenate([np.frombuffer(bytes(r["data"]), np.float32) for r in rows])
-        at = 0
+        moved, at = np.concatenate([np.frombuffer(d, np.float32) for _, d in rows]), 0
+        model = copy.copy(model)
         for i, w in enumerate(model.weights):
-            model.weights[i] = flat[at : at + w.size].reshape(w.shape).copy()
+            model.weights[i] = w + moved[at : at + w.size].reshape(w.shape)
             at += w.size
+        for i in (7, 8, 9):
+            model.weights[i] = np.maximum(model.weights[i], 0)
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, score (summed log-probabilities) and mean_score, by a trained() model."""
-    words = docs.sparkSession.read.schema("word binary, group int, path binary").parquet(*model.table)
-    return scores(looked_up(encoded(docs), words), model)
+    there = encoded(docs)
+    counts = docs.sparkSession.read.schema("kind int, block bigint, shard int, keys binary, counts binary").parquet(*model.table)
+    return scores(looked_up(there, counted(there, counts)), model)
 
 
 def scores(known: DataFrame, model: Model) -> DataFrame:
@@ -450,12 +483,16 @@ def scores(known: DataFrame, model: Model) -> DataFrame:
     kind = known.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settled()
         for batch in batches:
-            for ids, data, laid, places, n, words in _read(batch):
-                values = np.concatenate([np.zeros(0)] + [sent.value.log_probability(data[at[:, None] + _AROUND], laid[at], words) for at in (places[lo : lo + 4096] for lo in range(0, len(places), 4096))])
-                sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+            for ids, laid, at, n, which, share in _read(batch, sent.value):
+                values = share[which].astype(np.float64)
+                for lo in range(0, len(at), 4 * BATCH):
+                    mine = at[lo : lo + 4 * BATCH]
+                    values[lo : lo + len(mine)] += sent.value.log_probability(laid[mine[:, None] + _AROUND], laid[mine])
+                sums = np.concatenate([[0.0], np.cumsum(values)])
                 ends = np.cumsum(n)
-                score = sums[ends] - sums[ends - n]
+                score = np.minimum(0, sums[ends] - sums[ends - n])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(score), pa.array(score / np.maximum(1, n))], ["doc_id", "n_words", "score", "mean_score"])
 
     return known.mapInArrow(run, f"doc_id {kind}, n_words bigint, score double, mean_score double")
@@ -465,7 +502,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: pseudo-log-likelihood of all ``documents`` under a model of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     there = encoded(docs)
-    words, mass = vocabulary(there)
-    known = looked_up(there, words)
-    unwritten(there, words)
-    return scores(known, learned(known, mass))
+    counts = counted(there)
+    known = looked_up(there, counts)
+    unwritten(there)
+    model = blank(counts)
+    unwritten(counts)
+    return scores(known, learned(known, model))

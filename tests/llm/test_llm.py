@@ -12,6 +12,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shapewright.llm import media, mixing, packing, pseudo_likelihood, quality, simhash, suffix_dedup, suffixes, token_store, tokens, topk, toxicity
 
@@ -91,8 +92,6 @@ def test_token_store(spark, docs, rows, library, odd, empty, tmp_path):
 
 
 def test_token_store_notices_damage(spark, docs, tmp_path):
-    from pyspark.sql import functions as F
-
     folder = token_store.write_store(docs, str(tmp_path / "s"))
     of = {t: spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "recipes", "manifest")}
     some = of["chunks"].filter("n_ids > 3").orderBy("digest").first().digest
@@ -604,51 +603,83 @@ def test_pseudo_likelihood(spark, docs, odd, empty):
 
 def test_pseudo_likelihood_learns_both_sides():
     rng = np.random.default_rng(0)
-    texts = [b" ".join(rng.permutation([b"a b c d", b"e f g h", b"i j k l"]).tolist()) for _ in range(400)]
-    data, places, _ = pseudo_likelihood._padded(texts)
-    model = pseudo_likelihood.Model(np.bincount(data, minlength=pseudo_likelihood.BUCKETS))
-    windows = data[places[:, None] + pseudo_likelihood._AROUND]
-    before = model.log_probability(windows, data[places]).mean()
+    order = np.concatenate([np.concatenate([[4 * j, 4 * j + 1, 4 * j + 2, 4 * j + 3] for j in rng.permutation(3)]) for _ in range(400)])
+    model = pseudo_likelihood.Model(np.zeros(0, np.uint64), np.bincount(order, minlength=pseudo_likelihood.SLOTS))
+    laid = model.place[order].astype(np.int32)
+    at = np.arange(2, len(laid) - 2)
+    windows = laid[at[:, None] + pseudo_likelihood._AROUND]
+    before = model.log_probability(windows, laid[at]).mean()
     for _ in range(15):
-        for lo in range(0, len(places), 256):
-            model.learn(windows[lo : lo + 256], data[places[lo : lo + 256]])
-    assert model.log_probability(windows, data[places]).mean() > before + 1.5
+        for lo in range(0, len(at), 256):
+            model.learn(windows[lo : lo + 256], laid[at[lo : lo + 256]])
+    assert model.log_probability(windows, laid[at]).mean() > before + 1.5
 
 
 def test_pseudo_likelihood_learns_from_every_word(spark):
     cycle = " ".join(f"w{i}" for i in range(12))  # a stride of 12 or 24 words would see w0 alone as a target
-    docs = spark.createDataFrame([(i, cycle) for i in range(4000)], "doc_id bigint, text string").coalesce(1)
+    docs = spark.createDataFrame([(i, cycle) for i in range(40_000)], "doc_id bigint, text string").coalesce(1)
     found = pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs)).first()
     assert found.n_words == 12 and found.mean_score > np.log(1 / 12) + 0.5
 
 
-def test_pseudo_likelihood_counts_words_exactly_and_tells_class_mates_apart(spark):
+def test_pseudo_likelihood_against_a_plain_pass(spark, docs):
+    """Scores as sums over words, each by plain softmaxes over all slots; counts are exact."""
+    model = pseudo_likelihood.trained(docs.select("doc_id", "text"))
+    e, w1, b1, wc, bc, ws, bs = (w.astype(np.float64) for w in model.weights[:7])
+    head, each = pseudo_likelihood.HEAD, pseudo_likelihood.EACH
+    texts = {r.doc_id: (r.text or "").encode().split() for r in docs.collect()}
+    counts = Counter(pseudo_likelihood._core(w) for t in texts.values() for w in t)
+    import xxhash
+
+    def slot(word):
+        return int(pseudo_likelihood.slots_of(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64), model.own)[0])
+
+    assert sum(counts.values()) == model.mass.sum() - pseudo_likelihood.SLOTS / 2
+    found = {r.doc_id: r for r in pseudo_likelihood.scored(docs, model).collect()}
+    for i in sorted(texts)[:12]:
+        cores = [pseudo_likelihood._core(w) for w in texts[i]][:300]
+        if len(cores) != len(texts[i]):
+            continue
+        places = [model.place[slot(c)] for c in cores]
+        padded = [pseudo_likelihood.SLOTS] * 2 + places + [pseudo_likelihood.SLOTS] * 2
+        score = 0.0
+        for k, (core, place) in enumerate(zip(cores, places, strict=True)):
+            h = np.tanh(np.concatenate([e[padded[k + 2 + d]] for d in (-2, -1, 1, 2)]) @ w1 + b1)
+            z = h @ wc + bc
+            of = place if place < head else head + (place - head) // each
+            score += z[of] - np.log(np.exp(z).sum())
+            if place >= head:
+                q = h @ ws[of - head] + bs[of - head]
+                score += q[(place - head) % each] - np.log(np.exp(q).sum())
+            score += np.log(counts[core] / model.mass[slot(core)])
+        assert found[i].score == pytest.approx(score, rel=1e-4, abs=1e-3)
+
+
+def test_pseudo_likelihood_counts_words_exactly_and_tells_words_apart(spark):
     docs = spark.createDataFrame([(0, " ".join(f"x{i}" for i in range(60_000))), (1, "x1 x1 X2."), (2, None)], "doc_id bigint, text string")
     there = pseudo_likelihood.encoded(docs)
-    words, mass = pseudo_likelihood.vocabulary(there)
-    assert words.count() == 60_001 and mass.sum() == 60_004  # more words than hash buckets, and the place of unseen ones
-    known = pseudo_likelihood.looked_up(there, words).toArrow().to_batches()
-    model = pseudo_likelihood.Model(mass=mass)
-    total = 0.0
-    for batch in known:
-        for _, data, laid, places, n, table in pseudo_likelihood._read(batch):
-            if len(places) < 60_000:
-                continue
-            at = places[:60_000]
-            total += np.exp(model.log_probability(data[at[:, None] + pseudo_likelihood._AROUND], laid[at], table)).sum()
-    assert total == pytest.approx(60_003 / 60_004, abs=1e-3)
-    # words of equal counts, told apart by their neighbours only
+    counts = pseudo_likelihood.counted(there)
+    rows = [(k, n) for r in counts.filter("kind = 1").collect() for k, n in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["counts"], "<i8").tolist(), strict=True)]
+    assert len(rows) == len(dict(rows)) == 60_000 and Counter(n for _, n in rows) == {1: 59_998, 2: 1, 3: 1}
+    # of equal counts, told apart by their neighbours only
     rng = np.random.default_rng(0)
     pairs = [f"a{i} b{i}" for i in range(400)]
-    docs = spark.createDataFrame([(i, " ".join(pairs[j] for j in rng.permutation(400))) for i in range(300)], "doc_id bigint, text string").coalesce(1)
-    found = pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs, 1)).first()
+    docs = spark.createDataFrame([(i, " ".join(pairs[j] for j in rng.permutation(400))) for i in range(1200)], "doc_id bigint, text string").coalesce(1)
+    found = pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs)).first()
     assert found.mean_score > np.log(1 / 800) + 0.1
 
 
+def test_pseudo_likelihood_reruns_agree(spark, docs):
+    a, b = (sorted(tuple(r) for r in pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs)).select(F.coalesce("doc_id", F.lit(-1)), "score").collect()) for _ in range(2))
+    assert a == b
+
+
 def test_probabilities_of_all_words_sum_to_one():
-    model = pseudo_likelihood.Model(np.arange(pseudo_likelihood.BUCKETS) % 7)
-    every = np.arange(pseudo_likelihood.BUCKETS)
-    window = np.tile([1, 2, 3, 4], (len(every), 1))
+    rng = np.random.default_rng(1)
+    model = pseudo_likelihood.Model(np.zeros(0, np.uint64), rng.integers(0, 9, pseudo_likelihood.SLOTS))
+    model.weights = [w + rng.normal(0, 0.2, w.shape).astype(np.float32) for w in model.weights]
+    every = np.arange(pseudo_likelihood.SLOTS)
+    window = np.tile([1, 2, 3, pseudo_likelihood.SLOTS], (len(every), 1))
     assert np.exp(model.log_probability(window, every)).sum() == pytest.approx(1, abs=1e-3)
 
 
