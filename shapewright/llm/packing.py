@@ -1,10 +1,11 @@
 """Best-fit packing of documents into token sequences by bin completion.
 
 Lengths are all that packing needs, and there are at most ``capacity`` of them. So the driver gets a histogram (one row for each
-length, 2,048 at most, whatever the input) and completes bins on it: take the largest length left, enumerate the undominated fillings
-around it, apply the chosen filling as many times as the counts allow, and branch over the fillings. Each step uses up a length, so
-a solution has at most as many steps as there are lengths. A branch is cut when its waste so far exceeds what the incumbent leaves;
-best-fit solutions of the rest are incumbents at every node. The search ends at the lower bound or after ``nodes`` nodes.
+length, 2,048 at most, whatever the input) and completes bins on it by branch and bound: take the largest length left, enumerate the
+undominated fillings around it in the order of their waste, and branch over them and over how many bins are filled so, from as many as the
+counts allow down to one. Paths that leave the first branches least come first. A branch is cut when its waste so far exceeds what a solution of a bin less than the incumbent may have; best-fit
+solutions of what is left are incumbents at every node. The enumeration is lazy and complete. The search ends at the lower bound, when it
+has been through all branches, or after ``nodes`` nodes, the one limit that it has: then the best solution so far is taken.
 
 Executors then number the pieces of each length and look up their place in the solution. No task holds more than its range of pieces.
 
@@ -14,6 +15,7 @@ Null text is an empty document. Equal rows are packed each. Other columns play n
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,8 @@ from ._common import blocks, partitions, raw, ship, written
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
-#: Nodes of the search over fillings.
-NODES = 6_000
-#: Fillings that a node branches over, the best first.
-BRANCHES = 4
+#: Nodes of the search over fillings: at a node for each step of a solution, enough for some tens of solutions of a hard histogram.
+NODES = 3_000
 
 Step = tuple[int, tuple[tuple[int, int], ...]]  # how many bins, their (length, copies)
 
@@ -87,67 +87,62 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Step]:
     return [(bins, contents) for held in left.values() for contents, bins in held.items()]
 
 
-def fillings(first: int, counts: dict[int, int], order: list[int], capacity: int, waste: int, most: int) -> list[tuple[tuple[int, int], ...]]:
-    """The best fillings around one piece of length ``first``: at most ``most``, least waste first, no waste above ``waste``.
+def fillings(first: int, counts: dict[int, int], capacity: int, most: int) -> Iterator[tuple[int, dict[int, int]]]:
+    """The undominated fillings around one piece of length ``first``: (waste, copies of each length), least waste first, long pieces first.
 
-    Fillings are enumerated with the longest pieces first. One is dominated if a piece that is left could replace one of its pieces
-    or a pair of them and still fit, so only those that leave no such exchange are kept.
+    None wastes more than ``most``. A filling is dominated if a piece that is left could take the place of one or several of its pieces that aren't longer together, or of
+    nothing, and still fit. Sets of lengths are bits of whole numbers; what the k shortest lengths can add up to is such a set, so that the
+    enumeration runs into no dead ends.
     """
-    present = np.zeros(capacity + 1, bool)
-    for x in order:
-        present[x] = counts[x] > (x == first)
-    lengths = [x for x in order if present[x]]
-    array = np.array(lengths[::-1], np.int64)  # ascending
-    found: dict[tuple[int, ...], int] = {}
     room = capacity - first
-    budget = 40
-
-    def fits(at: int) -> list[int]:
-        return array[max(0, int(np.searchsorted(array, at, side="right")) - 6) : int(np.searchsorted(array, at, side="right"))][::-1].tolist()
-
-    def go(at: int, top: int, chosen: list[int]) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or len(found) >= 3 * most:
+    free = {x: n - (x == first) for x, n in counts.items() if x <= room and n > (x == first)}
+    lengths = sorted(free)
+    every, reach = (1 << (room + 1)) - 1, [1]
+    for x in lengths:
+        sums, left, step = reach[-1], min(free[x], room // x), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << (step * x) & every
+            left, step = left - step, step * 2
+        reach.append(sums)
+    there = sum(1 << x for x in lengths)
+
+    def dominated(one: int, several: int, left: int, waste: int) -> bool:
+        """By sums of one of the pieces, and of two or more, and by the lengths that are left. Shorter pieces that are taken later change nothing."""
+        longer, width = left >> 1 if waste else 0, 1  # sums that a piece of up to `waste` more is left for
+        while width < waste:
+            step = min(width, waste - width)
+            longer |= longer >> step
+            width += step
+        return bool(one & longer or several & (longer | left))
+
+    def adding_up(k: int, total: int, waste: int, one: int, several: int, left: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Fillings by the k shortest lengths of just ``total`` that aren't dominated beside those taken so far."""
+        if not total:
+            if not left & ((1 << (waste + 1)) - 1):  # else one more piece fits
+                yield ()
             return
-        left = counts[at] - chosen.count(at) - (at == first) if at <= top and at <= capacity and at > 0 and present[at] else 0
-        if at == 0 or left > 0:
-            found.setdefault(tuple(chosen + ([at] if at else [])), 0)
-            if at == 0:
+        for i in range(min(k, bisect_right(lengths, total)) - 1, -1, -1):
+            if not reach[i + 1] >> total & 1:
                 return
-        # two pieces that fill the room: the longer one from the top down
-        if at > 1:
-            high = min(at - 1, top)
-            longer = np.arange(high, (at - 1) // 2, -1)
-            pairs = longer[present[longer] & present[at - longer]][:2] if len(longer) else longer
-            for x in pairs.tolist():
-                y = at - x
-                if counts[x] - chosen.count(x) - (x == first) - (x == y) > 0 and counts[y] - chosen.count(y) - (y == first) > 0:
-                    found.setdefault((*chosen, x, y), 0)
-        deeper = [x for x in fits(min(at, top)) if counts[x] - chosen.count(x) - (x == first) > 0]
-        if not deeper:
-            if at <= waste:
-                found.setdefault(tuple(chosen), at)
-            return
-        for x in deeper[:3]:
-            if x < at:
-                go(at - x, x, [*chosen, x])
-            elif x == at:
-                found.setdefault((*chosen, x), 0)
-
-    go(room, capacity, [])
-    if not found:
-        found[()] = room
-    ranked = sorted(found.items(), key=lambda kv: (kv[1], [-x for x in kv[0]]))
-    kept: list[tuple[int, ...]] = []
-    for items, rest in ranked:
-        if len(kept) == most:
-            break
-        if rest and any(present[x + 1 : x + rest + 1].any() for x in items):
-            continue  # dominated: a longer piece fits in place of one of these
-        kept.append(items)
-    kept = kept or [ranked[0][0]]
-    return [tuple((x, items.count(x)) for x in sorted(set(items), reverse=True)) for items in kept]
+            x, sums_of_one, sums_of_several, n = lengths[i], one, several, 0
+            while n < min(free[x], total // x):
+                n += 1
+                sums_of_several |= (sums_of_several | sums_of_one) << x
+                sums_of_one |= 1 << x
+                after = left & ~(1 << x) if n == free[x] else left
+                if dominated(sums_of_one, sums_of_several, after, waste):
+                    if n < free[x] and not dominated(sums_of_one, sums_of_several, left & ~(1 << x), waste):
+                        continue  # it may be right to use up the length
+                    break
+                if reach[i] >> (total - n * x) & 1:
+                    for rest in adding_up(i, total - n * x, waste, sums_of_one, sums_of_several, after):
+                        yield ((x, n), *rest)
+
+    for waste in range(min(room, most) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for filling in adding_up(len(lengths), room - waste, waste, 0, 0, there):
+                yield waste, dict(filling)
 
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Step]:
@@ -160,39 +155,53 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     bound = lower_bound(counts, capacity)
     size = lambda steps: sum(n for n, _ in steps)
     best = best_fit(counts, capacity)
-    bins_best = size(best)
-    total = sum(x * n for x, n in counts.items())
-    spent = 0
-    # depth first without recursion: (what is left, steps so far, bins so far, waste so far)
-    stack: list[tuple[dict[int, int], list[Step], int, int]] = [(counts, [], 0, 0)]
-    while stack and bins_best > bound and spent < nodes:
-        left, steps, bins, waste = stack.pop()
-        spent += 1
-        allowed = (bins_best - 1) * capacity - total - waste
-        if allowed < 0:
-            continue
-        if not left:
-            if bins < bins_best:
-                best, bins_best = steps, bins
-            continue
-        if spent % 128 == 1 or len(left) < 12:
-            rest = best_fit(left, capacity)
-            if bins + size(rest) < bins_best:
-                best, bins_best = steps + rest, bins + size(rest)
+    bins_best, total = size(best), sum(x * n for x, n in counts.items())
+
+    def allowed(waste: int) -> int:
+        """What a solution of one bin less than the incumbent may waste yet."""
+        return (bins_best - 1) * capacity - total - waste
+
+    def children(left: dict[int, int], waste: int) -> Iterator[tuple[int, dict[int, int], int]]:
+        """(bins, what is in each, waste of each)."""
+        first = max(left)
+        for each, filling in fillings(first, left, capacity, allowed(waste)):
+            use = {**filling, first: filling.get(first, 0) + 1}
+            for times in range(min(left[x] // n for x, n in use.items()), 0, -1):
+                if times * each <= allowed(waste):
+                    yield times, use, each
+
+    spent, off, cut = 0, -1, True
+    while cut and bins_best > bound and spent < nodes:
+        # a search of limited discrepancy: the branches of a path may be `off` from the first ones in all
+        off, cut = off + 1, False
+        steps: list[Step] = []
+        bins = 0
+        stack = [(counts, 0, children(counts, 0), iter(range(off + 1)), off)]  # what is left, waste so far, branches, their numbers, how much may be off
+        while stack and bins_best > bound and spent < nodes:
+            left, waste, branches, numbers, may = stack[-1]
+            nth = next(numbers, None)
+            branch = None if nth is None else next(branches, None)
+            cut |= nth is None
+            if branch is None or allowed(waste) < 0:
+                stack.pop()
+                if steps:
+                    bins -= steps.pop()[0]
                 continue
-        order = sorted(left, reverse=True)
-        first = order[0]
-        options = []
-        for filling in fillings(first, left, order, capacity, allowed, BRANCHES):
-            use = dict(filling)
-            use[first] = use.get(first, 0) + 1
-            times = min(left[x] // k for x, k in use.items())
-            rest_waste = times * (capacity - sum(x * k for x, k in use.items()))
-            if waste + rest_waste > (bins_best - 1) * capacity - total:
+            times, use, each = branch
+            if times * each > allowed(waste):
                 continue
+            spent += 1
+            steps.append((times, tuple(sorted(use.items(), reverse=True))))
+            bins += times
             after = {x: n - times * use.get(x, 0) for x, n in left.items() if n > times * use.get(x, 0)}
-            options.append((after, [*steps, (times, tuple(sorted(use.items(), reverse=True)))], bins + times, waste + rest_waste))
-        stack.extend(reversed(options))
+            rest = best_fit(after, capacity)
+            if bins + size(rest) < bins_best:
+                best, bins_best = steps + rest, bins + size(rest)
+            if after:
+                so_far = waste + times * each
+                stack.append((after, so_far, children(after, so_far), iter(range(may - nth + 1)), may - nth))
+            else:
+                bins -= steps.pop()[0]
     return best
 
 

@@ -151,6 +151,34 @@ def test_bin_completion(seed):
     assert packing.lower_bound(counts, 2048) <= n <= best_fit
 
 
+def test_undominated_fillings_are_all_there():
+    """Against every set of pieces: what isn't given is dominated by exchanging some pieces for one that is left."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        pieces = sorted(rng.integers(1, 20, 7).tolist(), reverse=True)
+        capacity, first = 30, pieces[0]
+        got = {tuple(sorted(x for x, n in f.items() for _ in range(n))) for _, f in packing.fillings(first, dict(Counter(pieces)), capacity, capacity)}
+        want = set()
+        for k in range(7):
+            for some in combinations(range(1, 7), k):
+                inside, out = [pieces[i] for i in some], [pieces[i] for i in range(1, 7) if i not in some]
+                waste = capacity - first - sum(inside)
+                if waste < 0:
+                    continue
+                sums = {(j > 1, sum(c)) for j in range(len(inside) + 1) for c in combinations(inside, j)}
+                if not any(s + (0 if several else 1) <= y <= s + waste for several, s in sums for y in out):
+                    want.add(tuple(sorted(inside)))
+        assert got == want
+
+
+@pytest.mark.parametrize(("seed", "low", "high", "n", "most"), [(0, 200, 900, 600, 166), (2, 200, 900, 600, 161), (0, 650, 720, 200, 75), (0, 100, 700, 1000, 200)])
+def test_bin_completion_beats_best_fit(seed, low, high, n, most):
+    counts = dict(Counter(np.random.default_rng(seed).integers(low, high + 1, n).tolist()))
+    assert sum(b for b, _ in packing.complete_bins(counts)) <= most < sum(b for b, _ in packing.best_fit(counts, 2048))
+
+
 def test_bin_completion_finds_the_optimum_of_small_cases():
     def least(left, rooms):
         if not left:
