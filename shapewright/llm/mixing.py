@@ -3,19 +3,19 @@
 A seeded hash of doc_id puts each source's documents in a random order, cut by the hash's leading bits into blocks of about
 ``BLOCK_DOCS``. A source's target buys whole epochs of its blocks and a prefix of one more epoch, down to a cutoff in the order that is
 found by histograms of the hash (a thousand rows for each source and level, whatever the input). So each document is taken
-``epochs`` or ``epochs + 1`` times, and which it is shows by its hash alone: no document is compared with another, and no text moves.
+``epochs`` or ``epochs + 1`` times, and which it is shows by its hash alone: no document is compared with another.
 
 Output shards get exact block quotas: at each node of a binary tree over the shards, the node's blocks are split between its halves by a
 multivariate hypergeometric draw, so that a shard is a random sample without replacement of all drawn blocks, and quotas add up. Each
-shard takes the next blocks of each source's drawn sequence, and shuffles its documents by another hash.
+shard takes the next blocks of each source's drawn sequence, and shuffles its documents by another hash. What no shard's quota reaches
+isn't taken. Shards are as many as the mix has ``SHARD_WORDS``, so that one is sorted in one task whatever the input.
 
-The driver holds one row for each source. Null text has size 0; a null source is a source of its own, last in order; null doc_ids
-share one place in the order. Equal rows are each taken. An empty table gives no rows; sources without words get target 0.
+The driver holds one row for each source. Null text has size 0; a null source is a source of its own, last in order; rows with a null
+doc_id are ordered by their texts. Equal rows are each taken. An empty table gives no rows; sources without words get target 0.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -26,7 +26,9 @@ from ._common import partitions, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, 20240229
-BLOCK_DOCS, SHARDS = 256, 64
+BLOCK_DOCS = 256
+#: Words for each output shard.
+SHARD_WORDS = 8_000_000
 _KEY_BITS, _STEP = 63, 10
 #: Rows of the plan that are broadcast; a larger plan is joined.
 _PLAN_ROWS = 20_000
@@ -38,7 +40,8 @@ def size_of(text):
 
 
 def _key(seed: int):
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1)
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), unnamed), 1)
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -85,26 +88,37 @@ def quotas(blocks: dict[str | None, int], shards: int, seed: int) -> dict[str |
     return out
 
 
+#: Numbers from which on numpy doesn't draw.
+_NUMPY_MOST = 1_000_000_000
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draw: int) -> int:
-    if good + bad < 1_000_000_000:
+    """How many of ``draw`` drawn without replacement are good."""
+    if good + bad < _NUMPY_MOST:
         return int(rng.hypergeometric(good, bad, draw))
-    # beyond numpy's range its normal limit differs from it by less than a block in a million
+    # by inversion: each number's chance from that of the one before; beyond 40 deviations all chances are below a double's least
     n = good + bad
-    mean = draw * good / n
-    x = round(rng.normal(mean, (mean * (bad / n) * ((n - draw) / (n - 1))) ** 0.5))
-    return int(min(good, draw, max(0, draw - bad, x)))
+    low, high = max(0, draw - bad), min(good, draw)
+    wide = 10 + int(40 * (draw * (good / n) * (bad / n) * ((n - draw) / max(1, n - 1))) ** 0.5)
+    low, high = max(low, draw * good // n - wide), min(high, draw * good // n + wide)
+    x = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - x) + np.log(draw - x) - np.log(x + 1) - np.log(bad - draw + x + 1)
+    logs = np.append(0.0, np.cumsum(steps))
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(chances, rng.random() * chances[-1], side="right"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shards: int = SHARDS) -> tuple[DataFrame, list[tuple]]:
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shards: int | None = None) -> tuple[DataFrame, list[tuple]]:
     """docs(doc_id, source, text) -> (doc_id, source, size, key), written; and a row for each source.
 
-    The row: source, size, target, epochs, cutoff, bits, first drawn block of each shard. A document is drawn in the last epoch if its key
-    is below cutoff.
+    The row: source, size, target, epochs, cutoff, bits, first drawn block of each shard and the end of the last. A document is drawn in the last
+    epoch if its key is below cutoff. Without ``shards`` there is one for each ``SHARD_WORDS`` of the mix.
     """
     sized = written(docs.select("doc_id", "source", size_of("text").alias("size"), _key(seed).alias("key")), "sizes")
     per = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     sizes = {s: int(v[0]) for s, v in per.items()}
     goal = targets(sizes, weights, share, most)
+    shards = shards or 1 + int(sum(goal.values()) // SHARD_WORDS)
     epochs = {s: int(min(most, goal[s] // sizes[s])) if sizes[s] else 0 for s in per}
     rest = {s: goal[s] - epochs[s] * sizes[s] for s in per}
     # walk down the order of each source to where the words before it reach what is left
@@ -141,7 +155,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     bits = {s: max(0, (n // BLOCK_DOCS).bit_length()) for s, (_, n) in per.items()}
     drawn = {s: (epochs[s] << bits[s]) + -(-cutoff[s] // (1 << (_KEY_BITS - bits[s]))) for s in per}
     share_of = quotas(dict(sorted(drawn.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))), shards, seed)
-    rows = [(s, sizes[s], goal[s], epochs[s], cutoff[s], bits[s], [0, *accumulate(share_of[s])][:-1]) for s in per]
+    rows = [(s, sizes[s], goal[s], epochs[s], cutoff[s], bits[s], [0, *accumulate(share_of[s])]) for s in per]
     return sized, rows
 
 
@@ -154,7 +168,7 @@ def _copies():
     return F.col("_epochs") + (F.col("_key") < F.col("_cutoff")).cast("int")
 
 
-def mixed(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, **how) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, shards: int | None = None, **how) -> DataFrame:
     """docs, each row as often as the mix takes it, with its shard and a random number to order it by there: _shard, _order."""
     _, rows = plan(docs, seed=seed, shards=shards, **how)
     return dealt(docs, rows, seed)
@@ -165,10 +179,10 @@ def dealt(docs: DataFrame, rows: list[tuple], seed: int = SEED) -> DataFrame:
     columns = docs.columns
     joined = docs.withColumn("_key", _key(seed)).join(_planned(docs.sparkSession, rows), F.col("source").eqNullSafe(F.col("_source")))
     each = joined.filter(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), _copies() - 1)))
-    # drawn blocks are numbered over epochs; a shard has those from its first on
+    # drawn blocks are numbered over epochs; a shard has those from its first to the next one's, and what is in no shard isn't taken
     block = (F.expr("shiftleft(cast(_copy as bigint), _bits)")) + F.expr(f"shiftrightunsigned(_key, {_KEY_BITS} - _bits)")
     shard = F.size(F.filter("_firsts", lambda x: x <= block)) - 1
-    return each.select(*columns, shard.alias("_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "_copy").alias("_order"))
+    return each.filter(block < F.element_at("_firsts", -1)).select(*columns, shard.alias("_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "_copy").alias("_order"))
 
 
 def shuffled(mix: DataFrame) -> DataFrame:
@@ -176,20 +190,16 @@ def shuffled(mix: DataFrame) -> DataFrame:
     return mix.repartition(partitions(mix.sparkSession), "_shard").sortWithinPartitions("_shard", "_order")
 
 
-def shard_of(rows: list[tuple], source: str | None, block: int) -> int:
-    """The shard of a source's drawn block."""
-    firsts = next(r[6] for r in rows if r[0] == source)
-    return bisect_right(firsts, block) - 1
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: how much of each of ``documents`` the mix takes, counted in the mix, which is built with its texts."""
+    """op4: how much of each of ``documents`` the mix takes, counted in the mix, which is built with its texts; shards: where its copies are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized, rows = plan(docs)
-    mix = written(shuffled(dealt(docs.select("doc_id", "source", "text"), rows)), "mix")
-    found = mix.groupBy("doc_id", "source").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), "_n")
-    # equal ids of a source are taken equally often
-    several = sized.groupBy("doc_id", "source").agg(F.count("*").alias("_several")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from")), "left")
-    copies = several.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.expr("coalesce(_n, 0) div _several").alias("_copies"))
-    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from"))).join(_planned(spark, rows), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+    mix = written(shuffled(dealt(docs.select("doc_id", "source", "text", _key(SEED).alias("key")), rows)), "mix")
+    mine = lambda: (F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.col("key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("key") == F.col("_key"))
+    found = mix.groupBy(*mine()).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("_shard")).alias("shards"))
+    # rows of equal ids, sources and keys are taken equally often
+    several = sized.groupBy("doc_id", "source", "key").agg(F.count("*").alias("_several")).join(found, same, "left")
+    copies = several.select(*mine(), F.expr("coalesce(_n, 0) div _several").alias("_copies"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    joined = sized.join(copies, same).join(_planned(spark, rows), F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"), "shards")

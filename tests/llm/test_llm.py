@@ -445,6 +445,59 @@ def test_mixing(spark, docs, rows, odd, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixed(odd).columns == [*odd.columns, "_shard", "_order"]
 
 
+@pytest.mark.parametrize("with_nulls", [False, True])
+def test_mixing_query(spark, rows, tmp_path, monkeypatch, with_nulls):
+    """Sizes, targets and what is taken against plain Python; without the tree's quotas nothing is taken."""
+    more = [(None, f"word{i} " * (i % 5 + 1), "en", "s1", 0.5, 1) for i in range(150)] if with_nulls else []
+    table = rows + more + [(rows[4][0], rows[4][1], "en", rows[4][3], 0.5, 1)]
+    spark.createDataFrame(table, SCHEMA).withColumn("shards", F.lit(1)).withColumn("key", F.lit("k")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = mixing.query(spark, str(tmp_path)).collect()
+    words = [len(WORD.findall(r[1] or "")) for r in table]
+    sizes = Counter()
+    for r, n in zip(table, words, strict=True):
+        sizes[r[3]] += n
+    # targets by filling up: weights 5, 2, 1 in order, shares above twice the size are cut and dealt again
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal = dict.fromkeys(order, 0.0)
+    level, left = 0.0, 1.5 * sum(sizes.values())
+    open_ = set(order)
+    while open_ and left > 1e-9:
+        step = min(min((2 * sizes[s] - goal[s]) / weight[s] for s in open_), left / sum(weight[s] for s in open_))
+        for s in open_:
+            goal[s] += step * weight[s]
+        left -= step * sum(weight[s] for s in open_)
+        level += step
+        open_ = {s for s in open_ if 2 * sizes[s] - goal[s] > 1e-9}
+    source = {r[0]: r[3] for r in table}
+    taken, largest = Counter(), Counter()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in found) == sorted((r[0] is None, r[0] or 0, n) for r, n in zip(table, words, strict=True))
+    for r in found:
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(goal[s]) and 0 <= r.taken <= 2 * r.size and (r.taken > 0) <= (len(r.shards) > 0)
+        taken[s] += r.taken
+        largest[s] = max(largest[s], r.size)
+    for s in order:
+        assert abs(taken[s] - goal[s]) <= 2 * largest[s]
+    again = mixing.query(spark, str(tmp_path)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken, r.shards)
+    assert sorted(map(key, found)) == sorted(map(key, again))
+    monkeypatch.setattr(mixing, "quotas", lambda blocks, shards, seed: {s: [0] * shards for s in blocks})
+    assert sum(r.taken for r in mixing.query(spark, str(tmp_path)).collect()) == 0
+
+
+def test_large_hypergeometric_draws(monkeypatch):
+    """The sampler for large numbers has the distribution of numpy's on small ones."""
+    rng = np.random.default_rng(0)
+    want = [int(rng.hypergeometric(300, 700, 200)) for _ in range(4000)]
+    monkeypatch.setattr(mixing, "_NUMPY_MOST", 0)
+    got = [mixing._hypergeometric(rng, 300, 700, 200) for _ in range(4000)]
+    assert abs(np.mean(got) - np.mean(want)) < 0.5 and abs(np.std(got) - np.std(want)) < 0.3 and min(got) >= 0
+    assert mixing._hypergeometric(rng, 5, 0, 3) == 3 and mixing._hypergeometric(rng, 0, 5, 3) == 0 and mixing._hypergeometric(rng, 3, 4, 7) == 3
+    big = [mixing._hypergeometric(rng, 10**11, 3 * 10**11, 10**10) for _ in range(20)]
+    assert abs(np.mean(big) - 2.5e9) < 5e5 and len(set(big)) == 20
+
+
 def test_quotas_add_up():
     blocks = {"a": 1000, "b": 10, None: 333, "c": 0}
     q = mixing.quotas(blocks, 16, 1)
