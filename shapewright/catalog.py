@@ -137,14 +137,22 @@ CHECKS |= {
     "occur_at_least": Check("events", EVENT, _TIMES, "n = [2* int]", "event_id % 5 >= 2", "json"),
     "occur_between": Check("events", EVENT, _TIMES, "n = [2*3 int]", "event_id % 5 BETWEEN 2 AND 3", "json"),
     "occur_at_most": Check("events", EVENT, _TIMES, "n = [*3 int]", "event_id % 5 <= 3", "json"),
-    "occur_greedy": Check("events", EVENT, _TIMES, "n = [* int, int]", "false", "json"),
+    "occur_greedy": Check("events", EVENT, "concat('[1,1', CASE WHEN event_id % 2 = 0 THEN ',\"x\"' ELSE '' END, ']')", "n = [* int, (tstr // int)]", "event_id % 2 = 0", "json"),
     "array_group_choice": Check("events", EVENT, "concat('[', event_id % 3, CASE WHEN event_id % 2 = 0 THEN ',\"x\"' ELSE '' END, ']')", "n = [(0..1, tstr // int)]", "(event_id % 3 <= 1 AND event_id % 2 = 0) OR event_id % 2 = 1", "json"),
     "array_unwrap": Check("events", EVENT, "concat('[', event_id % 3, ',', event_id % 5, ']')", "n = [~pair]\npair = [0..1, 0..2]", "event_id % 3 <= 1 AND event_id % 5 <= 2", "json"),
     # maps
     "map_empty": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN '{}' ELSE props END", "n = {}", "event_id % 2 = 0", "json"),
     "map_group": Check("events", EVENT, "props", "n = { g }\ng = (k: 0..29)", f"{_K} BETWEEN 0 AND 29", "json"),
     "map_group_augmented": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN '{\"z\":true}' ELSE props END", "n = { g }\ng = (k: 0..29)\ng //= (z: bool)", f"event_id % 2 = 0 OR {_K} BETWEEN 0 AND 29", "json"),
-    "map_socket": Check("events", EVENT, "CASE WHEN event_id % 2 = 0 THEN replace(props, '{', '{\"z\":true,') ELSE props END", "n = { k: int, * $$more }\n$$more //= (z: bool)", "true", "json"),
+    "map_socket": Check("events", EVENT, "CASE event_id % 3 WHEN 0 THEN replace(props, '{', '{\"z\":true,') WHEN 1 THEN replace(props, '{', '{\"z\":1,') ELSE props END", "n = { k: int, * $$more }\n$$more //= (z: bool)", "event_id % 3 <> 1", "json"),
+    "map_order_of_alternates": Check("events", EVENT, "concat('{\"a\":', event_id % 4, '}')", "n = { g }\ng = (a: 0..1)\ng //= (a: 1..2)", "event_id % 4 <= 2", "json"),
+    "map_flat_groups": Check("events", EVENT, "concat('{\"a\":1,\"b\":2,\"c\":', event_id % 4, '}')", "n = { * g }\ng = (tstr => 0..2)", "event_id % 4 <= 2", "json"),
+    # whole documents
+    "json_trailing": Check("events", EVENT, "CASE event_id % 4 WHEN 0 THEN concat(props, 'x') WHEN 1 THEN concat(props, ' ') WHEN 2 THEN concat(props, ',', props) ELSE props END", "n = { * tstr => any }", "event_id % 4 IN (1, 3)", "json"),
+    "json_repeated_keys": Check("events", EVENT, "concat('{\"k\":\"x\",\"k\":', event_id % 5, '}')", "n = { k: 0..2 }", "event_id % 5 <= 2", "json"),
+    "json_repeated_keys_matcher": Check("events", EVENT, "concat('{\"k\":\"x\",\"k\":', event_id % 5, '}')", "n = { k: 0..2 }", "event_id % 5 <= 2", "json", "matcher"),
+    "regexp_dot": Check("events", EVENT, "concat('a', CASE event_id % 4 WHEN 0 THEN char(10) WHEN 1 THEN char(13) WHEN 2 THEN decode(unhex('E280A8'), 'UTF-8') ELSE 'x' END, 'b')", 'n = tstr .regexp "^a.b$"', "event_id % 4 <> 0"),
+    "regexp_end": Check("events", EVENT, "concat('ab', CASE WHEN event_id % 2 = 0 THEN char(10) ELSE '' END)", 'n = tstr .regexp "^ab$"', "event_id % 2 = 1"),
     "map_table_first": Check("events", EVENT, "props", "n = { * tstr => 0..9, k: int }", f"NOT ({_K} BETWEEN 0 AND 9)", "json"),
     "map_single_typed_keys": Check("events", EVENT, "concat('{\"a\":', event_id % 2, ',\"b\":\"x\"}')", "n = { tstr => tstr, tstr => 1 }", "event_id % 2 = 1", "json"),
     "map_count": Check("events", EVENT, "CASE event_id % 3 WHEN 0 THEN '{}' WHEN 1 THEN props ELSE replace(props, '}', ',\"y\":1,\"z\":2}') END", "n = { 1*2 tstr => int }", "event_id % 3 = 1", "json"),
@@ -179,13 +187,34 @@ CHECKS |= {
     "cbor_cut": Check("part", PART, _hex("'A1616B', lpad(hex(p_size % 10), 2, '0')"), 'n = { ? "k" ^ => 0..4, * tstr => uint }', "p_size % 10 <= 4", "cbor"),
     "cbor_no_cut": Check("part", PART, _hex("'A1616B', lpad(hex(p_size % 10), 2, '0')"), 'n = { ? "k" => 0..4, * tstr => 7..9 }', "p_size % 10 <= 4 OR p_size % 10 >= 7", "cbor"),
     "cbor_group_choice": Check("part", PART, _hex("'A2616101', CASE WHEN p_partkey % 2 = 0 THEN '6162' ELSE '6163' END, lpad(hex(p_size % 10), 2, '0')"), "n = { a: 1, b: 0..4 // a: 1, c: 5..9 }", "(p_partkey % 2 = 0 AND p_size % 10 <= 4) OR (p_partkey % 2 = 1 AND p_size % 10 >= 5)", "cbor"),
+    "cbor_float_widths": Check("part", PART, "unhex(CASE p_partkey % 3 WHEN 0 THEN 'F93E00' WHEN 1 THEN 'FA3FC00000' ELSE 'FB3FF8000000000000' END)", "n = float16 / float64", "true", "cbor"),
+    "cbor_nan_keys": Check("part", PART, "unhex(CASE WHEN p_partkey % 2 = 0 THEN 'A1F97E0001' ELSE 'A1616101' END)", "n = { * float => int }", "p_partkey % 2 = 0", "cbor"),
+    "cbor_bytes_in_ranges": Check("part", PART, "unhex(CASE WHEN p_partkey % 2 = 0 THEN '4103' ELSE '46010203040506' END)", "n = 1..5", "p_partkey % 2 = 0", "cbor"),
     "cbor_trailing": Check("part", PART, _hex("'01', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '02' END"), "n = 1", "p_partkey % 2 = 0", "cbor"),
 }
 
 
+#: Tagged names of the prelude: tag, a body that fits, and one that doesn't.
+_TAGS = {
+    "decfrac": ("C4", "820001", "8100"),
+    "bigfloat": ("C5", "820001", "8100"),
+    "eb64url": ("D5", "4101", None),
+    "eb64legacy": ("D6", "4101", None),
+    "eb16": ("D7", "4101", None),
+    "encoded-cbor": ("D818", "4101", "6161"),
+    "regexp": ("D823", "6161", "4101"),
+    "mime-message": ("D824", "6161", "4101"),
+    "cbor-any": ("D9D9F7", "01", None),
+}
+CHECKS |= {
+    f"cbor_{name.replace('-', '_')}": Check("part", PART, f"unhex(CASE p_partkey % 3 WHEN 0 THEN '{tag}{good}' WHEN 1 THEN 'D9FFFF{good}' ELSE '{tag}{bad or good}' END)", f"n = {name}", "p_partkey % 3 = 0" if bad else "p_partkey % 3 <> 1", "cbor")
+    for name, (tag, good, bad) in _TAGS.items()
+}
+
+
 def _error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("props")
-    return report(rows, "event = { k: int .lt 50 }", "props").select("rule", "n")
+    return report(rows, "event = { k: int .lt 50 }", "props").select("rule", "reason", "n")
 
 
 def _csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +237,13 @@ def _cbor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
-    return error_rows(rows, "event = { k: 0..49 }", "props").select("event_id", "location", "rule")
+    return error_rows(rows, "event = { k: 0..49 }", "props").select("event_id", "location", "rule", "reason", "message")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = Schema.parse('order = { id: uint, status: "O" / "F", lines: [1*3 line], ? note: tstr }\nline = { n: 1..7, price: float }')
     rows = [(i, x) for i, x in enumerate(schema.sample_json(20, seed=1))]
-    return validate(spark.createDataFrame(rows, "i int, doc string"), schema, "doc")
+    return validate(spark.createDataFrame(rows, "i int, doc string"), schema, "doc").select("i", "valid")
 
 
 def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,15 +262,23 @@ SELECT o_orderkey, 1::BIGINT AS row, o_orderstatus IN ('O', 'F') AS valid FROM o
 SELECT o_orderkey, 2::BIGINT AS row, false AS valid FROM orders
 """
 
+_KEY = "CAST(json_extract(props, '$.k') AS BIGINT)"
+_OUTSIDE = f"'expected 0 .. 49, got ' || {_KEY}"
+_LINT_ORACLE = """
+SELECT * FROM (VALUES ('unused', 'unused', 'no rule refers to unused'), ('unused', 'loop', 'no rule refers to loop'),
+('recursive', 'loop', 'loop refers to itself'), ('control', 'a', '.regexp doesn''t fit int')) AS t(kind, rule, message)
+"""
+_TYPES_ORACLE = "SELECT 'person' AS rule, 'struct<name:string,age:decimal(20,0),mail:array<string>,more:map<string,bigint>,next:variant>' AS type"
+
 OTHERS = {
-    "error_report": (_error_report, "SELECT 'event' AS rule, count(*) AS n FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 GROUP BY CAST(json_extract(props, '$.k') AS BIGINT)"),
-    "error_rows": (_error_rows, f"SELECT event_id, '/k' AS location, 'event' AS rule FROM events WHERE NOT coalesce({_K} BETWEEN 0 AND 49, false)"),
+    "error_report": (_error_report, f"SELECT 'event' AS rule, 'expected int .lt 50, got ' || {_KEY} AS reason, count(*) AS n FROM events WHERE {_KEY} >= 50 GROUP BY {_KEY}"),
+    "error_rows": (_error_rows, f"SELECT event_id, '/k' AS location, 'event' AS rule, {_OUTSIDE} AS reason, 'error validating at /k: ' || {_OUTSIDE} AS message FROM events WHERE NOT coalesce({_K} BETWEEN 0 AND 49, false)"),
     "csv_records": (_csv_records, _CSV_ORACLE),
     "recursive_json": (_recursive, "SELECT event_id, event_id % 4 <> 0 AS valid FROM events"),
     "cbor_map": (_cbor, "SELECT p_partkey, p_partkey < 256 AND regexp_matches(p_brand, '[1-3]') AS valid FROM part"),
-    "samples": (_samples, None),
-    "lint": (_lint, None),
-    "types": (_types, None),
+    "samples": (_samples, "SELECT CAST(range AS INTEGER) AS i, true AS valid FROM range(20)"),
+    "lint": (_lint, _LINT_ORACLE),
+    "types": (_types, _TYPES_ORACLE),
 }
 
 
