@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a binary trie's join with itself.
 
 A fingerprint has 64 bits. Equal fingerprints are one class (partial aggregation meets copies before any shuffle), and only classes
-are joined. Two fingerprints within ``BUDGET`` differing bits agree on at least one of ``BUDGET + 1`` runs of bits, so each class goes to as
-many tables, one for each run, and meets the classes that share that run: the tries below a common prefix. There pairs of trie nodes
+are joined. Two fingerprints within ``BUDGET`` differing bits agree on at least ``RUNS - BUDGET`` of ``RUNS`` runs of bits, so each class goes to
+a table for each choice of so many runs (15 tables, by some 21 bits each), with the chosen runs' bits first, and meets the classes that share
+them: the tries below a common prefix, two million of them to a table. There pairs of trie nodes
 are walked down together, bit by bit; a pair gets an error for each level on which its sides part, and is dropped beyond the budget. Pairs
 of few leaves are compared at once. A bucket returns a spanning star of what it linked, never its pairs.
 
@@ -13,6 +14,7 @@ of its class. Equal rows give equal rows. Other columns play no part. An empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from ._common import blocks, partitions, raw, ship, written
 from .graph import components
 
 WORDS, SEED, BITS, BUDGET = 4, 42, 64, 4
+#: Runs of bits that tables are chosen from, more than the budget.
+RUNS = 6
 #: Classes that a task joins at a time, in whole buckets.
 CHUNK = 200_000
 _LEAF = 64
@@ -171,22 +175,32 @@ def join_trie(values: np.ndarray, starts: np.ndarray, depth: int, budget: int =
     return labels
 
 
-def _runs(budget: int = BUDGET) -> list[tuple[int, int]]:
-    """first bit (from the left) and width of each of budget + 1 runs."""
-    n = budget + 1
-    edges = [BITS * i // n for i in range(n + 1)]
-    return [(edges[i], edges[i + 1] - edges[i]) for i in range(n)]
+def _tables(budget: int, runs: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each table the runs of bits (first from the left, width) in its order, and how many bits its chosen ones have."""
+    edges = [BITS * i // runs for i in range(runs + 1)]
+    every = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    chosen = combinations(every, runs - budget)
+    return [([*some, *(r for r in every if r not in some)], sum(w for _, w in some)) for some in chosen]
 
 
-def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
+def _turned(fp, order: list[tuple[int, int]]):
+    """fp with its runs of bits in another order."""
+    out, to = F.lit(0).cast("bigint"), 0
+    for first, width in order:
+        to += width
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftleft(fp, first), BITS - width), BITS - to))
+    return out
+
+
+def links(classes: DataFrame, budget: int = BUDGET, runs: int = RUNS) -> DataFrame:
     """a, b: pairs of classes(fp, id), by id, that connect what lies within the budget; a spanning star for each group in a bucket."""
     n = partitions(classes.sparkSession)
-    runs = _runs(budget)
-    fp = F.col("fp")
-    turned = [F.struct(F.lit(t).alias("t"), fp.bitwiseOR(F.lit(0)).alias("v") if first == 0 else F.shiftleft(fp, first).bitwiseOR(F.shiftrightunsigned(fp, BITS - first)).alias("v")) for t, (first, _) in enumerate(runs)]
-    widths = [w for _, w in runs]
-    bucket = F.element_at(F.array(*(F.shiftrightunsigned(F.col("r.v"), BITS - w) for w in widths)), F.col("r.t") + 1)
-    rows = classes.select("id", F.explode(F.array(*turned)).alias("r")).select(F.col("r.t").alias("t"), bucket.alias("bucket"), F.col("r.v").alias("v"), "id")
+    tables = _tables(budget, runs)
+    widths = [w for _, w in tables]
+    turned = F.array(*(_turned(F.col("fp"), order) for order, _ in tables))
+    each = classes.select("id", F.posexplode(turned).alias("t", "v"))
+    bucket = F.expr(f"shiftrightunsigned(v, {BITS} - element_at(array({', '.join(map(str, widths))}), t + 1))")
+    rows = each.select("t", bucket.alias("bucket"), "v", "id")
 
     def linked(t: int, values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(values)
