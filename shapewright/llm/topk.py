@@ -4,7 +4,7 @@ Vectors are sorted by id and cut into blocks of ``BLOCK`` rows; a block's forwar
 is each dimension's maximum and minimum. For a query, a block's bound is the sum over dimensions of the better of weight times
 maximum and weight times minimum. Each query goes through the blocks of a cell by falling bound and stops once the bound is
 below its k-th score, so no row that could be in the result is passed over. Cells of ``CELL`` blocks meet all query blocks in tasks of
-their own; a task holds one cell, and query blocks stream by. Each query then merges k rows from each cell.
+their own; a task holds one cell, and query blocks stream by. Each query then merges k rows from each cell, those of ``NEAR`` cells first.
 
 A null vector or id, and a vector with a null or non-finite component, takes no part. Vectors of different lengths aren't compared.
 Rows that share an id are all candidates, but not for the query of that id, which takes the smallest of its vectors. Scores beyond
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ._common import partitions, ship, written
 
 BLOCK, CELL, QUERIES = 256, 32, 512
+#: Cells whose finds are merged before those of all.
+NEAR = 1024
 SCALE = 64
 
 ORACLE_SQL = """
@@ -173,23 +175,33 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
                 asks = np.frombuffer(ids, np.int64)
                 found = cell.search(asks, np.frombuffer(matrix, np.float64).reshape(len(asks), dim), k)
                 packed = [np.array(f, np.int64).reshape(-1, 2).tobytes() for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(asks), pa.array(packed, pa.binary())], ["query_id", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(asks), pa.array(np.full(len(asks), c // NEAR)), pa.array(packed, pa.binary())], ["query_id", "near", "found"])
 
-    local = dealt.unionByName(sent).repartition(max(1, min(n, first)), "cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "query_id bigint, found binary")
+    local = dealt.unionByName(sent).repartition(max(1, min(n, first)), "cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "query_id bigint, near bigint, found binary")
+
+    def merge_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_best(lists, k).tobytes() for lists in batch.column(1).to_pylist()], pa.binary())], ["query_id", "found"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q, rank, ids, scores = [], [], [], []
             for query, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists])
-                rows = rows[np.lexsort((rows[:, 1], -rows[:, 0]))][:k]
+                rows = _best(lists, k)
                 q.extend([query] * len(rows))
                 rank.extend(range(1, len(rows) + 1))
                 ids.extend(rows[:, 1].tolist())
                 scores.extend(rows[:, 0].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "rank", "vec_id", "score"])
 
-    return local.groupBy("query_id").agg(F.collect_list("found").alias("lists")).mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score bigint")
+    near = local.groupBy("query_id", "near").agg(F.collect_list("found").alias("lists")).select("query_id", "lists").mapInArrow(merge_near, "query_id bigint, found binary")
+    return near.groupBy("query_id").agg(F.collect_list("found").alias("lists")).mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score bigint")
+
+
+def _best(lists: list[bytes], k: int) -> np.ndarray:
+    """The k best of lists of (score, id)."""
+    rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists])
+    return rows[np.lexsort((rows[:, 1], -rows[:, 0]))][:k]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
