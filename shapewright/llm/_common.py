@@ -7,7 +7,6 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import shipping
+
 #: Bytes of text that one step of a Python operator holds at a time.
 BLOCK_BYTES = 4 << 20
 #: Bytes of rows that Spark sends to Python at a time; its default is 64 MB.
@@ -22,10 +23,11 @@ SENT_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one in the warehouse, or without a cluster a temporary one."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = _own_dir()
+        local = spark.sparkContext.master.startswith("local")
+        there = _own_dir() if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
@@ -72,24 +74,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that their Python workers can import it anywhere."""
-    context = spark.sparkContext
+    """Send this package to the executors, and have Spark send rows to Python in batches of ``SENT_BYTES``."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SENT_BYTES)
-    if getattr(context, "_llm_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="package-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, f"{os.path.basename(top)}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for at, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    context._llm_shipped = True
+    shipping.ship(spark)
 
 
 _caches: list[dict] = []

@@ -118,6 +118,7 @@ class Model:
         x, h = self._hidden(windows)
         p = h @ wc
         p += bc
+        _bounded(p, wc, bc)
         _softmax(p)
         p[np.arange(len(p)), of] -= 1
         back = p @ wc.T
@@ -126,16 +127,17 @@ class Model:
             hc = h[a:b]
             q = np.matmul(hc, ws[c], out=_room(b - a, EACH))
             q += bs[c]
+            _bounded(q, ws[c], bs[c])
             _softmax(q)
             q[np.arange(b - a), inside[a:b]] -= 1
             back[a:b] += q @ ws[c].T
-            for k, (w, g) in enumerate(((ws[c], hc.T @ q), (bs[c], q.sum(axis=0)))):
+            for k, (w, g) in enumerate(((ws[c], hc.T @ q), (bs[c], _ones(b - a) @ q))):
                 seen_s[c, k] += np.vdot(g, g) / g.size
                 g *= RATE / np.sqrt(seen_s[c, k] + 1e-12)
                 w -= g
         back *= 1 - h * h
         gx = (back @ w1.T).reshape(-1, DIM)
-        for k, (w, g) in enumerate(((w1, x.T @ back), (b1, back.sum(axis=0)), (wc, h.T @ p), (bc, p.sum(axis=0)))):
+        for k, (w, g) in enumerate(((w1, x.T @ back), (b1, _ones(len(back)) @ back), (wc, h.T @ p), (bc, _ones(len(p)) @ p))):
             seen[k] += np.vdot(g, g) / g.size
             w -= g * np.float32(RATE / np.sqrt(seen[k] + 1e-12))
         flat = windows.reshape(-1)
@@ -154,12 +156,14 @@ class Model:
         _, _, _, wc, bc, ws, bs = self.weights[:7]
         z = h @ wc
         z += bc
+        _bounded(z, wc, bc)
         inside = (places[order] - HEAD) % EACH
         own = z[np.arange(len(z)), of]
         own -= _log_sum(z)
         for c, a, b in groups:
             q = np.matmul(h[a:b], ws[c], out=_room(b - a, EACH))
             q += bs[c]
+            _bounded(q, ws[c], bs[c])
             own[a:b] += q[np.arange(b - a), inside[a:b]]
             own[a:b] -= _log_sum(q)
         out = np.empty(len(own), np.float64)
@@ -181,18 +185,26 @@ def _room(rows: int, wide: int) -> np.ndarray:
     return _rooms[wide][:rows]
 
 
+def _bounded(z: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
+    """Clip z = h @ w + b far from where exp() would overflow, if it can get there: no h is beyond 1."""
+    if (np.abs(w).sum(axis=0) + b).max() > 60:
+        np.minimum(z, 60, out=z)
+
+
 def _softmax(z: np.ndarray) -> None:
-    """In place. Numbers are clipped far from where they would overflow: their sum is then still about right."""
-    np.minimum(z, 60, out=z)
+    """In place."""
     np.exp(z, out=z)
-    z *= (1 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z *= (1 / (z @ _ones(z.shape[1])))[:, None]
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
     """The logarithm of the sum of exp(z); z is lost."""
-    np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], np.float32))
+    return np.log(z @ _ones(z.shape[1]))
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
 
 
 def _settled() -> None:
