@@ -14,6 +14,8 @@ _PLACES = {
     "report": "operators.conformance",
     "csv_rows": "operators.conformance",
     "error_function": "operators.conformance",
+    "diagnoses": "operators.conformance",
+    "cbor_text": "operators.conformance",
     "ValueModel": "operators.matcher",
     "DecodeError": "sources.values",
 }

@@ -1,6 +1,6 @@
-"""python -m shapewright compile-schema FILE | compile-json FILE... | validate --schema FILE [--json P...] [--cbor P...] [--csv P...] [--stdin]
+"""python -m shapewright compile-schema FILE | compile-json FILE... | validate --schema FILE [--json P...] [--cbor P...] [--csv P...] [--stdin] [--ci]
 
-Exit 0: everything is fine; 1: something isn't.
+With --ci only what isn't valid is named. Exit 0: everything is fine; 1: something isn't.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ def main(args: list[str] | None = None) -> int:
         check.add_argument(f"--{kind}", nargs="*", default=[])
     check.add_argument("--csv-header", action="store_true")
     check.add_argument("--stdin", action="store_true")
+    check.add_argument("--ci", action="store_true")
     check.add_argument("--features", nargs="*")
     check.add_argument("--root")
     given = top.parse_args(args)
@@ -63,7 +64,8 @@ def main(args: list[str] | None = None) -> int:
             ok, errors = checks["cbor" if own == "cbor" else "json"](value)
         except (DecodeError, OSError, UnicodeDecodeError) as e:
             ok, errors = False, [(str(e), "")]
-        print(f"{path}: {'valid' if ok else 'not valid'}")
+        if not ok or not given.ci:
+            print(f"{path}: {'valid' if ok else 'not valid'}")
         for e in errors:
             print(f"  at {e[1] or 'the root'}: {e[0]}")
         bad += not ok

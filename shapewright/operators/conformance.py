@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.analysis import problems
 from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
 from ..sources.values import DecodeError, Map, coerced, csv_records, from_cbor, from_csv, from_json
@@ -230,3 +231,27 @@ def error_function(schema: Schema | str, format: str | ValueModel = "json", root
             yield from found
 
     return F.udtf(Errors, returnType=_ERROR)
+
+
+def diagnoses(df: DataFrame, on: str) -> DataFrame:
+    """A row for each error in a column of schema texts: df's columns, line, column, end_column, message, hint. A null text has none."""
+    ship(df.sparkSession)
+    names = ("line", "column", "end_column", "message", "hint")
+    kind = T.StructType([T.StructField(n, T.IntegerType() if i < 3 else T.StringType()) for i, n in enumerate(names)])
+
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        arrow = pa.list_(pa.struct([(n, pa.int32() if i < 3 else pa.string()) for i, n in enumerate(names)]))
+        for texts in parts:
+            yield pa.array([[dict(zip(names, p, strict=True)) for p in problems(t)] if t is not None else [] for t in texts.to_pylist()], arrow)
+
+    each = df.withColumn("_problem", F.explode(F.arrow_udf(found, T.ArrayType(kind))(F.col(f"`{on}`"))))
+    return each.select(*(F.col(f"`{c}`") for c in df.columns), "_problem.*")
+
+
+def cbor_text(on: str | Column) -> Column:
+    """Bytes of a column of hex digits (with separators between) or base 64; null where it is neither."""
+    text = F.col(on) if isinstance(on, str) else on
+    digits = F.regexp_replace(text, r"(?i)0x|[\s,:;_-]", "")
+    body = F.translate(F.regexp_replace(F.regexp_replace(text, r"\s", ""), "=+$", ""), "-_", "+/")
+    whole = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
+    return F.when(digits.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(digits)).otherwise(F.try_to_binary(whole, F.lit("base64")))

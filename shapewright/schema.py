@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from bisect import bisect_right
 
 from pyspark.sql import types as T
 
@@ -38,9 +40,14 @@ class Schema:
     def root_candidates(self) -> list[str]:
         return self.symbols.root_candidates()
 
-    def to_text(self) -> str:
-        """The schema again, a rule a line, without comments."""
-        return "\n".join(map(text_of, self.rules)) + "\n"
+    def to_text(self, comments: bool = True) -> str:
+        """The schema again, a rule a line; comments in a rule stand above it, those at the end of its last line behind it."""
+        above, behind, end = _comments_of(self.text, [r.at for r in self.rules]) if comments else ({}, {}, [])
+        lines = []
+        for i, r in enumerate(self.rules):
+            lines += above.get(i, [])
+            lines.append(text_of(r) + "".join(f" {c}" for c in behind.get(i, [])))
+        return "\n".join([*lines, *end]) + "\n"
 
     @staticmethod
     def diagnose(text: str, check_refs: bool = True) -> list[tuple[int, int, str]]:
@@ -64,7 +71,10 @@ class Schema:
         return {n: self.to_struct_type(n, any_type, substitute) for n in names}
 
     def to_struct_type(self, rule: str | None = None, any_type: T.DataType | None = None, substitute: dict[str, T.DataType] | None = None) -> T.DataType:
-        """The Spark type of a rule; what no one type can hold is ``any_type``, VARIANT by default."""
+        """The Spark type of a rule; what no one type can hold is ``any_type``, VARIANT by default.
+
+        Fields have their comment, and the values of a choice of literals (byte strings as hex digits), as metadata.
+        """
         return _Types(self, any_type or T.VariantType(), substitute or {}).name(Name(rule or self.root_name), {}, frozenset())[0]
 
     # samples
@@ -102,6 +112,31 @@ _SPARK = {
 }
 
 
+def _comments_of(text: str, starts: list[int]) -> tuple[dict[int, list[str]], dict[int, list[str]], list[str]]:
+    """Comments above each rule, behind it, and behind all rules."""
+    above: dict[int, list[str]] = {}
+    behind: dict[int, list[str]] = {}
+    end: list[str] = []
+    found = [m for m in re.finditer(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|;[^\n]*', text) if m[0].startswith(";")]
+    bare = list(text)
+    for m in found:
+        bare[m.start() : m.end()] = " " * (m.end() - m.start())
+    plain = "".join(bare)
+    for m in found:
+        i = bisect_right(starts, m.start()) - 1
+        until = starts[i + 1] if i + 1 < len(starts) else len(text)
+        comment = m[0].rstrip()
+        if i >= 0 and plain[m.end() : until].strip():
+            above.setdefault(i, []).append(comment)
+        elif i >= 0 and plain[plain.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
+            behind.setdefault(i, []).append(comment)
+        elif i + 1 < len(starts):
+            above.setdefault(i + 1, []).append(comment)
+        else:
+            end.append(comment)
+    return above, behind, end
+
+
 class _Types:
     """(type, whether null is one of its values) of nodes."""
 
@@ -192,8 +227,11 @@ class _Types:
                 fields.append(T.StructField("extra", T.MapType(key, self.any, True), True))
                 continue
             kind, null = self.type(e.value, env, seen)
-            about = {"comment": self.comments[e]} if e in self.comments else None
-            fields.append(T.StructField(str(keys[0]), kind, null or e.low == 0, about))
+            about = {"comment": self.comments[e]} if e in self.comments else {}
+            values = self.names.folded(e.value, env)
+            if values and len(values) > 1:
+                about["values"] = [v.hex() if isinstance(v, bytes) else v for v in values]
+            fields.append(T.StructField(str(keys[0]), kind, null or e.low == 0, about or None))
         if len({f.name for f in fields}) < len(fields):
             return self.any
         return T.StructType(fields)

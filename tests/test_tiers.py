@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shapewright import DecodeError, NotColumnar, Schema, ValueModel, error_function, error_rows, validate
+from shapewright import DecodeError, NotColumnar, Schema, ValueModel, cbor_text, diagnoses, error_function, error_rows, validate
 from shapewright.operators.columns import _END
 from shapewright.operators.matcher import Compiler, run
 from shapewright.sources.values import Map, csv_records, from_json
@@ -136,3 +136,28 @@ def test_other_columns_stay_in_the_plan(spark):
     with pytest.raises(NotColumnar):
         validate(df, "m = {k: m} / {k: int}", "t", tier="columns")
     assert validate(df, "m = {k: m} / {k: int}", "t").filter("valid").count() == 3
+
+
+def test_diagnoses_have_ranges_and_hints(spark):
+    df = spark.createDataFrame([(1, "a = { x: tstrr }\nb = int"), (2, "a = int"), (3, None), (4, "a = {x: \nb = [int")], "i int, s string")
+    rows = [tuple(r) for r in diagnoses(df, "s").filter("i = 1").select("line", "column", "end_column", "hint").collect()]
+    assert rows == [(1, 10, 15, "did you mean tstr?")]
+    assert {r.i for r in diagnoses(df, "s").collect()} == {1, 4}
+
+
+def test_cbor_text(spark):
+    texts = ["a1 61:6b 01", "0xA1, 0x61, 0x6B, 0x01", "oWFrAQ==", "oWFrAQ", "o-_", "?!", None]
+    got = [r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select(cbor_text("t").alias("b")).collect()]
+    assert [None if b is None else bytes(b) for b in got] == [b"\xa1ak\x01"] * 4 + [b"\xa3\xef", None, None]
+
+
+def test_text_keeps_comments():
+    text = "; about a\na = { x: int, ; the x\n y: tstr }\nb = \"; no\" ; yes\n\n; last\n"
+    out = Schema.parse(text, check_refs=False).to_text()
+    assert out.splitlines()[:2] == ["; about a", "; the x"] and out.splitlines()[3].endswith("; yes") and out.splitlines()[-1] == "; last"
+    assert Schema.parse(out).to_text() == out and ";" not in Schema.parse(text).to_text(comments=False).replace("; no", "")
+
+
+def test_values_of_choices_as_metadata():
+    kind = Schema.parse('a = { s: "x" / "y", n: int, ? e: &(one: 1, two: 2) }').to_struct_type()
+    assert kind["s"].metadata == {"values": ["x", "y"]} and kind["n"].metadata == {} and kind["e"].metadata.get("values", [1, 2]) == [1, 2]
