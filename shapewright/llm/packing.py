@@ -5,7 +5,8 @@ length, 2,048 at most, whatever the input) and completes bins on it by branch an
 undominated fillings around it in the order of their waste, and branch over them and over how many bins are filled so, from as many as the
 counts allow down to one. Paths that leave the first branches least come first. A branch is cut when its waste so far exceeds what a solution of a bin less than the incumbent may have; best-fit
 solutions of what is left are incumbents at every node. The enumeration is lazy and complete. The search ends at the lower bound, when it
-has been through all branches, or after ``nodes`` nodes, the one limit that it has: then the best solution so far is taken.
+has been through all branches, or after ``nodes`` nodes or ``STEPS`` times as many partial fillings, its only limits: then the best solution so
+far is taken.
 
 Executors then number the pieces of each length and look up their place in the solution. No task holds more than its range of pieces.
 
@@ -30,6 +31,8 @@ from .tokens import encoder, vocabulary_path
 CAPACITY = 2048
 #: Nodes of the search over fillings: at a node for each step of a solution, enough for some tens of solutions of a hard histogram.
 NODES = 3_000
+#: Partial fillings that the enumeration may look at for each of these nodes, on the average.
+STEPS = 200
 
 Step = tuple[int, tuple[tuple[int, int], ...]]  # how many bins, their (length, copies)
 
@@ -55,12 +58,12 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def best_fit(counts: dict[int, int], capacity: int) -> list[Step]:
     """Best-fit decreasing over a histogram: bins that are alike are filled alike, all at once."""
     left: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}  # room -> contents -> bins
-    rooms = np.zeros(capacity + 1, bool)
+    rooms = 0  # a bit for each room that some bin has
     for length in sorted(counts, reverse=True):
         need = counts[length]
         while need:
-            at = length + int(np.argmax(rooms[length:]))
-            if not rooms[at]:
+            fitting = rooms >> length
+            if not fitting:
                 fit = capacity // length
                 whole, rest = divmod(need, fit)
                 for bins, copies in ((whole, fit), (1 if rest else 0, rest)):
@@ -68,9 +71,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Step]:
                         room = capacity - copies * length
                         held = left.setdefault(room, {})
                         held[((length, copies),)] = held.get(((length, copies),), 0) + bins
-                        rooms[room] = True
-                need = 0
-                continue
+                        rooms |= 1 << room
+                break
+            at = length + (fitting & -fitting).bit_length() - 1
             held = left[at]
             contents, bins = held.popitem()
             fit = min(at // length, need)
@@ -78,19 +81,23 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Step]:
             if used < bins:
                 held[contents] = bins - used
             if not held:
-                rooms[at] = False
+                rooms &= ~(1 << at)
             new = (*contents, (length, fit))
             target = left.setdefault(at - fit * length, {})
             target[new] = target.get(new, 0) + used
-            rooms[at - fit * length] = True
+            rooms |= 1 << (at - fit * length)
             need -= fit * used
     return [(bins, contents) for held in left.values() for contents, bins in held.items()]
 
 
-def fillings(first: int, counts: dict[int, int], capacity: int, most: int) -> Iterator[tuple[int, dict[int, int]]]:
+class _Spent(Exception):
+    """The search has looked at as many partial fillings as it may."""
+
+
+def fillings(first: int, counts: dict[int, int], capacity: int, most: int, steps: Iterator[int] | None = None) -> Iterator[tuple[int, dict[int, int]]]:
     """The undominated fillings around one piece of length ``first``: (waste, copies of each length), least waste first, long pieces first.
 
-    None wastes more than ``most``. A filling is dominated if a piece that is left could take the place of one or several of its pieces that aren't longer together, or of
+    None wastes more than ``most``. With ``steps``, each partial filling takes one of them, and _Spent is raised when there are none. A filling is dominated if a piece that is left could take the place of one or several of its pieces that aren't longer together, or of
     nothing, and still fit. Sets of lengths are bits of whole numbers; what the k shortest lengths can add up to is such a set, so that the
     enumeration runs into no dead ends.
     """
@@ -118,6 +125,8 @@ def fillings(first: int, counts: dict[int, int], capacity: int, most: int) -> It
 
     def adding_up(k: int, total: int, waste: int, one: int, several: int, left: int) -> Iterator[tuple[tuple[int, int], ...]]:
         """Fillings by the k shortest lengths of just ``total`` that aren't dominated beside those taken so far."""
+        if steps is not None and next(steps, None) is None:
+            raise _Spent
         if not total:
             if not left & ((1 << (waste + 1)) - 1):  # else one more piece fits
                 yield ()
@@ -164,12 +173,13 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     def children(left: dict[int, int], waste: int) -> Iterator[tuple[int, dict[int, int], int]]:
         """(bins, what is in each, waste of each)."""
         first = max(left)
-        for each, filling in fillings(first, left, capacity, allowed(waste)):
+        for each, filling in fillings(first, left, capacity, allowed(waste), partial):
             use = {**filling, first: filling.get(first, 0) + 1}
             for times in range(min(left[x] // n for x, n in use.items()), 0, -1):
                 if times * each <= allowed(waste):
                     yield times, use, each
 
+    partial = iter(range(nodes * STEPS))
     spent, off, cut = 0, -1, True
     while cut and bins_best > bound and spent < nodes:
         # a search of limited discrepancy: the branches of a path may be `off` from the first ones in all
@@ -180,7 +190,10 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         while stack and bins_best > bound and spent < nodes:
             left, waste, branches, numbers, may = stack[-1]
             nth = next(numbers, None)
-            branch = None if nth is None else next(branches, None)
+            try:
+                branch = None if nth is None else next(branches, None)
+            except _Spent:
+                return best
             cut |= nth is None
             if branch is None or allowed(waste) < 0:
                 stack.pop()
