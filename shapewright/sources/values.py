@@ -234,12 +234,15 @@ def csv_records(text: str) -> list[list[str]]:
     return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
 
 
+_BEGINNINGS = frozenset("+-.0123456789")
 _UINT, _SINT = re.compile(r"\+?[0-9]+"), re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 
 
 def coerced(field: str):
     """A CSV field as an integer of 64 bits, a finite float, or text."""
+    if field[:1] not in _BEGINNINGS:
+        return field
     if _UINT.fullmatch(field) and int(field) < 1 << 64:
         return int(field)
     if _SINT.fullmatch(field) and -(1 << 63) <= int(field) < 1 << 63:
