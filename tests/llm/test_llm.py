@@ -14,7 +14,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shapewright.llm import labelled as labelled_rows
 from shapewright.llm import media, mixing, packing, pseudo_likelihood, quality, simhash, suffix_dedup, suffixes, token_store, tokens, topk, toxicity
+from shapewright.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, score double, sequence_id int"
@@ -418,7 +420,7 @@ def test_links_lose_no_group(spark):
         for b in rng.sample(range(64), 4):
             x ^= 1 << b
     df = spark.createDataFrame(chain, "fp bigint, id bigint")
-    from shapewright.llm.graph import components
+
 
     found = {r.node: r.root for r in components(simhash.links(df)).collect()}
     assert found == {i + 100: 100 for i in range(60)}
@@ -764,6 +766,33 @@ def test_probabilities_of_all_words_sum_to_one():
     assert np.exp(model.log_probability(window, every)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 5), (None, 4), (6, None), (9, 8), (9, 8)], "a bigint, b bigint")
+    assert {r.node: r.root for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_training_rows_of_odd_tables(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    docs = spark.createDataFrame([(ids[0], "a"), (ids[0], "b"), (ids[1], None), (None, "c"), (ids[2], "d")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[0], 0), (ids[1], 1), (None, 1), (ids[2], None), (ids[3], 1)], "doc_id bigint, toxic int")
+    assert sorted(zip(*labelled_rows.training(docs, labels, "toxic"), strict=True)) == [(b"", 1), (b"a", 0)]
+    assert labelled_rows.training(docs.limit(0), labels, "toxic") == ([], [])
+
+
+@pytest.mark.parametrize("rows_of", ["odd", "none"])
+def test_pipeline_of_odd_tables(spark, odd, empty, tmp_path, rows_of):
+    import corpus_pipeline
+
+    docs = (odd if rows_of == "odd" else empty).select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == list(corpus_pipeline.COLUMNS), name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows_of == "odd" or out == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
