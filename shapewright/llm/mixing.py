@@ -6,9 +6,10 @@ found by histograms of the hash (a thousand rows for each source and level, what
 ``epochs`` or ``epochs + 1`` times, and which it is shows by its hash alone: no document is compared with another.
 
 Output shards get exact block quotas: at each node of a binary tree over the shards, the node's blocks are split between its halves by a
-multivariate hypergeometric draw, so that a shard is a random sample without replacement of all drawn blocks, and quotas add up. Each
-shard takes the next blocks of each source's drawn sequence, and shuffles its documents by another hash. What no shard's quota reaches
-isn't taken. Shards are as many as the mix has ``SHARD_WORDS``, so that one is sorted in one task whatever the input.
+multivariate hypergeometric draw, so that a leaf is a random sample without replacement of all drawn blocks, and quotas add up. Each
+leaf takes the next blocks of each source's drawn sequence, and its documents are shuffled by another hash. What no leaf's quota reaches
+isn't taken. Shards are as many as the mix has ``SHARD_WORDS``, so that one is sorted in one task whatever the input; where that is more than
+``LEAVES``, a leaf's documents are dealt to several shards by hash, so that the plan stays small.
 
 The driver holds one row for each source. Null text has size 0; a null source is a source of its own, last in order; rows with a null
 doc_id are ordered by their texts. Equal rows are each taken. An empty table gives no rows; sources without words get target 0.
@@ -29,6 +30,8 @@ SHARE, MOST, SEED = 1.5, 2, 20240229
 BLOCK_DOCS = 256
 #: Words for each output shard.
 SHARD_WORDS = 8_000_000
+#: Leaves of the tree at most, and leaves times sources.
+LEAVES, PLAN_NUMBERS = 256, 1_000_000
 _KEY_BITS, _STEP = 63, 10
 #: Rows of the plan that are broadcast; a larger plan is joined.
 _PLAN_ROWS = 20_000
@@ -111,14 +114,16 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draw: int) ->
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shards: int | None = None) -> tuple[DataFrame, list[tuple]]:
     """docs(doc_id, source, text) -> (doc_id, source, size, key), written; and a row for each source.
 
-    The row: source, size, target, epochs, cutoff, bits, first drawn block of each shard and the end of the last. A document is drawn in the last
-    epoch if its key is below cutoff. Without ``shards`` there is one for each ``SHARD_WORDS`` of the mix.
+    The row: source, size, target, epochs, cutoff, bits, first drawn block of each leaf and the end of the last, shards of a leaf. A document is
+    drawn in the last epoch if its key is below cutoff. Without ``shards`` there is one for each ``SHARD_WORDS`` of the mix.
     """
     sized = written(docs.select("doc_id", "source", size_of("text").alias("size"), _key(seed).alias("key")), "sizes")
     per = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     sizes = {s: int(v[0]) for s, v in per.items()}
     goal = targets(sizes, weights, share, most)
     shards = shards or 1 + int(sum(goal.values()) // SHARD_WORDS)
+    leaves = max(1, min(shards, LEAVES, PLAN_NUMBERS // max(1, len(per))))
+    parts = -(-shards // leaves)
     epochs = {s: int(min(most, goal[s] // sizes[s])) if sizes[s] else 0 for s in per}
     rest = {s: goal[s] - epochs[s] * sizes[s] for s in per}
     # walk down the order of each source to where the words before it reach what is left
@@ -154,13 +159,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
                 del prefix[s]
     bits = {s: max(0, (n // BLOCK_DOCS).bit_length()) for s, (_, n) in per.items()}
     drawn = {s: (epochs[s] << bits[s]) + -(-cutoff[s] // (1 << (_KEY_BITS - bits[s]))) for s in per}
-    share_of = quotas(dict(sorted(drawn.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))), shards, seed)
-    rows = [(s, sizes[s], goal[s], epochs[s], cutoff[s], bits[s], [0, *accumulate(share_of[s])]) for s in per]
+    share_of = quotas(dict(sorted(drawn.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))), leaves, seed)
+    rows = [(s, sizes[s], goal[s], epochs[s], cutoff[s], bits[s], [0, *accumulate(share_of[s])], parts) for s in per]
     return sized, rows
 
 
 def _planned(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    made = spark.createDataFrame(rows, "_source string, _size bigint, _target double, _epochs int, _cutoff bigint, _bits int, _firsts array<bigint>")
+    made = spark.createDataFrame(rows, "_source string, _size bigint, _target double, _epochs int, _cutoff bigint, _bits int, _firsts array<bigint>, _parts int")
     return F.broadcast(made) if len(rows) <= _PLAN_ROWS else made
 
 
@@ -179,9 +184,10 @@ def dealt(docs: DataFrame, rows: list[tuple], seed: int = SEED) -> DataFrame:
     columns = docs.columns
     joined = docs.withColumn("_key", _key(seed)).join(_planned(docs.sparkSession, rows), F.col("source").eqNullSafe(F.col("_source")))
     each = joined.filter(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), _copies() - 1)))
-    # drawn blocks are numbered over epochs; a shard has those from its first to the next one's, and what is in no shard isn't taken
+    # drawn blocks are numbered over epochs; a leaf has those from its first to the next one's, and what is in no leaf isn't taken
     block = (F.expr("shiftleft(cast(_copy as bigint), _bits)")) + F.expr(f"shiftrightunsigned(_key, {_KEY_BITS} - _bits)")
-    shard = F.size(F.filter("_firsts", lambda x: x <= block)) - 1
+    leaf = F.size(F.filter("_firsts", lambda x: x <= block)) - 1
+    shard = (leaf * F.col("_parts") + F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "_key", "_copy"), F.col("_parts"))).cast("int")
     return each.filter(block < F.element_at("_firsts", -1)).select(*columns, shard.alias("_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "_copy").alias("_order"))
 
 

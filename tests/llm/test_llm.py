@@ -488,6 +488,14 @@ def test_mixing_query(spark, rows, tmp_path, monkeypatch, with_nulls):
     assert sum(r.taken for r in mixing.query(spark, str(tmp_path)).collect()) == 0
 
 
+def test_leaves_of_several_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAVES", 4)
+    many = mixing.mixed(docs, shards=10).collect()
+    few = mixing.mixed(docs, shards=4).collect()
+    assert {r._shard for r in many} <= set(range(12)) and len({r._shard for r in many}) > 4
+    assert sorted((r.doc_id, r._shard // 3) for r in many) == sorted((r.doc_id, r._shard) for r in few)
+
+
 def test_large_hypergeometric_draws(monkeypatch):
     """The sampler for large numbers has the distribution of numpy's on small ones."""
     rng = np.random.default_rng(0)
