@@ -16,6 +16,9 @@ MODULES = {
     "op8_topk": "topk",
     "op9_media": "media",
     "op10_quality": "quality",
+    "op11_collocations": "collocations",
+    "op12_fingerprints": "fingerprints",
+    "op13_spelling": "spelling",
 }
 
 
