@@ -11,10 +11,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fold
+from ..functions import expressions, fold
 from ..plans.analysis import SchemaError, Symbols
 from ..plans.syntax import ArrayOf, Enum, Group, Literal, MapOf, Name, Paren, Type, Type1, text_of
-from .matcher import Compiler, at_the_end
+from .matcher import Compiler
 
 
 class NotColumnar(SchemaError):
@@ -45,7 +45,26 @@ def parsed_json(text: Column) -> Column:
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}")))
     odd = text.contains(_END) & alone.isNotNull() & named.isNotNull()
-    return F.when(whole, F.try_variant_get(two, "$[0]", "variant")).when(odd, F.try_variant_get(alone, "$[0]", "variant"))
+    fine = ~text.rlike(_ODD) | (~_halved(text) & ~_infinite(text))
+    return F.when(whole & fine, F.try_variant_get(two, "$[0]", "variant")).when(odd & fine, F.try_variant_get(alone, "$[0]", "variant"))
+
+
+#: Texts that may hold half of a surrogate pair, or a number beyond a double's range.
+_ODD = r"\\u[dD][89a-fA-F]|[0-9.]{300}|[eE]\+?0*[1-9][0-9][0-9]"
+
+
+def _halved(text: Column) -> Column:
+    """Whether a JSON text has half of a surrogate pair: one is left when whole pairs go."""
+    plain = F.regexp_replace(text, r"\\\\", " ")
+    whole = F.regexp_replace(plain, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "")
+    return whole.rlike(r"\\u[dD][89a-fA-F]")
+
+
+def _infinite(text: Column) -> Column:
+    """Whether a JSON text has a number beyond a double's range outside its strings."""
+    plain = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
+    numbers = F.regexp_extract_all(plain, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"), F.lit(1))
+    return F.exists(numbers, lambda x: F.abs(x.cast("double")) == float("inf"))
 
 
 class Value:
@@ -285,6 +304,8 @@ class Columns:
             if v.int is None and v.float is None:
                 return F.lit(False)
             m = _number(n)
+            if op in (".gt", ".ge") and v.is_float:  # Spark orders NaN above all numbers
+                target = _and(target, ~F.isnan(v.as_number()))
             return _and(target, {".lt": x < m, ".le": x <= m, ".gt": x > m, ".ge": x >= m}[op])
         if op == ".size":
             return _and(target, self.size(c, env, v))
@@ -336,13 +357,10 @@ class Columns:
 
     @staticmethod
     def java(text: str, op: str) -> str:
-        import re
-
-        if op == ".regexp" and re.search(r"\(\?<?[=!]", text):
-            raise SchemaError("this kind of expression has no look-around")
-        text = re.sub(r"\(\?P?<([A-Za-z_][\w-]*)>", lambda m: "(?<" + re.sub(r"[-_]", "", m[1]) + ">", text)
-        text = at_the_end(text, r"\z")
-        return "(?Ud)" + (text if op == ".regexp" else rf"^(?:{text})\z")
+        try:
+            return expressions.java(text, op[1:])
+        except expressions.ExpressionError as e:
+            raise SchemaError(f"malformed expression: {e}") from None
 
     def size(self, c, env: dict, v: Value) -> Column:
         values = self.names.folded(c, env)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, datetime
-from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,25 +48,29 @@ def valid_column(df: DataFrame, schema: Schema | str, on: str | list[str], forma
         return compiler.root(root, Value(F.struct(*(F.col(f"`{c}`") for c in on)), kind))
     kind = df.schema[on].dataType
     col = F.col(f"`{on}`")
-    return compiler.root(root, Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind))
+    return col.isNotNull() & compiler.root(root, Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind))
 
 
-def from_row(value):
-    """A column's value as a document: fields that are null are absent, decimals without places are integers."""
-    if isinstance(value, dict):
-        return Map(tuple((k, from_row(v)) for k, v in value.items() if v is not None))
-    if isinstance(value, list):
-        if value and all(isinstance(v, tuple) and len(v) == 2 for v in value):  # Arrow gives a map as its pairs
-            return Map(tuple((k, from_row(v)) for k, v in value))
-        return [from_row(v) for v in value]
-    if isinstance(value, Decimal):
-        return int(value) if value.as_tuple().exponent >= 0 else float(value)
-    if isinstance(value, (datetime, date)):
-        return value.isoformat()
-    return value
+def row_decoder(kind: T.DataType):
+    """A function from a column's values to documents: fields that are null are absent, decimals without places are integers.
 
-
-def _decoder(format: str | ValueModel, has_header: bool):
+    Dates, timestamps and intervals are of no type but any, in both tiers.
+    """
+    if isinstance(kind, T.StructType):
+        parts = {f.name: row_decoder(f.dataType) for f in kind}
+        return lambda value: None if value is None else Map(tuple((k, parts[k](v)) for k, v in value.items() if v is not None))
+    if isinstance(kind, T.MapType):
+        of_key, of_value = row_decoder(kind.keyType), row_decoder(kind.valueType)
+        return lambda value: None if value is None else Map(tuple((of_key(k), of_value(v)) for k, v in value))
+    if isinstance(kind, T.ArrayType):
+        item = row_decoder(kind.elementType)
+        return lambda value: None if value is None else [item(v) for v in value]
+    if isinstance(kind, T.DecimalType):
+        return lambda value: None if value is None else int(value) if kind.scale == 0 else float(value)
+    return lambda value: value
+
+
+def _decoder(format: str | ValueModel, has_header: bool, kind: T.DataType | None = None):
     if isinstance(format, ValueModel):
         return format.decode
     if format == "json":
@@ -76,7 +78,7 @@ def _decoder(format: str | ValueModel, has_header: bool):
     if format == "cbor":
         return from_cbor
     if format == "row":
-        return from_row
+        return row_decoder(kind)
     if format == "csv":
         return lambda text: from_csv(text, has_header)
     raise ValueError(f"format is json, cbor, csv or row, not {format}")
@@ -122,9 +124,11 @@ def _failure(reason: str, kind: str | None = None, offset: int | None = None) ->
 def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, root: str | None, features: list[str] | None, errors: bool, has_header: bool, good: Column | None = None) -> DataFrame:
     """valid and errors by the matcher, which is sent the documents alone; with ``good`` only those for which it doesn't hold."""
     model = format if isinstance(format, ValueModel) else "cbor" if format == "cbor" else "json"
-    Compiler(schema.symbols, model, features).root(root)  # a bad schema fails here, not on executors
+    compiler = Compiler(schema.symbols, model, features)
+    compiler.root(root)
+    compiler.settled()  # a bad schema fails here, not on executors
     ship(df.sparkSession)
-    decode = _decoder(format, has_header)
+    decode = _decoder(format, has_header, df.schema[on].dataType)
     fields = [T.StructField("valid", T.BooleanType())] + [T.StructField("errors", ERRORS)] * errors
 
     def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -141,6 +145,8 @@ def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, r
                         why = [dict(zip(_FIELDS, (*e, None, None), strict=True)) for e in texts] if errors else why
                     except DecodeError as e:
                         ok, why = False, [_failure(f"decode: {e}", e.kind, e.offset)]
+                    except Exception as e:  # no document stops a job
+                        ok, why = False, [_failure(f"check: {type(e).__name__}: {e}"[:1000])]
                 valid.append(ok)
                 found.append(why)
             columns = [pa.array(valid, pa.bool_())] + ([pa.array(found, _ARROW_ERRORS)] if errors else [])
@@ -199,7 +205,10 @@ def csv_rows(df: DataFrame, schema: Schema | str, on: str, has_header: bool = Fa
                 for k, r in enumerate(records):
                     check = checks[k] if k < fixed else checks[-1] if fixed < len(checks) else None
                     number.append(k)
-                    valid.append(check is not None and run(check, list(r) if has_header and k == 0 else [coerced(f) for f in r])[0])
+                    try:
+                        valid.append(check is not None and run(check, list(r) if has_header and k == 0 else [coerced(f) for f in r])[0])
+                    except Exception:  # no record stops a job
+                        valid.append(False)
                 fields += records
                 until.append(len(fields))
             rows = pa.StructArray.from_arrays([pa.array(number, pa.int64()), pa.array(fields, pa.list_(pa.string())), pa.array(valid, pa.bool_())], record.names)
@@ -213,7 +222,9 @@ def error_function(schema: Schema | str, format: str | ValueModel = "json", root
     """A table function of one document: a row for each error. ``spark.udtf.register(name, error_function(schema))`` makes it one of SQL."""
     schema = as_schema(schema)
     model = format if isinstance(format, ValueModel) else "cbor" if format == "cbor" else "json"
-    Compiler(schema.symbols, model, features).root(root)
+    compiler = Compiler(schema.symbols, model, features)
+    compiler.root(root)
+    compiler.settled()
     decode = _decoder(format, has_header)
 
     class Errors:
@@ -228,6 +239,8 @@ def error_function(schema: Schema | str, format: str | ValueModel = "json", root
                 found = [(*e, None, None) for e in run(self.check, decode(document))[1]]
             except DecodeError as e:
                 found = [tuple(_failure(f"decode: {e}", e.kind, e.offset).values())]
+            except Exception as e:  # no document stops a query
+                found = [tuple(_failure(f"check: {type(e).__name__}: {e}"[:1000]).values())]
             yield from found
 
     return F.udtf(Errors, returnType=_ERROR)

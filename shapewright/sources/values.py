@@ -11,6 +11,7 @@ import json
 import math
 import re
 import struct
+import sys
 from dataclasses import dataclass
 
 
@@ -48,9 +49,51 @@ class _Undefined:
 UNDEFINED = _Undefined()
 
 
+#: Arrays and maps within each other that a document may have at most, in all formats; Spark's own JSON parser takes as many.
+NESTED = 999
+
+
+def _number(text: str) -> float:
+    x = float(text)
+    if math.isinf(x):
+        raise ValueError("a number out of range")
+    return x
+
+
 def _integer(text: str):
-    n = int(text)
-    return n if -(1 << 63) <= n < 1 << 64 else float(n)
+    n = int(text) if len(text) <= 20 else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 64 else _number(text)
+
+
+_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+_SURROGATES = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _too_deep(text: str) -> bool:
+    """Whether brackets of a JSON text are nested beyond the limit."""
+    if text.count("[") + text.count("{") <= NESTED:
+        return False
+    depth = 0
+    for c in _STRINGS.sub("", text):
+        depth += (c in "[{") - (c in "]}")
+        if depth > NESTED:
+            return True
+    return False
+
+
+def _halved(value) -> bool:
+    """Whether a text in a document has half of a surrogate pair."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if type(v) is str:
+            if not v.isascii() and any("\ud800" <= c <= "\udfff" for c in v):
+                return True
+        elif type(v) is list:
+            stack += v
+        elif type(v) is Map:
+            stack += [x for pair in v.pairs for x in pair]
+    return False
 
 
 def _constant(text: str):
@@ -63,10 +106,15 @@ def from_json(text: str):
     def pairs(found: list[tuple[str, object]]) -> Map:
         return Map(tuple(sorted(dict(found).items())))
 
+    if _too_deep(text):
+        raise DecodeError("nested too deeply", "depth")
     try:
-        return json.loads(text, object_pairs_hook=pairs, parse_int=_integer, parse_constant=_constant)
+        value = json.loads(text, object_pairs_hook=pairs, parse_int=_integer, parse_float=_number, parse_constant=_constant)
     except (ValueError, RecursionError) as e:
         raise DecodeError(str(e), "depth" if isinstance(e, RecursionError) else "syntax", getattr(e, "pos", None)) from None
+    if _SURROGATES.search(text) and _halved(value):
+        raise DecodeError("half of a surrogate pair", "content")
+    return value
 
 
 class _Reader:
@@ -80,8 +128,14 @@ class _Reader:
         self.at += n
         return part
 
+    def chunk(self, depth: int):
+        """A part of a string of unknown length, which has a length itself."""
+        if self.data[self.at : self.at + 1] in (b"\x5f", b"\x7f"):
+            raise DecodeError(f"chunks within a chunk at byte {self.at}", "syntax", self.at)
+        return self.item(depth, True)
+
     def item(self, depth: int = 0, stop: bool = False):
-        if depth > 400:
+        if depth > NESTED:
             raise DecodeError("nested too deeply", "depth", self.at)
         at = self.at
         first = self.take(1)[0]
@@ -105,7 +159,7 @@ class _Reader:
         if major in (2, 3):
             if n is None:
                 parts = []
-                while (part := self.item(depth + 1, True)) is not _BREAK:
+                while (part := self.chunk(depth + 1)) is not _BREAK:
                     if type(part) is not (bytes if major == 2 else str):
                         raise DecodeError(f"a chunk of another kind before byte {self.at}", "content", self.at)
                     parts.append(part)
@@ -149,10 +203,20 @@ class _Reader:
 _BREAK = object()
 
 
+def _deep(read):
+    """read() with room for as many calls within calls as documents may be deep."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 5 * NESTED))
+    try:
+        return read()
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def from_cbor(data: bytes, allow_trailing: bool = False):
     """The one item that data hold."""
     reader = _Reader(bytes(data))
-    value = reader.item()
+    value = _deep(reader.item)
     if reader.at != len(data) and not allow_trailing:
         raise DecodeError(f"bytes follow the item, from byte {reader.at} on", "syntax", reader.at)
     return value
@@ -162,7 +226,7 @@ def sequence_from_cbor(data: bytes) -> list:
     """All items of a CBOR sequence (RFC 8742)."""
     reader, out = _Reader(bytes(data)), []
     while reader.at < len(data):
-        out.append(reader.item())
+        out.append(_deep(reader.item))
     return out
 
 
@@ -235,7 +299,7 @@ def csv_records(text: str) -> list[list[str]]:
 
 
 _BEGINNINGS = frozenset("+-.0123456789")
-_UINT, _SINT = re.compile(r"\+?[0-9]+"), re.compile(r"[+-]?[0-9]+")
+_SINT = re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 
 
@@ -243,10 +307,10 @@ def coerced(field: str):
     """A CSV field as an integer of 64 bits, a finite float, or text."""
     if field[:1] not in _BEGINNINGS:
         return field
-    if _UINT.fullmatch(field) and int(field) < 1 << 64:
-        return int(field)
-    if _SINT.fullmatch(field) and -(1 << 63) <= int(field) < 1 << 63:
-        return int(field)
+    if _SINT.fullmatch(field) and len(field.lstrip("+-0")) <= 20:
+        n = int(field.lstrip("+-0") or "0") * (-1 if field[0] == "-" else 1)
+        if -(1 << 63) <= n < 1 << 64:
+            return n
     if _FLOAT.fullmatch(field) and math.isfinite(float(field)):
         return float(field)
     return field
