@@ -194,6 +194,26 @@ CHECKS |= {
 }
 
 
+_BACK = "concat('\"', char(92), "
+#: The same for documents that are odd: long numbers, halves of characters, depth, NaN, empty maps; and for expressions' classes.
+CHECKS |= {
+    "json_long_numbers": Check("events", EVENT, "concat('{\"k\":', CASE WHEN event_id % 3 = 0 THEN repeat('9', 400) ELSE cast(event_id % 7 as string) END, '}')", "n = { k: number }", "event_id % 3 <> 0", "json"),
+    "json_long_numbers_matcher": Check("events", EVENT, "concat('{\"k\":', CASE WHEN event_id % 3 = 0 THEN repeat('9', 400) ELSE cast(event_id % 7 as string) END, '}')", "n = { k: number }", "event_id % 3 <> 0", "json", "matcher"),
+    "json_surrogates": Check("events", EVENT, f"CASE event_id % 3 WHEN 0 THEN {_BACK}'ud800\"') WHEN 1 THEN {_BACK}'ud83d', char(92), 'ude00\"') ELSE '\"abcde\"' END", "n = tstr .size (1..4)", "event_id % 3 = 1", "json"),
+    "json_surrogates_matcher": Check("events", EVENT, f"CASE event_id % 3 WHEN 0 THEN {_BACK}'ud800\"') WHEN 1 THEN {_BACK}'ud83d', char(92), 'ude00\"') ELSE '\"abcde\"' END", "n = tstr .size (1..4)", "event_id % 3 = 1", "json", "matcher"),
+    "recursive_deep": Check("part", PART, "concat(repeat('[', 300 + int(p_partkey % 2) * 800), repeat(']', 300 + int(p_partkey % 2) * 800))", "n = [* n]", "p_partkey % 2 = 0", "json"),
+    "csv_long_fields": Check("part", PART, "CASE WHEN p_partkey % 2 = 0 THEN repeat('9', 5000) ELSE '7' END", "n = [[uint]]", "p_partkey % 2 = 1", "csv"),
+    "row_nan": Check("part", PART, "CASE WHEN p_partkey % 3 = 0 THEN double('NaN') ELSE p_retailprice END", "n = float .gt 950.5", "p_partkey % 3 <> 0 AND p_retailprice > 950.5"),
+    "row_nan_matcher": Check("part", PART, "CASE WHEN p_partkey % 3 = 0 THEN double('NaN') ELSE p_retailprice END", "n = float .gt 950.5", "p_partkey % 3 <> 0 AND p_retailprice > 950.5", tier="matcher"),
+    "row_empty_map": Check("part", PART, "map_filter(map('size', p_size), (k, v) -> v > 25)", "n = {}", "p_size <= 25"),
+    "row_empty_map_matcher": Check("part", PART, "map_filter(map('size', p_size), (k, v) -> v > 25)", "n = {}", "p_size <= 25", tier="matcher"),
+    "regexp_nested_classes": Check("part", PART, "p_brand", 'n = tstr .regexp "^[[:alpha:]]+#[1-5&&[^2-4]]"', "regexp_matches(p_brand, '^[A-Za-z]+#[15]')"),
+    "regexp_nested_classes_matcher": Check("part", PART, "p_brand", 'n = tstr .regexp "^[[:alpha:]]+#[1-5&&[^2-4]]"', "regexp_matches(p_brand, '^[A-Za-z]+#[15]')", tier="matcher"),
+    "pcre_references": Check("part", PART, "p_brand", 'n = tstr .pcre "Brand#(?<x>[0-9])\\\\k<x>"', "p_brand[7] = p_brand[8] AND length(p_brand) = 8"),
+    "array_choices_of_groups": Check("events", EVENT, "concat('[', concat_ws(',', transform(sequence(1, 1 + int(event_id % 3)), i -> concat(event_id % 4, ',\"', event_type, '\"'))), ',true]')", 'n = [+ (0..2, "click" // 0..1, tstr), bool]', "event_id % 4 <= 1 OR (event_id % 4 = 2 AND event_type = 'click')", "json"),
+}
+
+
 #: Tagged names of the prelude: tag, a body that fits, and one that doesn't.
 _TAGS = {
     "decfrac": ("C4", "820001", "8100"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import expressions, fold
 from ..plans.analysis import SchemaError, Symbols
-from ..plans.syntax import ArrayOf, Enum, Group, Literal, MapOf, Name, Paren, Type, Type1, text_of
+from ..plans.syntax import ArrayOf, Entry, Enum, Group, Literal, MapOf, Name, Paren, Type, Type1, Unwrap, text_of
 from .matcher import Compiler
 
 
@@ -152,6 +152,11 @@ def _or(*parts: Column | None) -> Column:
     return out
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), where value is computed once. An aggregate's type follows from its end alone, so that nesting these stays cheap to analyse."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda kept, _: kept, body)
+
+
 def _number(n: int | float) -> Column:
     if isinstance(n, float):
         return F.lit(n)
@@ -491,22 +496,19 @@ class Columns:
             items, kind, there = v.col, v.kind.elementType, v.col.isNotNull()
         else:
             return F.lit(False)
-        if len(group.choices) != 1:
-            raise NotColumnar("group choices in an array")
+        wrap = lambda col: Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind)
         fixed, repeated = [], None
-        for e in group.choices[0]:
-            if isinstance(e.value, Group) or self.is_group(e.value, env):
-                raise NotColumnar("a group in an array")
-            if repeated is not None:
-                raise NotColumnar("an item after a repetition")
+        for e in group.choices[0] if len(group.choices) == 1 else ():
+            if isinstance(e.value, Group) or self.is_group(e.value, env) or repeated is not None:
+                return self.sequence(group, env, items, there, wrap)
             if e.low == e.high:
-                fixed += [e.value] * e.low
-                if len(fixed) > 64:
-                    if len(group.choices[0]) > 1:
-                        raise NotColumnar("a long repetition")
+                fixed += [e.value] * min(e.low, 1000)
+                if len(fixed) > 64 and len(group.choices[0]) > 1:
+                    return self.sequence(group, env, items, there, wrap)
             else:
                 repeated = e
-        wrap = lambda col: Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind)
+        if len(group.choices) != 1 or len(fixed) == 1000:
+            return self.sequence(group, env, items, there, wrap)
         n = F.size(items)
         if repeated is None and fixed and all(t is fixed[0] for t in fixed):
             return _and(there, n == len(fixed), F.forall(items, lambda x: F.coalesce(self.type(fixed[0], env, wrap(x)), F.lit(False))))
@@ -519,11 +521,87 @@ class Columns:
             parts.append(n <= len(fixed) + repeated.high)
         return _and(there, *parts)
 
+    # arrays whose entries are groups: an expression gives where a part that begins at a place ends, null where it doesn't match
+
+    def sequence(self, group: Group, env: dict, items: Column, there: Column, wrap) -> Column:
+        """Whether all items match. Places are bound by lambdas, so each part's check is in the expression once."""
+        choices = self.entries(group, env)
+        ends = lambda xs: _bound(F.size(xs), lambda n: F.coalesce(self.choice(choices, xs, n, F.lit(0), wrap) == n, F.lit(False)))
+        return _and(there, _bound(items, ends))
+
+    def entries(self, group: Group, env: dict) -> list[list[tuple]]:
+        """Group choices as lists of (low, high, type, env) and (low, high, choices)."""
+        return [[self.entry(e, env) for e in choice] for choice in group.choices]
+
+    def entry(self, e, env: dict) -> tuple:
+        if isinstance(e.value, Group):
+            if e.key is not None:
+                raise NotColumnar("a key is followed by a group")
+            return e.low, e.high, self.entries(e.value, env)
+        c = e.value.choices[0]
+        if e.key is None and len(e.value.choices) == 1 and c.op is None:
+            if isinstance(c.target, Paren):
+                return self.entry(Entry(e.low, e.high, None, c.target.type), env)
+            if isinstance(c.target, Name) and c.target.name in env:
+                bound, own = env[c.target.name]
+                return self.entry(Entry(e.low, e.high, None, bound), own)
+            name = c.target.name if isinstance(c.target, Unwrap) else c.target if isinstance(c.target, Name) else None
+            d = self.symbols.table.get(name.name) if name is not None else None
+            if d is not None and name.name in self.recursive:
+                raise NotColumnar(f"{name.name} is recursive")
+            if isinstance(c.target, Unwrap):
+                d, own = self.names.definition(c.target.name, env)
+                inner = d.types[0].choices[0].target if d is not None and d.types else None
+                if isinstance(inner, ArrayOf) and inner.group is not None:
+                    return e.low, e.high, self.entries(inner.group, own)
+                raise NotColumnar("an unwrapped type that is no array")
+            if d is not None and d.entries:
+                group, own = self.names.group_of(c.target, env)
+                return e.low, e.high, self.entries(group, own)
+            if d is None and name is not None and name.name.startswith("$$"):
+                return 0, e.high, []
+        return e.low, e.high, e.value, env
+
+    def choice(self, choices: list[list[tuple]], items: Column, n: Column, at: Column, wrap) -> Column:
+        """Where the first choice that matches from ``at`` on ends."""
+        ends = [self.parts_in_order(c, items, n, at, wrap) for c in choices]
+        return F.coalesce(*ends) if ends else F.lit(None).cast("int")
+
+    def parts_in_order(self, parts: list[tuple], items: Column, n: Column, at: Column, wrap) -> Column:
+        if not parts:
+            return at
+        end = self.times(parts[0], items, n, at, wrap)
+        return end if len(parts) == 1 else _bound(end, lambda x: F.when(x.isNotNull(), self.parts_in_order(parts[1:], items, n, x, wrap)))
+
+    def once(self, part: tuple, items: Column, n: Column, at: Column, wrap) -> Column:
+        if len(part) == 3:
+            return self.choice(part[2], items, n, at, wrap)
+        return F.when((at < n) & F.coalesce(self.type(part[2], part[3], wrap(F.get(items, at))), F.lit(False)), at + 1)
+
+    def times(self, part: tuple, items: Column, n: Column, at: Column, wrap) -> Column:
+        """Where a part that is repeated as often as it matches ends; what it doesn't move it repeats without end."""
+        low, high = part[0], part[1]
+        if (low, high) == (1, 1):
+            return self.once(part, items, n, at, wrap)
+        if (low, high) == (0, 1):
+            return F.coalesce(self.once(part, items, n, at, wrap), at)
+        if high == 0:
+            return at
+        most = n - at + 1 if high is None else F.least(n - at + 1, F.lit(high))
+
+        def step(state: Column, _) -> Column:
+            stopped = F.struct(state["at"].alias("at"), state["count"].alias("count"), F.lit(False).alias("more"))
+            move = lambda end: F.when(end.isNull(), stopped).when(end == state["at"], F.struct(end.alias("at"), F.greatest(state["count"] + 1, F.lit(low)).alias("count"), F.lit(False).alias("more"))).otherwise(F.struct(end.alias("at"), (state["count"] + 1).alias("count"), F.lit(True).alias("more")))
+            return F.when(state["more"], _bound(self.once(part, items, n, state["at"], wrap), move)).otherwise(state)
+
+        start = F.struct(at.cast("int").alias("at"), F.lit(0).alias("count"), F.lit(True).alias("more"))
+        return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: F.when(s["count"] >= low, s["at"]))
+
     def is_group(self, t: Type, env: dict) -> bool:
         c = t.choices[0]
+        if len(t.choices) == 1 and c.op is None and isinstance(c.target, Paren):
+            return self.is_group(c.target.type, env)
         if len(t.choices) != 1 or c.op is not None or not isinstance(c.target, Name):
-            from ..plans.syntax import Unwrap
-
             return isinstance(c.target, Unwrap)
         if c.target.name in env:
             return self.is_group(env[c.target.name][0], env[c.target.name][1])

@@ -14,15 +14,12 @@ from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
 from ..sources.values import DecodeError, Map, coerced, csv_records, from_cbor, from_csv, from_json
 from .columns import Columns, NotColumnar, Value, Variant, parsed_json
+from .failures import ERROR, ERRORS, FIELDS, Failures, error
 from .matcher import Compiler, ValueModel, run
 from .shipping import ship
 
-#: Of documents that can't be decoded: decode_error is the kind, offset the byte or letter where it is known.
-_ERROR = T.StructType([T.StructField(n, T.StringType()) for n in ("reason", "location", "rule")] + [T.StructField(n, T.BooleanType()) for n in ("multi_type_choice", "multi_group_choice", "group_enum")] + [T.StructField("entry_name", T.StringType()), T.StructField("decode_error", T.StringType()), T.StructField("offset", T.LongType())])
-ERRORS = T.ArrayType(_ERROR)
-_FIELDS = _ERROR.names
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
-_ARROW_ERRORS = pa.list_(pa.struct([(f.name, _ARROW[f.dataType.simpleString()]) for f in _ERROR]))
+_ARROW_ERRORS = pa.list_(pa.struct([(f.name, _ARROW[f.dataType.simpleString()]) for f in ERROR]))
 
 
 def as_schema(schema: Schema | str) -> Schema:
@@ -84,19 +81,28 @@ def _decoder(format: str | ValueModel, has_header: bool, kind: T.DataType | None
     raise ValueError(f"format is json, cbor, csv or row, not {format}")
 
 
-def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: str | ValueModel = "json", root: str | None = None, features: list[str] | None = None, errors: bool = False, tier: str = "auto", has_header: bool = False) -> DataFrame:
+def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: str | ValueModel = "json", root: str | None = None, features: list[str] | None = None, errors: bool = False, tier: str = "auto", has_header: bool = False, details: bool = False) -> DataFrame:
     """df with ``valid`` (never null), and with ``errors`` their list.
 
     tier: "columns" for column expressions, "matcher" for the matcher over Arrow arrays, "auto" for columns where the schema allows them.
-    Errors come from the matcher, which gets the documents that the columns find not valid. A null document is not valid. Of repeated
-    keys of a JSON object the last counts. In rows, a null field is an absent member. ``format`` may be a ValueModel of your own.
+    Errors of JSON documents are columns, too, where ``operators.failures`` can say them; else they come from the matcher, which gets the documents that
+    columns find not valid. Columns tell of a text that isn't JSON that it isn't; ``details`` has the matcher say why and where. A null document is not
+    valid. Of repeated keys of a JSON object the last counts. In rows, a null field is an absent member. ``format`` may be a ValueModel of your own.
     """
     schema = as_schema(schema)
     if tier not in ("auto", "columns", "matcher"):
         raise ValueError(f"no tier {tier}")
     good = None
+    if tier != "matcher" and errors and format == "json" and not details:
+        try:
+            return _with_errors(df, schema, on, root, features)
+        except NotColumnar:
+            if tier == "columns":
+                raise
     if tier != "matcher":
         try:
+            if format == "json" and not errors:
+                return _checked_json(df, schema, on, root, features)
             good = F.coalesce(valid_column(df, schema, on, format, root, features), F.lit(False))
         except NotColumnar:
             if tier == "columns":
@@ -109,6 +115,33 @@ def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: s
     return _matched(df, schema, on, format, root, features, errors, has_header, good)
 
 
+def _parsed(df: DataFrame, on: str) -> DataFrame:
+    """df with ``_parsed``, its documents as variants, in a projection of its own, so that each is parsed once."""
+    if not isinstance(df.schema[on].dataType, T.StringType):
+        raise TypeError(f"{on} isn't text")
+    return df.withColumn("_parsed", parsed_json(F.col(f"`{on}`")))
+
+
+def _kept(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns if c not in ("valid", "errors")]
+
+
+def _checked_json(df: DataFrame, schema: Schema, on: str, root: str | None, features: list[str] | None) -> DataFrame:
+    good = Columns(schema.symbols, features).root(root, Variant(F.col("_parsed")))
+    return _parsed(df, on).withColumn("valid", F.coalesce(F.col("_parsed").isNotNull() & good, F.lit(False))).drop("_parsed")
+
+
+def _with_errors(df: DataFrame, schema: Schema, on: str, root: str | None, features: list[str] | None) -> DataFrame:
+    """valid and errors without Python."""
+    compiler = Failures(schema.symbols, features)
+    doc, text = F.col("_parsed"), F.col(f"`{on}`")
+    found = F.when(text.isNull(), error(F.lit("no document"), F.lit(""))).when(doc.isNull(), error(F.lit("decode: not a JSON document"), F.lit(""), kind="syntax"))
+    good = F.coalesce(doc.isNotNull() & compiler.root(root, Variant(doc)), F.lit(False))
+    checked = _parsed(df, on).withColumn("_good", good)
+    wrong = found.otherwise(compiler.errors(root, doc))
+    return checked.select(*_kept(df), F.col("_good").alias("valid"), F.when(F.col("_good"), F.array().cast(ERRORS)).otherwise(wrong).alias("errors"))
+
+
 def conforming(df: DataFrame, schema: Schema | str, on: str | list[str], format: str = "json", root: str | None = None, features: list[str] | None = None) -> DataFrame:
     """The rows that conform. Comparisons of columns stay bare, so that they reach the scan."""
     try:
@@ -118,7 +151,7 @@ def conforming(df: DataFrame, schema: Schema | str, on: str | list[str], format:
 
 
 def _failure(reason: str, kind: str | None = None, offset: int | None = None) -> dict:
-    return dict(zip(_FIELDS, (reason, "", "", False, False, False, "", kind, offset), strict=True))
+    return dict(zip(FIELDS, (reason, "", "", False, False, False, "", kind, offset), strict=True))
 
 
 def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, root: str | None, features: list[str] | None, errors: bool, has_header: bool, good: Column | None = None) -> DataFrame:
@@ -142,7 +175,7 @@ def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, r
                 else:
                     try:
                         ok, texts = run(check, decode(doc))
-                        why = [dict(zip(_FIELDS, (*e, None, None), strict=True)) for e in texts] if errors else why
+                        why = [dict(zip(FIELDS, (*e, None, None), strict=True)) for e in texts] if errors else why
                     except DecodeError as e:
                         ok, why = False, [_failure(f"decode: {e}", e.kind, e.offset)]
                     except Exception as e:  # no document stops a job
@@ -243,7 +276,7 @@ def error_function(schema: Schema | str, format: str | ValueModel = "json", root
                 found = [tuple(_failure(f"check: {type(e).__name__}: {e}"[:1000]).values())]
             yield from found
 
-    return F.udtf(Errors, returnType=_ERROR)
+    return F.udtf(Errors, returnType=ERROR)
 
 
 def diagnoses(df: DataFrame, on: str) -> DataFrame:
