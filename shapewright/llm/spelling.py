@@ -208,10 +208,12 @@ def near_words(words: DataFrame) -> DataFrame:
             counts = np.zeros(len(readers), np.int64)
             best: dict[int, tuple[int, bytes]] = {}
             for i, j in shard.look_up(readers, [asked[r] for r in readers]):
+                if not len(i):
+                    continue
                 np.add.at(counts, i, 1)
                 order = np.lexsort((-shard.counts[j], i))
                 i, j = i[order], j[order]
-                begins = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+                begins = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
                 for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(i)], strict=True):
                     most = shard.counts[j[lo]]
                     ties = j[lo:hi][shard.counts[j[lo:hi]] == most]
@@ -219,8 +221,10 @@ def near_words(words: DataFrame) -> DataFrame:
                     r = int(i[lo])
                     best[r] = min(best.get(r, found), found)
             some = sorted(best)
+            if not some:
+                return
             text = lambda x: x.decode("latin-1")
-            yield pa.RecordBatch.from_arrays([pa.array([text(readers[r]) for r in some]), pa.array(counts[some]), pa.array([best[r][0] for r in some], pa.int64()), pa.array([text(best[r][1]) for r in some])], ["word", "n_near", "less", "form"])
+            yield pa.RecordBatch.from_arrays([pa.array([text(readers[r]) for r in some], pa.string()), pa.array(counts[some]), pa.array([best[r][0] for r in some], pa.int64()), pa.array([text(best[r][1]) for r in some], pa.string())], ["word", "n_near", "less", "form"])
 
         for batch in batches:
             side, half, lot, kind, word, count = (c.to_pylist() for c in batch.columns)
