@@ -13,6 +13,10 @@ _PLACES = {
     "error_rows": "operators.conformance",
     "report": "operators.conformance",
     "csv_rows": "operators.conformance",
+    "csv_file_rows": "operators.conformance",
+    "csv_file_records": "sources.csv_files",
+    "dangling": "operators.references",
+    "reference_paths": "operators.references",
     "error_function": "operators.conformance",
     "diagnoses": "operators.conformance",
     "cbor_text": "operators.conformance",

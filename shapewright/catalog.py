@@ -5,12 +5,15 @@ Each returns a row's key and whether it conforms, over the whole table.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.conformance import csv_rows, error_rows, report, validate
+from .operators.conformance import csv_file_rows, csv_rows, error_rows, report, validate
+from .operators.references import dangling
 from .schema import Schema
 
 
@@ -276,6 +279,42 @@ def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, t.simpleString()) for n, t in schema.to_struct_types().items()], "rule string, type string")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in a folder that driver and executors share."""
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        local = spark.sparkContext.master.startswith("local")
+        there = f"file://{tempfile.mkdtemp(prefix='scratch-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV files, with line ends and quotes in fields, read back in splits."""
+    path = _scratch(spark, "orders-csv")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows.select(F.format_string('%d,"%s\n""%s""",%s', "o_orderkey", "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string"))).write.text(path)
+    read = csv_file_rows(spark, path, 'file = [* [uint, tstr .regexp "\\n.F", uint .lt 500]]')
+    return read.select(F.col("fields")[0].cast("bigint").alias("o_orderkey"), F.col("fields")[1].alias("text"), "valid")
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that name customers and orders, some of which there aren't."""
+    doc = F.format_string('{"by":%d,"orders":[%d,{"id":%d}],"at":null}', F.col("user_id") * 20, F.col("event_id") % 5000 + 1, F.col("event_id") * 7)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", doc.alias("doc"))
+    tables = {"customer": (spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey"), "orders": (spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey")}
+    schema = "doc = { by: ref-customer, orders: [* ref-orders / { id: ref-orders }], ? at: ref-customer / nil }\nref-customer = uint\nref-orders = uint"
+    return dangling(rows, schema, "doc", tables).select("event_id", "location", F.col("table").alias("target"), "value")
+
+
+_REFERENCES_ORACLE = """
+WITH r AS (
+  SELECT event_id, '/by' AS location, 'customer' AS target, user_id * 20 AS v FROM events UNION ALL
+  SELECT event_id, '/orders/0', 'orders', event_id % 5000 + 1 FROM events UNION ALL
+  SELECT event_id, '/orders/1/id', 'orders', event_id * 7 FROM events
+)
+SELECT event_id, location, target, CAST(v AS VARCHAR) AS value FROM r
+WHERE (target = 'customer' AND v NOT IN (SELECT c_custkey FROM customer)) OR (target = 'orders' AND v NOT IN (SELECT o_orderkey FROM orders))
+"""
 _CSV_ORACLE = """
 SELECT o_orderkey, 0::BIGINT AS row, true AS valid FROM orders UNION ALL
 SELECT o_orderkey, 1::BIGINT AS row, o_orderstatus IN ('O', 'F') AS valid FROM orders UNION ALL
@@ -294,6 +333,8 @@ OTHERS = {
     "error_report": (_error_report, f"SELECT 'event' AS rule, 'expected int .lt 50, got ' || {_KEY} AS reason, count(*) AS n FROM events WHERE {_KEY} >= 50 GROUP BY {_KEY}"),
     "error_rows": (_error_rows, f"SELECT event_id, '/k' AS location, 'event' AS rule, {_OUTSIDE} AS reason, 'error validating at /k: ' || {_OUTSIDE} AS message FROM events WHERE NOT coalesce({_K} BETWEEN 0 AND 49, false)"),
     "csv_records": (_csv_records, _CSV_ORACLE),
+    "csv_files": (_csv_files, "SELECT o_orderkey, o_orderpriority || chr(10) || '\"' || o_orderstatus || '\"' AS text, o_orderstatus = 'F' AND o_custkey < 500 AS valid FROM orders"),
+    "references": (_references, _REFERENCES_ORACLE),
     "recursive_json": (_recursive, "SELECT event_id, event_id % 4 <> 0 AS valid FROM events"),
     "cbor_map": (_cbor, "SELECT p_partkey, p_partkey < 256 AND regexp_matches(p_brand, '[1-3]') AS valid FROM part"),
     "samples": (_samples, "SELECT CAST(range AS INTEGER) AS i, true AS valid FROM range(20)"),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.analysis import problems
 from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
+from ..sources.csv_files import csv_file_records
 from ..sources.values import DecodeError, Map, coerced, csv_records, from_cbor, from_csv, from_json
 from .columns import Columns, NotColumnar, Value, Variant, parsed_json
 from .failures import ERROR, ERRORS, FIELDS, Failures, error
@@ -210,40 +211,52 @@ def report(df: DataFrame, schema: Schema | str, on: str, **how) -> DataFrame:
     return error_rows(df, schema, on, **how).groupBy("rule", "reason").agg(F.count("*").alias("n"))
 
 
-def csv_rows(df: DataFrame, schema: Schema | str, on: str, has_header: bool = False) -> DataFrame:
-    """A row for each record of CSV texts, checked by itself: row (from 0), fields, valid.
+def _record_checks(schema: Schema, has_header: bool):
+    """A function (number of a record, fields) -> whether it conforms, made where it runs.
 
     The root must be an array of fixed records and one repeated record last, so that each record's type follows from its number.
     """
-    schema = as_schema(schema)
-    names = Compiler(schema.symbols, "json")
-    d, env = names.definition(Name(schema.root_name), {})
+    d, env = Compiler(schema.symbols, "json").definition(Name(schema.root_name), {})
     target = d.types[0].choices[0].target
     if len(d.types) != 1 or len(d.types[0].choices) != 1 or not isinstance(target, ArrayOf) or len(target.group.choices) != 1:
         raise NotColumnar("the root isn't one array")
     entries = target.group.choices[0]
     if any(isinstance(e.value, Group) for e in entries) or any(e.low != e.high for e in entries[:-1]):
         raise NotColumnar("only the last record may repeat")
-    ship(df.sparkSession)
-    record = T.StructType([T.StructField("row", T.LongType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("valid", T.BooleanType())])
 
-    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make():
         own = Compiler(schema.symbols, "json")
         checks = [own.type(e.value, env) for e in entries for _ in range(e.low if e.low == e.high else 1)]
         fixed = len(checks) - (bool(entries) and entries[-1].low != entries[-1].high)
+
+        def good(k: int, fields: list[str]) -> bool:
+            check = checks[k] if k < fixed else checks[-1] if fixed < len(checks) else None
+            try:
+                return check is not None and run(check, list(fields) if has_header and k == 0 else [coerced(f) for f in fields])[0]
+            except Exception:  # no record stops a job
+                return False
+
+        return good
+
+    return make
+
+
+def csv_rows(df: DataFrame, schema: Schema | str, on: str, has_header: bool = False) -> DataFrame:
+    """A row for each record of CSV texts, checked by itself: row (from 0), fields, valid; see _record_checks() for the schemas that it takes."""
+    make = _record_checks(as_schema(schema), has_header)
+    ship(df.sparkSession)
+    record = T.StructType([T.StructField("row", T.LongType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("valid", T.BooleanType())])
+
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        good = make()
         for texts in parts:
-            fields, number, valid, until = [], [], [], [0]
+            fields, number, until = [], [], [0]
             for text in texts.to_pylist():
                 records = csv_records(text or "")
-                for k, r in enumerate(records):
-                    check = checks[k] if k < fixed else checks[-1] if fixed < len(checks) else None
-                    number.append(k)
-                    try:
-                        valid.append(check is not None and run(check, list(r) if has_header and k == 0 else [coerced(f) for f in r])[0])
-                    except Exception:  # no record stops a job
-                        valid.append(False)
+                number += range(len(records))
                 fields += records
                 until.append(len(fields))
+            valid = [good(k, r) for k, r in zip(number, fields, strict=True)]
             rows = pa.StructArray.from_arrays([pa.array(number, pa.int64()), pa.array(fields, pa.list_(pa.string())), pa.array(valid, pa.bool_())], record.names)
             yield pa.ListArray.from_arrays(pa.array(until, pa.int32()), rows)
 
@@ -251,6 +264,18 @@ def csv_rows(df: DataFrame, schema: Schema | str, on: str, has_header: bool = Fa
     return found.select(*(F.col(f"`{c}`") for c in df.columns), "_record.*")
 
 
+def csv_file_rows(spark: SparkSession, path: str | list[str], schema: Schema | str, has_header: bool = False) -> DataFrame:
+    """file, row, fields, valid of CSV files, which are read in splits; the schemas are those of csv_rows()."""
+    make = _record_checks(as_schema(schema), has_header)
+
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        good = make()
+        for records in parts:
+            yield pa.array([good(r["row"], r["fields"]) for r in records.to_pylist()], pa.bool_())
+
+    return csv_file_records(spark, path).withColumn("valid", F.arrow_udf(judged, T.BooleanType())(F.struct("row", "fields")))
+
+
 def error_function(schema: Schema | str, format: str | ValueModel = "json", root: str | None = None, features: list[str] | None = None, has_header: bool = False):
     """A table function of one document: a row for each error. ``spark.udtf.register(name, error_function(schema))`` makes it one of SQL."""
     schema = as_schema(schema)
