@@ -1,37 +1,40 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 A seeded hash of doc_id puts each source's documents in a random order, cut by the hash's leading bits into blocks of about
-``BLOCK_DOCS``. A source's target buys whole epochs of its blocks and a prefix of one more epoch, down to a cutoff in the order that is
-found by histograms of the hash (a thousand rows for each source and level, whatever the input). So each document is taken
-``epochs`` or ``epochs + 1`` times, and which it is shows by its hash alone: no document is compared with another.
+``BLOCK_DOCS``. A source's target buys whole epochs of its blocks and a prefix of one more epoch, down to a cutoff in the order, mostly inside a block, that is
+found by histograms of the hash (a thousand rows for each source and level, whatever the input). These drawn blocks, numbered for each source, are the
+root's quotas.
 
 Output shards get exact block quotas: at each node of a binary tree over the shards, the node's blocks are split between its halves by a
-multivariate hypergeometric draw, so that a leaf is a random sample without replacement of all drawn blocks, and quotas add up. Each
-leaf takes the next blocks of each source's drawn sequence, and its documents are shuffled by another hash. What no leaf's quota reaches
-isn't taken. Shards are as many as the mix has ``SHARD_WORDS``, so that one is sorted in one task whatever the input; where that is more than
-``LEAVES``, a leaf's documents are dealt to several shards by hash, so that the plan stays small.
+multivariate hypergeometric draw, so that a leaf is a random sample without replacement of all drawn blocks, and quotas add up. A
+node's draw is seeded by its place, so a task that has a block finds its shard by drawing the nodes on the way down to it, and no one holds the tree: its
+number of shards has no bound. A document is taken as often as shards draw its blocks (of a block with a cutoff, the part before it), and a
+shard's documents are shuffled by another hash. What no quota reaches isn't taken. Another seed orders, draws and so takes other documents.
+Shards are as many as the mix has ``SHARD_WORDS``; a task writes several.
 
 The driver holds one row for each source. Null text has size 0; a null source is a source of its own, last in order; rows with a null
-doc_id are ordered by their texts. Equal rows are each taken. An empty table gives no rows; sources without words get target 0.
+doc_id are ordered by their texts. Equal rows are each taken. Columns named _shard and _order are replaced, all others stay. An empty table gives
+no rows; sources without words get target 0.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, written
+from ._common import partitions, ship, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, 20240229
-BLOCK_DOCS = 256
+BLOCK_DOCS = 16
 #: Words for each output shard.
-SHARD_WORDS = 8_000_000
-#: Leaves of the tree at most, and leaves times sources.
-LEAVES, PLAN_NUMBERS = 256, 1_000_000
+SHARD_WORDS = 32_000
+#: Nodes whose draws a task keeps.
+NODES = 100_000
 _KEY_BITS, _STEP = 63, 10
 #: Rows of the plan that are broadcast; a larger plan is joined.
 _PLAN_ROWS = 20_000
@@ -66,28 +69,57 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
     return out
 
 
+class Tree:
+    """Splits the numbers of drawn blocks of sources among shards; nodes are drawn when they are met."""
+
+    def __init__(self, drawn: list[int], shards: int, seed: int):
+        self.drawn, self.shards, self.seed = drawn, shards, seed
+        self.known: dict[tuple[int, int], list[int]] = {}
+
+    def left(self, lo: int, hi: int, have: list[int]) -> list[int]:
+        """The blocks of each source that the first half of a node's shards gets: a draw without replacement, its marginals one by one."""
+        found = self.known.get((lo, hi))
+        if found is None:
+            rng = np.random.Generator(np.random.PCG64([self.seed, lo, hi]))
+            rest = sum(have)
+            want = rest * ((lo + hi) // 2 - lo) // (hi - lo)
+            found = []
+            for n in have:
+                found.append(n if want == rest else _hypergeometric(rng, n, rest - n, want) if want and n else 0)
+                rest, want = rest - n, want - found[-1]
+            if len(self.known) >= NODES:
+                self.known.clear()
+            self.known[lo, hi] = found
+        return found
+
+    def shard(self, source: int, block: int) -> int:
+        """The shard that draws a source's block; -1 where none does."""
+        have, lo, hi = self.drawn, 0, self.shards
+        if not 0 <= block < have[source]:
+            return -1
+        while hi - lo > 1:
+            left = self.left(lo, hi, have)
+            if block < left[source]:
+                have, hi = left, (lo + hi) // 2
+            else:
+                block -= left[source]
+                have, lo = [n - m for n, m in zip(have, left, strict=True)], (lo + hi) // 2
+        return lo
+
+
 def quotas(blocks: dict[str | None, int], shards: int, seed: int) -> dict[str | None, list[int]]:
     """Blocks of each source for each shard: exact in sum over shards, and shards differ by one block at most in all."""
-    names = list(blocks)
-    out = {s: [0] * shards for s in names}
-    rng = np.random.Generator(np.random.PCG64(seed))
-    stack = [(0, shards, np.array([blocks[s] for s in names], np.int64))]
+    tree = Tree(list(blocks.values()), shards, seed)
+    out = {s: [0] * shards for s in blocks}
+    stack = [(0, shards, tree.drawn)]
     while stack:
         lo, hi, have = stack.pop()
         if hi - lo == 1:
-            for s, n in zip(names, have.tolist(), strict=True):
+            for s, n in zip(blocks, have, strict=True):
                 out[s][lo] = n
             continue
-        mid = (lo + hi) // 2
-        total = int(have.sum())
-        draw = total * (mid - lo) // (hi - lo)
-        left = np.zeros_like(have)
-        rest, want = total, draw
-        for i, n in enumerate(have.tolist()):  # the draw's marginals one by one
-            if want and n:
-                left[i] = n if want == rest else _hypergeometric(rng, n, rest - n, want)
-            rest, want = rest - n, want - int(left[i])
-        stack += [(mid, hi, have - left), (lo, mid, left)]
+        left = tree.left(lo, hi, have)
+        stack += [((lo + hi) // 2, hi, [n - m for n, m in zip(have, left, strict=True)]), (lo, (lo + hi) // 2, left)]
     return out
 
 
@@ -114,7 +146,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draw: int) ->
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shards: int | None = None) -> tuple[DataFrame, list[tuple]]:
     """docs(doc_id, source, text) -> (doc_id, source, size, key), written; and a row for each source.
 
-    The row: source, size, target, epochs, cutoff, bits, first drawn block of each leaf and the end of the last, shards of a leaf. A document is
+    The row: source, size, target, epochs, cutoff, bits, drawn blocks, its number, and the number of shards. A document is
     drawn in the last epoch if its key is below cutoff. Without ``shards`` there is one for each ``SHARD_WORDS`` of the mix.
     """
     sized = written(docs.select("doc_id", "source", size_of("text").alias("size"), _key(seed).alias("key")), "sizes")
@@ -122,8 +154,6 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     sizes = {s: int(v[0]) for s, v in per.items()}
     goal = targets(sizes, weights, share, most)
     shards = shards or 1 + int(sum(goal.values()) // SHARD_WORDS)
-    leaves = max(1, min(shards, LEAVES, PLAN_NUMBERS // max(1, len(per))))
-    parts = -(-shards // leaves)
     epochs = {s: int(min(most, goal[s] // sizes[s])) if sizes[s] else 0 for s in per}
     rest = {s: goal[s] - epochs[s] * sizes[s] for s in per}
     # walk down the order of each source to where the words before it reach what is left
@@ -159,13 +189,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
                 del prefix[s]
     bits = {s: max(0, (n // BLOCK_DOCS).bit_length()) for s, (_, n) in per.items()}
     drawn = {s: (epochs[s] << bits[s]) + -(-cutoff[s] // (1 << (_KEY_BITS - bits[s]))) for s in per}
-    share_of = quotas(dict(sorted(drawn.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))), leaves, seed)
-    rows = [(s, sizes[s], goal[s], epochs[s], cutoff[s], bits[s], [0, *accumulate(share_of[s])], parts) for s in per]
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    rows = [(s, sizes[s], goal[s], epochs[s], cutoff[s], bits[s], drawn[s], i, shards) for i, s in enumerate(order)]
     return sized, rows
 
 
 def _planned(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    made = spark.createDataFrame(rows, "_source string, _size bigint, _target double, _epochs int, _cutoff bigint, _bits int, _firsts array<bigint>, _parts int")
+    made = spark.createDataFrame(rows, "_source string, _size bigint, _target double, _epochs int, _cutoff bigint, _bits int, _drawn bigint, _number int, _shards bigint")
     return F.broadcast(made) if len(rows) <= _PLAN_ROWS else made
 
 
@@ -181,14 +211,28 @@ def mixed(docs: DataFrame, seed: int = SEED, shards: int | None = None, **how) -
 
 def dealt(docs: DataFrame, rows: list[tuple], seed: int = SEED) -> DataFrame:
     """mixed() by the rows of a plan."""
-    columns = docs.columns
-    joined = docs.withColumn("_key", _key(seed)).join(_planned(docs.sparkSession, rows), F.col("source").eqNullSafe(F.col("_source")))
+    ship(docs.sparkSession)
+    drawn, shards = [r[6] for r in rows], rows[0][8] if rows else 1
+
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tree = Tree(drawn, shards, seed)
+        for part in parts:
+            asked = part.to_pylist()
+            known = {(r["number"], r["block"]): 0 for r in asked}
+            for source, block in sorted(known):
+                known[source, block] = tree.shard(source, block)
+            yield pa.array([known[r["number"], r["block"]] for r in asked], pa.int64())
+
+    columns = [c for c in docs.columns if c not in ("_shard", "_order")]
+    # the document's own columns are one, so that no name clashes
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _key(seed).alias("_key"), "doc_id", F.col("source").alias("_own"))
+    joined = own.join(_planned(docs.sparkSession, rows), F.col("_own").eqNullSafe(F.col("_source")))
     each = joined.filter(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), _copies() - 1)))
-    # drawn blocks are numbered over epochs; a leaf has those from its first to the next one's, and what is in no leaf isn't taken
-    block = (F.expr("shiftleft(cast(_copy as bigint), _bits)")) + F.expr(f"shiftrightunsigned(_key, {_KEY_BITS} - _bits)")
-    leaf = F.size(F.filter("_firsts", lambda x: x <= block)) - 1
-    shard = (leaf * F.col("_parts") + F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "_key", "_copy"), F.col("_parts"))).cast("int")
-    return each.filter(block < F.element_at("_firsts", -1)).select(*columns, shard.alias("_shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "_copy").alias("_order"))
+    # drawn blocks are numbered over epochs
+    block = F.expr("shiftleft(cast(_copy as bigint), _bits)") + F.expr(f"shiftrightunsigned(_key, {_KEY_BITS} - _bits)")
+    placed = each.select("row", F.xxhash64(F.lit(seed + 1), "doc_id", "_copy").alias("_order"), F.struct(F.col("_number").alias("number"), block.alias("block")).alias("_place"))
+    made = placed.withColumn("_shard", F.arrow_udf(found, "bigint")(F.col("_place"))).filter("_shard >= 0")
+    return made.select(*(F.col("row").getField(c).alias(c) for c in columns), "_shard", "_order")
 
 
 def shuffled(mix: DataFrame) -> DataFrame:
@@ -206,6 +250,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix.groupBy(*mine()).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("_shard")).alias("shards"))
     # rows of equal ids, sources and keys are taken equally often
     several = sized.groupBy("doc_id", "source", "key").agg(F.count("*").alias("_several")).join(found, same, "left")
-    copies = several.select(*mine(), F.expr("coalesce(_n, 0) div _several").alias("_copies"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    copies = several.select(*mine(), F.expr("coalesce(_n, 0) div _several").alias("_copies"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
     joined = sized.join(copies, same).join(_planned(spark, rows), F.col("source").eqNullSafe(F.col("_source")))
     return joined.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"), "shards")

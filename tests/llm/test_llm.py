@@ -484,16 +484,76 @@ def test_mixing_query(spark, rows, tmp_path, monkeypatch, with_nulls):
     again = mixing.query(spark, str(tmp_path)).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken, r.shards)
     assert sorted(map(key, found)) == sorted(map(key, again))
-    monkeypatch.setattr(mixing, "quotas", lambda blocks, shards, seed: {s: [0] * shards for s in blocks})
+    plan = mixing.plan
+
+    def without_blocks(docs, **how):
+        sized, rows = plan(docs, **how)
+        return sized, [(*r[:6], 0, *r[7:]) for r in rows]
+
+    monkeypatch.setattr(mixing, "plan", without_blocks)
     assert sum(r.taken for r in mixing.query(spark, str(tmp_path)).collect()) == 0
 
 
-def test_leaves_of_several_shards(spark, docs, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAVES", 4)
-    many = mixing.mixed(docs, shards=10).collect()
-    few = mixing.mixed(docs, shards=4).collect()
-    assert {r._shard for r in many} <= set(range(12)) and len({r._shard for r in many}) > 4
-    assert sorted((r.doc_id, r._shard // 3) for r in many) == sorted((r.doc_id, r._shard) for r in few)
+def test_what_shards_hold(spark, docs):
+    """Each shard holds the blocks that its quotas say, as whole as the cutoff leaves them, and no other documents."""
+    for shards in (1, 10, 300):
+        sized, plan = mixing.plan(docs, shards=shards)
+        quota = mixing.quotas({r[0]: r[6] for r in plan}, shards, mixing.SEED)
+        of = {r[0]: r for r in plan}
+        held: dict = {}
+        for r in mixing.mixed(docs, shards=shards).collect():
+            held.setdefault((r.source, r._shard), Counter())[r.doc_id] += 1
+        slots: dict = {}  # documents of each drawn block of a source, by number
+        for r in sized.collect():
+            _, _, _, epochs, cutoff, bits, drawn, *_ = of[r.source]
+            for copy in range(epochs + (r.key < cutoff)):
+                slots.setdefault((r.source, (copy << bits) + (r.key >> (63 - bits))), []).append(r.doc_id)
+                assert (copy << bits) + (r.key >> (63 - bits)) < drawn
+        tree = mixing.Tree([r[6] for r in plan], shards, mixing.SEED)
+        want, blocks = {}, Counter()
+        for r in plan:
+            for block in range(r[6]):
+                shard = tree.shard(r[7], block)
+                blocks[r[0], shard] += 1
+                for i in slots.get((r[0], block), ()):
+                    want.setdefault((r[0], shard), Counter())[i] += 1
+        assert held == want and all(blocks[s, k] == n for s, ns in quota.items() for k, n in enumerate(ns))
+
+
+def test_another_seed_takes_other_documents(docs):
+    def taken(seed):
+        return Counter(r.doc_id for r in mixing.mixed(docs, seed=seed).collect())
+
+    assert taken(1) == taken(1) != taken(2)
+    goals = [[r[:3] for r in mixing.plan(docs, seed=seed)[1]] for seed in (1, 2)]
+    assert goals[0] == goals[1]
+
+
+def test_any_number_of_shards(spark):
+    blocks = {"a": 60_000, "b": 7, None: 12_345}
+    shards = 10_000
+    q = mixing.quotas(blocks, shards, 5)
+    assert {s: sum(v) for s, v in q.items()} == blocks
+    totals = [sum(v[k] for v in q.values()) for k in range(shards)]
+    assert max(totals) - min(totals) <= 1
+    tree = mixing.Tree(list(blocks.values()), shards, 5)
+    rng = random.Random(1)
+    for k in rng.sample(range(60_000), 300):
+        assert 0 <= tree.shard(0, k) < shards
+    assert Counter(tree.shard(2, k) for k in range(12_345)) == Counter({k: n for k, n in enumerate(q[None]) if n}) and tree.shard(1, 7) == -1
+    huge = mixing.Tree([10**12, 10**9], 10**10, 1)
+    assert len({huge.shard(0, k * 10**9) for k in range(1000)}) == 1000
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert mixing.plan(docs)[1][0][8] >= 15
+
+
+def test_mixing_keeps_columns(spark):
+    rows = [(i, "w " * (i % 7), "s", i, -i, 1, 2, 3, 4, 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _key bigint, _source bigint, _copy int, _size int, _target int, row int, _shard int")
+    mix = mixing.mixed(df)
+    assert mix.columns == [c for c in df.columns if c != "_shard"] + ["_shard", "_order"]
+    kept = [tuple(r)[:9] for r in mix.collect()]
+    assert kept and set(kept) <= {r[:9] for r in rows}
 
 
 def test_large_hypergeometric_draws(monkeypatch):
