@@ -18,6 +18,9 @@ _PLACES = {
     "dangling": "operators.references",
     "reference_paths": "operators.references",
     "error_function": "operators.conformance",
+    "lints": "operators.conformance",
+    "struct_types": "operators.conformance",
+    "sampled": "operators.conformance",
     "diagnoses": "operators.conformance",
     "cbor_text": "operators.conformance",
     "ValueModel": "operators.matcher",

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.conformance import csv_file_rows, csv_rows, error_rows, report, validate
+from .operators.conformance import csv_file_rows, csv_rows, error_rows, lints, report, sampled, struct_types, validate
 from .operators.references import dangling
 from .schema import Schema
 
@@ -264,19 +264,24 @@ def _error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of a schema for each order, drawn by its key, checked."""
     schema = Schema.parse('order = { id: uint, status: "O" / "F", lines: [1*3 line], ? note: tstr }\nline = { n: 1..7, price: float }')
-    rows = [(i, x) for i, x in enumerate(schema.sample_json(20, seed=1))]
-    return validate(spark.createDataFrame(rows, "i int, doc string"), schema, "doc").select("i", "valid")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return validate(sampled(rows, schema, "o_orderkey", "doc"), schema, "doc").select("o_orderkey", "valid")
 
 
 def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = Schema.parse("a = { x: int .regexp \"y\" }\nunused = tstr\nloop = [* loop]")
-    return spark.createDataFrame(schema.lint(), "kind string, rule string, message string")
+    """Lints of schemas, one for each part."""
+    text = F.concat(F.lit("a = { x: "), F.when(F.col("p_partkey") % 2 == 0, F.lit("int")).otherwise(F.lit("tstr")), F.lit(' .regexp "y" }\nu'), (F.col("p_size") % 10).cast("string"), F.lit(" = tstr\nloop = [* loop]"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.alias("text"))
+    return lints(rows, "text").drop("text")
 
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = Schema.parse("person = { name: tstr, ? age: uint, mail: [* tstr], more: { * tstr => int }, next: person / nil }")
-    return spark.createDataFrame([(n, t.simpleString()) for n, t in schema.to_struct_types().items()], "rule string, type string")
+    """Row types of schemas, one for each part."""
+    text = F.concat(F.lit("person = { name: tstr, ? age: uint, mail: [* "), F.when(F.col("p_partkey") % 2 == 0, F.lit("tstr")).otherwise(F.lit("float")), F.lit("], more: { * tstr => int }, next: person / nil }"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.alias("text"))
+    return struct_types(rows, "text").drop("text")
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -324,10 +329,15 @@ SELECT o_orderkey, 2::BIGINT AS row, false AS valid FROM orders
 _KEY = "CAST(json_extract(props, '$.k') AS BIGINT)"
 _OUTSIDE = f"'expected 0 .. 49, got ' || {_KEY}"
 _LINT_ORACLE = """
-SELECT * FROM (VALUES ('unused', 'unused', 'no rule refers to unused'), ('unused', 'loop', 'no rule refers to loop'),
-('recursive', 'loop', 'loop refers to itself'), ('control', 'a', '.regexp doesn''t fit int')) AS t(kind, rule, message)
+SELECT p_partkey, 'unused' AS kind, 'u' || (p_size % 10) AS rule, 'no rule refers to u' || (p_size % 10) AS message FROM part UNION ALL
+SELECT p_partkey, 'unused', 'loop', 'no rule refers to loop' FROM part UNION ALL
+SELECT p_partkey, 'recursive', 'loop', 'loop refers to itself' FROM part UNION ALL
+SELECT p_partkey, 'control', 'a', '.regexp doesn''t fit int' FROM part WHERE p_partkey % 2 = 0
+"""
+_TYPES_ORACLE = """
+SELECT p_partkey, 'person' AS rule,
+'struct<name:string,age:decimal(20,0),mail:array<' || CASE WHEN p_partkey % 2 = 0 THEN 'string' ELSE 'double' END || '>,more:map<string,bigint>,next:variant>' AS type FROM part
 """
-_TYPES_ORACLE = "SELECT 'person' AS rule, 'struct<name:string,age:decimal(20,0),mail:array<string>,more:map<string,bigint>,next:variant>' AS type"
 
 OTHERS = {
     "error_report": (_error_report, f"SELECT 'event' AS rule, 'expected int .lt 50, got ' || {_KEY} AS reason, count(*) AS n FROM events WHERE {_KEY} >= 50 GROUP BY {_KEY}"),
@@ -337,7 +347,7 @@ OTHERS = {
     "references": (_references, _REFERENCES_ORACLE),
     "recursive_json": (_recursive, "SELECT event_id, event_id % 4 <> 0 AS valid FROM events"),
     "cbor_map": (_cbor, "SELECT p_partkey, p_partkey < 256 AND regexp_matches(p_brand, '[1-3]') AS valid FROM part"),
-    "samples": (_samples, "SELECT CAST(range AS INTEGER) AS i, true AS valid FROM range(20)"),
+    "samples": (_samples, "SELECT o_orderkey, true AS valid FROM orders"),
     "lint": (_lint, _LINT_ORACLE),
     "types": (_types, _TYPES_ORACLE),
 }

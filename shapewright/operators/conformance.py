@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.analysis import problems
+from ..plans.analysis import lint, problems
 from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
 from ..sources.csv_files import csv_file_records
@@ -319,6 +319,47 @@ def diagnoses(df: DataFrame, on: str) -> DataFrame:
     return each.select(*(F.col(f"`{c}`") for c in df.columns), "_problem.*")
 
 
+def _of_schemas(df: DataFrame, on: str, names: tuple[str, ...], rows) -> DataFrame:
+    """df's columns and a row for each of rows(schema text); a null text, or one that isn't a schema, has none."""
+    ship(df.sparkSession)
+    kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            out = []
+            for t in texts.to_pylist():
+                try:
+                    out.append([dict(zip(names, r, strict=True)) for r in rows(t)] if t is not None else [])
+                except ValueError:
+                    out.append([])
+            yield pa.array(out, pa.list_(pa.struct([(n, pa.string()) for n in names])))
+
+    each = df.withColumn("_row", F.explode(F.arrow_udf(found, kind)(F.col(f"`{on}`"))))
+    return each.select(*(F.col(f"`{c}`") for c in df.columns), "_row.*")
+
+
+def lints(df: DataFrame, on: str) -> DataFrame:
+    """A row for each lint of a column of schema texts: df's columns, kind, rule, message."""
+    return _of_schemas(df, on, ("kind", "rule", "message"), lambda text: lint(text))
+
+
+def struct_types(df: DataFrame, on: str) -> DataFrame:
+    """A row for each rule of a column of schema texts that is a type of rows: df's columns, rule, type."""
+    return _of_schemas(df, on, ("rule", "type"), lambda text: [(n, t.simpleString()) for n, t in Schema.parse(text).to_struct_types().items()])
+
+
+def sampled(df: DataFrame, schema: Schema | str, seed: str | Column, name: str = "sample") -> DataFrame:
+    """df with a JSON document of the schema in each row, drawn by the row's seed."""
+    schema = as_schema(schema)
+    ship(df.sparkSession)
+
+    def drawn(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for seeds in parts:
+            yield pa.array([None if s is None else schema.sample_json(1, seed=s)[0] for s in seeds.to_pylist()], pa.string())
+
+    return df.withColumn(name, F.arrow_udf(drawn, "string")((F.col(seed) if isinstance(seed, str) else seed).cast("bigint")))
+
+
 def cbor_text(on: str | Column) -> Column:
     """Bytes of a column of hex digits (with separators between) or base 64; null where it is neither."""
     text = F.col(on) if isinstance(on, str) else on
