@@ -38,6 +38,8 @@ HEAD, CLASSES, EACH, OWN = 128, 64, 256, 8192
 SLOTS = HEAD + CLASSES * EACH
 SIDE, DIM, HIDDEN = 2, 16, 16
 ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.08, 5
+#: The first of the tables that are sums of squares.
+SUMS = 7
 #: Bytes of text in a block, and of keys for each shard of counts.
 TEXT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 #: Tasks whose weights are summed together, and numbers in a message.
@@ -415,6 +417,18 @@ def trained(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def _message(moved: list[np.ndarray]) -> list[bytes]:
+    """What tables have learnt, in parts. Half a number's bytes are enough for weights, which move little; sums of squares grow, and travel whole."""
+    flat = [m.reshape(-1) for m in moved]
+    kinds = ((np.clip(np.concatenate(flat[:SUMS]), -6e4, 6e4), np.float16), (np.concatenate(flat[SUMS:]), np.float32))
+    return [some[a : a + PART].astype(kind).tobytes() for some, kind in kinds for a in range(0, len(some), PART)]
+
+
+def _halved(tables: list[np.ndarray]) -> int:
+    """Parts of a message whose numbers are halves."""
+    return -(-sum(w.size for w in tables[:SUMS]) // PART)
+
+
 def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """The model after ``rounds`` rounds over looked_up()."""
     spark = known.sparkSession
@@ -435,13 +449,13 @@ def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                         own.learn(laid[mine[:, None] + _AROUND], laid[mine])
                         steps += len(mine)
             if steps:
-                moved = np.concatenate([(w - s).reshape(-1) for w, s in zip(own.weights, sent.value.weights, strict=True)])
-                moved = np.clip(moved, -6e4, 6e4).astype(np.float16)  # half a number's bytes are enough for what changed
-                parts = [moved[a : a + PART].tobytes() for a in range(0, len(moved), PART)]
+                parts = _message([w - s for w, s in zip(own.weights, sent.value.weights, strict=True)])
                 task = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), task)), pa.array(np.full(len(parts), steps)), pa.array(parts, pa.binary())], ["part", "task", "n", "data"])
 
-        def added(form: str, divide: bool):
+        halved = _halved(model.weights)
+
+        def added(divide: bool):
             """Sums of messages that stand together, times their numbers of words; or their mean."""
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,6 +472,7 @@ def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                             if key is not None:
                                 yield out()
                             key, n, values = new, 0, 0.0
+                        form = "<f8" if divide else "<f2" if part < halved else "<f4"
                         values = values + np.frombuffer(data, form).astype(np.float64) * (1 if divide else some)
                         n += some
                 if key is not None:
@@ -466,8 +481,8 @@ def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             return run
 
         n = partitions(spark)
-        near = known.mapInArrow(run, schema).repartition(n, "part", F.expr(f"task div {GROUP}")).sortWithinPartitions("part", "task").mapInArrow(added("<f2", False), schema)
-        whole = near.repartition(n, "part").sortWithinPartitions("part", "task").mapInArrow(added("<f8", True), schema)
+        near = known.mapInArrow(run, schema).repartition(n, "part", F.expr(f"task div {GROUP}")).sortWithinPartitions("part", "task").mapInArrow(added(False), schema)
+        whole = near.repartition(n, "part").sortWithinPartitions("part", "task").mapInArrow(added(True), schema)
         rows = sorted((r["part"], bytes(r["data"])) for r in whole.collect())  # the weights, once
         if not rows:
             return model
@@ -476,7 +491,7 @@ def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         for i, w in enumerate(model.weights):
             model.weights[i] = w + moved[at : at + w.size].reshape(w.shape)
             at += w.size
-        for i in (7, 8, 9):
+        for i in range(SUMS, len(model.weights)):
             model.weights[i] = np.maximum(model.weights[i], 0)
     return model
 

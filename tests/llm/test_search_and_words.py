@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shapewright.llm import collocations, fingerprints, spelling
+from shapewright.llm import collocations, fingerprints, pseudo_likelihood, spelling
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, rank int, n long, word string, fp string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -243,3 +243,15 @@ def test_one_edit():
     a, b = zip(*[(x, y) for x in texts for y in texts], strict=True)
     got = spelling._one_edit(spelling._letters(list(a)), np.array([len(x) for x in a]), spelling._letters(list(b)), np.array([len(x) for x in b]))
     assert got.tolist() == [brute_near(x.decode(), y.decode()) for x, y in zip(a, b, strict=True)] == [spelling.within_one(x.decode(), y.decode()) for x, y in zip(a, b, strict=True)]
+
+
+def test_sums_of_squares_travel_whole():
+    """What a task has learnt arrives as it was where it is a sum of squares, however large, and nearly so for weights."""
+    rng = np.random.default_rng(1)
+    sizes = [(300, 16), (16, 16), (16,), (16, 192), (192,), (64, 16, 256), (64, 256), (16_513,), (64, 2), (4,)]
+    moved = [rng.normal(size=n).astype(np.float32) * (1e7 if i >= pseudo_likelihood.SUMS else 1) for i, n in enumerate(sizes)]
+    parts, halved = pseudo_likelihood._message(moved), pseudo_likelihood._halved(moved)
+    got = np.concatenate([np.frombuffer(p, "<f2" if i < halved else "<f4").astype(np.float32) for i, p in enumerate(parts)])
+    at = sum(m.size for m in moved[: pseudo_likelihood.SUMS])
+    assert (got[at:] == np.concatenate([m.reshape(-1) for m in moved[pseudo_likelihood.SUMS :]])).all()
+    assert np.allclose(got[:at], np.concatenate([m.reshape(-1) for m in moved[: pseudo_likelihood.SUMS]]), rtol=1e-3, atol=1e-4)
