@@ -57,3 +57,9 @@ def test_bad_expressions_fail_on_the_driver(spark):
     for tier in ("matcher", "auto"):
         with pytest.raises(SchemaError):
             validate(df, schema, "t", tier=tier)
+
+
+def test_unknown_controls_are_problems():
+    from shapewright.plans.analysis import problems
+
+    assert problems('a = int .foo 3\nb = tstr .regexq "x"') == [(1, 9, 13, "no control .foo", None), (2, 10, 17, "no control .regexq", "did you mean .regexp?")]
