@@ -259,7 +259,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """cut(length, ...) with sequence_id and offset. Any other columns of cut are kept; equal rows are placed each."""
+    """cut(length, ...) with sequence_id and offset. Any other columns of cut are kept; equal rows are placed each.
+
+    A column of cut named sequence_id, offset, _part or _place raises ValueError.
+    """
     spark = cut.sparkSession
     ship(spark)
     kept = cut.columns
