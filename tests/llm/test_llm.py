@@ -884,4 +884,4 @@ def test_pipeline(spark, tmp_path):
 def test_query_names():
     from shapewright import llm
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == list(range(1, 14))
