@@ -152,6 +152,14 @@ def _or(*parts: Column | None) -> Column:
     return out
 
 
+def free_name(df, name: str) -> str:
+    """A column's name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _bound(value: Column, body) -> Column:
     """body(value), where value is computed once. An aggregate's type follows from its end alone, so that nesting these stays cheap to analyse."""
     return F.aggregate(F.array(F.lit(0)), value, lambda kept, _: kept, body)

@@ -14,7 +14,7 @@ from ..plans.syntax import ArrayOf, Group, Name
 from ..schema import Schema
 from ..sources.csv_files import csv_file_records
 from ..sources.values import DecodeError, Map, coerced, csv_records, from_cbor, from_csv, from_json
-from .columns import Columns, NotColumnar, Value, Variant, parsed_json
+from .columns import Columns, NotColumnar, Value, Variant, free_name, parsed_json
 from .failures import ERROR, ERRORS, FIELDS, Failures, error
 from .matcher import Compiler, ValueModel, run
 from .shipping import ship
@@ -116,11 +116,12 @@ def validate(df: DataFrame, schema: Schema | str, on: str | list[str], format: s
     return _matched(df, schema, on, format, root, features, errors, has_header, good)
 
 
-def _parsed(df: DataFrame, on: str) -> DataFrame:
-    """df with ``_parsed``, its documents as variants, in a projection of its own, so that each is parsed once."""
+def _parsed(df: DataFrame, on: str) -> tuple[DataFrame, str]:
+    """df with its documents as variants, in a column of a free name and a projection of its own, so that each is parsed once."""
     if not isinstance(df.schema[on].dataType, T.StringType):
         raise TypeError(f"{on} isn't text")
-    return df.withColumn("_parsed", parsed_json(F.col(f"`{on}`")))
+    name = free_name(df, "_parsed")
+    return df.withColumn(name, parsed_json(F.col(f"`{on}`"))), name
 
 
 def _kept(df: DataFrame) -> list[Column]:
@@ -128,19 +129,21 @@ def _kept(df: DataFrame) -> list[Column]:
 
 
 def _checked_json(df: DataFrame, schema: Schema, on: str, root: str | None, features: list[str] | None) -> DataFrame:
-    good = Columns(schema.symbols, features).root(root, Variant(F.col("_parsed")))
-    return _parsed(df, on).withColumn("valid", F.coalesce(F.col("_parsed").isNotNull() & good, F.lit(False))).drop("_parsed")
+    made, name = _parsed(df, on)
+    good = Columns(schema.symbols, features).root(root, Variant(F.col(name)))
+    return made.withColumn("valid", F.coalesce(F.col(name).isNotNull() & good, F.lit(False))).drop(name)
 
 
 def _with_errors(df: DataFrame, schema: Schema, on: str, root: str | None, features: list[str] | None) -> DataFrame:
     """valid and errors without Python."""
     compiler = Failures(schema.symbols, features)
-    doc, text = F.col("_parsed"), F.col(f"`{on}`")
+    made, name = _parsed(df, on)
+    doc, text, told = F.col(name), F.col(f"`{on}`"), free_name(df, "_good")
     found = F.when(text.isNull(), error(F.lit("no document"), F.lit(""))).when(doc.isNull(), error(F.lit("decode: not a JSON document"), F.lit(""), kind="syntax"))
     good = F.coalesce(doc.isNotNull() & compiler.root(root, Variant(doc)), F.lit(False))
-    checked = _parsed(df, on).withColumn("_good", good)
+    checked = made.withColumn(told, good)
     wrong = found.otherwise(compiler.errors(root, doc))
-    return checked.select(*_kept(df), F.col("_good").alias("valid"), F.when(F.col("_good"), F.array().cast(ERRORS)).otherwise(wrong).alias("errors"))
+    return checked.select(*_kept(df), F.col(told).alias("valid"), F.when(F.col(told), F.array().cast(ERRORS)).otherwise(wrong).alias("errors"))
 
 
 def conforming(df: DataFrame, schema: Schema | str, on: str | list[str], format: str = "json", root: str | None = None, features: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.syntax import ArrayOf, Group, MapOf, Name, Paren, Type
 from ..schema import Schema
-from .columns import NotColumnar, parsed_json
+from .columns import NotColumnar, free_name, parsed_json
 from .matcher import Compiler
 
 PREFIX = "ref-"
@@ -108,19 +108,22 @@ def dangling(df: DataFrame, schema: Schema | str, on: str, tables: dict[str, tup
     unknown = {t for _, t in paths} - set(tables)
     if unknown:
         raise ValueError(f"no tables for references to {', '.join(sorted(unknown))}")
-    own = df.withColumn("_parsed", parsed_json(F.col(f"`{on}`")))
-    each = [F.transform(_values(F.col("_parsed"), steps), _of(table)) for steps, table in paths]
+    parsed, ref, salt = (free_name(df, n) for n in ("_parsed", "_ref", "_s"))
+    own = df.withColumn(parsed, parsed_json(F.col(f"`{on}`")))
+    each = [F.transform(_values(F.col(parsed), steps), _of(table)) for steps, table in paths]
     columns = [F.col(f"`{c}`") for c in df.columns]
     if not each:
         return df.select(*columns, F.lit("").alias("location"), F.lit("").alias("table"), F.lit("").alias("value")).filter("false")
-    found = own.select(*columns, F.explode(F.concat(*each)).alias("_ref"))
-    asked = found.select("_ref.table", "_ref.value").distinct()
+    found = own.select(*columns, F.explode(F.concat(*each)).alias(ref))
+    of = F.col(ref)
+    asked = found.select(of["table"].alias("table"), of["value"].alias("value")).distinct()
     keys = None
     for name in sorted({t for _, t in paths}):
         parent, key = tables[name]
         some = parent.select(F.lit(name).alias("table"), F.col(f"`{key}`").cast("string").alias("value")).filter("value is not null").distinct()
         keys = some if keys is None else keys.unionByName(some)
-    missing = asked.join(keys, ["table", "value"], "left_anti").select(F.col("table").alias("_t"), F.col("value").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = found.withColumn("_s", F.pmod(F.xxhash64(*columns, F.col("_ref.location")), F.lit(SALTS)).cast("int"))
-    rows = salted.join(missing, (F.col("_ref.table") == F.col("_t")) & (F.col("_ref.value") == F.col("_v")) & (F.col("_s") == F.col("_salt")))
-    return rows.select(*columns, "_ref.location", "_ref.table", "_ref.value")
+    t, v, part = (free_name(df, n) for n in ("_t", "_v", "_salt"))
+    missing = asked.join(keys, ["table", "value"], "left_anti").select(F.col("table").alias(t), F.col("value").alias(v), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(part))
+    salted = found.withColumn(salt, F.pmod(F.xxhash64(*columns, of["location"]), F.lit(SALTS)).cast("int"))
+    rows = salted.join(missing, (of["table"] == F.col(t)) & (of["value"] == F.col(v)) & (F.col(salt) == F.col(part)))
+    return rows.select(*columns, of["location"].alias("location"), of["table"].alias("table"), of["value"].alias("value"))

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from shapewright import NotColumnar, error_rows, report, validate
+from shapewright import NotColumnar, dangling, error_rows, report, validate
 
 OCCURRENCES = ["", "", "", "? ", "* ", "+ ", "2*3 ", "*2 ", "1*1 "]
 KINDS = ["int", "tstr", "1", "0..1", '"x"', "bool", "any", "(int / tstr)"]
@@ -91,3 +91,12 @@ def test_errors_need_no_python(spark):
     assert any(r.startswith("decode: ") and o == 1 for r, o in detailed.items())
     with pytest.raises(NotColumnar):
         validate(df, "m = {* g}\ng = (k: int)", "t", tier="columns", errors=True)
+
+
+def test_columns_of_own_names_stay(spark):
+    df = spark.createDataFrame([('{"k":1}', 5, 6), ('{"k":"x"}', 7, 8)], "t string, _parsed int, _good int")
+    for made in (validate(df, "m = {k: int}", "t"), validate(df, "m = {k: int}", "t", errors=True), error_rows(df, "m = {k: int}", "t")):
+        assert {"_parsed", "_good"} <= set(made.columns) and {(r._parsed, r._good) for r in made.collect()} <= {(5, 6), (7, 8)}
+    assert [r.valid for r in validate(df, "m = {k: int}", "t").orderBy("_parsed").collect()] == [True, False]
+    found = dangling(df.withColumnRenamed("_good", "_ref"), "d = {k: ref-x}\nref-x = any", "t", {"x": (spark.range(1), "id")}).collect()
+    assert {(r._parsed, r._ref, r.value) for r in found} == {(5, 6, "1"), (7, 8, "x")}
