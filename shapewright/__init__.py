@@ -21,6 +21,7 @@ _PLACES = {
     "lints": "operators.conformance",
     "struct_types": "operators.conformance",
     "sampled": "operators.conformance",
+    "spread": "operators.conformance",
     "diagnoses": "operators.conformance",
     "cbor_text": "operators.conformance",
     "ValueModel": "operators.matcher",

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.conformance import csv_file_rows, csv_rows, error_rows, lints, report, sampled, struct_types, validate
+from .operators.conformance import csv_file_rows, csv_rows, error_rows, lints, report, sampled, spread, struct_types, validate
 from .operators.references import dangling
 from .schema import Schema
 
@@ -280,7 +280,7 @@ def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row types of schemas, one for each part."""
     text = F.concat(F.lit("person = { name: tstr, ? age: uint, mail: [* "), F.when(F.col("p_partkey") % 2 == 0, F.lit("tstr")).otherwise(F.lit("float")), F.lit("], more: { * tstr => int }, next: person / nil }"))
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.alias("text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select("p_partkey", text.alias("text"))
     return struct_types(rows, "text").drop("text")
 
 

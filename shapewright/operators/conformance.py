@@ -23,6 +23,23 @@ _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
 _ARROW_ERRORS = pa.list_(pa.struct([(f.name, _ARROW[f.dataType.simpleString()]) for f in ERROR]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt anew over as many tasks as Spark's shuffles have. A file of a few megabytes is one task, however long its rows take in Python.
+
+    Best before documents are made or read from the columns, as these travel.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _distinct(values: pa.Array) -> tuple[pa.Array, pa.Array | None]:
+    """A batch's distinct texts or byte strings, and which of them each value is (null for null); other values, and texts that are seldom equal, as they are."""
+    kind = values.type
+    if not (pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind)):
+        return values, None
+    found = values.dictionary_encode()
+    return (found.dictionary, found.indices) if 2 * len(found.dictionary) <= len(values) else (values, None)
+
+
 def as_schema(schema: Schema | str) -> Schema:
     return schema if isinstance(schema, Schema) else Schema.parse(schema)
 
@@ -316,26 +333,30 @@ def diagnoses(df: DataFrame, on: str) -> DataFrame:
     def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         arrow = pa.list_(pa.struct([(n, pa.int32() if i < 3 else pa.string()) for i, n in enumerate(names)]))
         for texts in parts:
-            yield pa.array([[dict(zip(names, p, strict=True)) for p in problems(t)] if t is not None else [] for t in texts.to_pylist()], arrow)
+            texts, which = _distinct(texts)
+            made = pa.array([[dict(zip(names, p, strict=True)) for p in problems(t)] if t is not None else [] for t in texts.to_pylist()], arrow)
+            yield made if which is None else made.take(which)
 
     each = df.withColumn("_problem", F.explode(F.arrow_udf(found, T.ArrayType(kind))(F.col(f"`{on}`"))))
     return each.select(*(F.col(f"`{c}`") for c in df.columns), "_problem.*")
 
 
 def _of_schemas(df: DataFrame, on: str, names: tuple[str, ...], rows) -> DataFrame:
-    """df's columns and a row for each of rows(schema text); a null text, or one that isn't a schema, has none."""
+    """df's columns and a row for each of rows(schema text); a null text, or one that isn't a schema, has none. A batch's equal texts are parsed once."""
     ship(df.sparkSession)
     kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
     def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             out = []
+            texts, which = _distinct(texts)
             for t in texts.to_pylist():
                 try:
                     out.append([dict(zip(names, r, strict=True)) for r in rows(t)] if t is not None else [])
                 except ValueError:
                     out.append([])
-            yield pa.array(out, pa.list_(pa.struct([(n, pa.string()) for n in names])))
+            made = pa.array(out, pa.list_(pa.struct([(n, pa.string()) for n in names])))
+            yield made if which is None else made.take(which)
 
     each = df.withColumn("_row", F.explode(F.arrow_udf(found, kind)(F.col(f"`{on}`"))))
     return each.select(*(F.col(f"`{c}`") for c in df.columns), "_row.*")

@@ -449,6 +449,8 @@ def parse(text: str) -> list[Rule]:
 
 def comments(text: str) -> dict[Entry, str]:
     """Comments of entries with keys: on an entry's last line after it, or else on the lines right above it."""
+    if ";" not in text:
+        return {}
     parser = Parser(text)
     parser.rules()
     lines = text.split("\n")
