@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from shapewright import Schema, struct_types
+from shapewright import Schema, lints, struct_types
 from shapewright.catalog import queries
 from shapewright.operators.conformance import _distinct
 from shapewright.plans.analysis import names_in
@@ -11,7 +11,7 @@ from shapewright.plans.analysis import names_in
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["types"])
+@pytest.mark.parametrize("name", ["types", "lint"])
 def test_rows_of_one_file_are_many_tasks(spark, name):
     assert queries()[name](spark, SF).rdd.getNumPartitions() == 4
 
@@ -29,6 +29,12 @@ def test_types_of_equal_and_odd_texts(spark):
     assert [(r.i, r.rule, r.type) for r in rows] == want
 
 
+def test_lints_of_equal_texts(spark):
+    long = "a = [" + "\n; x\n1," * 20_000 + "\n]"
+    rows = lints(spark.createDataFrame([(i, long) for i in range(20)], "i int, s string").coalesce(1), "s").collect()
+    assert [(r.i, r.message) for r in rows] == [(i, "line 40001: a comma before the closing bracket") for i in range(20)]
+
+
 def test_walks_take_no_frames():
     body = Schema.parse("a = " + "[" * 60 + "b" + "]" * 60 + "\nb = { x: c, y: d }\nc = int\nd = tstr").rules
     assert [n for r in body for n in names_in(r.body)] == ["b", "c", "d", "int", "tstr"]
