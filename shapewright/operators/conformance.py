@@ -176,7 +176,7 @@ def _failure(reason: str, kind: str | None = None, offset: int | None = None) ->
 
 
 def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, root: str | None, features: list[str] | None, errors: bool, has_header: bool, good: Column | None = None) -> DataFrame:
-    """valid and errors by the matcher, which is sent the documents alone; with ``good`` only those for which it doesn't hold."""
+    """valid and errors by the matcher, which is sent the documents alone; with ``good`` only those for which it doesn't hold. A batch's equal documents are matched once."""
     model = format if isinstance(format, ValueModel) else "cbor" if format == "cbor" else "json"
     compiler = Compiler(schema.symbols, model, features)
     compiler.root(root)
@@ -189,7 +189,8 @@ def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, r
         check = Compiler(schema.symbols, model, features).root(root)
         for docs in parts:
             valid, found = [], []
-            for doc in docs.to_pylist():
+            docs, which = _distinct(docs)
+            for doc in [*docs.to_pylist(), None] if which is not None else docs.to_pylist():
                 why: list = []
                 if doc is None:
                     ok, why = False, [_failure("no document")]
@@ -204,7 +205,8 @@ def _matched(df: DataFrame, schema: Schema, on: str, format: str | ValueModel, r
                 valid.append(ok)
                 found.append(why)
             columns = [pa.array(valid, pa.bool_())] + ([pa.array(found, _ARROW_ERRORS)] if errors else [])
-            yield pa.StructArray.from_arrays(columns, ["valid", "errors"][: 1 + errors])
+            made = pa.StructArray.from_arrays(columns, ["valid", "errors"][: 1 + errors])
+            yield made if which is None else made.take(which.fill_null(len(docs)))
 
     judge = F.arrow_udf(judged, T.StructType(fields))
     if not errors:

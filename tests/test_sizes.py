@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from shapewright import Schema, lints, struct_types
+from shapewright import Schema, lints, struct_types, validate
 from shapewright.catalog import queries
 from shapewright.operators.conformance import _distinct
 from shapewright.plans.analysis import names_in
@@ -11,7 +11,7 @@ from shapewright.plans.analysis import names_in
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["types", "lint"])
+@pytest.mark.parametrize("name", ["types", "lint", "recursive_deep", "recursive_json", "cbor_map", "map_closed_matcher", "csv_records"])
 def test_rows_of_one_file_are_many_tasks(spark, name):
     assert queries()[name](spark, SF).rdd.getNumPartitions() == 4
 
@@ -38,3 +38,28 @@ def test_lints_of_equal_texts(spark):
 def test_walks_take_no_frames():
     body = Schema.parse("a = " + "[" * 60 + "b" + "]" * 60 + "\nb = { x: c, y: d }\nc = int\nd = tstr").rules
     assert [n for r in body for n in names_in(r.body)] == ["b", "c", "d", "int", "tstr"]
+
+
+def test_equal_documents_are_matched_once(spark):
+    docs = ["[[]]", None, "[1]", "{", "[[]]", "[[],[]]", None, "[[]]"] * 3
+    for errors in (False, True):
+        rows = validate(spark.createDataFrame(list(enumerate(docs)), "i int, d string").coalesce(1), "n = [* n]", "d", tier="matcher", errors=errors).collect()
+        assert [r.valid for r in rows] == [d is not None and d not in ("[1]", "{") for d in docs]
+        if errors:
+            assert [r.errors[0].reason for r in rows[1:4]] == ["no document", "expected an array, got 1", "decode: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"]
+            assert all(a.errors == b.errors for a, b in zip(rows, rows[8:], strict=False))
+
+
+def test_deep_and_short_arrays():
+    for text, doc, good, why in [
+        ("n = [2*3 int]", [1], False, "an item is missing"),
+        ("n = [2*3 int]", [1, 2, 3, 4], False, "item 3 isn't expected"),
+        ("n = [2*3 int]", [1, "x"], False, "expected int, got 'x'"),
+        ("n = [3*2 int]", [1, 2], False, "the array's items don't match"),
+        ("n = [+ int]", [], False, "an item is missing"),
+        ("n = [* n]", [[[], [[]]], []], True, None),
+        ("n = m / [* n]\nm = n", [[]], True, None),
+        ("n = m\nm = n", [], False, "n refers to itself without progress"),
+    ]:
+        ok, errors = Schema.parse(text).compiled()(doc)
+        assert ok == good and (ok or why in [e[0] for e in errors]), (text, errors)
