@@ -277,7 +277,7 @@ def _error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document of a schema for each order, drawn by its key, checked."""
     schema = Schema.parse('order = { id: uint, status: "O" / "F", lines: [1*3 line], ? note: tstr }\nline = { n: 1..7, price: float }')
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    rows = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     return validate(sampled(rows, schema, "o_orderkey", "doc"), schema, "doc").select("o_orderkey", "valid")
 
 

@@ -375,13 +375,15 @@ def struct_types(df: DataFrame, on: str) -> DataFrame:
 
 
 def sampled(df: DataFrame, schema: Schema | str, seed: str | Column, name: str = "sample") -> DataFrame:
-    """df with a JSON document of the schema in each row, drawn by the row's seed."""
+    """df with a JSON document of the schema in each row, drawn by the row's seed; null where the seed is, or where no draw gives one."""
     schema = as_schema(schema)
     ship(df.sparkSession)
 
     def drawn(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        draw = schema.sampler()
         for seeds in parts:
-            yield pa.array([None if s is None else schema.sample_json(1, seed=s)[0] for s in seeds.to_pylist()], pa.string())
+            found = [[] if s is None else draw(1, s) for s in seeds.to_pylist()]
+            yield pa.array([f[0][1] if f else None for f in found], pa.string())
 
     return df.withColumn(name, F.arrow_udf(drawn, "string")((F.col(seed) if isinstance(seed, str) else seed).cast("bigint")))
 

@@ -11,7 +11,7 @@ from shapewright.plans.analysis import names_in
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["types", "lint", "recursive_deep", "recursive_json", "cbor_map", "map_closed_matcher", "csv_records"])
+@pytest.mark.parametrize("name", ["types", "lint", "samples", "recursive_deep", "recursive_json", "cbor_map", "map_closed_matcher", "csv_records"])
 def test_rows_of_one_file_are_many_tasks(spark, name):
     assert queries()[name](spark, SF).rdd.getNumPartitions() == 4
 
@@ -63,3 +63,27 @@ def test_deep_and_short_arrays():
     ]:
         ok, errors = Schema.parse(text).compiled()(doc)
         assert ok == good and (ok or why in [e[0] for e in errors]), (text, errors)
+
+
+def test_maps_of_named_keys_tell_what_the_general_way_tells(monkeypatch):
+    from shapewright.operators import matcher
+    from shapewright.sources.values import Map
+
+    docs = [Map(p) for p in [(), (("k", 1),), (("k", "x"),), (("k", 1), ("l", 2)), (("k", 1), ("l", "x")), (("l", 1),), (("k", 1), ("z", 2), (3, 4)), (("k", 1), ("k", 2)), (("k", 1), ([], 2)), (("m", Map((("k", "x"),))), ("k", 1))]]
+    schemas = ["a = { k: int, ? l: int }", "a = { k: int, ? \"l\" => int }", 'a = { ? "k" => int, ? "l" => tstr, ? "m" => a }', "a = { k: int, ? m: a, ? l: tstr / bool }", "a = { ? k: int, ? k: tstr }"]
+    found = [[Schema.parse(s).compiled("cbor")(d) for d in docs] for s in schemas]
+    monkeypatch.setattr(matcher, "_named", lambda arm: [])
+    assert found == [[Schema.parse(s).compiled("cbor")(d) for d in docs] for s in schemas]
+
+
+def test_samples_of_one_sampler(spark):
+    from shapewright import sampled
+
+    text = "y = pair<int, tstr> / { g, ? p: ~v, * tstr => y }\npair<A, B> = [A, B, ? pair<B, A>]\ng = ( h: int // i: float )\nv = #6.1(number)"
+    schema = Schema.parse(text)
+    draw = schema.sampler()
+    made = [draw(2, seed) for seed in range(100)]
+    assert [[t for _, t in m] for m in made] == [schema.sample_json(2, seed) for seed in range(100)] and all(len(m) == 2 for m in made)
+    assert len({t for m in made for _, t in m}) > 100
+    none = sampled(spark.range(3), "a = tstr .regexp \"[0-9]{9}\"", "id")  # no draw gives one: null, and no error
+    assert [r["sample"] for r in none.collect()] == [None] * 3
