@@ -101,10 +101,10 @@ class Value:
 
 
 class Variant(Value):
-    """A variant column of parsed JSON."""
+    """A variant column of parsed JSON; ``inner``: one in a lambda, where Spark doesn't see that expressions are the same."""
 
-    def __init__(self, col: Column):
-        self.col = col
+    def __init__(self, col: Column, inner: bool = False):
+        self.col, self.inner = col, inner
         self.schema = F.schema_of_variant(col)
         s = self.schema
         decimal = s.startswith("DECIMAL(")
@@ -449,10 +449,12 @@ class Columns:
 
     def variant_map(self, members: list, table: tuple | None, v: Variant) -> Column:
         pairs = F.try_variant_get(v.col, "$", "map<string,variant>")
+        if v.inner:
+            return _bound(pairs, lambda p: self.map_column(members, table, p, T.VariantType(), True))
         return self.map_column(members, table, pairs, T.VariantType())
 
-    def map_column(self, members: list, table: tuple | None, pairs: Column, kind: T.DataType) -> Column:
-        wrap = lambda col: Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind)
+    def map_column(self, members: list, table: tuple | None, pairs: Column, kind: T.DataType, inner: bool = False) -> Column:
+        wrap = lambda col, inner=inner: Variant(col, inner) if isinstance(kind, T.VariantType) else Value(col, kind)
         parts = []
         for key, low, t, env in members:
             if key is None:
@@ -468,7 +470,7 @@ class Columns:
             parts.append(F.size(rest) == 0)
         else:
             low, high, _, t, env = table
-            parts.append(F.forall(F.map_values(rest), lambda x: F.coalesce(self.type(t, env, wrap(x)), F.lit(False))))
+            parts.append(F.forall(F.map_values(rest), lambda x: F.coalesce(self.type(t, env, wrap(x, True)), F.lit(False))))
             parts += [F.size(rest) >= low] if low else []
             parts += [F.size(rest) <= high] if high is not None else []
         return _and(*parts)
@@ -504,7 +506,8 @@ class Columns:
             items, kind, there = v.col, v.kind.elementType, v.col.isNotNull()
         else:
             return F.lit(False)
-        wrap = lambda col: Variant(col) if isinstance(kind, T.VariantType) else Value(col, kind)
+        within = isinstance(v, Variant) and v.inner
+        wrap = lambda col, inner=within: Variant(col, inner) if isinstance(kind, T.VariantType) else Value(col, kind)
         fixed, repeated = [], None
         for e in group.choices[0] if len(group.choices) == 1 else ():
             if isinstance(e.value, Group) or self.is_group(e.value, env) or repeated is not None:
@@ -519,12 +522,12 @@ class Columns:
             return self.sequence(group, env, items, there, wrap)
         n = F.size(items)
         if repeated is None and fixed and all(t is fixed[0] for t in fixed):
-            return _and(there, n == len(fixed), F.forall(items, lambda x: F.coalesce(self.type(fixed[0], env, wrap(x)), F.lit(False))))
+            return _and(there, n == len(fixed), F.forall(items, lambda x: F.coalesce(self.type(fixed[0], env, wrap(x, True)), F.lit(False))))
         parts = [F.coalesce(self.type(t, env, wrap(F.get(items, F.lit(i)))), F.lit(False)) for i, t in enumerate(fixed)]
         if repeated is None:
             return _and(there, n == len(fixed), *parts)
         tail = F.slice(items, len(fixed) + 1, F.greatest(n - len(fixed), F.lit(0))) if fixed else items
-        parts += [F.forall(tail, lambda x: F.coalesce(self.type(repeated.value, env, wrap(x)), F.lit(False))), n >= len(fixed) + repeated.low]
+        parts += [F.forall(tail, lambda x: F.coalesce(self.type(repeated.value, env, wrap(x, True)), F.lit(False))), n >= len(fixed) + repeated.low]
         if repeated.high is not None:
             parts.append(n <= len(fixed) + repeated.high)
         return _and(there, *parts)
