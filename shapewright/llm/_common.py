@@ -84,10 +84,15 @@ _caches: list[dict] = []
 
 
 def sole(*mine: dict) -> None:
-    """Empty the caches of other operators in this process: a worker that serves several of them holds one's cache at a time."""
-    for cache in _caches:
-        if not any(cache is m for m in mine):
-            cache.clear()
+    """Empty the caches of other operators in this process: a worker that serves several of them holds one's cache at a time.
+
+    What their Arrow batches have left goes back to the system, too.
+    """
+    others = [cache for cache in _caches if not any(cache is m for m in mine)]
+    for cache in others:
+        cache.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
     _caches[:] = mine
 
 

@@ -231,7 +231,9 @@ def dealt(docs: DataFrame, rows: list[tuple], seed: int = SEED) -> DataFrame:
     # drawn blocks are numbered over epochs
     block = F.expr("shiftleft(cast(_copy as bigint), _bits)") + F.expr(f"shiftrightunsigned(_key, {_KEY_BITS} - _bits)")
     placed = each.select("row", F.xxhash64(F.lit(seed + 1), "doc_id", "_copy").alias("_order"), F.struct(F.col("_number").alias("number"), block.alias("block")).alias("_place"))
-    made = placed.withColumn("_shard", F.arrow_udf(found, "bigint")(F.col("_place"))).filter("_shard >= 0")
+    # not to be moved or repeated: a filter that is pushed below it would call it twice, by two Python workers for each core, which stay
+    shard = F.arrow_udf(found, "bigint").asNondeterministic()
+    made = placed.withColumn("_shard", shard(F.col("_place"))).filter("_shard >= 0")
     return made.select(*(F.col("row").getField(c).alias(c) for c in columns), "_shard", "_order")
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, partitions, raw, ship, written
+from ._common import blocks, partitions, raw, ship, sole, written
 from .graph import components
 
 WORDS, SEED, BITS, BUDGET = 4, 42, 64, 4
@@ -94,6 +94,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for batch in blocks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(raw(batch.column(1))).view(np.int64))], ["doc_id", "fp"])
 

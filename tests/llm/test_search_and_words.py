@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shapewright.llm import collocations, fingerprints, pseudo_likelihood, spelling
+from shapewright.llm import _common, collocations, fingerprints, mixing, pseudo_likelihood, spelling
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, rank int, n long, word string, fp string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -255,3 +255,24 @@ def test_sums_of_squares_travel_whole():
     at = sum(m.size for m in moved[: pseudo_likelihood.SUMS])
     assert (got[at:] == np.concatenate([m.reshape(-1) for m in moved[pseudo_likelihood.SUMS :]])).all()
     assert np.allclose(got[:at], np.concatenate([m.reshape(-1) for m in moved[: pseudo_likelihood.SUMS]]), rtol=1e-3, atol=1e-4)
+
+
+def test_mixing_calls_its_function_in_one_place(spark):
+    """Two Python operators in a stage need two workers for each core, which live on and gather every later operator's memory."""
+    docs = spark.createDataFrame([(i, "a b c", "abc"[i % 3]) for i in range(60)], "doc_id bigint, text string, source string")
+    plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_workers_caches_of_other_operators_go(monkeypatch):
+    """What one operator keeps in a worker is dropped when another begins, and Arrow's freed memory is given back."""
+    freed = []
+    monkeypatch.setattr(_common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    mine, other = {1: 1}, {2: 2}
+    _common.sole(mine)
+    freed.clear()
+    _common.sole(mine)
+    assert mine and not freed
+    _common.sole(other)
+    assert not mine and other and freed
+    _common.sole()
