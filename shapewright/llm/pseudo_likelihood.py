@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from ._common import blocks, partitions, raw, ship, sole, unwritten, written
 
-HEAD, CLASSES, EACH, OWN = 128, 64, 256, 8192
+HEAD, CLASSES, EACH, OWN = 32, 65, 256, 8192
 SLOTS = HEAD + CLASSES * EACH
 SIDE, DIM, HIDDEN = 2, 16, 16
-ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.08, 5
+ROUNDS, BATCH, RATE, SEED = 2, 8192, 0.11, 5
+#: Rows of a softmax that are worked on at a time, so that they stay in a core's own cache.
+ROWS = 256
 #: The first of the tables that are sums of squares.
 SUMS = 7
 #: Bytes of text in a block, and of keys for each shard of counts.
@@ -118,31 +120,38 @@ class Model:
         windows, places = windows[order], places[order]
         e, w1, b1, wc, bc, ws, bs, seen_e, seen_s, seen = self.weights
         x, h = self._hidden(windows)
-        p = h @ wc
-        p += bc
-        _bounded(p, wc, bc)
-        _softmax(p)
-        p[np.arange(len(p)), of] -= 1
-        back = p @ wc.T
+        h1, both = _with_one(h), np.vstack([wc, bc])
+        back, top = np.empty_like(h), np.zeros_like(both)
+        for a in range(0, len(h), ROWS):
+            b = min(len(h), a + ROWS)
+            p, total, _ = _exp(h1[a:b], both)
+            p[_nth(b - a), of[a:b]] -= total  # (p - total * target) / total is the gradient
+            share = (1 / total)[:, None]
+            np.matmul(p, wc.T, out=back[a:b])
+            back[a:b] *= share
+            top += (h1[a:b] * share).T @ p
         inside = (places - HEAD) % EACH
         for c, a, b in groups:
-            hc = h[a:b]
-            q = np.matmul(hc, ws[c], out=_room(b - a, EACH))
-            q += bs[c]
-            _bounded(q, ws[c], bs[c])
-            _softmax(q)
-            q[np.arange(b - a), inside[a:b]] -= 1
-            back[a:b] += q @ ws[c].T
-            for k, (w, g) in enumerate(((ws[c], hc.T @ q), (bs[c], _ones(b - a) @ q))):
-                seen_s[c, k] += np.vdot(g, g) / g.size
-                g *= RATE / np.sqrt(seen_s[c, k] + 1e-12)
-                w -= g
+            w, hc = ws[c], h1[a:b]
+            q, total, _ = _exp(hc, np.concatenate([w, bs[c : c + 1]]))
+            q[_nth(b - a), inside[a:b]] -= total
+            share = (1 / total)[:, None]
+            back[a:b] += (q @ w.T) * share
+            g = (hc * share).T @ q
+            gw, gb = g[:HIDDEN], g[HIDDEN]
+            seen_s[c, 0] += np.vdot(gw, gw) / gw.size
+            seen_s[c, 1] += np.dot(gb, gb) / gb.size
+            rate = RATE / np.sqrt(seen_s[c] + 1e-12)
+            gw *= rate[0]
+            gb *= rate[1]
+            w -= gw
+            bs[c] -= gb
         back *= 1 - h * h
         gx = (back @ w1.T).reshape(-1, DIM)
-        for k, (w, g) in enumerate(((w1, x.T @ back), (b1, _ones(len(back)) @ back), (wc, h.T @ p), (bc, _ones(len(p)) @ p))):
+        for k, (w, g) in enumerate(((w1, x.T @ back), (b1, _ones(len(back)) @ back), (wc, top[:HIDDEN]), (bc, top[HIDDEN]))):
             seen[k] += np.vdot(g, g) / g.size
             w -= g * np.float32(RATE / np.sqrt(seen[k] + 1e-12))
-        flat = windows.reshape(-1)
+        flat = windows.reshape(-1).astype(np.uint16)  # SLOTS fit; such numbers are sorted by their digits
         order = np.argsort(flat, kind="stable")
         rows = flat[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
@@ -156,18 +165,14 @@ class Model:
         order, of, groups = self._by_class(places)
         _, h = self._hidden(windows[order])
         _, _, _, wc, bc, ws, bs = self.weights[:7]
-        z = h @ wc
-        z += bc
-        _bounded(z, wc, bc)
+        h1, both = _with_one(h), np.vstack([wc, bc])
         inside = (places[order] - HEAD) % EACH
-        own = z[np.arange(len(z)), of]
-        own -= _log_sum(z)
+        own = np.empty(len(h), np.float32)
+        for a in range(0, len(h), ROWS):
+            b = min(len(h), a + ROWS)
+            own[a:b] = _log_share(h1[a:b], both, of[a:b])
         for c, a, b in groups:
-            q = np.matmul(h[a:b], ws[c], out=_room(b - a, EACH))
-            q += bs[c]
-            _bounded(q, ws[c], bs[c])
-            own[a:b] += q[np.arange(b - a), inside[a:b]]
-            own[a:b] -= _log_sum(q)
+            own[a:b] += _log_share(h1[a:b], np.concatenate([ws[c], bs[c : c + 1]]), inside[a:b])
         out = np.empty(len(own), np.float64)
         out[order] = own
         return out
@@ -178,6 +183,7 @@ class Model:
 
 
 _rooms: dict[int, np.ndarray] = {}
+_one, _counting = np.ones(BATCH, np.float32), np.arange(BATCH)
 
 
 def _room(rows: int, wide: int) -> np.ndarray:
@@ -187,26 +193,40 @@ def _room(rows: int, wide: int) -> np.ndarray:
     return _rooms[wide][:rows]
 
 
-def _bounded(z: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
-    """Clip z = h @ w + b far from where exp() would overflow, if it can get there: no h is beyond 1."""
-    if (np.abs(w).sum(axis=0) + b).max() > 60:
-        np.minimum(z, 60, out=z)
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """h and a column of ones, which weights' last row, the constants, is multiplied with."""
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _exp(h1: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z) for z = h1 @ w, its rows' sums, and what z was lowered by: the rows' maxima where it leaves the numbers' range, else 0."""
+    q = np.matmul(h1, w, out=_room(len(h1), w.shape[1]))
+    with np.errstate(over="ignore"):
+        np.exp(q, out=q)
+        total = q @ _ones(w.shape[1])
+    if 1e-30 < total.min() and total.max() < 1e30:
+        return q, total, 0.0
+    np.matmul(h1, w, out=q)
+    most = q.max(axis=1)
+    q -= most[:, None]
+    np.exp(q, out=q)
+    return q, q @ _ones(w.shape[1]), most
 
 
-def _softmax(z: np.ndarray) -> None:
-    """In place."""
-    np.exp(z, out=z)
-    z *= (1 / (z @ _ones(z.shape[1])))[:, None]
+def _log_share(h1: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax(h1 @ w) at each row's column ``at``."""
+    _, total, most = _exp(h1, w)
+    return np.einsum("ij,ji->i", h1, w[:, at]) - most - np.log(total)
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of exp(z); z is lost."""
-    np.exp(z, out=z)
-    return np.log(z @ _ones(z.shape[1]))
+def _nth(n: int) -> np.ndarray:
+    return _counting[:n] if n <= len(_counting) else np.arange(n)
 
 
 def _ones(n: int) -> np.ndarray:
-    return np.ones(n, np.float32)
+    return _one[:n] if n <= len(_one) else np.ones(n, np.float32)
 
 
 def _settled() -> None:
@@ -514,8 +534,8 @@ def scores(known: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for ids, laid, at, n, which, share in _read(batch, sent.value):
                 values = share[which].astype(np.float64)
-                for lo in range(0, len(at), 4 * BATCH):
-                    mine = at[lo : lo + 4 * BATCH]
+                for lo in range(0, len(at), 2 * BATCH):
+                    mine = at[lo : lo + 2 * BATCH]
                     values[lo : lo + len(mine)] += sent.value.log_probability(laid[mine[:, None] + _AROUND], laid[mine])
                 sums = np.concatenate([[0.0], np.cumsum(values)])
                 ends = np.cumsum(n)

@@ -257,6 +257,32 @@ def test_sums_of_squares_travel_whole():
     assert np.allclose(got[:at], np.concatenate([m.reshape(-1) for m in moved[: pseudo_likelihood.SUMS]]), rtol=1e-3, atol=1e-4)
 
 
+def test_probabilities_hold_where_exponentials_would_overflow():
+    """Large weights aren't clipped: a lead of ten counts as such at any height, and a step leaves finite weights."""
+    model = pseudo_likelihood.Model(np.zeros(0, np.uint64), np.arange(pseudo_likelihood.SLOTS, 0, -1))
+    window = np.full((2, 4), pseudo_likelihood.SLOTS)
+    for high in (70, 200, -200):
+        model.weights[4][:] = high
+        model.weights[4][0] = high + 10
+        rest = np.log(np.exp(10) + len(model.weights[4]) - 1)
+        assert np.allclose(model.log_probability(window, np.array([0, 1])), [10 - rest, -rest], atol=1e-3)
+    model.learn(window, np.array([0, pseudo_likelihood.SLOTS - 1]))
+    assert all(np.isfinite(w).all() for w in model.weights)
+
+
+def test_a_word_costs_few_exponentials(monkeypatch):
+    """A step's and a score's exponentials for each word, where words are as frequent as a text's."""
+    rng = np.random.default_rng(3)
+    mass = 1e6 / np.arange(1, pseudo_likelihood.SLOTS + 1) ** 0.9
+    model = pseudo_likelihood.Model(np.zeros(0, np.uint64), mass)
+    words = rng.choice(pseudo_likelihood.SLOTS, (4096, 5), p=mass / mass.sum())
+    made, exp = [], np.exp
+    monkeypatch.setattr(pseudo_likelihood.np, "exp", lambda z, *a, **b: made.append(np.size(z)) or exp(z, *a, **b))
+    model.learn(words[:, :4], words[:, 4])
+    model.log_probability(words[:, :4], words[:, 4])
+    assert sum(made) < 2 * 300 * len(words)
+
+
 def test_mixing_calls_its_function_in_one_place(spark):
     """Two Python operators in a stage need two workers for each core, which live on and gather every later operator's memory."""
     docs = spark.createDataFrame([(i, "a b c", "abc"[i % 3]) for i in range(60)], "doc_id bigint, text string, source string")
