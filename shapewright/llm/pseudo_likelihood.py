@@ -10,8 +10,9 @@ words' probabilities sum to one. Classes are built by the slots' frequency. Inpu
 
 Texts are encoded once, as blocks of word numbers with the block's distinct words. Blocks ask for their words' counts in packs by hash, and
 get numbers back. The network is trained in rounds over all blocks: each task takes gradient steps (Adagrad, a rate for each embedding and
-class) from the shared weights on every ``rounds``-th word, others in each round, so that each word of the corpus is a target once. Weights
-are averaged by numbers of words, in a tree over tasks and in a fixed order. The driver holds a row for each own word and slot.
+class) from the shared weights on runs of ``RUN`` words, others in each round, so that each word of the corpus is a target once. A step's runs
+are from all over a block, and the words of a run share their neighbours. Weights are averaged by numbers of words, in a tree over tasks and in
+a fixed order. The driver holds a row for each own word and slot.
 
 Null and empty texts have no words: score 0, mean 0. Equal rows give equal rows. Other columns play no part. An empty table gives no
 rows. Words that a model hasn't counted count half a time.
@@ -38,8 +39,13 @@ HEAD, CLASSES, EACH, OWN = 32, 65, 256, 8192
 SLOTS = HEAD + CLASSES * EACH
 SIDE, DIM, HIDDEN = 2, 16, 16
 ROUNDS, BATCH, RATE, SEED = 2, 8192, 0.11, 5
-#: Rows of a softmax that are worked on at a time, so that they stay in a core's own cache.
-ROWS = 256
+#: Words of a step that stand together, so that they share neighbours.
+RUN = 32
+#: Rows of a softmax that are worked on at a time: they stay in a core's own cache, and products of up to 10^6 terms (224 * 17 * 256)
+#: are made without copying what is multiplied.
+ROWS = 224
+#: The same for the first layer's products (768 * 80 * 16).
+NEAR = 768
 #: The first of the tables that are sums of squares.
 SUMS = 7
 #: Bytes of text in a block, and of keys for each shard of counts.
@@ -101,80 +107,135 @@ class Model:
             np.zeros(4, np.float32),  # and of the other weights
         ]
 
-    def _hidden(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _hidden(self, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings of the places in ``span``; the first layer's weights, zero for a word itself; the layer for all but SIDE places at both ends."""
         e, w1, b1 = self.weights[:3]
-        x = e[windows].reshape(len(windows), -1)
-        return x, np.tanh(x @ w1 + b1)
+        x, wide = e.take(span, axis=0), np.zeros((2 * SIDE + 1, DIM, HIDDEN), np.float32)
+        wide[SIDE + _AROUND] = w1.reshape(-1, DIM, HIDDEN)
+        h = np.empty((len(span) - 2 * SIDE, HIDDEN), np.float32)
+        for rows, near in _near(x):
+            np.matmul(near, wide.reshape(-1, HIDDEN), out=h[rows])
+        h += b1
+        return x, wide, np.tanh(h, out=h)
 
     @staticmethod
-    def _by_class(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-        """An order by what the first softmax is over, that in this order, and (class, first, end) in it."""
-        of = np.where(places < HEAD, places, HEAD + (places - HEAD) // EACH)
-        order = np.argsort(of.astype(np.uint8), kind="stable")
+    def _by_class(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order by what the first softmax is over; that and numbers within classes in this order; (class, first, end) in it."""
+        of = _CLASS.take(places)
+        order = np.argsort(of, kind="stable")
         ends = np.cumsum(np.bincount(of, minlength=HEAD + CLASSES))[HEAD - 1 :].tolist()
-        return order, of[order], [(c, a, b) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+        groups = [(c, a, b) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+        return order, of.take(order).astype(np.int64), _INSIDE.take(places.take(order)), groups
+
+    def _parts(self, n: int, of: np.ndarray, inside: np.ndarray, groups: list[tuple[int, int, int]]) -> Iterator[tuple]:
+        """Both softmaxes of n sorted words, ROWS at a time: class or -1 for the first one, weights with constants, first, end, targets in the outputs laid flat."""
+        wc, bc, ws, bs = self.weights[3:7]
+        both = np.vstack([wc, bc])
+        flat = _nth(n) * (HEAD + CLASSES) + of
+        for a, b in _cut(0, n):
+            yield -1, both, a, b, flat[a:b] - a * (HEAD + CLASSES)
+        flat = _nth(n) * EACH + inside
+        for c, first, end in groups:
+            both = np.concatenate([ws[c], bs[c : c + 1]])
+            for a, b in _cut(first, end):
+                yield c, both, a, b, flat[a:b] - a * EACH
+
+    def _gradients(self, h1: np.ndarray, sorted_by: tuple, lowered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials' sums; gradients of the hidden layer, the first softmax and the groups' softmaxes."""
+        n, groups = len(h1), sorted_by[2]
+        totals, back = np.empty((2, n), np.float32), np.zeros((n, HIDDEN), np.float32)
+        top, inner = np.zeros((HIDDEN + 1, HEAD + CLASSES), np.float32), _room(len(groups) * (HIDDEN + 1), EACH, "gradients").reshape(-1, HIDDEN + 1, EACH)
+        of, k = -1, -1
+        for c, both, a, b, targets in self._parts(n, *sorted_by):
+            some = h1[a:b]
+            p, total, _ = _exp(some, both, lowered)
+            totals[min(c, 0) + 1, a:b] = total
+            p.reshape(-1)[targets] -= total  # (p - total * target) / total is the gradient
+            share = (1 / total)[:, None]
+            back[a:b] += (p @ both[:HIDDEN].T) * share
+            if c < 0:
+                top += (some * share).T @ p
+            elif c == of:
+                inner[k] += (some * share).T @ p
+            else:
+                of, k = c, k + 1
+                np.matmul((some * share).T, p, out=inner[k])
+        totals[1, : groups[0][1] if groups else n] = 1
+        return totals, back, top, inner
 
     def learn(self, windows: np.ndarray, places: np.ndarray) -> None:
-        """A gradient step towards the words at ``places``."""
-        order, of, groups = self._by_class(places)
-        windows, places = windows[order], places[order]
+        """A gradient step towards the words at ``places`` between the slots in ``windows``."""
+        self.learn_at(*_apart(windows, places))
+
+    def learn_at(self, laid: np.ndarray, at: np.ndarray) -> None:
+        """A gradient step towards the words at ``at``, rising, of ``laid`` texts. A word's embedding is read and moved once for all its neighbours."""
+        span, at = laid[at[0] - SIDE : at[-1] + SIDE + 1], at - at[0]
+        order, of, inside, groups = self._by_class(span.take(at + SIDE))
         e, w1, b1, wc, bc, ws, bs, seen_e, seen_s, seen = self.weights
-        x, h = self._hidden(windows)
-        h1, both = _with_one(h), np.vstack([wc, bc])
-        back, top = np.empty_like(h), np.zeros_like(both)
-        for a in range(0, len(h), ROWS):
-            b = min(len(h), a + ROWS)
-            p, total, _ = _exp(h1[a:b], both)
-            p[_nth(b - a), of[a:b]] -= total  # (p - total * target) / total is the gradient
-            share = (1 / total)[:, None]
-            np.matmul(p, wc.T, out=back[a:b])
-            back[a:b] *= share
-            top += (h1[a:b] * share).T @ p
-        inside = (places - HEAD) % EACH
-        for c, a, b in groups:
-            w, hc = ws[c], h1[a:b]
-            q, total, _ = _exp(hc, np.concatenate([w, bs[c : c + 1]]))
-            q[_nth(b - a), inside[a:b]] -= total
-            share = (1 / total)[:, None]
-            back[a:b] += (q @ w.T) * share
-            g = (hc * share).T @ q
-            gw, gb = g[:HIDDEN], g[HIDDEN]
-            seen_s[c, 0] += np.vdot(gw, gw) / gw.size
-            seen_s[c, 1] += np.dot(gb, gb) / gb.size
-            rate = RATE / np.sqrt(seen_s[c] + 1e-12)
-            gw *= rate[0]
-            gb *= rate[1]
-            w -= gw
-            bs[c] -= gb
-        back *= 1 - h * h
-        gx = (back @ w1.T).reshape(-1, DIM)
-        for k, (w, g) in enumerate(((w1, x.T @ back), (b1, _ones(len(back)) @ back), (wc, top[:HIDDEN]), (bc, top[HIDDEN]))):
+        x, wide, h = self._hidden(span)
+        at = at.take(order)
+        h1 = _with_one(h.take(at, axis=0))
+        with np.errstate(all="ignore"):
+            totals, back, top, inner = self._gradients(h1, (of, inside, groups), False)
+            if not _kept(totals):
+                _, back, top, inner = self._gradients(h1, (of, inside, groups), True)
+        if groups:
+            own = slice(None) if len(groups) == CLASSES else np.array([c for c, _, _ in groups])
+            gw, gb = inner[:, :HIDDEN], inner[:, HIDDEN]
+            seen_s[own] += np.stack([np.einsum("cij,cij->c", gw, gw) / (HIDDEN * EACH), np.einsum("cj,cj->c", gb, gb) / EACH], axis=1)
+            rate = RATE / np.sqrt(seen_s[own] + 1e-12)
+            gw *= rate[:, :1, None]
+            gb *= rate[:, 1:]
+            ws[own] -= gw
+            bs[own] -= gb
+        back *= 1 - np.square(h1[:, :HIDDEN])
+        asked = np.zeros((len(span) + 2 * SIDE, HIDDEN), np.float32)
+        of_words = asked[2 * SIDE : 2 * SIDE + len(h)]
+        of_words[at] = back
+        g1, gx = np.zeros((len(wide) * DIM, HIDDEN), np.float32), np.empty_like(x)
+        for rows, near in _near(x):
+            g1 += near.T @ of_words[rows]
+        g1 = g1.reshape(wide.shape)[SIDE + _AROUND].reshape(w1.shape)
+        turned = np.ascontiguousarray(wide[::-1].swapaxes(1, 2)).reshape(-1, DIM)
+        for rows, near in _near(asked):
+            np.matmul(near, turned, out=gx[rows])
+        for k, (w, g) in enumerate(((w1, g1), (b1, _ones(len(back)) @ back), (wc, top[:HIDDEN]), (bc, top[HIDDEN]))):
             seen[k] += np.vdot(g, g) / g.size
             w -= g * np.float32(RATE / np.sqrt(seen[k] + 1e-12))
-        flat = windows.reshape(-1).astype(np.uint16)  # SLOTS fit; such numbers are sorted by their digits
+        flat = span.astype(np.uint16)  # SLOTS fit; such numbers are sorted by their digits
         order = np.argsort(flat, kind="stable")
-        rows = flat[order]
+        rows = flat.take(order)
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        rows = rows[first]
-        g = np.add.reduceat(gx[order], first, axis=0)
-        seen_e[rows] += np.einsum("ij,ij->i", g, g) / DIM
-        e[rows] -= g * (RATE / np.sqrt(seen_e[rows] + 1e-12))[:, None]
+        rows = rows.take(first)
+        g = np.add.reduceat(gx.take(order, axis=0), first, axis=0)
+        squares = seen_e.take(rows) + np.einsum("ij,ij->i", g, g) / DIM
+        seen_e[rows] = squares
+        g *= (RATE / np.sqrt(squares + 1e-12))[:, None]
+        e[rows] = e.take(rows, axis=0) - g
 
     def log_probability(self, windows: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of slots at ``places`` between the slots in ``windows``."""
-        order, of, groups = self._by_class(places)
-        _, h = self._hidden(windows[order])
-        _, _, _, wc, bc, ws, bs = self.weights[:7]
-        h1, both = _with_one(h), np.vstack([wc, bc])
-        inside = (places[order] - HEAD) % EACH
-        own = np.empty(len(h), np.float32)
-        for a in range(0, len(h), ROWS):
-            b = min(len(h), a + ROWS)
-            own[a:b] = _log_share(h1[a:b], both, of[a:b])
-        for c, a, b in groups:
-            own[a:b] += _log_share(h1[a:b], np.concatenate([ws[c], bs[c : c + 1]]), inside[a:b])
+        return self.log_probability_at(*_apart(windows, places))
+
+    def log_probability_at(self, laid: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the slots at ``at``, rising, of ``laid`` texts."""
+        span, at = laid[at[0] - SIDE : at[-1] + SIDE + 1], at - at[0]
+        order, *sorted_by = self._by_class(span.take(at + SIDE))
+        h1 = _with_one(self._hidden(span)[2].take(at.take(order), axis=0))
+
+        def found(lowered: bool) -> tuple[np.ndarray, np.ndarray]:
+            own, totals = np.zeros(len(h1), np.float32), np.ones((2, len(h1)), np.float32)
+            for c, both, a, b, targets in self._parts(len(h1), *sorted_by):
+                _, totals[min(c, 0) + 1, a:b], z = _exp(h1[a:b], both, lowered, targets)
+                own[a:b] += z
+            return own, totals
+
+        with np.errstate(all="ignore"):
+            own, totals = found(False)
+            if not _kept(totals):
+                own, totals = found(True)
         out = np.empty(len(own), np.float64)
-        out[order] = own
+        out[order] = own - np.log(totals).sum(axis=0)
         return out
 
     def share(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -182,15 +243,42 @@ class Model:
         return np.log(np.maximum(counts, 0.5) / self.mass[slots])
 
 
-_rooms: dict[int, np.ndarray] = {}
+_AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+#: Each place's output of the first softmax and, past the HEAD, its number in its class.
+_CLASS = np.minimum(np.arange(SLOTS), HEAD + (np.arange(SLOTS) - HEAD) // EACH).astype(np.uint8)
+_INSIDE = ((np.arange(SLOTS) - HEAD) % EACH).astype(np.int64)
+_rooms: dict[tuple[int, str], np.ndarray] = {}
 _one, _counting = np.ones(BATCH, np.float32), np.arange(BATCH)
 
 
-def _room(rows: int, wide: int) -> np.ndarray:
+def _near(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Each row of x but SIDE ones at both ends with its SIDE neighbours before and after as one row, without copying: which rows, and these."""
+    wide, n = 2 * SIDE + 1, len(x) - 2 * SIDE
+    for lo in range(0, n, NEAR * wide):
+        hi = min(n, lo + NEAR * wide)
+        for r in range(lo, min(lo + wide, hi)):
+            some = -(-(hi - r) // wide)
+            yield slice(r, hi, wide), x[r : r + some * wide].reshape(some, -1)
+
+
+def _cut(first: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of at most ROWS rows, nearly equal."""
+    parts = -(-(end - first) // ROWS)
+    cuts = [first + (end - first) * k // parts for k in range(parts + 1)]
+    return zip(cuts, cuts[1:], strict=False)
+
+
+def _room(rows: int, wide: int, use: str = "") -> np.ndarray:
     """An array that is used again and again: new large ones cost more than what is done in them."""
-    if wide not in _rooms or len(_rooms[wide]) < rows:
-        _rooms[wide] = np.empty((max(rows, BATCH), wide), np.float32)
-    return _rooms[wide][:rows]
+    if (wide, use) not in _rooms or len(_rooms[wide, use]) < rows:
+        _rooms[wide, use] = np.empty((max(rows, ROWS), wide), np.float32)
+    return _rooms[wide, use][:rows]
+
+
+def _apart(windows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and the words between them laid out one after the other, and where these words are."""
+    laid = np.insert(windows, [SIDE], np.reshape(places, (-1, 1)), axis=1).reshape(-1)
+    return laid, SIDE + (2 * SIDE + 1) * np.arange(len(places))
 
 
 def _with_one(h: np.ndarray) -> np.ndarray:
@@ -200,25 +288,19 @@ def _with_one(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exp(h1: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(z) for z = h1 @ w, its rows' sums, and what z was lowered by: the rows' maxima where it leaves the numbers' range, else 0."""
+def _exp(h1: np.ndarray, w: np.ndarray, lowered: bool, targets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """exp(z) for z = h1 @ w, lowered by its rows' maxima or not; its rows' sums; z at the ``targets`` in its flat form."""
     q = np.matmul(h1, w, out=_room(len(h1), w.shape[1]))
-    with np.errstate(over="ignore"):
-        np.exp(q, out=q)
-        total = q @ _ones(w.shape[1])
-    if 1e-30 < total.min() and total.max() < 1e30:
-        return q, total, 0.0
-    np.matmul(h1, w, out=q)
-    most = q.max(axis=1)
-    q -= most[:, None]
+    if lowered:
+        q -= q.max(axis=1)[:, None]
+    z = None if targets is None else q.reshape(-1)[targets]
     np.exp(q, out=q)
-    return q, q @ _ones(w.shape[1]), most
+    return q, q @ _ones(w.shape[1]), z
 
 
-def _log_share(h1: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax(h1 @ w) at each row's column ``at``."""
-    _, total, most = _exp(h1, w)
-    return np.einsum("ij,ji->i", h1, w[:, at]) - most - np.log(total)
+def _kept(totals: np.ndarray) -> bool:
+    """Whether exponentials that weren't lowered kept within the numbers' range."""
+    return bool(1e-30 < totals.min() and totals.max() < 1e30)
 
 
 def _nth(n: int) -> np.ndarray:
@@ -245,15 +327,29 @@ def _settled() -> None:
         libc.mallopt(-1, 64 << 20)  # how much free memory is kept
 
 
-_AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
-
-
 def _places(n: np.ndarray) -> np.ndarray:
     """The places of words of texts of n words each, with edges around every text."""
     begins = SIDE + np.cumsum(n + SIDE) - (n + SIDE)
     return np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _steps(laid: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Round ``turn``'s steps over the words ``at`` of ``laid`` texts: at most BATCH words, as runs of RUN from all over the texts, and their neighbours.
+
+    All steps of all rounds together have each word once.
+    """
+    first = np.arange(0, len(at), RUN)
+    end = np.minimum(first + RUN, len(at))
+    steps = rounds * -(-len(first) // (rounds * (BATCH // RUN)))
+    for step in range(turn, min(steps, len(first)), rounds):
+        a, b = first[step::steps], end[step::steps]
+        begin, wide = at[a] - SIDE, at[b - 1] - at[a] + 2 * SIDE + 1
+        moved = begin - (np.cumsum(wide) - wide)  # what a run's places are lowered by
+        n = b - a
+        words = at[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        yield laid[np.repeat(moved, wide) + np.arange(wide.sum())], words - np.repeat(moved, n)
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """Blocks of documents, written: block, ids (doc_ids), sizes (numbers of words), keys and counts of distinct words, data (which word each is)."""
     ship(docs.sparkSession)
@@ -463,10 +559,8 @@ def learned(known: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             steps = 0
             for batch in batches:
                 for _, laid, at, *_ in _read(batch, own):
-                    some = at[turn::rounds]
-                    for lo in range(0, len(some), BATCH):
-                        mine = some[lo : lo + BATCH]
-                        own.learn(laid[mine[:, None] + _AROUND], laid[mine])
+                    for near, mine in _steps(laid, at, turn, rounds):
+                        own.learn_at(near, mine)
                         steps += len(mine)
             if steps:
                 parts = _message([w - s for w, s in zip(own.weights, sent.value.weights, strict=True)])
@@ -534,9 +628,9 @@ def scores(known: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for ids, laid, at, n, which, share in _read(batch, sent.value):
                 values = share[which].astype(np.float64)
-                for lo in range(0, len(at), 2 * BATCH):
-                    mine = at[lo : lo + 2 * BATCH]
-                    values[lo : lo + len(mine)] += sent.value.log_probability(laid[mine[:, None] + _AROUND], laid[mine])
+                for lo in range(0, len(at), 4 * BATCH):
+                    mine = at[lo : lo + 4 * BATCH]
+                    values[lo : lo + len(mine)] += sent.value.log_probability_at(laid, mine)
                 sums = np.concatenate([[0.0], np.cumsum(values)])
                 ends = np.cumsum(n)
                 score = np.minimum(0, sums[ends] - sums[ends - n])

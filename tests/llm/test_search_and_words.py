@@ -283,6 +283,75 @@ def test_a_word_costs_few_exponentials(monkeypatch):
     assert sum(made) < 2 * 300 * len(words)
 
 
+def laid_texts(rng, sizes):
+    """Slots of texts of these sizes with edges around them, and where words are."""
+    at = pseudo_likelihood._places(np.array(sizes))
+    laid = np.full(pseudo_likelihood.SIDE + int((np.array(sizes) + pseudo_likelihood.SIDE).sum()), pseudo_likelihood.SLOTS, np.int32)
+    laid[at] = np.minimum(rng.zipf(1.2, len(at)) - 1, pseudo_likelihood.SLOTS - 1)
+    return laid, at
+
+
+@pytest.mark.parametrize("sizes", [[1], [0, 3, 0], [40_000], [1] * 700, [31, 32, 33, 1, 0, 64, 20_000, 2]])
+def test_steps_have_each_word_once_and_read_neighbours_together(sizes):
+    """Each word is a target in one step of one round, between its own neighbours, and takes little more than one embedding in long texts."""
+    laid, at = laid_texts(np.random.default_rng(4), sizes)
+    laid[at] = np.arange(len(at)) % pseudo_likelihood.SLOTS  # told apart by their neighbours
+    around = pseudo_likelihood._AROUND
+    found, read = [], 0
+    for turn in range(3):
+        for near, mine in pseudo_likelihood._steps(laid, at, turn, 3):
+            assert 0 < len(mine) <= pseudo_likelihood.BATCH and (np.diff(mine) > 0).all()
+            found += np.column_stack([near[mine], near[mine[:, None] + around]]).tolist()
+            read += len(near)
+    assert sorted(found) == sorted(np.column_stack([laid[at], laid[at[:, None] + around]]).tolist())
+    if max(sizes) > 10_000:
+        assert read < 1.2 * len(at)
+
+
+def test_a_step_is_the_plain_gradients():
+    """A step over laid texts against plain softmaxes and Adagrad in double precision; ties of neighbours, repeats, both orders of calling."""
+    rng = np.random.default_rng(5)
+    model = pseudo_likelihood.Model(np.zeros(0, np.uint64), 1e6 / np.arange(1, pseudo_likelihood.SLOTS + 1))
+    model.weights = [w + rng.normal(0, 0.2, w.shape).astype(np.float32) if i < pseudo_likelihood.SUMS else w for i, w in enumerate(model.weights)]
+    laid, at = laid_texts(rng, [5, 1, 0, 900, 2])
+    windows, places = laid[at[:, None] + pseudo_likelihood._AROUND], laid[at]
+    assert np.allclose(model.log_probability_at(laid, at), model.log_probability(windows, places), atol=1e-4)
+    e, w1, b1, wc, bc, ws, bs = (w.astype(np.float64) for w in model.weights[:7])
+    grads = [np.zeros_like(w) for w in (e, w1, b1, wc, bc, ws, bs)]
+    head, each = pseudo_likelihood.HEAD, pseudo_likelihood.EACH
+    for window, place in zip(windows, places, strict=True):
+        x = e[window].reshape(-1)
+        h = np.tanh(x @ w1 + b1)
+        p = np.exp(h @ wc + bc)
+        p /= p.sum()
+        p[place if place < head else head + (place - head) // each] -= 1
+        back = wc @ p
+        grads[3] += np.outer(h, p)
+        grads[4] += p
+        if place >= head:
+            c = (place - head) // each
+            q = np.exp(h @ ws[c] + bs[c])
+            q /= q.sum()
+            q[(place - head) % each] -= 1
+            back += ws[c] @ q
+            grads[5][c] += np.outer(h, q)
+            grads[6][c] += q
+        back *= 1 - h * h
+        grads[1] += np.outer(x, back)
+        grads[2] += back
+        np.add.at(grads[0], window, (w1 @ back).reshape(len(window), -1))
+    axes = (1, None, None, None, None, (1, 2), 1)
+    want = [w - pseudo_likelihood.RATE * g / np.sqrt(np.mean(g * g, axis=a, keepdims=True) + 1e-12) for w, g, a in zip((e, w1, b1, wc, bc, ws, bs), grads, axes, strict=True)]
+    before = [w.copy() for w in model.weights]
+    model.learn_at(laid, at)
+    for got, w in zip(model.weights, want, strict=False):
+        assert np.allclose(got, w, atol=2e-3)
+    assert np.abs(model.weights[5] - before[5]).max() > 0.1
+    after, model.weights = model.weights, before
+    model.learn(windows, places)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=2e-3) for a, b in zip(model.weights, after, strict=True))
+
+
 def test_mixing_calls_its_function_in_one_place(spark):
     """Two Python operators in a stage need two workers for each core, which live on and gather every later operator's memory."""
     docs = spark.createDataFrame([(i, "a b c", "abc"[i % 3]) for i in range(60)], "doc_id bigint, text string, source string")
