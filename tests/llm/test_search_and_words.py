@@ -352,6 +352,17 @@ def test_a_step_is_the_plain_gradients():
     assert all(np.allclose(a, b, rtol=1e-3, atol=2e-3) for a, b in zip(model.weights, after, strict=True))
 
 
+def test_words_are_numbered_by_their_first_core_form():
+    """Against a dictionary of words, over texts of odd bytes, empty texts and none but those."""
+    rng = random.Random(1)
+    for longest in [0] * 3 + [30] * 100:
+        texts = [bytes(rng.choice(b"aAb,.( \x00\xff\xc3\xa9\x85\xa0\n") for _ in range(rng.randint(0, longest))) for _ in range(rng.randint(1, 6))]
+        forms = {}
+        data = [forms.setdefault(pseudo_likelihood._core(w), len(forms)) for text in texts for w in text.split()]
+        sizes, got, cores = pseudo_likelihood._numbered(texts)
+        assert (sizes.tolist(), got.tolist(), cores) == ([len(t.split()) for t in texts], data, list(forms))
+
+
 def test_mixing_calls_its_function_in_one_place(spark):
     """Two Python operators in a stage need two workers for each core, which live on and gather every later operator's memory."""
     docs = spark.createDataFrame([(i, "a b c", "abc"[i % 3]) for i in range(60)], "doc_id bigint, text string, source string")
